@@ -4,16 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import neardup
+from pyspark.sql import functions as F
+
+from orrery.llm import langid, neardup, packing, pii, urlfilter
 from orrery.session import table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.Packing(tokenizer_file("word_bpe_49k.json"), length=4096, end_id=1))
+
+
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op3_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.UrlFilter(URL_RULES))
+
+
 def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDup(size=2, percent=80))
 
 
+def op8_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.fit(docs.where(~held_out))
+    predicted = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
+    "op3_url_markov_ratio": op3_url_markov_ratio,
     "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
+    "op8_hyperdimensional_langid": op8_hyperdimensional_langid,
+    "op9_pii_spans": op9_pii_spans,
 }
 
 ORACLE = {
@@ -21,11 +62,11 @@ ORACLE = {
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(w) <= 1 THEN w
-         ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS sh
+         ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS sh
   FROM d),
 t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 links AS (
