@@ -26,7 +26,7 @@ from orrery.llm import textops as T
 class Packing:
     """tokenizer: file of the vocabulary; end_id closes each document.
 
-    group_rows bounds the pieces that one task packs. cache_words bounds the words whose
+    group_rows bounds the pieces that one task packs, below 2**20. cache_words bounds the words whose
     ids a worker remembers.
     """
 
@@ -168,10 +168,10 @@ def pack(docs: DataFrame, p: Packing, id_col: str = "doc_id", text_col: str = "t
     src = docs.select(T.column(docs, id_col, "long").alias("doc_id"), T.column(docs, text_col, "string").alias("text"))
     pieces = T.saved(src.mapInArrow(_tokenise(p), _PIECES))
     keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    full = pieces.where(F.col("length") == p.length).select(*keep, (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = pieces.where(F.col("length") == p.length).select(*keep, (F.lit(1 << 52) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     first = _round(pieces.where(F.col("length") < p.length), p)
     second = _round(first.where(F.col("fill") < p.length).select(*pieces.columns), p)
-    place = [(F.col("grp") * F.lit(1 << 32) + F.col("bin")), F.col("offset")]
+    place = [(F.col("grp") * F.lit(1 << 20) + F.col("bin")), F.col("offset")]
     done = first.where(F.col("fill") == p.length).select(*keep, place[0].alias("sequence_id"), place[1])
-    rest = second.select(*keep, (F.lit(1 << 61) + place[0]).alias("sequence_id"), place[1])
+    rest = second.select(*keep, (F.lit(1 << 51) + place[0]).alias("sequence_id"), place[1])
     return full.unionByName(done).unionByName(rest)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import langid, neardup, packing, pii, urlfilter
+from orrery.llm import decontam, langid, neardup, packing, pii, suffixdedup, urlfilter
 from orrery.session import table
 
 
@@ -37,6 +37,14 @@ def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDup(size=2, percent=80))
 
 
+def op5_prefix_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), suffixdedup.Repeats(length=400))
+
+
+def op6_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -53,6 +61,8 @@ QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op3_url_markov_ratio": op3_url_markov_ratio,
     "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
+    "op5_prefix_doubling_repeats": op5_prefix_doubling_repeats,
+    "op6_rare_seed_alignment": op6_rare_seed_alignment,
     "op8_hyperdimensional_langid": op8_hyperdimensional_langid,
     "op9_pii_spans": op9_pii_spans,
 }

@@ -23,6 +23,8 @@ _M2 = np.uint64(0x94D049BB133111EB)
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything that is neither an ASCII letter or digit nor part of a longer UTF-8 sequence.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -69,16 +71,16 @@ def pieces(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row, start and end byte of each word of ASCII-lower-cased rows.
 
-    Words are the maximal runs without ASCII white space. ``offsets`` start at 0.
+    Words are the maximal runs without a byte of ``between``. ``offsets`` start at 0.
     """
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, U64), z, z, z
-    solid = ~SPACE[data]
+    solid = ~between[data]
     first = np.empty(n, dtype=bool)
     first[0] = True
     first[1:] = ~solid[:-1]
@@ -167,6 +169,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written as a Parquet table in the shared checkpoint folder and read again.
+
+    Columnar and compressed, unlike ``saved``, and its size is known to the planner.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def tasks(spark: SparkSession) -> int:
     """The number of shuffle partitions in force."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
