@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,12 @@ class Decontamination:
 
 
 def tokens(column: pa.Array):
-    """Chunks of rows with their word hashes and rows; case and punctuation don't count."""
-    data, off = T.utf8(column)
+    """Chunks of rows with their word hashes and rows; case and punctuation don't count.
+
+    A text whose lower case has another byte length keeps its letters, so that places hold.
+    """
+    low = pc.utf8_lower(column)
+    data, off = T.utf8(pc.if_else(pc.equal(pc.binary_length(low), pc.binary_length(column)), low, column))
     for i, j in T.pieces(off):
         h, row, start, end = T.words(data[off[i] : off[j]], off[i : j + 1] - off[i], T.PUNCTUATION)
         yield i, j, h, row, start + off[i], end + off[i]
