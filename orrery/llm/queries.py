@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import decontam, langid, neardup, packing, pii, suffixdedup, urlfilter
+from orrery.llm import decontam, htmlextract, langid, neardup, packing, pii, suffixdedup, urlfilter
 from orrery.session import table
 
 
@@ -57,6 +57,10 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op10_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op3_url_markov_ratio": op3_url_markov_ratio,
@@ -65,6 +69,7 @@ QUERIES = {
     "op6_rare_seed_alignment": op6_rare_seed_alignment,
     "op8_hyperdimensional_langid": op8_hyperdimensional_langid,
     "op9_pii_spans": op9_pii_spans,
+    "op10_template_deduction": op10_template_deduction,
 }
 
 ORACLE = {
