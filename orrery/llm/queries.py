@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import decontam, htmlextract, langid, neardup, packing, pii, suffixdedup, urlfilter
+from orrery.llm import ann, decontam, htmlextract, langid, neardup, packing, pii, suffixdedup, urlfilter
 from orrery.session import table
 
 
@@ -20,6 +20,10 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.Packing(tokenizer_file("word_bpe_49k.json"), length=4096, end_id=1))
 
 
+def op2_balanced_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), ann.Ann(top=20), every=20)
+
+
 URL_RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -63,6 +67,7 @@ def op10_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
+    "op2_balanced_posting_lists": op2_balanced_posting_lists,
     "op3_url_markov_ratio": op3_url_markov_ratio,
     "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
     "op5_prefix_doubling_repeats": op5_prefix_doubling_repeats,
