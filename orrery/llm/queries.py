@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, decontam, htmlextract, langid, neardup, packing, pii, suffixdedup, urlfilter
+from orrery.llm import ann, decontam, htmlextract, langid, neardup, packing, pii, sharding, suffixdedup, textops, urlfilter
 from orrery.session import table
 
 
@@ -49,6 +51,11 @@ def op6_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{textops.ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    return sharding.compacted(table(spark, sf_dir, "documents"), root)
+
+
 def op8_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -72,6 +79,7 @@ QUERIES = {
     "op4_minhash_odd_sketch": op4_minhash_odd_sketch,
     "op5_prefix_doubling_repeats": op5_prefix_doubling_repeats,
     "op6_rare_seed_alignment": op6_rare_seed_alignment,
+    "op7_size_tiered_compaction": op7_size_tiered_compaction,
     "op8_hyperdimensional_langid": op8_hyperdimensional_langid,
     "op9_pii_spans": op9_pii_spans,
     "op10_template_deduction": op10_template_deduction,
