@@ -149,55 +149,94 @@ def _surroundings(items, size: int):
 _HITS = "doc_id long, item_id long, similarity double, doc_start int, doc_end int, item_words int, seeds int"
 
 
+class Aligner:
+    """Finds the copies of a slice's items in columns of texts."""
+
+    def __init__(self, it: Items, p: Decontamination):
+        self.it, self.p = it, p
+        order = np.argsort(it.gram, kind="stable")
+        self.gram, self.item = it.gram[order], it.item[order]
+        self.number = np.bincount(it.item, minlength=len(it.ids))
+
+    def __call__(self, column: pa.Array):
+        """(row, item, similarity, first byte, end byte, seeds) of each passage that is similar enough."""
+        it, p, gram, item, number = self.it, self.p, self.gram, self.item, self.number
+        base = T.utf8(column)[1]
+        for i, _, h, row, start, end in tokens(column):
+            g, at = grams(h, row, p.size)
+            if len(g) == 0 or len(gram) == 0:
+                continue
+            lo, hi = np.searchsorted(gram, g, "left"), np.searchsorted(gram, g, "right")
+            n = hi - lo
+            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+            if len(at) == 0:
+                continue
+            which = item[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            at = np.repeat(at, n)
+            r = row[at]
+            order = np.lexsort((at, which, r))
+            at, which, r = at[order], which[order], r[order]
+            span = np.array([len(w) for w in it.words], np.int64)[which]
+            new = np.ones(len(at), bool)
+            new[1:] = (r[1:] != r[:-1]) | (which[1:] != which[:-1]) | (at[1:] - at[:-1] > 2 * span[1:])
+            cuts = np.append(np.flatnonzero(new), len(at))
+            text_from = np.searchsorted(row, np.arange(row[-1] + 2))
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                k, x = int(which[s]), int(r[s])
+                if e - s < min(2, number[k]):
+                    continue
+                m = len(it.words[k])
+                a = max(int(text_from[x]), int(at[s]) - 2 * m)
+                b = min(int(text_from[x + 1]), int(at[e - 1]) + 2 * m + p.size)
+                score, begin, stop = smith_waterman(it.words[k], h[a:b], p)
+                similarity = score / (p.match * m)
+                if similarity >= p.similarity:
+                    row_start = int(base[i + x])
+                    yield i + x, k, similarity, int(start[a + begin]) - row_start, int(end[a + stop - 1]) - row_start, int(e - s)
+
+
 def _aligned(items, p: Decontamination):
     def run(batches):
-        it = items.value
-        order = np.argsort(it.gram, kind="stable")
-        gram, item = it.gram[order], it.item[order]
-        number = np.bincount(it.item, minlength=len(it.ids))
+        find = Aligner(items.value, p)
         for batch in batches:
             docs = batch.column(0).cast(pa.int64()).to_pylist()
-            out: list[list] = [[] for _ in range(7)]
-            for i, _, h, row, start, end in tokens(batch.column(1)):
-                g, at = grams(h, row, p.size)
-                if len(g) == 0 or len(gram) == 0:
-                    continue
-                lo, hi = np.searchsorted(gram, g, "left"), np.searchsorted(gram, g, "right")
-                n = hi - lo
-                at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-                if len(at) == 0:
-                    continue
-                which = item[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                at = np.repeat(at, n)
-                r = row[at]
-                order = np.lexsort((at, which, r))
-                at, which, r = at[order], which[order], r[order]
-                span = np.array([len(w) for w in it.words], np.int64)[which]
-                new = np.ones(len(at), bool)
-                new[1:] = (r[1:] != r[:-1]) | (which[1:] != which[:-1]) | (at[1:] - at[:-1] > 2 * span[1:])
-                cuts = np.append(np.flatnonzero(new), len(at))
-                text_from = np.searchsorted(row, np.arange(row[-1] + 2))
-                base = T.utf8(batch.column(1))[1]
-                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                    k, x = int(which[s]), int(r[s])
-                    if e - s < min(2, number[k]):
-                        continue
-                    m = len(it.words[k])
-                    a = max(int(text_from[x]), int(at[s]) - 2 * m)
-                    b = min(int(text_from[x + 1]), int(at[e - 1]) + 2 * m + p.size)
-                    score, begin, stop = smith_waterman(it.words[k], h[a:b], p)
-                    similarity = score / (p.match * m)
-                    if similarity >= p.similarity:
-                        row_start = int(base[i + x])
-                        values = (docs[i + x], int(it.ids[k]), similarity, int(start[a + begin]) - row_start, int(end[a + stop - 1]) - row_start, m, int(e - s))
-                        for c, v in zip(out, values, strict=True):
-                            c.append(v)
+            found = [(docs[r], int(find.it.ids[k]), v, x, y, len(find.it.words[k]), n) for r, k, v, x, y, n in find(batch.column(1))]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [x.split()[0] for x in _HITS.split(", ")])
+            cols = list(zip(*found, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in _HITS.split(", ")])
 
     return run
 
 
+def _clean(items, p: Decontamination, text_at: int):
+    def run(batches):
+        find = Aligner(items.value, p)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for r, *_ in find(batch.column(text_at)):
+                keep[r] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _seeded(texts: DataFrame, benchmark: DataFrame, p: Decontamination, item_col: str, item_text_col: str):
+    """The seeds of each slice of the benchmark, shared with the tasks; texts has one column."""
+    spark = texts.sparkSession
+    side = benchmark.select(T.column(benchmark, item_col, "long").alias("item_id"), T.column(benchmark, item_text_col, "string").alias("text"))
+    side = side.where("item_id is not null and text is not null").distinct()
+    chars = side.agg(F.sum(F.length("text"))).first()[0] or 0
+    slices = max(1, -(-chars // p.slice_chars))
+    most = max(p.spread_least, int(p.spread_share * texts.count()))
+    for n in range(slices):
+        rows = side.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == n).orderBy("item_id", "text").collect()
+        items = Items([r[0] for r in rows], [r[1] for r in rows], p.size)
+        around = texts.mapInArrow(_surroundings(spark.sparkContext.broadcast(items), p.size), "g long, around long")
+        # one row per n-gram of the slice
+        spread = {r[0]: r[1] for r in around.distinct().groupBy("g").count().collect()}
+        yield spark.sparkContext.broadcast(items.seeds(spread, most))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and test item it holds a copy of: doc_id, item_id, similarity
     of the best alignment, its byte range in the text, the item's words and seeds found.
@@ -208,26 +247,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination | Non
     Other columns are ignored; empty tables give an empty result.
     """
     p = p or Decontamination()
-    spark = docs.sparkSession
     src = docs.select(T.column(docs, id_col, "long").alias("doc_id"), T.column(docs, text_col, "string").alias("text"))
-    side = benchmark.select(T.column(benchmark, item_col, "long").alias("item_id"), T.column(benchmark, item_text_col, "string").alias("text")).where("item_id is not null and text is not null").distinct()
-    chars = side.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = max(1, -(-chars // p.slice_chars))
-    texts = src.count()
-    found = []
-    for n in range(slices):
-        rows = side.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == n).orderBy("item_id", "text").collect()
-        items = Items([r[0] for r in rows], [r[1] for r in rows], p.size)
-        shared = spark.sparkContext.broadcast(items)
-        around = src.select("text").mapInArrow(_surroundings(shared, p.size), "g long, around long")
-        # one row per n-gram of the slice
-        spread = {r[0]: r[1] for r in around.distinct().groupBy("g").count().collect()}
-        most = max(p.spread_least, int(p.spread_share * texts))
-        seeds = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], p.size).seeds(spread, most))
-        found.append(src.mapInArrow(_aligned(seeds, p), _HITS))
+    found = [src.mapInArrow(_aligned(seeds, p), _HITS) for seeds in _seeded(src.select("text"), benchmark, p, item_col, item_text_col)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     best = F.max(F.struct("similarity", (-F.col("doc_start")).alias("back"), "doc_end", "item_words", "seeds")).alias("b")
     out = out.groupBy("doc_id", "item_id").agg(best)
     return out.select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("doc_start"), "b.doc_end", "b.item_words", "b.seeds")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows whose text holds no copy of a test item, with all their columns.
+
+    Rows with a null or empty text stay. The text column must be a string.
+    """
+    p = p or Decontamination()
+    out = docs
+    at = docs.columns.index(text_col)
+    for seeds in _seeded(docs.select(T.column(docs, text_col, "string").alias("text")), benchmark, p, item_col, item_text_col):
+        out = out.mapInArrow(_clean(seeds, p, at), docs.schema)
+    return out

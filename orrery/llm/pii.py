@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from orrery.llm import textops as T
 
@@ -159,15 +160,17 @@ def mask(text: str, spans: list[tuple[int, str, int, float]]) -> str:
     return "".join(out) + text[at:]
 
 
-def detect(docs: DataFrame, p: Pii | None = None, id_col: str = "doc_id", text_col: str = "text", masked: bool = False) -> DataFrame:
-    """One row per input row: doc_id, spans (kind, start, end, score), and the masked text if asked for.
+def detect(docs: DataFrame, p: Pii | None = None, id_col: str = "doc_id", text_col: str = "text", masked: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, the columns ``keep`` (none named spans or masked),
+    spans (kind, start, end, score), and the masked text if asked for.
 
     A null or empty text has no spans (its masked text stays null or empty). Rows are
     independent: repeated rows and null ids are kept as they are, other columns are
     ignored, and an empty table gives an empty result.
     """
-    src = docs.select(T.column(docs, id_col, "long").alias("doc_id"), T.column(docs, text_col, "string").alias("text"))
-    return src.mapInArrow(_spans_of(p or Pii(), masked), f"doc_id long, {_SPANS}" + ", masked string" * masked)
+    src = docs.select(T.column(docs, id_col, "long").alias("doc_id"), *(F.col(f"`{c}`") for c in keep), T.column(docs, text_col, "string").alias("__text"))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[1:-1])
+    return src.mapInArrow(_spans_of(p or Pii(), masked), f"doc_id long, {kept}{_SPANS}" + ", masked string" * masked)
 
 
 def digest(found: DataFrame) -> DataFrame:
