@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from orrery.plans import q_aggregate, q_evaluate, q_features, q_parse, q_spatial, q_windows  # noqa: F401  they register
+from orrery.plans.registry import ORACLE, QUERIES  # noqa: F401

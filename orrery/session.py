@@ -26,3 +26,23 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir; a local one only where none is set."""
+    sc = spark.sparkContext
+    if (now := sc.getCheckpointDir()) is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="orrery-checkpoint-")
+        sc.setCheckpointDir(named)
+        now = sc.getCheckpointDir()
+    return now
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder, so that iterations don't grow the plan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
