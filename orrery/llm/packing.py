@@ -11,6 +11,7 @@ groups in a second round, whose input is a small share of the first.
 
 from __future__ import annotations
 
+import json
 import zlib
 from dataclasses import dataclass
 
@@ -34,34 +35,128 @@ class Packing:
     length: int = 4096
     end_id: int = 1
     group_rows: int = 20_000
-    cache_words: int = 400_000
+    cache_words: int = 700_000
+
+
+class Words(dict):
+    """Ids by word; letters with a final mark are put together from both."""
+
+    __slots__ = ()
+
+    def __missing__(self, word: str) -> bytes:
+        return self[word[:-1]] + self[word[-1]]
 
 
 class WordTokenizer:
     """Ids of whole texts from a word-level cache over a tokenizer that drops white space.
 
     Such a tokenizer never joins characters across white space, so a text's ids are the
-    ids of its white-space separated parts in order; repeated words are looked up.
+    ids of its white-space separated parts in order; repeated words are looked up. An
+    unknown part is put together from its letters and a final mark where possible, and
+    what is left unknown is encoded in long lines, a part between marks.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str, cache_words: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
         self.most = cache_words
+        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        plain = self.tokenizer.encode("Aé", add_special_tokens=False).ids == self.tokenizer.encode("aé", add_special_tokens=False).ids
+        self.folds = plain and len(self.mark) == 1
+        self.letters, self.dot = self._for_letters(path)
+        self.cache = Words()
+        self.reset()
+
+    def _for_letters(self, path: str):
+        """The same merges without the steps that leave a word of small Latin letters as it is."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        dot = self.tokenizer.encode(".", add_special_tokens=False).ids
+        if not self.folds or spec["model"].get("type") != "BPE" or not spec["model"].get("end_of_word_suffix") or len(dot) != 1:
+            return None, None
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+        return Tokenizer.from_str(json.dumps(spec)), dot[0]
+
+    def reset(self) -> None:
+        self.cache = Words({"": b""})
+        for c in ".,":
+            self.cache |= self.encoded([c])
+
+    def _lines(self, tokenizer, parts: list[str], mark: str, mark_id: int) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        lines = [f" {mark} ".join(parts[i : i + 500]) for i in range(0, len(parts), 500)]
+        for k, e in enumerate(tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            raw, cuts = ids.tobytes(), np.append(np.flatnonzero(ids == mark_id), len(ids)).tolist()
+            at = 0
+            for x, c in zip(parts[500 * k : 500 * k + 500], cuts, strict=True):
+                found[x] = raw[4 * at : 4 * c]
+                at = c + 1
+        return found
+
+    def encoded(self, parts: list[str]) -> dict[str, bytes]:
+        small = [x for x in parts if x.isalpha() and x.islower() and (x.isascii() or max(x) <= "\xff")] if self.letters else []
+        found = self._lines(self.letters, small, ".", self.dot) if small else {}
+        others = [x for x in parts if x not in found]
+        joined = [x for x in others if self.MARK not in x] if self.folds else []
+        found |= self._lines(self.tokenizer, joined, self.MARK, self.mark[0])
+        for x in others:
+            if x not in found:
+                found[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        return found
+
+    def learn(self, unknown: list[str]) -> None:
+        cache = self.cache
+        if not self.folds:
+            cache.update(self.encoded(unknown))
+            return
+        need = set()
+        for w in unknown:
+            end = w[-1]
+            if (end == "." or end == ",") and w[:-1].lower().isalpha():
+                w = w[:-1]
+                if w in cache:
+                    continue
+            need.add(w)
+        cache.update(self.encoded(list(need)))
+
+    def lowered(self, text: str) -> str:
+        """The text in lower case where the tokenizer's own lower case is certain to be the same."""
+        if self.folds and "<|" not in text:
+            if text.isascii():
+                return text.lower()
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+            return text.lower()
+        return text
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         # only these four are white space to every tokenizer; others stay inside the parts
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        unknown = list(set().union(*parts) - self.cache.keys()) if parts else []
-        if len(self.cache) + len(unknown) > self.most:
-            self.cache.clear()
-            unknown = list(set().union(*parts))
-        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in parts]
+        parts = [self.lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        words = set().union(*parts) if parts else set()
+        if len(self.cache) + len(words) > self.most:
+            self.reset()
+        cache = self.cache
+        self.learn([w for w in words if w not in cache])
+        return [np.frombuffer(b"".join(map(cache.__getitem__, p)), "<u4") for p in parts]
+
+
+_WORKER: dict[tuple[str, int], WordTokenizer] = {}
+
+
+def worker_tokenizer(path: str, cache_words: int) -> WordTokenizer:
+    """The tokenizer of this worker process, which tasks that follow each other share."""
+    if (path, cache_words) not in _WORKER:
+        _WORKER[path, cache_words] = WordTokenizer(path, cache_words)
+    return _WORKER[path, cache_words]
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
@@ -72,7 +167,7 @@ def _tokenise(p: Packing):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of = WordTokenizer(p.tokenizer, p.cache_words)
+        ids_of = worker_tokenizer(p.tokenizer, p.cache_words)
         end = np.array([p.end_id], "<u4")
         for batch in batches:
             off = T.utf8(batch.column(1))[1]
