@@ -10,8 +10,6 @@ from pyspark.sql.window import Window
 
 from orrery.operators.spatial import XYZ, radius_join
 
-NAN = F.lit(float("nan"))
-
 
 def weighted_features(
     points: DataFrame, atoms: DataFrame, values: list[str], r: float, weight: Callable[[Column], Column], avg_pow: float = 0.0, weighted_count: bool = False, keep_sum: tuple[str, ...] = ()

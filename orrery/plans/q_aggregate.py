@@ -223,7 +223,7 @@ def k13(spark, d):
     return p.select("priority", *(r6(s, 4).alias(s.lower()) for s in "FOP"))
 
 
-@query("a26_label_stats", "SELECT count(*) AS total, sum(CAST(toxic = 1 AS BIGINT)) AS pos, sum(CAST(toxic = 0 AS BIGINT)) AS neg, count(*) - count(toxic) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id)")
+@query("a26_label_stats", "SELECT count(*) AS total, count(*) FILTER (toxic = 1) AS pos, count(*) FILTER (toxic = 0) AS neg, count(*) - count(toxic) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id)")
 def a26(spark, d):
     j = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     return j.agg(F.count("*").alias("total"), F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg"), F.count_if(F.col("toxic").isNull()).alias("unlabelled"))

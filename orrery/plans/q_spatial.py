@@ -184,7 +184,7 @@ def p17(spark, d):
 
 @query(
     "p18_lattice",
-    """SELECT i.range AS ix, j.range AS iy, k.range AS iz, round(-1.0 + i.range * 1.5, 6) AS x, round(0.0 + j.range * 1.5, 6) AS y, round(0.5 + k.range * 1.5, 6) AS z
+    """SELECT i.range AS ix, j.range AS iy, k.range AS iz, CAST(-1.0 + i.range * 1.5 AS DOUBLE) AS x, CAST(0.0 + j.range * 1.5 AS DOUBLE) AS y, CAST(0.5 + k.range * 1.5 AS DOUBLE) AS z
 FROM range(7) i, range(5) j, range(3) k""",
 )
 def p18(spark, d):
@@ -339,7 +339,7 @@ def u6(spark, d):
 
 @query(
     "m7_grid_around",
-    f"""WITH grid AS (SELECT i.range * 2.0 - 10 AS x, j.range * 2.0 - 10 AS y, k.range * 2.0 - 10 AS z FROM range(11) i, range(11) j, range(11) k)
+    f"""WITH grid AS (SELECT CAST(i.range * 2 - 10 AS DOUBLE) AS x, CAST(j.range * 2 - 10 AS DOUBLE) AS y, CAST(k.range * 2 - 10 AS DOUBLE) AS z FROM range(11) i, range(11) j, range(11) k)
 SELECT x, y, z FROM grid a WHERE EXISTS (SELECT 1 FROM pts b WHERE b.lig AND {_D2} <= 16) AND NOT EXISTS (SELECT 1 FROM pts b WHERE NOT b.lig AND {_D2} < 2.25)""",
     "pts",
 )

@@ -116,7 +116,7 @@ def w14(spark, d):
     return W.running_sum(chain(spark, d), ["user_id"], CHAIN_ORDER, "value").select("user_id", "event_id", r6("cumulative", 4).alias("cumulative"))
 
 
-@query("a17_propensity_counter", "SELECT t, sum(CAST(value >= 50 AS BIGINT)) AS pos, sum(CAST(value < 50 AS BIGINT)) AS neg, count(*) AS count, round(avg(CAST(value >= 50 AS INT)), 6) AS ratio FROM chain GROUP BY t", "chain")
+@query("a17_propensity_counter", "SELECT t, count(*) FILTER (value >= 50) AS pos, count(*) FILTER (value < 50) AS neg, count(*) AS count, round(avg(CAST(value >= 50 AS INT)), 6) AS ratio FROM chain GROUP BY t", "chain")
 def a17(spark, d):
     x = W.propensities(chain(spark, d), "t", F.col("value") >= 50)
     return x.select("t", "pos", "neg", "count", r6("ratio").alias("ratio"))
