@@ -146,6 +146,7 @@ def _augmented(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate((x, np.sqrt(np.maximum(top**2 - (x**2).sum(axis=1, keepdims=True), 0))), axis=1)
 
 
+@T.lean
 def _valid(batches):
     for batch in batches:
         rows, x = matrix(batch.column(1))
@@ -156,6 +157,7 @@ def _valid(batches):
 def _to_lists(shared, p: Ann, query: bool):
     """Rows of a vector for each of its posting lists, or of a query for each list it reads."""
 
+    @T.lean
     def run(batches):
         graph, top, sizes = shared.value
         for whole in batches:
@@ -199,6 +201,7 @@ def _best(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, score: np.
 def _scan(p: Ann):
     """Best rows of each query in each block; a block's rows come before its queries."""
 
+    @T.lean
     def run(batches):
         key, rows, ids, parts = None, None, None, []
         for batch in batches:
@@ -229,6 +232,7 @@ def _scan(p: Ann):
 
 
 def _merge(p: Ann):
+    @T.lean
     def run(batches):
         for batch in T.by_group(batches, ["q"]):
             q = batch.column("q").to_numpy()

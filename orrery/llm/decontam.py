@@ -123,6 +123,7 @@ class Items:
 
 
 def _surroundings(items, size: int):
+    @T.lean
     def run(batches):
         keys = items.value.keys
         for batch in batches:
@@ -196,6 +197,7 @@ class Aligner:
 
 
 def _aligned(items, p: Decontamination):
+    @T.lean
     def run(batches):
         find = Aligner(items.value, p)
         for batch in batches:
@@ -209,6 +211,7 @@ def _aligned(items, p: Decontamination):
 
 
 def _clean(items, p: Decontamination, text_at: int):
+    @T.lean
     def run(batches):
         find = Aligner(items.value, p)
         for batch in batches:

@@ -174,6 +174,7 @@ def _hash(*said: str) -> int:
 _TOKENS = "host string, token long, kind byte, depth int, n long, total long, sig long, chars long"
 
 
+@T.lean
 def _tokens(batches):
     """Per host and token: pages, occurrences, vector hash and characters inside, combined within a batch."""
     for batch in batches:
@@ -251,6 +252,7 @@ def extract(pages: DataFrame, p: Extraction | None = None, id_col: str = "page_i
     src = pages.select(T.column(pages, id_col, "long").alias("page_id"), url.alias("url"), url_parts(url)[0].alias("host"), T.column(pages, html_col, "string").alias("html"))
     known = T.stored(templates(src, p))
 
+    @T.lean
     def run(batches):
         seen: dict = {}
         for batch in batches:

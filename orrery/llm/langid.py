@@ -83,6 +83,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code[mid], row[1:-1][mid], letters
 
 
+@T.lean
 def _counts(batches):
     """Trigram counts per language of each batch."""
     for batch in batches:
@@ -167,6 +168,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     source = docs.select(*(F.col(f"`{c}`") for c in keep), T.column(docs, text_col, "string").alias("__text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + "lang_pred string, score double"
 
+    @T.lean
     def run(batches):
         table = shared.value if langs else None
         for batch in batches:

@@ -76,6 +76,7 @@ _FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>,
 def _features(p: NearDup):
     k, words = p.samples, p.sketch_words
 
+    @T.lean
     def run(batches):
         rng = np.random.default_rng(p.seed)
         mul = rng.integers(1, 2**62, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,6 +146,7 @@ def _gray(p: NearDup):
     """Spanning forests of the buckets' pairs whose sketches are near enough."""
     bits, floor = 64 * p.sketch_words, p.floor
 
+    @T.lean
     def run(batches):
         for batch in T.by_group(batches, ["key", "pi", "pj"]):
             rep = batch.column("rep").to_numpy()
@@ -200,6 +202,7 @@ def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _exact(p: NearDup):
+    @T.lean
     def run(batches):
         for batch in T.by_group(batches, ["block", "pi", "pj"]):
             rep = batch.column("rep").to_numpy()

@@ -163,6 +163,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal
 
 
 def _tokenise(p: Packing):
+    @T.lean
     def run(batches):
         import os
 
@@ -229,6 +230,7 @@ _PACKED = _PIECES + ", bin long, offset long, fill long, grp long"
 
 
 def _pack(p: Packing):
+    @T.lean
     def run(batches):
         for batch in T.by_group(batches, ["grp"]):
             length = batch.column("length").to_numpy()

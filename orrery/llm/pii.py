@@ -127,6 +127,7 @@ _SPANS = "spans array<struct<kind:string, start:int, end:int, score:double>>"
 def _spans_of(p: Pii, masked: bool):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
+    @T.lean
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
@@ -177,6 +178,7 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts per base kind, a hash of the base spans and all spans as text."""
     base = KINDS[:4]
 
+    @T.lean
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]

@@ -81,6 +81,7 @@ _ANCHORS = "doc long, th long, i int, pos int, s1 int, s2 int, next int, r long"
 
 
 def _anchors(p: Repeats):
+    @T.lean
     def run(batches):
         for batch in batches:
             data, off = T.utf8(batch.column(2))
@@ -114,6 +115,7 @@ def _anchors(p: Repeats):
     return run
 
 
+@T.lean
 def _paired_only(batches):
     """Rows with an equal rank beside them, from rows sorted by rank; the first and the last row always."""
     rest, begun = None, False
@@ -164,6 +166,7 @@ def _doubled(x: DataFrame, p: Repeats) -> DataFrame:
 def _contexts(p: Repeats):
     """Bytes of the windows of each anchor that is left, from texts with their anchors."""
 
+    @T.lean
     def run(batches):
         for batch in batches:
             data, off = T.utf8(batch.column("text"))
@@ -186,6 +189,7 @@ def _contexts(p: Repeats):
 def _compare(p: Repeats):
     """Runs of window starts with an equal window in the group, and for groups in pieces what is single so far."""
 
+    @T.lean
     def run(batches):
         for group in T.by_group(batches, ["key", "part"]):
             cuts = np.append(T.boundaries(group, ["key", "part"]), group.num_rows)
@@ -247,6 +251,7 @@ _DONE = "doc long, th long, n_removed long, n_spans long, kept_sha256 string, sp
 
 
 def _removed(p: Repeats, texts: bool):
+    @T.lean
     def run(batches):
         for batch in batches:
             data, off = T.utf8(batch.column("text"))
@@ -318,6 +323,7 @@ def remove_repeats(docs: DataFrame, p: Repeats | None = None, id_col: str = "doc
     filter_ = _bloom(lists.select("doc", "th"), p.bloom_bits)
     bit = F.pmod(F.xxhash64("doc", "th"), F.lit(p.bloom_bits)).alias("bit")
 
+    @T.lean
     def maybe(batches):
         for batch in batches:
             b = batch.column("bit").to_numpy()
