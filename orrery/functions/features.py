@@ -258,3 +258,36 @@ def as_sas(name: str, points: DataFrame, atoms: DataFrame, values: DataFrame, r:
     near = S.nearest(points, atoms, r).select("id", F.col("id_r"))
     v = values.select(F.col("id").alias("id_r"), *(F.col(c).alias(f"{name}.{c}") for c in f.columns))
     return near.join(v, "id_r").drop("id_r")
+
+
+def is_amino_acid(residues: DataFrame, by: list[str], order: list[str], name: str = "res_name", has_atoms: str = "has_amino_atoms") -> DataFrame:
+    """amino_acid: by type, by a name beginning with UNK, or by its atoms and its neighbours.
+
+    In the last case the residue before it may be missing, the one after it may not.
+    """
+    known = lambda c: corrected_code(c).isin(*AMINO_ACIDS)
+    w = Window.partitionBy(*by).orderBy(*order)
+    prev, nxt = F.lag(name).over(w), F.lead(name).over(w)
+    by_place = F.col(has_atoms) & (prev.isNull() | known(prev)) & nxt.isNotNull() & known(nxt)
+    return residues.withColumn("amino_acid", F.coalesce(known(F.col(name)) | F.col(name).startswith("UNK") | by_place, F.lit(False)))
+
+
+def atom_areas(atoms: DataFrame, surface: DataFrame, directions: int = 64, probe: float = 1.6) -> DataFrame:
+    """Solvent accessible area per atom (item, serial, asa): the share of its sphere's points that lie open."""
+    from orrery.sources.structures import heavy
+
+    radii = F.create_map(*(F.lit(v) for kv in {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "P": 1.8}.items() for v in kv))
+    r = F.coalesce(F.element_at(radii, F.col("element")), F.lit(1.8)) + probe
+    open_ = surface.groupBy("item", "serial").agg(F.count("*").alias("_n"))
+    x = heavy(atoms).select("item", "serial", r.alias("_r")).join(open_, ["item", "serial"], "left")
+    return x.select("item", "serial", (F.coalesce("_n", F.lit(0)) / F.lit(float(directions)) * 4 * 3.141592653589793 * F.col("_r") * F.col("_r")).alias("asa"))
+
+
+def area_near(points: DataFrame, atoms: DataFrame, r: float = 6.0, per_residue: bool = False) -> DataFrame:
+    """Sum of asa over the atoms within r of each point, or over all atoms of the residues that have one there."""
+    near = S.radius_join(points.select("id", *S.XYZ), atoms.select("residue", "asa", *S.XYZ), r)
+    if per_residue:
+        whole = atoms.groupBy(F.col("residue").alias("residue_r")).agg(F.sum("asa").alias("_a"))
+        near = near.select("id", "residue_r").distinct().join(whole, "residue_r").withColumnRenamed("_a", "asa_r")
+    got = near.groupBy("id").agg(F.sum("asa_r").alias("asa"))
+    return points.select("id").join(got, "id", "left").na.fill(0.0)

@@ -73,3 +73,37 @@ def class_weights(df: DataFrame, label: str, target: float) -> DataFrame:
     """weight: target / ratio for positives, 1 for negatives, ratio being positives / negatives."""
     n = df.agg((F.sum(F.col(label).cast("long")) / F.sum((~F.col(label)).cast("long"))).alias("ratio"))
     return df.crossJoin(F.broadcast(n)).withColumn("weight", F.when(F.col(label), F.lit(target) / F.col("ratio")).otherwise(1.0)).drop("ratio")
+
+
+def random_points(spark, low: tuple[float, float, float], high: tuple[float, float, float], n: int, seed: int = 42) -> DataFrame:
+    """n points spread over a box: (id, x, y, z), the same on every run and retry."""
+    unit = lambda k: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), F.lit(1_000_003)) / 1_000_003.0
+    return spark.range(n).select("id", *((F.lit(u) + unit(k) * (v - u)).alias(c) for k, (c, u, v) in enumerate(zip("xyz", low, high, strict=True))))
+
+
+def sampled_points(strategy: str, pocket: DataFrame, protein: DataFrame, surface: DataFrame | None = None, most: float = 4.0, least: float = 2.5, edge: float = 2.0) -> DataFrame:
+    """Points to score around a pocket: `surface`, `atoms`, `grid` or `random`.
+
+    Surface points are those within ``most`` of the pocket; grid and random points also
+    keep ``least`` from the protein.
+    """
+    from orrery.operators import spatial as S
+
+    if strategy == "atoms":
+        return pocket.select("id", *S.XYZ)
+    if strategy == "surface":
+        if surface is None:
+            raise ValueError("sampling from the surface needs its points")
+        return S.shell(surface, pocket, most).select("id", *S.XYZ)
+    box = S.bounds(pocket, most).first()
+    low, high = (tuple(float(box[f"{n}_{c}"]) for c in S.XYZ) for n in ("min", "max"))
+    if strategy == "grid":
+        grid = S.lattice(pocket.sparkSession, low, high, edge)
+        wide = 1 << 20
+        grid = grid.select(((F.col("ix") * wide + F.col("iy")) * wide + F.col("iz")).alias("id"), *S.XYZ)
+    elif strategy == "random":
+        volume = (high[0] - low[0]) * (high[1] - low[1]) * (high[2] - low[2])
+        grid = random_points(pocket.sparkSession, low, high, max(1, int(volume / edge**3)))
+    else:
+        raise ValueError(f"unknown strategy: {strategy}")
+    return S.distant(S.shell(grid, pocket, most), protein, least)
