@@ -28,32 +28,25 @@ class Packing:
     """tokenizer: file of the vocabulary; end_id closes each document.
 
     group_rows bounds the pieces that one task packs, below 2**20. cache_words bounds the words whose
-    ids a worker remembers.
+    ids a worker remembers, chunk_bytes the text it handles at once.
     """
 
     tokenizer: str
     length: int = 4096
     end_id: int = 1
     group_rows: int = 20_000
-    cache_words: int = 700_000
-
-
-class Words(dict):
-    """Ids by word; letters with a final mark are put together from both."""
-
-    __slots__ = ()
-
-    def __missing__(self, word: str) -> bytes:
-        return self[word[:-1]] + self[word[-1]]
+    cache_words: int = 1_500_000
+    chunk_bytes: int = 1 << 20
 
 
 class WordTokenizer:
     """Ids of whole texts from a word-level cache over a tokenizer that drops white space.
 
     Such a tokenizer never joins characters across white space, so a text's ids are the
-    ids of its white-space separated parts in order; repeated words are looked up. An
-    unknown part is put together from its letters and a final mark where possible, and
-    what is left unknown is encoded in long lines, a part between marks.
+    ids of its white-space separated words in order. The cache holds the 64-bit hash, the
+    place and the number of ids of each word in arrays; a chunk's words are hashed and
+    looked up together. An unknown word is put together from its letters and a final mark
+    where possible, and what is left is encoded in long lines, a word between marks.
     """
 
     MARK = "\x01"
@@ -64,10 +57,11 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.most = cache_words
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        plain = self.tokenizer.encode("Aé", add_special_tokens=False).ids == self.tokenizer.encode("aé", add_special_tokens=False).ids
-        self.folds = plain and len(self.mark) == 1
+        folds = self.tokenizer.encode("Az", add_special_tokens=False).ids == self.tokenizer.encode("az", add_special_tokens=False).ids
+        self.lines = len(self.mark) == 1 and folds
+        #: words may be known by their ASCII lower case
+        self.folds = folds
         self.letters, self.dot = self._for_letters(path)
-        self.cache = Words()
         self.reset()
 
     def _for_letters(self, path: str):
@@ -77,76 +71,99 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         dot = self.tokenizer.encode(".", add_special_tokens=False).ids
-        if not self.folds or spec["model"].get("type") != "BPE" or not spec["model"].get("end_of_word_suffix") or len(dot) != 1:
+        if not self.lines or spec["model"].get("type") != "BPE" or not spec["model"].get("end_of_word_suffix") or len(dot) != 1:
             return None, None
         byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         spec |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
         return Tokenizer.from_str(json.dumps(spec)), dot[0]
 
     def reset(self) -> None:
-        self.cache = Words({"": b""})
-        for c in ".,":
-            self.cache |= self.encoded([c])
-
-    def _lines(self, tokenizer, parts: list[str], mark: str, mark_id: int) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
+        self.keys = np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+        self.flat = np.zeros(1 << 16, "<u4")
+        self.used = 0
+
+    def _between(self, tokenizer, parts: list[str], mark: str, mark_id: int) -> dict[str, np.ndarray]:
+        found: dict[str, np.ndarray] = {}
         lines = [f" {mark} ".join(parts[i : i + 500]) for i in range(0, len(parts), 500)]
         for k, e in enumerate(tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            raw, cuts = ids.tobytes(), np.append(np.flatnonzero(ids == mark_id), len(ids)).tolist()
+            cuts = np.append(np.flatnonzero(ids == mark_id), len(ids)).tolist()
             at = 0
             for x, c in zip(parts[500 * k : 500 * k + 500], cuts, strict=True):
-                found[x] = raw[4 * at : 4 * c]
+                found[x] = ids[at:c]
                 at = c + 1
         return found
 
-    def encoded(self, parts: list[str]) -> dict[str, bytes]:
+    def encoded(self, parts: list[str]) -> dict[str, np.ndarray]:
+        """The ids of each of some distinct words."""
         small = [x for x in parts if x.isalpha() and x.islower() and (x.isascii() or max(x) <= "\xff")] if self.letters else []
-        found = self._lines(self.letters, small, ".", self.dot) if small else {}
+        found = self._between(self.letters, small, ".", self.dot) if small else {}
         others = [x for x in parts if x not in found]
-        joined = [x for x in others if self.MARK not in x] if self.folds else []
-        found |= self._lines(self.tokenizer, joined, self.MARK, self.mark[0])
+        joined = [x for x in others if self.MARK not in x] if self.lines else []
+        found |= self._between(self.tokenizer, joined, self.MARK, self.mark[0])
         for x in others:
             if x not in found:
-                found[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+                found[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4")
         return found
 
-    def learn(self, unknown: list[str]) -> None:
-        cache = self.cache
-        if not self.folds:
-            cache.update(self.encoded(unknown))
-            return
-        need = set()
-        for w in unknown:
-            end = w[-1]
-            if (end == "." or end == ",") and w[:-1].lower().isalpha():
-                w = w[:-1]
-                if w in cache:
-                    continue
-            need.add(w)
-        cache.update(self.encoded(list(need)))
-
-    def lowered(self, text: str) -> str:
-        """The text in lower case where the tokenizer's own lower case is certain to be the same."""
-        if self.folds and "<|" not in text:
-            if text.isascii():
-                return text.lower()
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return text
-            return text.lower()
-        return text
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        # only these four are white space to every tokenizer; others stay inside the parts
-        parts = [self.lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = set().union(*parts) if parts else set()
-        if len(self.cache) + len(words) > self.most:
-            self.reset()
-        cache = self.cache
-        self.learn([w for w in words if w not in cache])
-        return [np.frombuffer(b"".join(map(cache.__getitem__, p)), "<u4") for p in parts]
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Add words under their hashes, which are sorted and not yet known."""
+        stems, ends, mark = [], [], {}
+        if self.lines:
+            mark = self.encoded([".", ","])
+            for w in words:
+                end = w[-1]
+                if (end == "." or end == ",") and w[:-1].lower().isalpha():
+                    stems.append(w[:-1])
+                    ends.append(end)
+                else:
+                    stems.append(w)
+                    ends.append("")
+        else:
+            stems, ends = words, [""] * len(words)
+        ids = self.encoded(list(dict.fromkeys(stems)))
+        nothing = np.zeros(0, "<u4")
+        parts = [x for stem, end in zip(stems, ends, strict=True) for x in (ids[stem], mark[end] if end else nothing)]
+        count = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 2).sum(axis=1)
+        new = np.concatenate(parts) if parts else nothing
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), "<u4")))
+        self.flat[self.used : self.used + len(new)] = new
+        place = self.used + np.cumsum(count) - count
+        self.used += len(new)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.place, self.count = np.insert(self.keys, at, keys), np.insert(self.place, at, place), np.insert(self.count, at, count)
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of some UTF-8 bytes, and the number of ids of each row."""
+        n = len(off) - 1
+        h, row, start, end = T.words(data, off, fold=self.folds)
+        if len(h) == 0:
+            return np.zeros(0, "<u4"), np.zeros(n, np.int64)
+        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        for again in (False, True):
+            at = np.minimum(np.searchsorted(self.keys, u), max(len(self.keys) - 1, 0))
+            fresh = self.keys[at] != u if len(self.keys) else np.ones(len(u), bool)
+            if again or not fresh.any():
+                break
+            if len(self.keys) + int(fresh.sum()) > self.most and len(self.keys):
+                self.reset()
+                fresh = np.ones(len(u), bool)
+            raw = data.tobytes()
+            f = first[fresh]
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[f].tolist(), end[f].tolist(), strict=True)]
+            if self.folds:
+                words = [w.lower() if w.isascii() else w for w in words]
+            self.learn(u[fresh], words)
+        place, count = self.place[at][inverse], self.count[at][inverse]
+        ids = self.flat[np.repeat(place - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        return ids, np.bincount(row, count, n).astype(np.int64)
+
+    def special(self, text: str) -> np.ndarray:
+        """Ids of a text that may hold special tokens, whose case matters."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 _WORKER: dict[tuple[str, int], WordTokenizer] = {}
@@ -159,6 +176,17 @@ def worker_tokenizer(path: str, cache_words: int) -> WordTokenizer:
     return _WORKER[path, cache_words]
 
 
+def text_ids(tok: WordTokenizer, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """The ids of each row."""
+    ids, count = tok(data, off)
+    out = np.split(ids, np.cumsum(count)[:-1]) if len(count) else []
+    # `<|` may begin a special token
+    hit = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if len(data) > 1 else []
+    for r in np.unique(np.searchsorted(off, hit, "right") - 1) if len(hit) else ():
+        out[r] = tok.special(data[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace"))
+    return out
+
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 
 
@@ -171,16 +199,15 @@ def _tokenise(p: Packing):
         ids_of = worker_tokenizer(p.tokenizer, p.cache_words)
         end = np.array([p.end_id], "<u4")
         for batch in batches:
-            off = T.utf8(batch.column(1))[1]
+            data, off = T.utf8(batch.column(1))
             docs = batch.column(0).cast(pa.int64()).to_pylist()
-            for i, j in T.pieces(off):
-                texts = batch.column(1).slice(i, j - i).fill_null("").to_pylist()
+            for i, j in T.pieces(off, p.chunk_bytes):
                 out = [[] for _ in range(6)]
-                for d, ids in zip(docs[i:j], ids_of(texts), strict=True):
+                for d, ids in zip(docs[i:j], text_ids(ids_of, data[off[i] : off[j]], off[i : j + 1] - off[i]), strict=True):
                     ids = np.concatenate((ids, end))
                     for k, s in enumerate(range(0, len(ids), p.length)):
                         part = ids[s : s + p.length]
-                        for c, v in zip(out, (d, k, s, len(part), zlib.crc32(part.tobytes()), 0), strict=True):
+                        for c, v in zip(out, (d, k, s, len(part), zlib.crc32(part), 0), strict=True):
                             c.append(v)
                 crc = np.array(out[4], np.int64)
                 deal = T.i64(T.mix((crc * 1_000_003 + np.array(out[3]) * 31 + np.array([d or 0 for d in out[0]], np.int64) * 8191 + np.array(out[1])).astype(np.uint64)))

@@ -7,6 +7,7 @@ operator says otherwise.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,8 @@ def pieces(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row, start and end byte of each word of ASCII-lower-cased rows.
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, start and end byte of each word of rows, ASCII-lower-cased unless not to fold.
 
     Words are the maximal runs without a byte of ``between``. ``offsets`` start at 0.
     """
@@ -97,7 +98,7 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) ->
     at = np.concatenate(([0], np.cumsum(lens)[:-1]))
     place = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(at, lens)
     with np.errstate(over="ignore"):
-        value = (LOWER[data[solid]].astype(U64) + U64(1)) * powers(int(lens.max()))[place]
+        value = ((LOWER[data[solid]] if fold else data[solid]).astype(U64) + U64(1)) * powers(int(lens.max()))[place]
         h = mix(np.add.reduceat(value, at) + lens.astype(U64) * _M2)
     return h, np.searchsorted(offsets, starts, "right") - 1, starts, ends
 
@@ -163,10 +164,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows of an Arrow batch while intermediate results are made. Texts can be long, and a
+#: batch is held twice, by the JVM and by its Python worker.
+BATCH_ROWS = 2000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Smaller Arrow batches for the jobs that run inside; the session's own setting stands again after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, cutting the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def trim() -> None:
@@ -203,7 +223,8 @@ def stored(df: DataFrame) -> DataFrame:
 
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
