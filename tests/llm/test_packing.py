@@ -68,5 +68,7 @@ def test_words_give_the_tokenizer_s_ids(text):
 
     want = Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids
     w = packing.WordTokenizer(FILE, 1000)
+    raw = np.frombuffer(f"{text}{text.upper()}".encode(), np.uint8)
+    off = np.array([0, len(text.encode()), len(raw)])
     for _ in range(2):
-        assert w([text])[0].tolist() == want
+        assert packing.text_ids(w, raw, off)[0].tolist() == want
