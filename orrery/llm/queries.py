@@ -36,7 +36,8 @@ URL_RULES = (
 
 
 def op3_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.UrlFilter(URL_RULES))
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.UrlFilter(URL_RULES))
+    return judged.withColumn("score", F.round("score", 6))
 
 
 def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,43 @@ QUERIES = {
     "op10_template_deduction": op10_template_deduction,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _url_sql() -> str:
+    """The URL filter step by step: counts per window, one join for each order of the models."""
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(v, h + p, f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')") for v, h, p in rules]
+    rule, given = (" ".join(f"WHEN {c} THEN '{x}'" for x, c in z) for z in ([(r, c) for _, r, c in fits], [(v, c) for v, _, c in fits]))
+    hexa = "strpos('0123456789abcdef', substr(md5(shape), {}, 1)) - 1"
+    step = "CASE WHEN f.h{0} + f.t{0} > 0 THEN (f.{0} + f.t{0} * {1}) / (f.h{0} + f.t{0}) ELSE {1} END"
+    levels, last = [], "cnt"
+    for m in range(1, 6):
+        base = [f"{last}.p{x}" if m > 1 else "(1.0::DOUBLE / 64)" for x in "ar"]
+        levels.append(f"l{m} AS (SELECT {last}.w, {step.format('a', base[0])} AS pa, {step.format('r', base[1])} AS pr FROM {last} JOIN f ON f.g = right({last}.w, {m}))")
+        last = f"l{m}"
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE {rule} END AS rule, CASE {given} END AS given, translate(host || translate(path, '{_UPPER}', '{_LOWER}'), '123456789', '000000000') AS shape FROM p),
+sh AS (SELECT shape, count(*) FILTER (given = 'allow') AS acc, count(*) FILTER (given = 'block') AS rej, (16 * ({hexa.format(1)}) + {hexa.format(2)}) % 5 AS fold FROM r GROUP BY shape),
+win AS (SELECT shape, acc, rej, fold, substr('^^^^' || shape || '$', i, 5) AS w FROM (SELECT *, unnest(range(1, length(shape) + 2)) AS i FROM sh)),
+cnt AS (SELECT w, CAST(sum(CASE WHEN fold <> 0 THEN acc ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN fold <> 0 THEN rej ELSE 0 END) AS DOUBLE) AS r FROM win GROUP BY w),
+grams AS (SELECT right(w, m) AS g, sum(a) AS a, sum(r) AS r FROM (SELECT *, unnest(range(1, 6)) AS m FROM cnt) GROUP BY 1),
+ctx AS (SELECT left(g, length(g) - 1) AS h, sum(a) AS ha, sum(r) AS hr, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr FROM grams GROUP BY 1),
+f AS (SELECT g, a, r, ha, hr, ta, tr FROM grams JOIN ctx ON h = left(g, length(g) - 1)),
+{", ".join(levels)},
+sc AS (SELECT shape, fold, any_value(acc) AS acc, any_value(rej) AS rej, CASE WHEN length(shape) > 0 THEN avg(ln(pa) - ln(pr)) ELSE 0 END AS score FROM win JOIN l5 USING (w) GROUP BY shape, fold),
+bins AS (SELECT CAST(floor(greatest(-20, least(20, score)) * 100) AS BIGINT) AS b, CAST(sum(acc) AS DOUBLE) AS a, CAST(sum(rej) AS DOUBLE) AS r FROM sc WHERE fold = 0 GROUP BY 1),
+tot AS (SELECT sum(a) AS ta, sum(r) AS tr FROM bins),
+cuts AS (SELECT b, (ta - coalesce(sum(a) OVER w, 0)) / ta + coalesce(sum(r) OVER w, 0) / tr AS gain FROM bins, tot WHERE ta > 0 AND tr > 0 WINDOW w AS (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+th AS (SELECT coalesce((SELECT b / 100.0::DOUBLE FROM cuts ORDER BY gain DESC, abs(b), b DESC LIMIT 1), 0) AS threshold)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score, threshold
+FROM r JOIN sc USING (shape), th"""
+
+
 ORACLE = {
+    "op3_url_markov_ratio": _url_sql(),
     "op4_minhash_odd_sketch": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
@@ -110,5 +147,19 @@ reach AS (
 c AS (SELECT x AS doc_id, min(r) AS component_id FROM reach GROUP BY x)
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM s JOIN c USING (doc_id)
+""",
+    "op5_prefix_doubling_repeats": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT *, octet_length(b) AS n FROM d),
+w AS (SELECT rid, i, md5(array_slice(b, i, i + 399)) AS h FROM (SELECT rid, b, unnest(range(1, n - 398)) AS i FROM n WHERE n >= 400)),
+dup AS (SELECT rid, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+turns AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM dup),
+grouped AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS g FROM turns),
+spans AS (SELECT rid, min(i) AS s, max(i) + 399 AS e FROM grouped GROUP BY rid, g),
+gaps AS (SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) + 1 AS a, s - 1 AS z FROM spans UNION ALL SELECT rid, max(e) + 1, 9223372036854775807 FROM spans GROUP BY rid),
+kept AS (SELECT rid, sha256(unhex(coalesce(string_agg(hex(array_slice(n.b, a, least(z, n.n))), '' ORDER BY a) FILTER (a <= least(z, n.n)), ''))) AS sha FROM gaps JOIN n USING (rid) GROUP BY rid),
+total AS (SELECT rid, CAST(sum(e - s + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(sha, sha256(b)) AS kept_sha256
+FROM n LEFT JOIN total USING (rid) LEFT JOIN kept USING (rid)
 """,
 }

@@ -28,8 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class UrlFilter:
     """rules: (verdict, host, path prefix). order: longest window, context and character.
 
-    alphabet: size of the uniform base distribution. One shape in ``folds``, by its
-    crc32, is kept from the counts for calibration.
+    alphabet: size of the uniform base distribution. One shape in ``folds``, by the
+    first byte of its md5, is kept from the counts for calibration.
     """
 
     rules: tuple[tuple[str, str, str], ...]
@@ -56,6 +56,10 @@ def rule_of(host: Column, path: Column, rules) -> Column:
     return out
 
 
+def _fold(folds: int) -> Column:
+    return F.conv(F.substring(F.md5(F.col("shape").cast("binary")), 1, 2), 16, 10).cast("int") % folds
+
+
 def _windows(shapes: DataFrame, order: int) -> DataFrame:
     """Each shape's windows: every character, and the end, with the order - 1 before it."""
     padded = F.concat(F.lit("^" * (order - 1)), F.col("shape"), F.lit("$"))
@@ -83,7 +87,7 @@ def _ratios(counts: DataFrame, p: UrlFilter) -> DataFrame:
 
 def _threshold(scored: DataFrame, p: UrlFilter) -> DataFrame:
     """One row: the cut with the best balanced accuracy on the shapes kept for calibration; 0 without both classes."""
-    held = scored.where(F.pmod(F.crc32(F.col("shape").cast("binary")), F.lit(p.folds)) == 0)
+    held = scored.where(_fold(p.folds) == 0)
     b = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), F.col("score"))) * p.bins_per_nat).cast("long")
     bins = held.groupBy(b.alias("b")).agg(F.sum("acc").cast("double").alias("a"), F.sum("rej").cast("double").alias("r"))
     # at most 40 * bins_per_nat + 1 rows from here on
@@ -108,7 +112,7 @@ def judge(pages: DataFrame, p: UrlFilter, id_col: str = "page_id", url_col: str
     shape = F.translate(F.concat("host", F.translate("path", UPPER, LOWER)), "123456789", "000000000")
     rows = rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("given"), shape.alias("shape"))
     shapes = saved(rows.groupBy("shape").agg(F.count_if(F.col("given") == "allow").alias("acc"), F.count_if(F.col("given") == "block").alias("rej")))
-    learn = F.when(F.pmod(F.crc32(F.col("shape").cast("binary")), F.lit(p.folds)) != 0, 1).otherwise(0)
+    learn = F.when(_fold(p.folds) != 0, 1).otherwise(0)
     windows = _windows(shapes, p.order)
     counts = saved(windows.groupBy("w").agg(F.sum(F.col("acc") * learn).alias("a"), F.sum(F.col("rej") * learn).alias("r")))
     scored = saved(windows.join(_ratios(counts, p), "w").groupBy("shape").agg(F.avg("ratio").alias("score"), F.first("acc").alias("acc"), F.first("rej").alias("rej")))
