@@ -59,6 +59,12 @@ _WORDS = frozenset(
 )
 
 
+#: Of these, the ones that tell of an article element that it is not the page's article.
+_WORDS_OF_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
+#: Words that begin the name of a layout variant, such as with-sidebar.
+_VARIANTS = frozenset("has with no without is not".split())
+
+
 @dataclass(frozen=True)
 class Extraction:
     """share: of a host's pages that a template token is on; least: pages for fixed text;
@@ -66,19 +72,21 @@ class Extraction:
 
     share: float = 0.5
     least: int = 3
-    inside: float = 0.6
+    inside: float = 0.8
 
 
 def _apart(name: str, attrs: str, in_article: bool) -> bool:
     if name in _APART or (name == "header" and not in_article):
         return True
-    if name in ("html", "body", "main", "article") or not attrs:
+    if name in ("html", "body", "main") or not attrs:
         return False
+    telling = _WORDS_OF_ARTICLES if name == "article" else _WORDS
     for m in _ATTR.finditer(attrs):
-        value = m.group(2) or m.group(3) or m.group(4) or ""
-        # camelCase and separators divide words
-        if _WORDS.intersection(_NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-            return True
+        for value in (m.group(2) or m.group(3) or m.group(4) or "").split():
+            # camelCase and separators divide words
+            words = _NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
+            if words and words[0] not in _VARIANTS and telling.intersection(words):
+                return True
     return False
 
 
@@ -234,8 +242,9 @@ def main_text(page: str, slot: int | None, fixed: frozenset[int], known: dict) -
     blocks, _ = parse(page)
     found = [b for b in blocks if slot is not None and any(code(b[0][:k]) == slot for k in range(1, len(b[0]) + 1))]
     found = found or [b for b in blocks if b[1]] or blocks
-    # a host whose slot lies around the article gives the article alone
-    found = [b for b in found if b[1]] or found
+    # a slot around or within the article gives the article, all of it and alone
+    if any(b[1] for b in found):
+        found = [b for b in blocks if b[1]]
     return "\n\n".join(said for path, article, said in found if article or not fixed or _hash(*path, "", said) not in fixed)
 
 

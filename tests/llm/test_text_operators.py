@@ -251,6 +251,7 @@ PARSED = {
     "<article><ul><li>x<li>y</ul>tail<!-- p --></article>": "x\n\ny\n\ntail",
     "<article><p>1 < 2 &lt;b&gt; &#65;&#x42;</p></article>": "1 < 2 <b> AB",
     "<article><header><h1>Head</h1></header><p>p</p><footer>by</footer></article>": "Head\n\np",
+    "<div class='content with-sidebar'><article class='post'><p>in</p></article><article class='comment'><p>c</p></article></div>": "in",
     "<article><p>open <b>bold": "open bold",
     "<article><div class='ad'>buy<div>now</div></div><p>kept</p><div id=cookieNotice>c</div></article>": "kept",
 }
