@@ -32,7 +32,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a local one only where none is set."""
     sc = spark.sparkContext
     if (now := sc.getCheckpointDir()) is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not named:
             import tempfile
 
