@@ -23,6 +23,7 @@ MIN_SCORE = 0.01
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognisable language. Null texts, texts without letters and texts
     like no language go; `lang` keeps its value, or gets the prediction where it is null."""
+    T.modest_batches(spark)
     model = langid.fit(docs)
     found = langid.predict(docs.select(*COLUMNS), model, keep=COLUMNS)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
@@ -33,7 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     least doc_id. Of rows with the same doc_id one stays; rows with a null doc_id stay."""
     found = neardup.near_duplicates(docs, neardup.NearDup(size=5, percent=80))
     kept = T.stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")))
-    out = docs.select(*COLUMNS).join(kept.select("doc_id"), "doc_id", "left_semi")
+    # the ids compress well on disk, so their size there is no bound for a broadcast
+    out = docs.select(*COLUMNS).join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not kept.where("rows > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.select(*COLUMNS).where("doc_id is null")).select(*COLUMNS)
@@ -41,11 +43,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
+    T.modest_batches(spark)
     return decontam.without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the text."""
+    T.modest_batches(spark)
     found = pii.detect(docs, masked=True, keep=("lang", "source"))
     return found.select("doc_id", F.col("masked").alias("text"), "lang", "source", F.length("masked").cast("long").alias("n_chars"))
 

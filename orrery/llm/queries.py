@@ -45,10 +45,12 @@ def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_prefix_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    textops.modest_batches(spark)
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), suffixdedup.Repeats(length=400))
 
 
 def op6_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    textops.modest_batches(spark)
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -58,6 +60,7 @@ def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    textops.modest_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = langid.fit(docs.where(~held_out))
@@ -66,10 +69,12 @@ def op8_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    textops.modest_batches(spark)
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
 def op10_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    textops.modest_batches(spark)
     return htmlextract.extract(table(spark, sf_dir, "pages"))
 
 
