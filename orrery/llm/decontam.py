@@ -33,7 +33,7 @@ class Decontamination:
     """
 
     size: int = 3
-    similarity: float = 0.5
+    similarity: float = 0.45
     match: int = 2
     mismatch: int = -1
     gap: int = -1
