@@ -157,8 +157,10 @@ def _doubled(x: DataFrame, p: Repeats) -> DataFrame:
         if level == 0:
             x = x.withColumn("far", F.coalesce("far", F.when(F.col("next") > 0, F.col("next"))))
         x = T.stored(x.withColumn("inside", F.coalesce(F.col("pos") + F.col("far") <= F.col("s1") + p.sure, F.lit(False))))
-        again = _repeated(x, "run").withColumn("again", F.lit(True))
-        x = x.join(again, "run", "left").where("not inside or again").withColumn("r", F.when(F.col("again"), F.col("run")))
+        again = _repeated(x, "run").select(F.col("run").alias("met"), F.lit(True).alias("again"))
+        # rows without a run get a key of their own, as nulls would meet in one task
+        x = x.withColumn("met", F.coalesce("run", F.xxhash64("doc", "th", "i"))).join(again, "met", "left")
+        x = x.withColumn("again", F.col("again") & F.col("run").isNotNull()).where("not inside or again").withColumn("r", F.when(F.col("again"), F.col("run")))
         x = x.withColumn("reach", F.coalesce("far", F.lit(0))).select("doc", "th", "i", "pos", "s1", "s2", "next", "r", "reach", "key")
     return x.select("doc", "th", "pos", "s1", "s2", "key")
 
@@ -314,7 +316,10 @@ def remove_repeats(docs: DataFrame, p: Repeats | None = None, id_col: str = "doc
     pairs = ordered.mapInArrow(_paired_only, _ANCHORS)
     again = copies.select("th", "rep")
     pairs = pairs.join(again, "th", "left").where("rep is null or rep = doc").drop("rep")
-    left = T.stored(_doubled(T.stored(pairs.withColumn("key", F.col("r"))), p))
+    pairs = T.stored(pairs.withColumn("key", F.col("r")))
+    del ordered
+    T.discard(anchors)
+    left = T.stored(_doubled(pairs, p))
 
     left = left.where("s2 >= s1")
     groups = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
