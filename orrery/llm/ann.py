@@ -3,9 +3,14 @@
 Centroids are fitted on a bounded sample and balanced: lists far over the mean size take
 over the centroids of the smallest. Every vector goes to its nearest list and, if it
 lies near a boundary, to further ones whose centroids are hardly farther (up to
-``copies``). A query reads the lists whose centroid is at most ``probe_ratio`` times as
-far as the nearest one. Both find centroids by best-first search in a neighbour graph
-that each task holds; it has at most ``max_lists`` nodes, whatever the data.
+``copies``). A query reads the lists whose centroid is at most so many times as far as
+the nearest one. Both find centroids by best-first search in a neighbour graph that each
+task holds; it has at most ``max_lists`` nodes, whatever the data. A query that would
+read every list its search found looks at all centroids, so the search bounds nothing.
+
+How far a query reads is measured on the table at hand: a bounded sample of queries is
+compared with all rows, and the ratio is the one at which ``recall`` of their true
+neighbours stand in a list that is read, and ``probe_ratio`` at least.
 
 Inner products become distances by one more dimension, sqrt(M**2 - |x|**2) with M the
 largest norm, and by scaling queries to M. Lists longer than a block are read in blocks,
@@ -21,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from orrery.llm import textops as T
 
@@ -28,7 +34,10 @@ from orrery.llm import textops as T
 @dataclass(frozen=True)
 class Ann:
     """top: neighbours of each query. fit_rows bounds the sample for the centroids (those
-    with the least hash of their id). list_rows: mean size of a list aimed at."""
+    with the least hash of their id). list_rows: mean size of a list aimed at.
+    probe_ratio: the least ratio of distances within which lists are read; recall: share of
+    the true neighbours of probe_queries queries that the ratio in use must reach.
+    query_beam: width of a query's search before all centroids are looked at."""
 
     top: int = 20
     fit_rows: int = 65_536
@@ -37,6 +46,8 @@ class Ann:
     copies: int = 4
     copy_ratio: float = 1.06
     probe_ratio: float = 1.14
+    recall: float = 0.99
+    probe_queries: int = 256
     degree: int = 16
     beam: int = 48
     query_beam: int = 192
@@ -123,6 +134,12 @@ class Graph:
             opened = np.concatenate((opened, ~fresh), axis=1)
         return ids, np.sqrt(d)
 
+    def all(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids for each row, nearest first, and their distances."""
+        d = np.maximum((q**2).sum(axis=1)[:, None] + self.norm - 2 * q @ self.c.T, 0)
+        ids = np.argsort(d, axis=1, kind="stable")
+        return ids, np.sqrt(np.take_along_axis(d, ids, axis=1))
+
 
 def balanced_centroids(x: np.ndarray, k: int, iterations: int, seed: int) -> np.ndarray:
     """k-means in which the smallest clusters are given up to divide those of over twice the mean size."""
@@ -154,27 +171,54 @@ def _valid(batches):
         yield pa.RecordBatch.from_arrays([ids, T.lists(x.ravel(), np.full(len(rows), x.shape[1]), pa.float64()), pa.array((x**2).sum(axis=1) if len(rows) else np.zeros(0))], ["id", "v", "norm2"])
 
 
+def _scaled(x: np.ndarray, top: float) -> np.ndarray:
+    return np.concatenate((x * (top / np.sqrt((x**2).sum(axis=1, keepdims=True))), np.zeros((len(x), 1))), axis=1)
+
+
+def _unasked(sizes: np.ndarray, ids: np.ndarray, p: Ann) -> np.ndarray:
+    """Lists read in any case: as many as hold enough rows."""
+    return np.cumsum(sizes[ids], axis=1) - sizes[ids] < 2 * p.top * p.copies
+
+
+def lists_read(graph: Graph, a: np.ndarray, sizes: np.ndarray, ratio: float, least: float, p: Ann) -> tuple[np.ndarray, np.ndarray]:
+    """Row and list of each list that a query reads; distances under ``least`` count as that."""
+
+    def taken(ids, d):
+        return (d <= ratio * np.maximum(d[:, :1], least) + 1e-12) | _unasked(sizes, ids, p)
+
+    ids, d = graph.search(a, p.query_beam)
+    take = taken(ids, d)
+    # the search ended before the ratio did
+    more = np.flatnonzero(take[:, -1]) if ids.shape[1] < len(graph.c) else np.zeros(0, np.int64)
+    take[more] = False
+    r, c = np.nonzero(take)
+    lists = ids[r, c]
+    if len(more):
+        ids, d = graph.all(a[more])
+        s, c = np.nonzero(taken(ids, d))
+        r, lists = np.concatenate((r, more[s])), np.concatenate((lists, ids[s, c]))
+    return r, lists
+
+
 def _to_lists(shared, p: Ann, query: bool):
     """Rows of a vector for each of its posting lists, or of a query for each list it reads."""
 
     @T.lean
     def run(batches):
-        graph, top, sizes = shared.value
+        graph, top, sizes, ratio, least = shared.value
         for whole in batches:
             for s in range(0, whole.num_rows, 1024):
                 batch = whole.slice(s, 1024)
                 x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
                 if query:
-                    a = np.concatenate((x * (top / np.sqrt((x**2).sum(axis=1, keepdims=True))), np.zeros((len(x), 1))), axis=1)
-                    ids, d = graph.search(a, p.query_beam)
-                    # as many lists as hold enough rows are read in any case
-                    before = np.cumsum(sizes[ids], axis=1) - sizes[ids]
-                    take = (d <= p.probe_ratio * d[:, :1] + 1e-12) | (before < 2 * p.top * p.copies)
+                    r, lists = lists_read(graph, _scaled(x, top), sizes, ratio, least, p)
                 else:
                     ids, d = graph.search(_augmented(x, top), p.beam)
-                    take = d[:, : p.copies] <= p.copy_ratio * d[:, :1] + 1e-12
-                r, c = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r, c]), batch.column("id").take(pa.array(r)), batch.column("v").take(pa.array(r))], ["list", "id", "v"])
+                    r, c = np.nonzero(d[:, : p.copies] <= p.copy_ratio * d[:, :1] + 1e-12)
+                    lists = ids[r, c]
+                for i in range(0, len(r), 32_768):
+                    at = pa.array(r[i : i + 32_768])
+                    yield pa.RecordBatch.from_arrays([pa.array(lists[i : i + 32_768]), batch.column("id").take(at), batch.column("v").take(at)], ["list", "id", "v"])
 
     return run
 
@@ -198,6 +242,56 @@ def _best(rows: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, score: np.
     return ids[at[first]], exact[first]
 
 
+def _exact(shared, p: Ann):
+    """The nearest rows of each sampled query in a partition, by all of its rows."""
+
+    @T.lean
+    def run(batches):
+        own, q = shared.value
+        ids, score = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for whole in batches:
+            for s in range(0, whole.num_rows, 4096):
+                batch = whole.slice(s, 4096)
+                new = np.broadcast_to(batch.column("id").to_numpy(), (len(q), batch.num_rows))
+                got = q @ batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1).T
+                ids = np.concatenate((ids, new), axis=1)
+                score = np.concatenate((score, np.where(new == own[:, None], -np.inf, got)), axis=1)
+                if ids.shape[1] > p.top:
+                    best = np.argpartition(-score, p.top - 1, axis=1)[:, : p.top]
+                    ids, score = np.take_along_axis(ids, best, axis=1), np.take_along_axis(score, best, axis=1)
+        r, c = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(ids[r, c]), pa.array(score[r, c])], ["q", "id", "score"])
+
+    return run
+
+
+def measured_ratio(rows: DataFrame, postings: DataFrame, asked: DataFrame, graph: Graph, top: float, sizes: np.ndarray, p: Ann) -> tuple[float, float]:
+    """The ratio within which lists are read, and the distance that nearer centroids count as.
+
+    The true neighbours of the sampled queries are found among all rows. One is reached at
+    the ratio of the nearest list that holds it.
+    """
+    drawn = asked.orderBy(F.xxhash64(F.lit(p.seed), "id"), "id").limit(p.probe_queries).toPandas()
+    if len(sizes) == 1 or len(drawn) == 0:
+        return p.probe_ratio, 0.0
+    x = np.stack(drawn["v"].to_numpy())
+    ids, d = graph.all(_scaled(x, top))
+    least = 0.25 * float(np.median(d[:, 0]))
+    reach = np.where(_unasked(sizes, ids, p), 1.0, d / np.maximum(np.maximum(d[:, :1], least), 1e-12))
+    by_list = np.empty_like(reach)
+    np.put_along_axis(by_list, ids, reach, axis=1)
+    shared = rows.sparkSession.sparkContext.broadcast((drawn["id"].to_numpy(), x))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    true = rows.select("id", "v").mapInArrow(_exact(shared, p), "q long, id long, score double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.top).select("q", "id").distinct()
+    # the lists of a few thousand rows
+    at = postings.select("list", "id").join(F.broadcast(true), "id").distinct().toPandas()
+    if len(at) == 0:
+        return p.probe_ratio, least
+    at["reach"] = by_list[at["q"].to_numpy(), at["list"].to_numpy()]
+    needed = np.sort(at.groupby(["q", "id"])["reach"].min().to_numpy())
+    return max(p.probe_ratio, float(needed[int(np.ceil(p.recall * len(needed))) - 1])), least
+
+
 def _scan(p: Ann):
     """Best rows of each query in each block; a block's rows come before its queries."""
 
@@ -275,7 +369,7 @@ def nearest(vectors: DataFrame, p: Ann | None = None, every: int = 20, id_col: s
     sample = np.unique(np.stack(drawn["v"].to_numpy()), axis=0)
     k = max(1, min(p.max_lists, n // p.list_rows, len(sample) // 16))
     graph = Graph(balanced_centroids(_augmented(sample, top), k, p.iterations, p.seed), p.degree)
-    shared = spark.sparkContext.broadcast((graph, top, None))
+    shared = spark.sparkContext.broadcast((graph, top, None, None, None))
     kind = "list long, id long, v array<double>"
     postings = T.stored(rows.select("id", "v").mapInArrow(_to_lists(shared, p, False), kind))
     counted = T.stored(postings.groupBy("list").agg(F.count("*").alias("n")))
@@ -283,8 +377,8 @@ def nearest(vectors: DataFrame, p: Ann | None = None, every: int = 20, id_col: s
     sizes = np.zeros(k, np.int64)
     for r in counted.collect():
         sizes[r[0]] = r[1]
-    shared = spark.sparkContext.broadcast((graph, top, sizes))
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+    shared = spark.sparkContext.broadcast((graph, top, sizes, *measured_ratio(rows, postings, asked, graph, top, sizes, p)))
     queries = asked.mapInArrow(_to_lists(shared, p, True), kind)
     blocks = F.broadcast(counted.select("list", F.ceil(F.col("n") / p.block_rows).cast("int").alias("blocks")))
     held = postings.join(blocks, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")

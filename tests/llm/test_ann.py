@@ -64,3 +64,29 @@ def test_graph_finds_the_nearest_centroid():
     best = ((q[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert (ids[:, 0] == best).mean() > 0.97
     assert (np.diff(d, axis=1) >= -1e-9).all()
+
+
+def test_the_beam_bounds_no_query():
+    """A query reads every list within the ratio, however narrow its search began."""
+    rng = np.random.default_rng(1)
+    c = rng.normal(size=(600, 12))
+    g = ann.Graph(c, 16)
+    q = rng.normal(size=(40, 12))
+    d = np.sqrt(((q[:, None, :] - c[None]) ** 2).sum(axis=2))
+    r, lists = ann.lists_read(g, q, np.full(600, 256), 1.5, 0.0, ann.Ann(query_beam=24))
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(d <= 1.5 * d.min(axis=1, keepdims=True)), strict=True)}
+    assert len(want) > 40 * 24 and want <= set(zip(r.tolist(), lists.tolist(), strict=True))
+    assert len(set(zip(r.tolist(), lists.tolist(), strict=True))) == len(r)
+
+
+def test_recall_of_vectors_spread_evenly(spark):
+    """Short lists and many of them, so that neither the beam nor the least ratio reaches far enough."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    docs = spark.createDataFrame([(i, v.tolist(), 1, "a", 2) for i, v in enumerate(x)], SCHEMA).repartition(4)
+    got = {}
+    for r in ann.nearest(docs, ann.Ann(list_rows=16, query_beam=32), every=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = sum(len(got[q] & {w[0] for w in exact(x.astype(float), np.arange(6000), q, 20)}) for q in got)
+    assert len(got) == 300 and hit / (300 * 20) >= 0.97
