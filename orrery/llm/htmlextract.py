@@ -11,10 +11,16 @@ Vectors are never gathered: a token's class is told by the number of pages and o
 occurrences and by the exclusive or of a hash of each page with its count, so a host
 with a third of all pages is aggregated like any other.
 
-A page's text is what stands in its host's slot without menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments, which elements and their class,
-id and role tell; text in an article or main element is never fixed text. A page
-without the slot gives its article or main elements, or else its body.
+Inside article and main elements copies of an article say nothing of a template, so the
+vectors there count a host's different articles and not its pages: text that a valid
+class has on most of them is fixed text, however it is marked up.
+
+A page's text is what stands in its host's slot without fixed text, and without menus,
+headers, footers, sidebars, notices, adverts, forms and reader comments, which elements
+and their class, id and role tell. A slot around an article gives the article alone; a
+slot within one gives all of it, as up to ``1 - inside`` of a host's text, such as titles,
+lies beside the slot. A page without the slot gives its article or main elements, or
+else its body. An article of nothing but fixed text is kept.
 """
 
 from __future__ import annotations
@@ -67,7 +73,7 @@ _VARIANTS = frozenset("has with no without is not".split())
 
 @dataclass(frozen=True)
 class Extraction:
-    """share: of a host's pages that a template token is on; least: pages for fixed text;
+    """share: of a host's pages that a template token is on; least: pages, or articles, for fixed text;
     inside: share of the host's text that the slot must hold."""
 
     share: float = 0.5
@@ -179,39 +185,53 @@ def _hash(*said: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(said).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_TOKENS = "host string, token long, kind byte, depth int, n long, total long, sig long, chars long"
+#: Of the names in a path, those of article and main elements.
+_ARTICLE = re.compile(r"(?:article|main)(?:\.|\Z)")
+#: Kinds: 0 the host's pages, 1 elements, 2 texts; 3, 4 and 5 the same of its articles, each told by the hash of its text.
+_TOKENS = "host string, token long, kind byte, depth int, body long, n long, total long, sig long, chars long"
+
+
+def _article_at(path: tuple[str, ...]) -> int:
+    """The length of the path to its outermost article or main element, 0 without one."""
+    return next((k for k, label in enumerate(path, 1) if _ARTICLE.match(label)), 0)
 
 
 @T.lean
 def _tokens(batches):
-    """Per host and token: pages, occurrences, vector hash and characters inside, combined within a batch."""
+    """Per host, token and article: pages, occurrences, vector hash and characters inside, combined within a batch."""
     for batch in batches:
-        rows: dict[tuple[str, int], list[int]] = {}
+        rows: dict[tuple[str, int, int, int], list[int]] = {}
         known: dict[tuple[str, ...], int] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             blocks, paths = parse(page or "")
             mark = _hash(page or "")
             inside: Counter = Counter()
             texts: Counter = Counter()
+            within: Counter = Counter()
             for path, article, said in blocks:
                 for k in range(1, len(path) + 1):
                     inside[path[:k]] += len(said)
-                if not article:
-                    texts[(path, said)] += 1
-            found = [(0, 0, 0, 1, sum(len(b[2]) for b in blocks))]
+                (within if article else texts)[(path, said)] += 1
+            found = [(0, 0, 0, 0, 1, sum(len(b[2]) for b in blocks))]
+            body = _hash(*(said for _, article, said in blocks if article)) if within else 0
+            if within:
+                found.append((0, 3, 0, body, 1, 0))
             for path, n in paths.items():
                 if path not in known:
                     known[path] = _hash(*path)
-                found.append((known[path], 1, len(path), n, inside[path]))
-            found += [(_hash(*path, "", said), 2, len(path), n, n * len(said)) for (path, said), n in texts.items()]
-            for token, kind, depth, n, chars in found:
-                got = rows.setdefault((host, token), [kind, depth, 0, 0, 0, 0])
-                got[2] += 1
-                got[3] += n
-                got[4] ^= int(T.mix(np.uint64(mark & 0xFFFFFFFFFFFFFFFF) + np.uint64(n)).view(np.int64)) if kind else 0
-                got[5] += chars
-        cols = list(zip(*((h, t, *v) for (h, t), v in rows.items()), strict=True)) or [[]] * 8
-        kinds = (pa.string(), pa.int64(), pa.int8(), pa.int32(), *[pa.int64()] * 4)
+                found.append((known[path], 1, len(path), 0, n, inside[path]))
+                if within and _article_at(path):
+                    found.append((known[path], 4, len(path), body, n, 0))
+            for kind, of, said_in in ((2, 0, texts), (5, body, within)):
+                found += [(_hash(*path, "", said), kind, len(path), of, n, n * len(said)) for (path, said), n in said_in.items()]
+            for token, kind, depth, of, n, chars in found:
+                got = rows.setdefault((host, token, kind, of), [depth, 0, 0, 0, 0])
+                got[1] += 1
+                got[2] += n
+                got[3] ^= int(T.mix(np.uint64(mark & 0xFFFFFFFFFFFFFFFF) + np.uint64(n)).view(np.int64)) if kind in (1, 2) else 0
+                got[4] += chars
+        cols = list(zip(*((h, t, k, v[0], b, *v[1:]) for (h, t, k, b), v in rows.items()), strict=True)) or [[]] * 9
+        kinds = (pa.string(), pa.int64(), pa.int8(), pa.int32(), *[pa.int64()] * 5)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in _TOKENS.split(", ")])
 
 
@@ -221,13 +241,19 @@ def templates(pages: DataFrame, p: Extraction) -> DataFrame:
     fixed has at most 1/share times the blocks of a page.
     """
     partial = pages.select("host", "html").mapInArrow(_tokens, _TOKENS)
-    token = T.stored(partial.groupBy("host", "token", "kind", "depth").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.bit_xor("sig").alias("sig"), F.sum("chars").alias("chars")))
-    host = token.where("kind = 0").select("host", F.col("n").alias("pages"), F.col("chars").alias("all_chars"))
-    often = token.where("kind > 0").join(host, "host").where(F.col("n") >= p.share * F.col("pages"))
-    classes = often.groupBy("host", "n", "total", "sig").agg(F.collect_list(F.struct("kind", "depth", "token", "chars")).alias("x"), F.first("pages").alias("pages"), F.first("all_chars").alias("all_chars"))
+    keys, sums = ["host", "token", "kind", "depth"], [F.sum("n").alias("n"), F.sum("total").alias("total"), F.bit_xor("sig").alias("sig"), F.sum("chars").alias("chars")]
+    one = partial.groupBy(*keys, "body").agg(*sums)
+    # an article counts once, on however many pages it is
+    inner, times = F.col("kind") >= 3, F.ceil(F.col("total") / F.col("n"))
+    one = one.select(*keys, F.when(inner, 1).otherwise(F.col("n")).alias("n"), F.when(inner, times).otherwise(F.col("total")).alias("total"), F.when(inner, F.xxhash64("body", times)).otherwise(F.col("sig")).alias("sig"), "chars")
+    # most texts of articles are on too few to be fixed, and no class of theirs is used
+    token = T.stored(one.groupBy(*keys).agg(*sums).where((F.col("kind") != 5) | (F.col("n") >= p.least)).withColumn("inner", inner))
+    host = token.where("kind in (0, 3)").select("host", "inner", F.col("n").alias("pages"), F.col("chars").alias("all_chars"))
+    often = token.where("kind not in (0, 3)").join(host, ["host", "inner"]).where(F.col("n") >= p.share * F.col("pages"))
+    classes = often.groupBy("host", "inner", "n", "total", "sig").agg(F.collect_list(F.struct("kind", "depth", "token", "chars")).alias("x"), F.first("pages").alias("pages"), F.first("all_chars").alias("all_chars"))
     valid = classes.where((F.size("x") >= 2) | (F.col("pages") == 1)).withColumn("y", F.explode("x")).select("host", "n", "total", "pages", "all_chars", "y.*")
     holds = (F.col("kind") == 1) & (F.col("n") == F.col("total")) & (F.col("chars") >= p.inside * F.col("all_chars"))
-    fixed = (F.col("kind") == 2) & (F.col("pages") >= p.least)
+    fixed = ((F.col("kind") == 2) & (F.col("pages") >= p.least)) | (F.col("kind") == 5)
     return valid.groupBy("host").agg(F.max(F.when(holds, F.struct("depth", "chars", "token")))["token"].alias("slot"), F.collect_list(F.when(fixed, F.col("token"))).alias("fixed"))
 
 
@@ -240,12 +266,19 @@ def main_text(page: str, slot: int | None, fixed: frozenset[int], known: dict) -
         return known[path]
 
     blocks, _ = parse(page)
-    found = [b for b in blocks if slot is not None and any(code(b[0][:k]) == slot for k in range(1, len(b[0]) + 1))]
+    bounds = set()
+    for path, _, _ in blocks if slot is not None else ():
+        k = next((k for k in range(1, len(path) + 1) if code(path[:k]) == slot), 0)
+        if k:
+            bounds.add(path[: _article_at(path[:k]) or k])
+    found = [b for b in blocks if any(b[0][:k] in bounds for k in range(1, len(b[0]) + 1))] if bounds else []
     found = found or [b for b in blocks if b[1]] or blocks
-    # a slot around or within the article gives the article, all of it and alone
     if any(b[1] for b in found):
-        found = [b for b in blocks if b[1]]
-    return "\n\n".join(said for path, article, said in found if article or not fixed or _hash(*path, "", said) not in fixed)
+        found = [b for b in found if b[1]]
+    left = [b for b in found if not fixed or _hash(*b[0], "", b[2]) not in fixed]
+    if not left:
+        left = [b for b in found if b[1]]
+    return "\n\n".join(said for _, _, said in left)
 
 
 def extract(pages: DataFrame, p: Extraction | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -283,6 +283,25 @@ def test_template_of_a_host_without_article(spark):
     assert all(got[100 + k] == prose(5, 40) for k in range(6))
 
 
+def test_template_inside_articles(spark):
+    """Text that a host repeats in its articles is fixed text; copies of an article are none."""
+    rows, want = [], {}
+    for k in range(10):
+        # pages 6 to 9 are copies of one article
+        body = [prose(500 + min(k, 6) * 10 + j, 25) for j in range(3)]
+        rest = "<div class=x1><p>All opinions are those of their authors</p><p>Tell your friends of it</p></div>"
+        html = f"<html><body><p>Top line</p><article><h1>{body[0]}</h1><div class=x0><p>{body[1]}</p><p>{body[2]}</p></div>{rest}</article><div class=x3><article><p>Elsewhere {k}</p></article></div></body></html>"
+        rows.append((k, f"http://inside.host/{k}", html))
+        want[k] = "\n\n".join(body)
+    # one article alone, and two pages that share a notice, tell of no template
+    rows += [(50, "http://alone.host/1", page("<article><p>One</p><p>Notice</p></article>"))]
+    rows += [(60 + k, f"http://two.host/{k}", page(f"<article><p>Text {k}</p><p>Notice</p></article>")) for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in htmlextract.extract(pages).collect()}
+    assert {k: got[k] for k in want} == want
+    assert got[50] == "One\n\nNotice" and got[61] == "Text 1\n\nNotice"
+
+
 def test_html_edge_cases(spark):
     rows = [(1, None, None), (2, "http://a/", ""), (None, "nothing", "<p>x"), (3, "http://a/", "plain & simple"), (3, "http://a/", "plain & simple"), (4, "http://b/", "<" * 2000), (5, "http://b/", "<a href='" * 500), (6, "http://c/", "<article>" + "<div>" * 3000 + "deep")]
     pages = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, fixed string, token int").repartition(2)
