@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,7 +97,9 @@ class Items:
     """The test items of one slice, indexed by their n-grams."""
 
     def __init__(self, ids: list, texts: list[str], size: int):
-        self.ids = np.array(ids, np.int64)
+        self.ids = list(ids)
+        # items without an id are told apart by their texts
+        self.marks = [0 if d is not None else int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for d, t in zip(ids, texts, strict=True)]
         col = pa.array(texts, pa.string())
         parts = [(h, row + i) for i, _, h, row, _, _ in tokens(col)]
         h = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.uint64)
@@ -147,7 +150,7 @@ def _surroundings(items, size: int):
     return run
 
 
-_HITS = "doc_id long, item_id long, similarity double, doc_start int, doc_end int, item_words int, seeds int"
+_HITS = "doc_id long, item_id long, similarity double, doc_start int, doc_end int, item_words int, seeds int, mark long"
 
 
 class Aligner:
@@ -202,9 +205,9 @@ def _aligned(items, p: Decontamination):
         find = Aligner(items.value, p)
         for batch in batches:
             docs = batch.column(0).cast(pa.int64()).to_pylist()
-            found = [(docs[r], int(find.it.ids[k]), v, x, y, len(find.it.words[k]), n) for r, k, v, x, y, n in find(batch.column(1))]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            cols = list(zip(*found, strict=True)) or [()] * 7
+            found = [(docs[r], find.it.ids[k], v, x, y, len(find.it.words[k]), n, find.it.marks[k]) for r, k, v, x, y, n in find(batch.column(1))]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            cols = list(zip(*found, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in _HITS.split(", ")])
 
     return run
@@ -227,7 +230,7 @@ def _seeded(texts: DataFrame, benchmark: DataFrame, p: Decontamination, item_col
     """The seeds of each slice of the benchmark, shared with the tasks; texts has one column."""
     spark = texts.sparkSession
     side = benchmark.select(T.column(benchmark, item_col, "long").alias("item_id"), T.column(benchmark, item_text_col, "string").alias("text"))
-    side = side.where("item_id is not null and text is not null").distinct()
+    side = side.where("text is not null").distinct()
     chars = side.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-chars // p.slice_chars))
     most = max(p.spread_least, int(p.spread_share * texts.count()))
@@ -246,7 +249,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination | Non
 
     Similarity is the alignment score over that of a full copy. Null or empty texts on
     either side match nothing, as do items of fewer words than a seed. Repeated rows are
-    found as often as they occur but reported once per doc_id; a null doc_id is kept.
+    found as often as they occur but reported once per doc_id; a null doc_id is kept. Items with a null item_id count too: each
+    different text of theirs is an item, reported with a null item_id.
     Other columns are ignored; empty tables give an empty result.
     """
     p = p or Decontamination()
@@ -256,14 +260,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination | Non
     for more in found[1:]:
         out = out.unionByName(more)
     best = F.max(F.struct("similarity", (-F.col("doc_start")).alias("back"), "doc_end", "item_words", "seeds")).alias("b")
-    out = out.groupBy("doc_id", "item_id").agg(best)
+    out = out.groupBy("doc_id", "item_id", "mark").agg(best)
     return out.select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("doc_start"), "b.doc_end", "b.item_words", "b.seeds")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows whose text holds no copy of a test item, with all their columns.
 
-    Rows with a null or empty text stay. The text column must be a string.
+    Rows with a null or empty text stay; items with a null item_id count like others. The
+    text column must be a string.
     """
     p = p or Decontamination()
     out = docs

@@ -174,6 +174,17 @@ def test_byte_range_of_a_passage(spark):
     assert docs.first().text.encode()[r.doc_start : r.doc_end].decode() == item.rstrip(".")
 
 
+def test_items_without_an_id(spark):
+    """Each is an item of its own, found and removed like one with an id."""
+    one, two, three = prose(801, 25), prose(802, 25), prose(803, 25)
+    bench = spark.createDataFrame([(None, one), (None, two), (None, one), (7, three), (None, None)], "item_id long, text string")
+    rows = [(1, prose(810, 80) + " " + one + " " + two), (2, prose(811, 80) + " " + three), (3, prose(812, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.item_words) for r in decontam.contaminated(docs, bench).collect()]
+    assert sorted(got, key=repr) == sorted([(1, None, 25), (1, None, 25), (2, 7, 25)], key=repr)
+    assert [r.doc_id for r in decontam.without_contaminated(docs, bench).collect()] == [3]
+
+
 # URL filter --------------------------------------------------------------------------
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"))
