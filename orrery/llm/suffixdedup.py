@@ -3,18 +3,21 @@
 Sorting the suffixes at every byte would move many times the corpus. Suffixes are
 sampled instead, by content: the anchor of a window of ``length`` bytes is its leftmost
 least-hashed ``gram`` among the first ``reach`` ones, so equal windows have equal
-anchors at the same place. Two per cent or so of the positions are anchors.
-
-1. Anchors get the rank of their first ``gram`` bytes. Spark sorts the ranks over all
-   partitions; a rank without an equal neighbour is unique and drops out.
-2. Prefix doubling: (rank of anchor i, rank of anchor i + 2**k, distance) gives the rank
-   of a run twice as long. Runs that are unique, as long as they lie within every window
-   of their anchor, drop out, until the runs are past the threshold.
-3. The windows of the anchors that remain are compared as a whole, byte for byte by a
-   64-bit hash of their content and place, among the windows with the same anchor. A
-   group too large for one task is dealt in pieces, and what is single within its piece
-   is compared across pieces by hash.
+anchors at the same places. Two per cent or so of the positions are anchors, and a text
+is the sequence of its blocks, from an anchor to the gram of the next.
+
+1. Spark sorts the anchors by the hash of their block over all partitions and ranks them;
+   an anchor whose neighbours in that order differ is unique and drops out.
+2. Prefix doubling: the pair (rank of anchor i, rank of anchor i + 2**k) is sorted and
+   ranked again and so tells runs of 2**(k+1) blocks apart, until an anchor is unique or its
+   runs reach past every window of the anchor.
+3. A window is decided by the rank of the longest run of 2**k blocks inside it, and by
+   64-bit hashes of its rests: the bytes before the run's anchor and those behind its end.
+   The rests of windows whose runs have the same rank meet in one task. A group too large
+   for one task is dealt in pieces, and what is single within its piece is compared
+   across pieces by hash.
 Exact copies of a text are recognised by digest first and enter steps 2 and 3 once.
+Blocks and rests are told apart by 64-bit hashes, so that bytes never travel in step 1 and 2.
 """
 
 from __future__ import annotations
@@ -24,27 +27,35 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textops as T
 
+#: Levels of doubling that a row has room for; runs of 2**7 blocks pass 255 bytes.
+LEVELS = 8
+
 
 @dataclass(frozen=True)
 class Repeats:
-    """length: bytes of a repeat. gram + reach - 1 <= length. piece_rows: anchors of one
-    group that a task compares at once. bloom_bits: size of the filter of candidate texts."""
+    """length: bytes of a repeat; 2 * reach + gram - 1 of them at least, so that a window holds
+    a block. reach: up to 255. piece_rows: anchors of one group that a task compares at once.
+    bloom_bits: size of the filter of candidate texts."""
 
     length: int = 400
     gram: int = 48
     reach: int = 144
-    levels: int = 2
     piece_rows: int = 8192
     bloom_bits: int = 1 << 25
 
+    def __post_init__(self):
+        if self.length < 2 * self.reach + self.gram - 1 or self.reach > 255 or self.sure > 255:
+            raise ValueError("a window of that length has room for no block, or for too many")
+
     @property
     def sure(self) -> int:
-        """Anchors up to so many bytes behind a window's start are determined by the window."""
+        """How far behind a window's start the last start lies whose anchor the window determines."""
         return self.length - self.reach - self.gram + 1
 
 
@@ -52,16 +63,23 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def spans_hash(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` bytes, equal for equal runs."""
-    n = len(data) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * T.powers(len(data), _BASE), out=total[1:])
-        return T.mix((total[size:] - total[:n]) * T.powers(n, _INVERSE))
+class Spans:
+    """Hashes of the runs of bytes in some data, equal for equal runs."""
+
+    def __init__(self, data: np.ndarray):
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * T.powers(len(data), _BASE)[: len(data)], out=self.total[1:])
+        self.back = T.powers(len(data) + 1, _INVERSE)
 
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return T.mix((self.total[end] - self.total[begin]) * self.back[begin])
+
+    def all(self, size: int) -> np.ndarray:
+        n = max(len(self.total) - size, 0)
+        with np.errstate(over="ignore"):
+            return T.mix((self.total[size : size + n] - self.total[:n]) * self.back[:n])
 
 def owners(grams: np.ndarray, reach: int) -> np.ndarray:
     """Place of the leftmost least of each ``reach`` successive grams (by their upper 32 bits)."""
@@ -77,10 +95,15 @@ def owners(grams: np.ndarray, reach: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[reach - 1 : reach - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-_ANCHORS = "doc long, th long, i int, pos int, s1 int, s2 int, next int, r long"
+_ANCHORS = "doc long, th long, i int, pos int, end int, s1 int, steps long, top byte, block long"
+#: The level of a run of so many blocks.
+_LEVEL = np.array([max(n, 1).bit_length() - 1 for n in range(256)], np.uint8)
 
 
 def _anchors(p: Repeats):
+    """The anchors of each text but the last: place, end of the block, first window, how many
+    windows have a level up to 0, 1, .. (a byte each), and the highest level asked of its runs."""
+
     @T.lean
     def run(batches):
         for batch in batches:
@@ -88,9 +111,8 @@ def _anchors(p: Repeats):
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, j in T.pieces(off):
                 o = off[i : j + 1] - off[i]
-                part = data[off[i] : off[j]]
-                g = spans_hash(part, p.gram)
-                own = owners(g, p.reach)
+                spans = Spans(data[off[i] : off[j]])
+                own = owners(spans.all(p.gram), p.reach)
                 if len(own) == 0:
                     continue
                 row = np.searchsorted(o, np.arange(len(own)), "right") - 1
@@ -99,90 +121,138 @@ def _anchors(p: Repeats):
                 if len(s) == 0:
                     continue
                 a, r = own[s], row[s]
-                first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1]))))
-                last = np.append(first[1:], len(s)) - 1
-                a, r = a[first], r[first]
-                index = np.arange(len(a)) - np.searchsorted(r, r)
-                nxt = np.zeros(len(a), np.int64)
-                same = r[1:] == r[:-1]
-                nxt[:-1][same] = (a[1:] - a[:-1])[same]
+                new = np.ones(len(s), bool)
+                new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
+                first, number = np.flatnonzero(new), np.cumsum(new) - 1
+                window = np.flatnonzero(s + p.length <= o[r + 1])
+                level = _LEVEL[number[window + p.sure] - number[window]]
+                each = np.bincount(number[window] * LEVELS + level, minlength=len(first) * LEVELS).reshape(-1, LEVELS)
+                steps = (each.cumsum(axis=1).astype(np.uint64) << (np.arange(LEVELS, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64)
+                # a run of 2**k blocks is made of shorter ones that begin at its first 2**k anchors
+                most = np.where(each > 0, np.arange(LEVELS), 0).max(axis=1)
+                top = np.zeros(len(first), np.int8)
+                for k in range(1, int(most.max(initial=0)) + 1):
+                    seen = np.concatenate((np.zeros(1 << k, np.int64), np.cumsum(most >= k)))
+                    top[seen[1 << k :] > seen[: len(first)]] = k
+                begin, r = a[first], r[first]
+                at = np.flatnonzero(r[1:] == r[:-1])
+                end = begin[at + 1] + p.gram
+                index = np.arange(len(first)) - np.searchsorted(r, r)
                 i32 = lambda x: pa.array(x.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[i + r]), pa.array(th[i + r]), i32(index), i32(a - o[r]), i32(s[first] - o[r]), i32(np.minimum(s[last], o[r + 1] - p.length) - o[r]), i32(nxt), pa.array(T.i64(g[a]))],
-                    ["doc", "th", "i", "pos", "s1", "s2", "next", "r"],
+                    [pa.array(doc[i + r[at]]), pa.array(th[i + r[at]]), i32(index[at]), i32(begin[at] - o[r[at]]), i32(end - o[r[at]]), i32(s[first[at]] - o[r[at]]), pa.array(T.i64(steps[at])), pa.array(top[at]), pa.array(T.i64(spans.of(begin[at], end)))],
+                    ["doc", "th", "i", "pos", "end", "s1", "steps", "top", "block"],
                 )
 
     return run
 
 
-@T.lean
-def _paired_only(batches):
-    """Rows with an equal rank beside them, from rows sorted by rank; the first and the last row always."""
-    rest, begun = None, False
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        table = T.one(pa.Table.from_batches([batch] if rest is None else [rest, batch]))
-        r = table.column("r").to_numpy()
-        equal = r[1:] == r[:-1]
-        keep = np.zeros(len(r), bool)
-        keep[1:] |= equal
-        keep[:-1] |= equal
-        keep[0] |= not begun
-        # the carried row's other neighbour came with the batch before
-        carried = rest is not None
-        if carried and before == r[0]:
-            keep[0] = True
-        before = r[-2] if len(r) > 1 else (before if carried else None)
-        begun = True
-        rest = table.slice(len(r) - 1)
-        yield table.slice(0, len(r) - 1).filter(pa.array(keep[:-1]))
-    if rest is not None:
-        yield rest
-
-
-def _repeated(x: DataFrame, rank: str) -> DataFrame:
-    return x.where(F.col(rank).isNotNull()).groupBy(rank).agg(F.count("*").alias("_n")).where("_n > 1").select(rank)
-
-
-def _doubled(x: DataFrame, p: Repeats) -> DataFrame:
-    """Drop anchors whose runs of 2, 4, .. anchors are unique though within all their windows."""
-    x = x.withColumn("reach", F.lit(0))
-    for level in range(p.levels):
-        step = 1 << level
-        ahead = x.select("doc", "th", (F.col("i") - step).alias("i"), F.col("r").alias("r_b"), F.col("pos").alias("pos_b"), F.col("reach").alias("reach_b"))
-        x = x.join(ahead, ["doc", "th", "i"], "left").dropDuplicates(["doc", "th", "i"])
-        x = x.withColumn("run", F.when(F.col("r").isNotNull() & F.col("r_b").isNotNull(), F.xxhash64("r", "r_b", F.col("pos_b") - F.col("pos"))))
-        x = x.withColumn("far", F.col("pos_b") - F.col("pos") + F.col("reach_b"))
-        if level == 0:
-            x = x.withColumn("far", F.coalesce("far", F.when(F.col("next") > 0, F.col("next"))))
-        x = T.stored(x.withColumn("inside", F.coalesce(F.col("pos") + F.col("far") <= F.col("s1") + p.sure, F.lit(False))))
-        again = _repeated(x, "run").select(F.col("run").alias("met"), F.lit(True).alias("again"))
-        # rows without a run get a key of their own, as nulls would meet in one task
-        x = x.withColumn("met", F.coalesce("run", F.xxhash64("doc", "th", "i"))).join(again, "met", "left")
-        x = x.withColumn("again", F.col("again") & F.col("run").isNotNull()).where("not inside or again").withColumn("r", F.when(F.col("again"), F.col("run")))
-        x = x.withColumn("reach", F.coalesce("far", F.lit(0))).select("doc", "th", "i", "pos", "s1", "s2", "next", "r", "reach", "key")
-    return x.select("doc", "th", "pos", "s1", "s2", "key")
+def _neighbours(by: tuple[str, ...]):
+    """Of rows sorted by ``by``, those with an equal row beside them and the partition's first and
+    last; part is the partition's number, place that of the distinct value in the partition."""
+
+    @T.lean
+    def run(batches):
+        part = TaskContext.get().partitionId()
+
+        def placed(rows, place):
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, part, np.int32)), pa.array(place)], [*rows.schema.names, "part", "place"])
+
+        rest, place, met = None, 0, True
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = T.one(pa.Table.from_batches([batch] if rest is None else [rest, batch]))
+            n = rows.num_rows
+            equal = np.ones(n - 1, bool)
+            for k in by:
+                v = rows.column(k).to_numpy()
+                equal &= v[1:] == v[:-1]
+            at = place + np.concatenate((np.zeros(1, np.int64), np.cumsum(~equal)))
+            keep = np.zeros(n, bool)
+            keep[0] = met
+            keep[1:] |= equal
+            keep[:-1] |= equal
+            yield placed(rows.slice(0, n - 1).filter(pa.array(keep[:-1])), at[:-1][keep[:-1]])
+            rest, place, met = rows.slice(n - 1), int(at[-1]), bool(equal[-1]) if n > 1 else met
+        if rest is not None:
+            yield placed(rest, np.full(1, place))
+
+    return run
+
+
+def ranked(x: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows that share their values of ``by`` with another, with their rank r among all values;
+    and the stored table below.
+
+    Rows are sorted over all partitions, equal ones by doc and i besides, so a value that a
+    third of the rows have spreads over partitions. What is unique but first or last in its
+    partition stays. The driver learns the ends of each partition, nothing else.
+    """
+    spark = x.sparkSession
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in x.schema.fields)
+    ordered = x.repartitionByRange(T.tasks(spark), *by, "doc", "i").sortWithinPartitions(*by)
+    placed = T.stored(ordered.mapInArrow(_neighbours(by), schema + "part int, place long"))
+    value = F.struct(*by)
+    ends = placed.groupBy("part").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.max("place").alias("most")).orderBy("part").collect()
+    base, bases, before = 0, [], None
+    for e in ends:
+        base += before is not None and tuple(e.low) != before
+        bases.append((e.part, base))
+        base, before = base + e.most, tuple(e.high)
+    # a row for each partition
+    begin = F.broadcast(spark.createDataFrame(bases, "part int, base long"))
+    return placed.join(begin, "part").withColumn("r", F.col("base") + F.col("place")).drop("part", "place", "base", *by), placed
+
+
+def _paired(x: DataFrame, step: int) -> DataFrame:
+    """Each anchor with its rank and that of the anchor ``step`` ahead, where its run then ends."""
+    ahead = x.select("doc", "th", (F.col("i") - step).alias("i"), F.col("r").alias("r_b"), F.col("end").alias("end_b"))
+    return x.join(ahead, ["doc", "th", "i"]).select("doc", "th", "i", "pos", F.col("end_b").alias("end"), "s1", "steps", "top", F.col("r").alias("r_a"), "r_b")
+
+
+def _at_level(x: DataFrame, k: int) -> DataFrame:
+    """The windows, from a to b, that the run of 2**k blocks decides."""
+    upto = lambda n: F.shiftrightunsigned("steps", 8 * n).bitwiseAND(255).cast("int") if n >= 0 else F.lit(0)
+    at = x.select("doc", "th", "pos", "end", (F.col("s1") + upto(k - 1)).alias("a"), (F.col("s1") + upto(k) - 1).alias("b"), (F.col("r") * LEVELS + k).alias("key"))
+    return at.where("b >= a")
+
+
+def doubled(anchors: DataFrame, copies: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """doc, th, pos, end, a, b, key of the windows whose runs are not unique, equal runs having
+    equal keys; and the stored tables below. Runs double until none is asked for."""
+    x, placed = ranked(anchors, ("block",))
+    # of the copies of a text one goes on; repeated rows of it are one
+    x = x.join(copies, "th", "left").where("rep is null or rep = doc").drop("rep").dropDuplicates(["doc", "th", "i"])
+    x = T.stored(x)
+    T.discard(placed)
+    tables, windows, k = [x], _at_level(x, 0), 0
+    while not (longer := x.where(F.col("top") > k)).isEmpty():
+        x, placed = ranked(_paired(longer, 1 << k), ("r_a", "r_b"))
+        tables.append(placed)
+        k += 1
+        windows = windows.unionByName(_at_level(x, k))
+    return windows, tables
 
 
 def _contexts(p: Repeats):
-    """Bytes of the windows of each anchor that is left, from texts with their anchors."""
+    """The rests of the windows of each run that is left, from texts with their runs."""
 
     @T.lean
     def run(batches):
         for batch in batches:
             data, off = T.utf8(batch.column("text"))
-            lists = batch.column("anchors")
+            lists = batch.column("runs")
             at, each = lists.flatten(), np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(batch.num_rows), each)
-            pos, s1, s2 = (at.field(f).to_numpy() for f in ("pos", "s1", "s2"))
-            begin, end = off[row] + s1, off[row] + s2 + p.length
+            pos, end, a, b = (at.field(f).to_numpy() for f in ("pos", "end", "a", "b"))
+            cuts = [off[row] + x for x in (a, pos, end, b + p.length)]
             doc, th = batch.column("doc").to_numpy()[row], batch.column("th").to_numpy()[row]
-            for x, y in T.pieces(np.concatenate(([0], np.cumsum(end - begin))), 4 * T.CHUNK_BYTES):
-                raw = [data[u:v].tobytes() for u, v in zip(begin[x:y], end[x:y], strict=True)]
+            for x, y in T.pieces(np.concatenate(([0], np.cumsum(cuts[1] - cuts[0] + cuts[3] - cuts[2]))), 4 * T.CHUNK_BYTES):
+                raw = [data[q:r].tobytes() + data[s:t].tobytes() for q, r, s, t in zip(*(c[x:y] for c in cuts), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[x:y]), pa.array(th[x:y]), at.field("key").slice(x, y - x), at.field("n").slice(x, y - x), pa.array(s1[x:y]), pa.array((pos - s1)[x:y]), pa.array(raw, pa.binary())],
-                    ["doc", "th", "key", "n", "s1", "back", "raw"],
+                    [pa.array(doc[x:y]), pa.array(th[x:y]), at.field("key").slice(x, y - x), at.field("n").slice(x, y - x), pa.array(a[x:y]), pa.array((b - a + 1)[x:y]), pa.array((pos - a)[x:y]), pa.array(raw, pa.binary())],
+                    ["doc", "th", "key", "n", "a", "windows", "back", "raw"],
                 )
 
     return run
@@ -199,7 +269,7 @@ def _compare(p: Repeats):
             at, ends = 0, np.cumsum(lens)
             chunk = []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if chunk and ends[e - 1] - at > 4 * T.CHUNK_BYTES:
+                if chunk and ends[e - 1] - at > T.CHUNK_BYTES:
                     yield from _compared(group.slice(chunk[0], s - chunk[0]), p)
                     chunk, at = [], ends[s - 1]
                 chunk = chunk or [s]
@@ -211,23 +281,24 @@ def _compare(p: Repeats):
 def _compared(rows: pa.RecordBatch, p: Repeats):
     raw = rows.column("raw")
     off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
-    data = np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]]
+    spans = Spans(np.frombuffer(raw.buffers()[2], np.uint8)[off[0] : off[-1]])
     off = off - off[0]
-    count = np.diff(off) - p.length + 1
-    hashes = spans_hash(data, p.length)
+    count = rows.column("windows").to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(raw)), count)
     place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     key = rows.column("key").to_numpy().view(np.uint64)
-    back = rows.column("back").to_numpy()
+    back = rows.column("back").to_numpy().astype(np.int64)
+    middle = (off[:-1] + back)[row]
     with np.errstate(over="ignore"):
-        v = T.mix(hashes[off[row] + place] + T.mix(key[row] + (back[row] - place).astype(np.uint64)))
+        ahead = T.mix(key[row] * np.uint64(_BASE) + (back[row] - place).astype(np.uint64))
+        v = T.mix(T.mix(ahead + spans.of(off[row] + place, middle)) + spans.of(middle, off[row + 1] - (count[row] - 1 - place)))
     # within a piece only windows of that piece meet
     part = rows.column("part").to_numpy()[row].astype(np.uint64)
     with np.errstate(over="ignore"):
         local = v + part * np.uint64(0xD1B54A32D192ED03)
     _, first, inverse, n = np.unique(local, return_index=True, return_inverse=True, return_counts=True)
     twice = n[inverse] > 1
-    doc, th, s1 = (rows.column(c).to_numpy() for c in ("doc", "th", "s1"))
+    doc, th, s1 = (rows.column(c).to_numpy() for c in ("doc", "th", "a"))
     hit = np.flatnonzero(twice)
     new = np.ones(len(hit), bool)
     new[1:] = (row[hit][1:] != row[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)
@@ -312,19 +383,10 @@ def remove_repeats(docs: DataFrame, p: Repeats | None = None, id_col: str = "doc
     copies = T.stored(meta.where(F.col("n_bytes") >= p.length).groupBy("th", "n_bytes", "sha").agg(F.count("*").alias("n"), F.min("doc").alias("rep")).where("n > 1"))
 
     anchors = T.stored(src.select("doc", "th", "text").mapInArrow(_anchors(p), _ANCHORS))
-    ordered = anchors.repartitionByRange(n, "r", "doc", "i").sortWithinPartitions("r")
-    pairs = ordered.mapInArrow(_paired_only, _ANCHORS)
-    again = copies.select("th", "rep")
-    pairs = pairs.join(again, "th", "left").where("rep is null or rep = doc").drop("rep")
-    pairs = T.stored(pairs.withColumn("key", F.col("r")))
-    del ordered
-    T.discard(anchors)
-    left = T.stored(_doubled(pairs, p))
-
-    left = left.where("s2 >= s1")
-    groups = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    left = left.join(groups, "key")
-    lists = T.stored(left.groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "s1", "s2", "key", "n")).alias("anchors")))
+    windows, tables = doubled(anchors, copies.select("th", "rep"))
+    groups = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    lists = T.stored(windows.join(groups, "key").groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "end", "a", "b", "key", "n")).alias("runs")))
+    T.discard(anchors, *tables)
     filter_ = _bloom(lists.select("doc", "th"), p.bloom_bits)
     bit = F.pmod(F.xxhash64("doc", "th"), F.lit(p.bloom_bits)).alias("bit")
 
@@ -337,8 +399,8 @@ def remove_repeats(docs: DataFrame, p: Repeats | None = None, id_col: str = "doc
     some = src.select("doc", "th", "text", bit).mapInArrow(maybe, "doc long, th long, text string")
     candidates = T.stored(some.join(lists, ["doc", "th"]))
     parts = F.ceil(F.col("n") / p.piece_rows).cast("int")
-    contexts = candidates.mapInArrow(_contexts(p), "doc long, th long, key long, n long, s1 int, back int, raw binary")
-    contexts = contexts.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc", "th", "s1"), F.col("parts")).cast("int"))
+    contexts = candidates.mapInArrow(_contexts(p), "doc long, th long, key long, n long, a int, windows int, back int, raw binary")
+    contexts = contexts.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc", "th", "a"), F.col("parts")).cast("int"))
     dealt = contexts.drop("n").repartition(n, "key", "part").sortWithinPartitions("key", "part")
     runs = T.stored(dealt.mapInArrow(_compare(p), _RUNS))
     across = runs.where("kind > 0")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import suffixdedup
 from tests.llm.conftest import prose
@@ -34,14 +35,48 @@ SMALL = dict(length=60, gram=12, reach=20)
 
 
 def test_odd_texts(odd_docs, odd_rows):
-    rows = [(d, t if t is None or len(t) < 6000 else t[:6000]) for d, t in odd_rows]
-    docs = odd_docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    same(docs, rows, suffixdedup.Repeats(**SMALL))
+    same(odd_docs, odd_rows, suffixdedup.Repeats(**SMALL))
 
 
 @pytest.mark.parametrize("pieces", [8192, 3])
-@pytest.mark.parametrize("levels", [0, 2])
-def test_shared_passages(spark, pieces, levels):
+def test_shared_passages(spark, pieces):
+    rows = shared_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(docs, rows, suffixdedup.Repeats(**SMALL, piece_rows=pieces, bloom_bits=1 << 12))
+
+
+def test_doubling_decides(spark, monkeypatch):
+    """Texts that differ in one letter each: no window over it repeats, all others do."""
+    base = prose(5, 60)[:300]
+    rows = [(at, base[:at] + "Z" + base[at + 1 :]) for at in range(110, 190, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = suffixdedup.Repeats(length=100, gram=8, reach=12)
+    same(docs, rows, p)
+    right = {tuple(r) for r in suffixdedup.remove_repeats(docs, p).collect()}
+    paired = suffixdedup._paired
+    # without the second rank of a pair, the rank of the first half stands for the whole run
+    monkeypatch.setattr(suffixdedup, "_paired", lambda x, step: paired(x, step).withColumn("r_b", F.lit(0).cast("long")))
+    assert {tuple(r) for r in suffixdedup.remove_repeats(docs, p).collect()} != right
+
+
+def test_ranks(spark):
+    """Ranks follow the sorted values and hold across partitions, also for a value that fills several."""
+    r = random.Random(3)
+    rows = [(d, 0, r.choice([5, 5, 5, 5, r.randrange(40)]), r.randrange(2)) for d in range(600)] + [(1000, 0, 99, 0)]
+    x = spark.createDataFrame(rows, "doc long, i int, u long, w int").repartition(5)
+    got, _ = suffixdedup.ranked(x, ("u", "w"))
+    of = {d: (u, w) for d, _, u, w in rows}
+    seen = Counter(of.values())
+    ranks = {}
+    found = got.collect()
+    for row in found:
+        ranks.setdefault(of[row.doc], set()).add(row.r)
+    assert all(len(x) == 1 for x in ranks.values())
+    assert [min(ranks[v]) for v in sorted(ranks)] == sorted(min(x) for x in ranks.values()) and len({min(x) for x in ranks.values()}) == len(ranks)
+    assert {d for d, v in of.items() if seen[v] > 1} <= {row.doc for row in found}
+
+
+def shared_rows():
     r = random.Random(11)
     pool = [prose(900 + k, n) for k, n in enumerate((6, 9, 10, 12, 14, 30))]
     rows = []
@@ -53,8 +88,7 @@ def test_shared_passages(spark, pieces, levels):
             parts += [x[a : a + r.randrange(30, 120)], prose(1000 + d, 5)]
         rows.append((d, ("é" * (d % 3)) + "".join(parts)))
     rows += [(100, "ab" * 200), (101, "ab" * 100), (102, "z" * 59), (103, "z" * 60), (104, "y" * 61)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    same(docs, rows, suffixdedup.Repeats(**SMALL, piece_rows=pieces, levels=levels, bloom_bits=1 << 12))
+    return rows
 
 
 def test_empty_table(no_docs):
