@@ -46,9 +46,9 @@ def test_shared_passages(spark, pieces):
 
 
 def test_doubling_decides(spark, monkeypatch):
-    """Texts that differ in one letter each: no window over it repeats, all others do."""
-    base = prose(5, 60)[:300]
-    rows = [(at, base[:at] + "Z" + base[at + 1 :]) for at in range(110, 190, 4)]
+    """Each half of a window repeats, and no window does."""
+    first = [prose(n, 30)[:60] for n in range(4)]
+    rows = [(4 * n + m, f"{x}{prose(8, 2)}{c * 3}{prose(9, 30)[:60]}") for n, x in enumerate(first) for m, c in enumerate("QXYZ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     p = suffixdedup.Repeats(length=100, gram=8, reach=12)
     same(docs, rows, p)
