@@ -147,52 +147,62 @@ def _anchors(p: Repeats):
     return run
 
 
-def _neighbours(by: tuple[str, ...]):
-    """Of rows sorted by ``by``, those with an equal row beside them and the partition's first and
-    last; part is the partition's number, place that of the distinct value in the partition."""
+def _neighbours(by: tuple[str, ...], most: int):
+    """Of rows sorted by ``by``, those whose values another row has too. part is the partition's
+    number, place that of the values in it. Equal rows are numbered into pieces of ``most``;
+    many tells that there may be others in another piece. The values at both ends of a
+    partition may go on in the next one: they count as many, and stay if they are single."""
 
     @T.lean
     def run(batches):
         part = TaskContext.get().partitionId()
 
-        def placed(rows, place):
-            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, part, np.int32)), pa.array(place)], [*rows.schema.names, "part", "place"])
+        def placed(rows, keep, place, turn, many):
+            piece = np.where(many, (np.int64(part) << 32) + turn // most + 1, 0)
+            new = [np.full(rows.num_rows, part, np.int32), place, piece, many]
+            rows = pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, new)], [*rows.schema.names, "part", "place", "piece", "many"])
+            return rows.filter(pa.array(keep))
 
-        rest, place, met = None, 0, True
+        # the rows of the last values that wait for their number, and how many went before them
+        rest, done, place = None, 0, 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             rows = T.one(pa.Table.from_batches([batch] if rest is None else [rest, batch]))
-            n = rows.num_rows
-            equal = np.ones(n - 1, bool)
+            new = np.zeros(rows.num_rows, bool)
             for k in by:
                 v = rows.column(k).to_numpy()
-                equal &= v[1:] == v[:-1]
-            at = place + np.concatenate((np.zeros(1, np.int64), np.cumsum(~equal)))
-            keep = np.zeros(n, bool)
-            keep[0] = met
-            keep[1:] |= equal
-            keep[:-1] |= equal
-            yield placed(rows.slice(0, n - 1).filter(pa.array(keep[:-1])), at[:-1][keep[:-1]])
-            rest, place, met = rows.slice(n - 1), int(at[-1]), bool(equal[-1]) if n > 1 else met
+                new[1:] |= v[1:] != v[:-1]
+            number = np.cumsum(new)
+            start = np.concatenate(([0], np.flatnonzero(new)))
+            size = np.diff(np.append(start, rows.num_rows))
+            size[0] += done
+            turn = np.arange(rows.num_rows) - start[number] + np.where(number == 0, done, 0)
+            border = (place + number) == 0
+            many = border | (size[number] > most)
+            keep = border | (size[number] > 1)
+            n = rows.num_rows - 1 if size[-1] > most else int(start[-1])
+            yield placed(rows.slice(0, n), keep[:n], (place + number)[:n], turn[:n], many[:n])
+            done, place, rest = int(turn[n]), place + int(number[-1]), rows.slice(n)
         if rest is not None:
-            yield placed(rest, np.full(1, place))
+            n = rest.num_rows
+            yield placed(rest, np.ones(n, bool), np.full(n, place), done + np.arange(n), np.ones(n, bool))
 
     return run
 
 
-def ranked(x: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Rows that share their values of ``by`` with another, with their rank r among all values;
-    and the stored table below.
+def ranked(x: DataFrame, by: tuple[str, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that share their values of ``by`` with another, with the rank r of the values among
+    all, and piece and many as told above; and the stored table below.
 
-    Rows are sorted over all partitions, equal ones by doc and i besides, so a value that a
-    third of the rows have spreads over partitions. What is unique but first or last in its
-    partition stays. The driver learns the ends of each partition, nothing else.
+    Rows are sorted over all partitions, equal ones by doc and i besides, so values that a
+    third of the rows have spread over partitions. The driver learns the ends of each
+    partition, nothing else.
     """
     spark = x.sparkSession
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in x.schema.fields)
     ordered = x.repartitionByRange(T.tasks(spark), *by, "doc", "i").sortWithinPartitions(*by)
-    placed = T.stored(ordered.mapInArrow(_neighbours(by), schema + "part int, place long"))
+    placed = T.stored(ordered.mapInArrow(_neighbours(by, most), schema + "part int, place long, piece long, many boolean"))
     value = F.struct(*by)
     ends = placed.groupBy("part").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.max("place").alias("most")).orderBy("part").collect()
     base, bases, before = 0, [], None
@@ -205,30 +215,67 @@ def ranked(x: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     return placed.join(begin, "part").withColumn("r", F.col("base") + F.col("place")).drop("part", "place", "base", *by), placed
 
 
+_PAIRS = "doc long, th long, i int, pos int, end int, s1 int, steps long, top byte, r_a long, r_b long"
+
+
+def _ahead(step: int):
+    """Each anchor that has one ``step`` ahead, with both ranks and the end of the second run.
+    Rows come sorted by text and anchor."""
+
+    @T.lean
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = T.one(pa.Table.from_batches([batch] if rest is None else [rest, batch]))
+            # what lies farther ahead than the rows that follow has not come yet
+            n = max(rows.num_rows - step, 0)
+            yield met(rows, n)
+            rest = rows.slice(n)
+        if rest is not None:
+            yield met(rest, rest.num_rows)
+
+    def met(rows, n):
+        doc, th, i = (rows.column(c).to_numpy() for c in ("doc", "th", "i"))
+        new = np.ones(len(i), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])
+        place = (np.cumsum(new) << 32) + i
+        at = np.minimum(np.searchsorted(place, place[:n] + step), len(i) - 1)
+        found = np.flatnonzero(place[at] == place[:n] + step)
+        one, two = rows.take(pa.array(found)), rows.take(pa.array(at[found]))
+        cols = [one.column(c) for c in ("doc", "th", "i", "pos")] + [two.column("end")] + [one.column(c) for c in ("s1", "steps", "top", "r")] + [two.column("r")]
+        return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _PAIRS.split(", ")])
+
+    return run
+
+
 def _paired(x: DataFrame, step: int) -> DataFrame:
     """Each anchor with its rank and that of the anchor ``step`` ahead, where its run then ends."""
-    ahead = x.select("doc", "th", (F.col("i") - step).alias("i"), F.col("r").alias("r_b"), F.col("end").alias("end_b"))
-    return x.join(ahead, ["doc", "th", "i"]).select("doc", "th", "i", "pos", F.col("end_b").alias("end"), "s1", "steps", "top", F.col("r").alias("r_a"), "r_b")
+    rows = x.select("doc", "th", "i", "pos", "end", "s1", "steps", "top", "r").repartition(T.tasks(x.sparkSession), "doc", "th")
+    return rows.sortWithinPartitions("doc", "th", "i").mapInArrow(_ahead(step), _PAIRS)
 
 
 def _at_level(x: DataFrame, k: int) -> DataFrame:
     """The windows, from a to b, that the run of 2**k blocks decides."""
     upto = lambda n: F.shiftrightunsigned("steps", 8 * n).bitwiseAND(255).cast("int") if n >= 0 else F.lit(0)
-    at = x.select("doc", "th", "pos", "end", (F.col("s1") + upto(k - 1)).alias("a"), (F.col("s1") + upto(k) - 1).alias("b"), (F.col("r") * LEVELS + k).alias("key"))
+    at = x.select("doc", "th", "pos", "end", (F.col("s1") + upto(k - 1)).alias("a"), (F.col("s1") + upto(k) - 1).alias("b"), (F.col("r") * LEVELS + k).alias("key"), "piece", "many")
     return at.where("b >= a")
 
 
-def doubled(anchors: DataFrame, copies: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """doc, th, pos, end, a, b, key of the windows whose runs are not unique, equal runs having
-    equal keys; and the stored tables below. Runs double until none is asked for."""
-    x, placed = ranked(anchors, ("block",))
-    # of the copies of a text one goes on; repeated rows of it are one
-    x = x.join(copies, "th", "left").where("rep is null or rep = doc").drop("rep").dropDuplicates(["doc", "th", "i"])
-    x = T.stored(x)
+def doubled(anchors: DataFrame, copies: DataFrame, p: Repeats) -> tuple[DataFrame, list[DataFrame]]:
+    """doc, th, pos, end, a, b, key, piece, many of the windows whose runs are not unique, equal
+    runs having equal keys; and the stored tables below. Runs double until none is asked for."""
+    x, placed = ranked(anchors, ("block",), p.piece_rows)
+    # of the copies of a text one goes on
+    x = T.stored(x.join(copies, "th", "left").where("rep is null or rep = doc"))
     T.discard(placed)
-    tables, windows, k = [x], _at_level(x, 0), 0
+    tables = [x]
+    # and repeated rows of it are one
+    x = x.where("rep is null").unionByName(x.where("rep = doc").dropDuplicates(["doc", "th", "i"])).drop("rep")
+    windows, k = _at_level(x, 0), 0
     while not (longer := x.where(F.col("top") > k)).isEmpty():
-        x, placed = ranked(_paired(longer, 1 << k), ("r_a", "r_b"))
+        x, placed = ranked(_paired(longer, 1 << k), ("r_a", "r_b"), p.piece_rows)
         tables.append(placed)
         k += 1
         windows = windows.unionByName(_at_level(x, k))
@@ -251,8 +298,8 @@ def _contexts(p: Repeats):
             for x, y in T.pieces(np.concatenate(([0], np.cumsum(cuts[1] - cuts[0] + cuts[3] - cuts[2]))), 4 * T.CHUNK_BYTES):
                 raw = [data[q:r].tobytes() + data[s:t].tobytes() for q, r, s, t in zip(*(c[x:y] for c in cuts), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[x:y]), pa.array(th[x:y]), at.field("key").slice(x, y - x), at.field("n").slice(x, y - x), pa.array(a[x:y]), pa.array((b - a + 1)[x:y]), pa.array((pos - a)[x:y]), pa.array(raw, pa.binary())],
-                    ["doc", "th", "key", "n", "a", "windows", "back", "raw"],
+                    [pa.array(doc[x:y]), pa.array(th[x:y]), *(at.field(f).slice(x, y - x) for f in ("key", "piece", "many")), pa.array(a[x:y]), pa.array((b - a + 1)[x:y]), pa.array((pos - a)[x:y]), pa.array(raw, pa.binary())],
+                    ["doc", "th", "key", "piece", "many", "a", "windows", "back", "raw"],
                 )
 
     return run
@@ -263,8 +310,8 @@ def _compare(p: Repeats):
 
     @T.lean
     def run(batches):
-        for group in T.by_group(batches, ["key", "part"]):
-            cuts = np.append(T.boundaries(group, ["key", "part"]), group.num_rows)
+        for group in T.by_group(batches, ["key", "piece"]):
+            cuts = np.append(T.boundaries(group, ["key", "piece"]), group.num_rows)
             lens = np.diff(np.frombuffer(group.column("raw").buffers()[1], np.int32)[group.column("raw").offset :][: group.num_rows + 1])
             at, ends = 0, np.cumsum(lens)
             chunk = []
@@ -293,7 +340,7 @@ def _compared(rows: pa.RecordBatch, p: Repeats):
         ahead = T.mix(key[row] * np.uint64(_BASE) + (back[row] - place).astype(np.uint64))
         v = T.mix(T.mix(ahead + spans.of(off[row] + place, middle)) + spans.of(middle, off[row + 1] - (count[row] - 1 - place)))
     # within a piece only windows of that piece meet
-    part = rows.column("part").to_numpy()[row].astype(np.uint64)
+    part = rows.column("piece").to_numpy()[row].view(np.uint64)
     with np.errstate(over="ignore"):
         local = v + part * np.uint64(0xD1B54A32D192ED03)
     _, first, inverse, n = np.unique(local, return_index=True, return_inverse=True, return_counts=True)
@@ -306,7 +353,7 @@ def _compared(rows: pa.RecordBatch, p: Repeats):
     b = hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1] if len(hit) else hit
     zero = np.zeros(len(a), np.int64)
     yield _runs(doc[row[a]], th[row[a]], s1[row[a]] + place[a], s1[row[b]] + place[b], zero, zero.astype(np.int8))
-    hot = np.flatnonzero((rows.column("parts").to_numpy() > 1)[row[first]])
+    hot = np.flatnonzero(rows.column("many").to_numpy(zero_copy_only=False)[row[first]])
     if len(hot):
         f = first[hot]
         start = s1[row[f]] + place[f]
@@ -383,9 +430,8 @@ def remove_repeats(docs: DataFrame, p: Repeats | None = None, id_col: str = "doc
     copies = T.stored(meta.where(F.col("n_bytes") >= p.length).groupBy("th", "n_bytes", "sha").agg(F.count("*").alias("n"), F.min("doc").alias("rep")).where("n > 1"))
 
     anchors = T.stored(src.select("doc", "th", "text").mapInArrow(_anchors(p), _ANCHORS))
-    windows, tables = doubled(anchors, copies.select("th", "rep"))
-    groups = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    lists = T.stored(windows.join(groups, "key").groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "end", "a", "b", "key", "n")).alias("runs")))
+    windows, tables = doubled(anchors, copies.select("th", "rep"), p)
+    lists = T.stored(windows.groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "end", "a", "b", "key", "piece", "many")).alias("runs")))
     T.discard(anchors, *tables)
     filter_ = _bloom(lists.select("doc", "th"), p.bloom_bits)
     bit = F.pmod(F.xxhash64("doc", "th"), F.lit(p.bloom_bits)).alias("bit")
@@ -398,10 +444,8 @@ def remove_repeats(docs: DataFrame, p: Repeats | None = None, id_col: str = "doc
 
     some = src.select("doc", "th", "text", bit).mapInArrow(maybe, "doc long, th long, text string")
     candidates = T.stored(some.join(lists, ["doc", "th"]))
-    parts = F.ceil(F.col("n") / p.piece_rows).cast("int")
-    contexts = candidates.mapInArrow(_contexts(p), "doc long, th long, key long, n long, a int, windows int, back int, raw binary")
-    contexts = contexts.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc", "th", "a"), F.col("parts")).cast("int"))
-    dealt = contexts.drop("n").repartition(n, "key", "part").sortWithinPartitions("key", "part")
+    contexts = candidates.mapInArrow(_contexts(p), "doc long, th long, key long, piece long, many boolean, a int, windows int, back int, raw binary")
+    dealt = contexts.repartition(n, "key", "piece").sortWithinPartitions("key", "piece")
     runs = T.stored(dealt.mapInArrow(_compare(p), _RUNS))
     across = runs.where("kind > 0")
     met = across.groupBy("v").agg(F.count("*").alias("_n")).where("_n > 1")

@@ -64,7 +64,7 @@ def test_ranks(spark):
     r = random.Random(3)
     rows = [(d, 0, r.choice([5, 5, 5, 5, r.randrange(40)]), r.randrange(2)) for d in range(600)] + [(1000, 0, 99, 0)]
     x = spark.createDataFrame(rows, "doc long, i int, u long, w int").repartition(5)
-    got, _ = suffixdedup.ranked(x, ("u", "w"))
+    got, _ = suffixdedup.ranked(x, ("u", "w"), 50)
     of = {d: (u, w) for d, _, u, w in rows}
     seen = Counter(of.values())
     ranks = {}
@@ -74,6 +74,9 @@ def test_ranks(spark):
     assert all(len(x) == 1 for x in ranks.values())
     assert [min(ranks[v]) for v in sorted(ranks)] == sorted(min(x) for x in ranks.values()) and len({min(x) for x in ranks.values()}) == len(ranks)
     assert {d for d, v in of.items() if seen[v] > 1} <= {row.doc for row in found}
+    pieces = Counter((of[row.doc], row.piece) for row in found)
+    assert max(pieces.values()) <= 50 and all(row.many for row in found if seen[of[row.doc]] > 50)
+    assert all(len({row.piece for row in found if of[row.doc] == v}) == 1 for v in {of[row.doc] for row in found if not row.many})
 
 
 def shared_rows():
