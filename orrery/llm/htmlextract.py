@@ -17,10 +17,12 @@ class has on most of them is fixed text, however it is marked up.
 
 A page's text is what stands in its host's slot without fixed text, and without menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments, which elements
-and their class, id and role tell. A slot around an article gives the article alone; a
-slot within one gives all of it, as up to ``1 - inside`` of a host's text, such as titles,
-lies beside the slot. A page without the slot gives its article or main elements, or
-else its body. An article of nothing but fixed text is kept.
+and the words of their class, id and role tell. Where words would put away ``inside`` of a
+host's text or more they mislead: then the slot is that of all text, and they count inside
+it only. A slot around an article gives the article alone; a slot within one gives all of
+it, as up to ``1 - inside`` of a host's text, such as titles, lies beside the slot. A page
+without the slot gives its article or main elements, or else its body. An article of
+nothing but fixed text is kept.
 """
 
 from __future__ import annotations
@@ -81,9 +83,8 @@ class Extraction:
     inside: float = 0.8
 
 
-def _apart(name: str, attrs: str, in_article: bool) -> bool:
-    if name in _APART or (name == "header" and not in_article):
-        return True
+def _told(name: str, attrs: str) -> bool:
+    """Whether the words of an element's class, id or role say that it is no main text."""
     if name in ("html", "body", "main") or not attrs:
         return False
     telling = _WORDS_OF_ARTICLES if name == "article" else _WORDS
@@ -96,6 +97,18 @@ def _apart(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+@dataclass(frozen=True)
+class Block:
+    """A block of text: the path to it, whether it is in an article or main element, and how
+    deep the innermost element is whose words put it away: twice the length of the path to
+    that element, and one more if the path doesn't name it; 0 without one."""
+
+    path: tuple[str, ...]
+    article: bool
+    text: str
+    told: int = 0
+
+
 def _label(name: str, attrs: str) -> str:
     if attrs:
         for m in _ATTR.finditer(attrs):
@@ -104,29 +117,30 @@ def _label(name: str, attrs: str) -> str:
     return name
 
 
-def parse(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], Counter]:
-    """Blocks (path, in an article or main element, text) of a page and the counts of its paths."""
+def parse(page: str) -> tuple[list[Block], Counter]:
+    """Blocks of a page and the counts of its paths."""
     blocks, paths = [], Counter()
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, apart, in article, in path
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, apart, in article, told, in path
     path: list[str] = []
     text: list[str] = []
     apart = article = False
+    told = 0
     where: tuple[str, ...] = ()
 
     def flush():
         if text:
             said = " ".join(html_lib.unescape("".join(text)).split())
             if said:
-                blocks.append((where, article, said))
+                blocks.append(Block(where, article, said, told))
             text.clear()
 
     def pop_to(k: int):
-        nonlocal apart, article, where
-        for _, _, _, named in stack[k:]:
+        nonlocal apart, article, told, where
+        for *_, named in stack[k:]:
             if named:
                 path.pop()
         del stack[k:]
-        apart, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        apart, article, told = stack[-1][1:4] if stack else (False, False, 0)
         where = tuple(path)
 
     at = 0
@@ -172,9 +186,13 @@ def parse(page: str) -> tuple[list[tuple[tuple[str, ...], bool, str]], Counter]:
             path.append(_label(name, attrs))
             where = tuple(path)
             paths[where] += 1
-        apart = apart or _apart(name, attrs, article)
+        apart = apart or name in _APART or (name == "header" and not article)
         article = article or name in ("article", "main")
-        stack.append((name, apart, article, named))
+        if not apart and _told(name, attrs):
+            # within a block words are always believed
+            apart = name not in _BLOCK
+            told = told if apart else 2 * len(path) + (not named)
+        stack.append((name, apart, article, told, named))
     if at < len(page) and not apart:
         text.append(page[at:])
     flush()
@@ -188,7 +206,7 @@ def _hash(*said: str) -> int:
 #: Of the names in a path, those of article and main elements.
 _ARTICLE = re.compile(r"(?:article|main)(?:\.|\Z)")
 #: Kinds: 0 the host's pages, 1 elements, 2 texts; 3, 4 and 5 the same of its articles, each told by the hash of its text.
-_TOKENS = "host string, token long, kind byte, depth int, body long, n long, total long, sig long, chars long"
+_TOKENS = "host string, token long, kind byte, depth int, body long, n long, total long, sig long, chars long, every long"
 
 
 def _article_at(path: tuple[str, ...]) -> int:
@@ -205,59 +223,65 @@ def _tokens(batches):
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             blocks, paths = parse(page or "")
             mark = _hash(page or "")
-            inside: Counter = Counter()
+            inside, everything = Counter(), Counter()
             texts: Counter = Counter()
             within: Counter = Counter()
-            for path, article, said in blocks:
-                for k in range(1, len(path) + 1):
-                    inside[path[:k]] += len(said)
-                (within if article else texts)[(path, said)] += 1
-            found = [(0, 0, 0, 0, 1, sum(len(b[2]) for b in blocks))]
-            body = _hash(*(said for _, article, said in blocks if article)) if within else 0
+            for x in blocks:
+                for k in range(1, len(x.path) + 1):
+                    everything[x.path[:k]] += len(x.text)
+                    inside[x.path[:k]] += len(x.text) * (not x.told)
+                (within if x.article else texts)[(x.path, x.text)] += 1
+            found = [(0, 0, 0, 0, 1, sum(len(x.text) for x in blocks if not x.told), sum(len(x.text) for x in blocks))]
+            body = _hash(*(x.text for x in blocks if x.article and not x.told)) if within else 0
             if within:
-                found.append((0, 3, 0, body, 1, 0))
+                found.append((0, 3, 0, body, 1, 0, 0))
             for path, n in paths.items():
                 if path not in known:
                     known[path] = _hash(*path)
-                found.append((known[path], 1, len(path), 0, n, inside[path]))
+                found.append((known[path], 1, len(path), 0, n, inside[path], everything[path]))
                 if within and _article_at(path):
-                    found.append((known[path], 4, len(path), body, n, 0))
+                    found.append((known[path], 4, len(path), body, n, 0, 0))
             for kind, of, said_in in ((2, 0, texts), (5, body, within)):
-                found += [(_hash(*path, "", said), kind, len(path), of, n, n * len(said)) for (path, said), n in said_in.items()]
-            for token, kind, depth, of, n, chars in found:
-                got = rows.setdefault((host, token, kind, of), [depth, 0, 0, 0, 0])
+                found += [(_hash(*path, "", said), kind, len(path), of, n, 0, 0) for (path, said), n in said_in.items()]
+            for token, kind, depth, of, n, chars, every in found:
+                got = rows.setdefault((host, token, kind, of), [depth, 0, 0, 0, 0, 0])
                 got[1] += 1
                 got[2] += n
                 got[3] ^= int(T.mix(np.uint64(mark & 0xFFFFFFFFFFFFFFFF) + np.uint64(n)).view(np.int64)) if kind in (1, 2) else 0
                 got[4] += chars
-        cols = list(zip(*((h, t, k, v[0], b, *v[1:]) for (h, t, k, b), v in rows.items()), strict=True)) or [[]] * 9
-        kinds = (pa.string(), pa.int64(), pa.int8(), pa.int32(), *[pa.int64()] * 5)
+                got[5] += every
+        cols = list(zip(*((h, t, k, v[0], b, *v[1:]) for (h, t, k, b), v in rows.items()), strict=True)) or [[]] * 10
+        kinds = (pa.string(), pa.int64(), pa.int8(), pa.int32(), *[pa.int64()] * 6)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in _TOKENS.split(", ")])
 
 
 def templates(pages: DataFrame, p: Extraction) -> DataFrame:
-    """(host, slot, fixed): the path hash of the main slot and the hashes of fixed texts.
+    """(host, slot, fixed, trusted): the path hash of the main slot, the hashes of fixed texts,
+    and whether words put text away.
 
     fixed has at most 1/share times the blocks of a page.
     """
     partial = pages.select("host", "html").mapInArrow(_tokens, _TOKENS)
-    keys, sums = ["host", "token", "kind", "depth"], [F.sum("n").alias("n"), F.sum("total").alias("total"), F.bit_xor("sig").alias("sig"), F.sum("chars").alias("chars")]
+    keys, sums = ["host", "token", "kind", "depth"], [F.bit_xor("sig").alias("sig"), *(F.sum(c).alias(c) for c in ("n", "total", "chars", "every"))]
     one = partial.groupBy(*keys, "body").agg(*sums)
     # an article counts once, on however many pages it is
     inner, times = F.col("kind") >= 3, F.ceil(F.col("total") / F.col("n"))
-    one = one.select(*keys, F.when(inner, 1).otherwise(F.col("n")).alias("n"), F.when(inner, times).otherwise(F.col("total")).alias("total"), F.when(inner, F.xxhash64("body", times)).otherwise(F.col("sig")).alias("sig"), "chars")
+    one = one.select(*keys, F.when(inner, 1).otherwise(F.col("n")).alias("n"), F.when(inner, times).otherwise(F.col("total")).alias("total"), F.when(inner, F.xxhash64("body", times)).otherwise(F.col("sig")).alias("sig"), "chars", "every")
     # most texts of articles are on too few to be fixed, and no class of theirs is used
     token = T.stored(one.groupBy(*keys).agg(*sums).where((F.col("kind") != 5) | (F.col("n") >= p.least)).withColumn("inner", inner))
-    host = token.where("kind in (0, 3)").select("host", "inner", F.col("n").alias("pages"), F.col("chars").alias("all_chars"))
+    trusted = (F.col("n") < p.least) | (F.col("every") == 0) | (F.col("chars") > F.col("every") * F.lit(1 - p.inside))
+    host = token.where("kind in (0, 3)").select("host", "inner", F.col("n").alias("pages"), trusted.alias("trusted"), F.when(trusted, F.col("chars")).otherwise(F.col("every")).alias("whole"))
     often = token.where("kind not in (0, 3)").join(host, ["host", "inner"]).where(F.col("n") >= p.share * F.col("pages"))
-    classes = often.groupBy("host", "inner", "n", "total", "sig").agg(F.collect_list(F.struct("kind", "depth", "token", "chars")).alias("x"), F.first("pages").alias("pages"), F.first("all_chars").alias("all_chars"))
-    valid = classes.where((F.size("x") >= 2) | (F.col("pages") == 1)).withColumn("y", F.explode("x")).select("host", "n", "total", "pages", "all_chars", "y.*")
-    holds = (F.col("kind") == 1) & (F.col("n") == F.col("total")) & (F.col("chars") >= p.inside * F.col("all_chars"))
+    often = often.withColumn("chars", F.when(F.col("trusted"), F.col("chars")).otherwise(F.col("every")))
+    classes = often.groupBy("host", "inner", "n", "total", "sig").agg(F.collect_list(F.struct("kind", "depth", "token", "chars")).alias("x"), *(F.first(c).alias(c) for c in ("pages", "whole", "trusted")))
+    valid = classes.where((F.size("x") >= 2) | (F.col("pages") == 1)).withColumn("y", F.explode("x")).select("host", "n", "total", "pages", "whole", "trusted", "y.*")
+    holds = (F.col("kind") == 1) & (F.col("n") == F.col("total")) & (F.col("chars") >= p.inside * F.col("whole"))
     fixed = ((F.col("kind") == 2) & (F.col("pages") >= p.least)) | (F.col("kind") == 5)
-    return valid.groupBy("host").agg(F.max(F.when(holds, F.struct("depth", "chars", "token")))["token"].alias("slot"), F.collect_list(F.when(fixed, F.col("token"))).alias("fixed"))
+    slot = F.max(F.when(holds, F.struct("depth", "chars", "token")))["token"]
+    return valid.groupBy("host").agg(slot.alias("slot"), F.collect_list(F.when(fixed, F.col("token"))).alias("fixed"), F.bool_and("trusted").alias("trusted"))
 
 
-def main_text(page: str, slot: int | None, fixed: frozenset[int], known: dict) -> str:
+def main_text(page: str, slot: int | None, fixed: frozenset[int], known: dict, trusted: bool = True) -> str:
     """The blocks of a page's main slot, joined by an empty line."""
 
     def code(path):
@@ -266,19 +290,18 @@ def main_text(page: str, slot: int | None, fixed: frozenset[int], known: dict) -
         return known[path]
 
     blocks, _ = parse(page)
-    bounds = set()
-    for path, _, _ in blocks if slot is not None else ():
-        k = next((k for k in range(1, len(path) + 1) if code(path[:k]) == slot), 0)
-        if k:
-            bounds.add(path[: _article_at(path[:k]) or k])
-    found = [b for b in blocks if any(b[0][:k] in bounds for k in range(1, len(b[0]) + 1))] if bounds else []
-    found = found or [b for b in blocks if b[1]] or blocks
-    if any(b[1] for b in found):
-        found = [b for b in found if b[1]]
-    left = [b for b in found if not fixed or _hash(*b[0], "", b[2]) not in fixed]
+    at = {b.path: next((k for k in range(1, len(b.path) + 1) if code(b.path[:k]) == slot), 0) for b in blocks} if slot is not None else {}
+    # words count anywhere, or where they mislead below the slot alone
+    blocks = [b for b in blocks if not b.told or (not trusted and at.get(b.path, 0) and b.told <= 2 * at[b.path])]
+    bounds = {b.path[: _article_at(b.path[: at[b.path]]) or at[b.path]] for b in blocks if at.get(b.path)}
+    found = [b for b in blocks if any(b.path[:k] in bounds for k in range(1, len(b.path) + 1))] if bounds else []
+    found = found or [b for b in blocks if b.article] or blocks
+    if any(b.article for b in found):
+        found = [b for b in found if b.article]
+    left = [b for b in found if not fixed or _hash(*b.path, "", b.text) not in fixed]
     if not left:
-        left = [b for b in found if b[1]]
-    return "\n\n".join(said for _, _, said in left)
+        left = [b for b in found if b.article]
+    return "\n\n".join(b.text for b in left)
 
 
 def extract(pages: DataFrame, p: Extraction | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -300,8 +323,8 @@ def extract(pages: DataFrame, p: Extraction | None = None, id_col: str = "page_i
         for batch in batches:
             if len(seen) > 100_000:
                 seen.clear()
-            slots, lists = batch.column("slot").to_pylist(), batch.column("fixed").to_pylist()
-            texts = [main_text(h or "", s, frozenset(x or ()), seen) for h, s, x in zip(batch.column("html").to_pylist(), slots, lists, strict=True)]
+            given = (batch.column(c).to_pylist() for c in ("html", "slot", "fixed", "trusted"))
+            texts = [main_text(h or "", s, frozenset(x or ()), seen, t is not False) for h, s, x, t in zip(*given, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return src.join(known, "host", "left").select("page_id", "url", "html", "slot", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return src.join(known, "host", "left").select("page_id", "url", "html", "slot", "fixed", "trusted").mapInArrow(run, "page_id long, url string, text string, n_chars long")

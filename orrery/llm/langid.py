@@ -1,16 +1,15 @@
 """Language identification with hyperdimensional letter-trigram profiles.
 
-Each letter has a random vector of +1 and -1. A trigram binds the vectors of its three
-letters, permuted (rotated) by their place, into their element-wise product; a text
-bundles its trigrams into their sum; a language's prototype bundles its training texts.
-A text goes to the language whose prototype has the largest cosine with its bundle.
-
-Bundles are sums, so the inner product of a text with a prototype is the sum of its
-trigrams' inner products with it. These are tabulated once per language, and a text
-needs a look-up per letter instead of a vector operation. The table that tasks share has
-SYMBOLS**3 numbers for each language, 3.5 MB, whatever the number of documents. The norm of a text's bundle is taken as
-sqrt(dimensions * sum of squared trigram counts), its value for independent letter
-vectors: it is the same for all languages and touches the score alone.
+Each letter of any script has a random vector of +1 and -1, drawn by a hash of its code
+point. A trigram binds the vectors of its three letters, permuted (rotated) by their place,
+into their element-wise product; a text bundles its trigrams into their sum; a language's
+prototype bundles its training texts. A text goes to the language whose prototype has the
+largest cosine with its bundle.
+
+Bundles of a chunk of texts are one product of two matrices, the counts of its distinct
+trigrams and their vectors, a block of trigrams at a time. They hold whole numbers and add
+up in any order, so tasks hand on one vector for each language, and a model is as large as
+the languages times the dimensions, whatever the number of documents or letters.
 """
 
 from __future__ import annotations
@@ -24,41 +23,33 @@ from pyspark.sql import functions as F
 
 from orrery.llm import textops as T
 
-#: Symbols: 0 the gap between words, a-z, the Latin-1 small letters from U+00DF, then other letters by code point.
-GAP, LATIN, SYMBOLS = 0, 59, 96
+#: The symbol between words; other symbols are the code points of lower-cased letters.
+GAP = 0
+_BITS = 21
+#: Distinct trigrams whose vectors are held at once, and letters that a worker remembers.
+BLOCK, KNOWN = 2048, 8192
 
 
 @dataclass(frozen=True)
 class LangId:
-    """dims: length of the vectors. seed: of the letter vectors."""
+    """dims: length of the vectors, a multiple of 64. seed: of the letter vectors."""
 
     dims: int = 1024
     seed: int = 20408
 
-
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point of the basic plane and above."""
-    table = np.zeros(0x110000, np.uint8)
-    for cp in range(0x110000):
-        c = chr(cp)
-        if c.isalpha():
-            low = ord(c.lower()[0])
-            if 97 <= low <= 122:
-                table[cp] = 1 + low - 97
-            elif 0xDF <= low <= 0xFF:
-                table[cp] = 27 + low - 0xDF - (low > 0xF7)
-            else:
-                table[cp] = LATIN + low % (SYMBOLS - LATIN)
-    return table
+    def __post_init__(self):
+        if self.dims <= 0 or self.dims % 64:
+            raise ValueError("dims must be a multiple of 64")
 
 
 _TABLE: np.ndarray | None = None
 
 
 def symbols() -> np.ndarray:
+    """Symbol of each code point: its lower-cased letter, or the gap."""
     global _TABLE
     if _TABLE is None:
-        _TABLE = _symbol_table()
+        _TABLE = np.fromiter((ord(c.lower()[0]) if (c := chr(n)).isalpha() else GAP for n in range(0x110000)), np.uint32, 0x110000)
     return _TABLE
 
 
@@ -72,65 +63,82 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lens = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     row = np.repeat(np.arange(len(texts)), lens)
     letters = np.bincount(row[sym > 0], minlength=len(texts))
-    keep = np.ones(len(sym), bool)
-    keep[1:] = (sym[1:] > 0) | (sym[:-1] > 0)
-    sym, row = np.concatenate(([0], sym[keep])).astype(np.int64), np.concatenate(([0], row[keep]))
+    keep = sym > 0
+    keep[1:] |= sym[:-1] > 0
+    sym, row = np.concatenate(([GAP], sym[keep])).astype(np.int64), np.concatenate(([0], row[keep]))
     if len(sym) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), letters
-    code = (sym[:-2] * SYMBOLS + sym[1:-1]) * SYMBOLS + sym[2:]
+    code = (((sym[:-2] << _BITS) | sym[1:-1]) << _BITS) | sym[2:]
     # a trigram belongs to its middle letter's text; one centred on a gap spans two words
     mid = (sym[1:-1] > 0) | (row[:-2] == row[2:])
     return code[mid], row[1:-1][mid], letters
 
 
-@T.lean
-def _counts(batches):
-    """Trigram counts per language of each batch."""
-    for batch in batches:
-        lang = batch.column(0).to_pylist()
-        off = T.utf8(batch.column(1))[1]
-        sums: dict[str, np.ndarray] = {}
-        for i, j in T.pieces(off):
-            code, row, _ = trigrams(batch.column(1).slice(i, j - i).fill_null("").to_pylist())
-            names = sorted(set(lang[i:j]))
-            which = np.array([names.index(x) for x in lang[i:j]])[row] if len(row) else row
-            for n, name in enumerate(names):
-                got = np.bincount(code[which == n], minlength=SYMBOLS**3)
-                sums[name] = sums[name] + got if name in sums else got
-        for name, got in sums.items():
-            at = np.flatnonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(got[at])], ["lang", "code", "n"])
-
-
-def letter_vectors(p: LangId) -> np.ndarray:
-    return np.random.default_rng(p.seed).choice(np.array([-1, 1], np.int8), (SYMBOLS, p.dims))
-
-
-def prototypes(langs: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, p: LangId) -> np.ndarray:
-    """The bundle of each language's trigrams."""
-    v = letter_vectors(p)
-    first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
-    out = np.zeros((len(langs), p.dims))
-    for s in range(0, len(code), 4096):
-        c = code[s : s + 4096]
-        bound = first[c // SYMBOLS**2] * second[c // SYMBOLS % SYMBOLS] * v[c % SYMBOLS]
-        for k in np.unique(lang[s : s + 4096]):
-            here = lang[s : s + 4096] == k
-            out[k] += n[s : s + 4096][here].astype(np.float64) @ bound[here]
-    return out
-
-
-def inner_products(protos: np.ndarray, p: LangId) -> np.ndarray:
-    """languages x trigrams: inner product of each trigram's vector with each unit prototype."""
-    v = letter_vectors(p).astype(np.float32)
-    first, second = np.roll(v, 2, axis=1), np.roll(v, 1, axis=1)
-    norm = np.linalg.norm(protos, axis=1, keepdims=True)
-    unit = (protos / np.where(norm > 0, norm, 1)).astype(np.float32)
-    out = np.empty((len(protos), SYMBOLS**3), np.float32)
-    for k, u in enumerate(unit):
-        pairs = ((first * u)[:, None, :] * second[None, :, :]).reshape(SYMBOLS**2, p.dims)
-        out[k] = (pairs @ v.T).ravel()
-    return out
+def letter_vectors(symbol: np.ndarray, p: LangId) -> np.ndarray:
+    """A row of +1 and -1 for each symbol: the bits of hashes of the symbol and a counter."""
+    words = np.arange(p.dims // 64, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        own = T.mix(symbol.astype(np.uint64) + np.uint64(p.seed) * np.uint64(0x9E3779B97F4A7C15))
+        bits = T.mix(own[:, None] + words * np.uint64(0xD1B54A32D192ED03))
+    return (np.unpackbits(bits.astype("<u8").view(np.uint8), axis=1).astype(np.int8) << 1) - 1
+
+
+class Vectors:
+    """The vectors of trigrams; those of letters are remembered, up to KNOWN of them."""
+
+    def __init__(self, p: LangId):
+        self.p, self.at = p, np.zeros(0, np.int64)
+        self.turned: list[np.ndarray] = []
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        parts = [codes >> (2 * _BITS), (codes >> _BITS) & ((1 << _BITS) - 1), codes & ((1 << _BITS) - 1)]
+        new = np.setdiff1d(np.concatenate(parts), self.at)
+        if len(new):
+            self.at = np.unique(np.concatenate(parts)) if len(self.at) + len(new) > KNOWN else np.union1d(self.at, new)
+            v = letter_vectors(self.at, self.p)
+            self.turned = [np.roll(v, 2, axis=1), np.roll(v, 1, axis=1), v]
+        out = np.ones((len(codes), self.p.dims), np.int8)
+        for part, v in zip(parts, self.turned, strict=True):
+            out *= v[np.searchsorted(self.at, part)]
+        return out
+
+
+def bundles(texts: list[str], vectors: Vectors) -> tuple[np.ndarray, np.ndarray]:
+    """The bundle of each text, and its number of letters."""
+    code, row, letters = trigrams(texts)
+    out = np.zeros((len(texts), vectors.p.dims))
+    known, which = np.unique(code, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    which, row = which[order], row[order]
+    cuts = np.searchsorted(which, np.arange(0, len(known) + BLOCK, BLOCK))
+    for n, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        size = min(BLOCK, len(known) - n * BLOCK)
+        count = np.bincount(row[s:e] * size + which[s:e] - n * BLOCK, minlength=len(texts) * size).reshape(len(texts), size)
+        # whole numbers of single precision are exact up to 2**24
+        kind = np.float32 if e - s < 1 << 24 else np.float64
+        out += count.astype(kind) @ vectors.of(known[n * BLOCK : n * BLOCK + size]).astype(kind)
+    return out, letters
+
+
+def _sums(p: LangId):
+    """The bundle of each language in a task, a row for each dimension."""
+
+    @T.lean
+    def run(batches):
+        vectors, sums = Vectors(p), {}
+        for batch in batches:
+            lang = batch.column(0).to_pylist()
+            for i, j in T.pieces(T.utf8(batch.column(1))[1]):
+                found, _ = bundles(batch.column(1).slice(i, j - i).to_pylist(), vectors)
+                names = {x: n for n, x in enumerate(sorted(set(lang[i:j])))}
+                own = np.zeros((len(names), p.dims))
+                np.add.at(own, [names[x] for x in lang[i:j]], found)
+                for x, n in names.items():
+                    sums[x] = sums[x] + own[n] if x in sums else own[n]
+        for name, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * p.dims, pa.string()), pa.array(np.arange(p.dims, dtype=np.int32)), pa.array(total)], ["lang", "dim", "x"])
+
+    return run
 
 
 @dataclass
@@ -143,16 +151,15 @@ class Model:
 def fit(docs: DataFrame, p: LangId | None = None, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Learn the prototypes from all rows with a text and a language.
 
-    Counts are combined per task and then by language and trigram; what reaches the
-    driver is at most one row per language and trigram of the fixed alphabet.
+    What reaches the driver is a number for each language and dimension.
     """
     p = p or LangId()
     src = docs.select(T.column(docs, lang_col, "string").alias("lang"), T.column(docs, text_col, "string").alias("text")).where("lang is not null and text is not null")
-    counts = src.mapInArrow(_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
-    which = counts["lang"].map({x: n for n, x in enumerate(langs)}).to_numpy(np.int64) if len(counts) else np.zeros(0, np.int64)
-    order = np.lexsort((counts["code"].to_numpy(np.int64), which))
-    return Model(langs, prototypes(langs, which[order], counts["code"].to_numpy(np.int64)[order], counts["n"].to_numpy(np.int64)[order], p), p)
+    found = src.mapInArrow(_sums(p), "lang string, dim int, x double").groupBy("lang", "dim").agg(F.sum("x").alias("x")).toPandas()
+    langs = sorted(found["lang"].unique())
+    protos = np.zeros((len(langs), p.dims))
+    protos[found["lang"].map({x: n for n, x in enumerate(langs)}).to_numpy(np.int64), found["dim"].to_numpy(np.int64)] = found["x"].to_numpy(np.float64)
+    return Model(langs, protos, p)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -164,29 +171,27 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     """
     keep = keep or []
     langs, p = model.langs, model.params
-    shared = docs.sparkSession.sparkContext.broadcast(inner_products(model.protos, p)) if langs else None
+    size = np.linalg.norm(model.protos, axis=1, keepdims=True)
+    # languages times dimensions
+    shared = docs.sparkSession.sparkContext.broadcast(model.protos / np.where(size > 0, size, 1))
     source = docs.select(*(F.col(f"`{c}`") for c in keep), T.column(docs, text_col, "string").alias("__text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + "lang_pred string, score double"
 
     @T.lean
     def run(batches):
-        table = shared.value if langs else None
+        protos, vectors = shared.value, Vectors(p)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            off = T.utf8(texts)[1]
-            for i, j in T.pieces(off):
-                code, row, letters = trigrams(texts.slice(i, j - i).fill_null("").to_pylist())
+            for i, j in T.pieces(T.utf8(texts)[1]):
+                found, letters = bundles(texts.slice(i, j - i).fill_null("").to_pylist(), vectors)
                 pred, score = ["und"] * (j - i), np.zeros(j - i)
-                if langs and len(code):
-                    first = np.flatnonzero(np.diff(row, prepend=-1))
-                    dots = np.zeros((len(langs), j - i))
-                    dots[:, row[first]] = np.add.reduceat(table[:, code], first, axis=1, dtype=np.float64)
-                    pair, n = np.unique(row * SYMBOLS**3 + code, return_counts=True)
-                    norm = np.sqrt(p.dims * np.bincount(pair // SYMBOLS**3, n.astype(np.float64) ** 2, j - i))
-                    best = dots.argmax(axis=0)
-                    ok = (letters > 0) & (norm > 0)
-                    score[ok] = np.clip(dots[best, np.arange(j - i)][ok] / norm[ok], 0, 1)
-                    pred = [langs[b] if o else "und" for b, o in zip(best, ok, strict=True)]
+                norm = np.linalg.norm(found, axis=1)
+                ok = (letters > 0) & (norm > 0) & bool(langs)
+                if ok.any():
+                    cosine = found[ok] / norm[ok, None] @ protos.T
+                    score[ok] = np.clip(cosine.max(axis=1), 0, 1)
+                    for n, best in zip(np.flatnonzero(ok), cosine.argmax(axis=1), strict=True):
+                        pred[n] = langs[best]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)

@@ -70,7 +70,7 @@ def op8_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     textops.modest_batches(spark)
-    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+    return pii.digest(table(spark, sf_dir, "documents"))
 
 
 def op10_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,22 +33,62 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_bundles_are_bound_permuted_letters():
-    """The table look-up equals the inner product with a bundle built vector by vector."""
+SCRIPTS = {
+    "el": "ο καιρός ήταν καλός και περπάτησαν μέσα από την παλιά πόλη με τους φίλους τους πριν έρθει το βράδυ",
+    "ru": "погода была хорошая и они гуляли по старому городу со своими друзьями пока не наступил вечер",
+    "bg": "времето беше хубаво и те вървяха през стария град с приятелите си преди да дойде вечерта",
+    "ar": "كان الطقس جميلا وساروا عبر المدينة القديمة مع أصدقائهم قبل أن يأتي المساء",
+    "zh": "天气很好他们在傍晚到来之前和朋友们一起走过老城看到了河边的花园和许多船",
+    "ja": "天気が良かったので彼らは夕方になる前に友達と古い町を歩いて川のそばの庭を見ました",
+} | SPEECH
+
+
+def plain_bundle(text, p):
+    """Letter by letter and trigram by trigram."""
     import numpy as np
 
-    p = langid.LangId(dims=256)
-    v = langid.letter_vectors(p).astype(float)
-    text = "an old map"
-    code, _, _ = langid.trigrams([text])
-    bundle = np.zeros(256)
-    sym = [0] + [0 if c == " " else ord(c) - 96 for c in text] + [0]
+    def vector(symbol):
+        return langid.letter_vectors(np.array([symbol]), p)[0].astype(float)
+
+    sym = [0]
+    for c in text:
+        s = ord(c.lower()[0]) if c.isalpha() else 0
+        if s or sym[-1]:
+            sym.append(s)
+    sym += [0] if sym[-1] else []
+    out = np.zeros(p.dims)
     for a, b, c in zip(sym, sym[1:], sym[2:], strict=False):
-        bundle += np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
-    proto = langid.prototypes(["x"], np.zeros(len(code), int), code, np.ones(len(code), int), p)[0]
-    assert np.allclose(proto, bundle)
-    table = langid.inner_products(proto[None], p)
-    assert np.isclose(table[0][code].sum(), bundle @ bundle / np.linalg.norm(bundle), rtol=1e-4)
+        out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    return out
+
+
+def test_cosines_of_all_scripts(spark, monkeypatch):
+    """Predictions and scores equal those of bundles made vector by vector, for nine languages in six scripts."""
+    import numpy as np
+
+    p = langid.LangId(dims=256)
+    rows = []
+    for lang, text in SCRIPTS.items():
+        for k in range(6):
+            at = k * len(text) // 9
+            rows.append((len(rows), text[at : at + len(text) // 2] + "! 12 " * (k % 3), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs.where("doc_id % 3 <> 1"), p)
+    plain = {n: plain_bundle(t, p) for n, t, _ in rows}
+    protos = {x: sum(plain[n] for n, _, y in rows if y == x and n % 3 != 1) for x in SCRIPTS}
+    assert model.langs == sorted(SCRIPTS) and all(np.array_equal(model.protos[n], protos[x]) for n, x in enumerate(model.langs))
+    got = langid.predict(docs, model, keep=["doc_id", "lang"]).collect()
+    for r in got:
+        cosine = {x: plain[r.doc_id] @ v / np.linalg.norm(plain[r.doc_id]) / np.linalg.norm(v) for x, v in protos.items()}
+        assert r.lang_pred == max(cosine, key=cosine.get) == r.lang and np.isclose(r.score, cosine[r.lang_pred])
+    # letters that a worker has no room to remember, and trigrams in many blocks, change nothing
+    monkeypatch.setattr(langid, "KNOWN", 8)
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    found, _ = langid.bundles([t for _, t, _ in rows], langid.Vectors(p))
+    assert all(np.array_equal(found[n], plain[n]) for n in plain)
+    # a script that no prototype knows stays at the noise of independent vectors
+    strange = langid.predict(spark.createDataFrame([("ქართული ენა არის ძველი და ლამაზი",)], "text string"), model).first()
+    assert strange.score < 5 / p.dims**0.5
 
 
 def test_language_edge_cases(odd_docs, odd_rows, no_docs):
@@ -96,7 +136,7 @@ def base_spans(text):
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_base_spans(text):
-    got = [(s, k, e) for s, k, e, _ in pii.find(text, pii.Pii()) if k != "iban"]
+    got = [(s, k, e) for s, k, e, _ in pii.find(text, pii.Pii()) if k in pii.BASE]
     assert got == base_spans(text)
 
 
@@ -111,11 +151,46 @@ def test_iban_checksum_context_and_masks():
     assert pii.mask(t, pii.find(t, p)) == "mail <EMAIL> or <IP>"
 
 
+CODE = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+IBAN = "DE89370400440532013000"
+
+
+@pytest.mark.parametrize(
+    "text, kept, score",
+    [
+        (f"to {IBAN} now", True, 0.7), (f"the bank has {IBAN} now", True, 0.9), (f"phone {IBAN} now", True, 0.5), (f"phone {IBAN} server", False, None),
+        (f"phone, konto {IBAN} server", True, 0.9), (f"banks {IBAN} accounts", True, 0.7), (f"phone {'x' * 40} {IBAN} {'x' * 40} server", True, 0.7),
+        (f"commit {CODE} is in", False, None), (f'token = "{CODE}" is in', True, 0.6), (f"{CODE} is the api key", True, 0.6), (f"phone secret {CODE} call", True, 0.6), (f"phone {CODE}", False, None),
+        (f"key {'a' * 40}", False, None), (f"key {IBAN}", True, 0.5),
+    ],
+)
+def test_context_keeps_and_drops(text, kept, score):
+    """The same IBAN, or code, stays or goes by the words beside it."""
+    found = [(k, v) for _, k, _, v in pii.find(text, pii.Pii())]
+    assert found == ([("iban" if IBAN in text else "secret", score)] if kept else [])
+
+
+def test_pii_digest_and_spans(spark):
+    rows = [(n, t) for n, t in enumerate([*TEXTS, f"phone {IBAN} server 1.2.3.4", f"key {CODE} a@b.cd " * 3000, None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {n: pii.find(t or "", pii.Pii()) for n, t in rows}
+    for r in pii.digest(docs).collect():
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for s, k, e, _ in want[r.doc_id])
+        assert r.scores == ",".join(f"{v:.2f}" for *_, v in want[r.doc_id])
+        base = base_spans(rows[r.doc_id][1] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, k, _ in base) for x in pii.BASE]
+    for r in pii.detect(docs, masked=True).collect():
+        assert [(x.start, x.kind, x.end, x.score) for x in r.spans] == want[r.doc_id]
+        assert r.masked == (None if rows[r.doc_id][1] is None else pii.mask(rows[r.doc_id][1], want[r.doc_id]))
+
+
 def test_pii_edge_cases(odd_docs, odd_rows, no_docs):
-    got = pii.digest(pii.detect(odd_docs, masked=True, keep=("a b",))).collect()
+    got = pii.digest(odd_docs).collect()
     assert len(got) == len(odd_rows)
     none = hashlib.sha256(b"").hexdigest()
     assert {r.base_sha256 for r in got} == {none} and {r.spans for r in got} == {""}
+    assert len(pii.detect(odd_docs, masked=True, keep=("a b",)).collect()) == len(odd_rows)
     assert pii.detect(no_docs).count() == 0
 
 
@@ -313,6 +388,79 @@ def test_template_inside_articles(spark):
     assert got[50] == "One\n\nNotice" and got[61] == "Text 1\n\nNotice"
 
 
+def test_misleading_class_names(spark):
+    """Where words would put a host's articles away the template decides; its comments still go."""
+    rows, want = [], {}
+    for k in range(8):
+        body = [prose(900 + k * 10 + j, 40) for j in range(3)]
+        html = f"<html><body><div class=related-list><p>See also {k}</p></div><div class=social-comment-body>{''.join(f'<p>{b}</p>' for b in body)}<div class=comments><p>Nice {k}</p></div></div><div class=q9><p>Kept rights</p></div></body></html>"
+        rows.append((k, f"http://mislead.host/{k}", html))
+        want[k] = "\n\n".join(body)
+    # on a host of two pages there is no telling
+    rows += [(50 + k, f"http://few.host/{k}", f"<html><body><div class=comments><p>{prose(k, 40)}</p></div><div><p>Main {k}</p></div></body></html>") for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in htmlextract.extract(pages).collect()}
+    assert {k: got[k] for k in want} == want
+    assert got[50] == "Main 0" and got[51] == "Main 1"
+
+
+def test_classes_against_whole_vectors(spark):
+    """Slots and fixed texts are those of classes found by comparing occurrence vectors as a whole."""
+    import random
+    from collections import defaultdict
+
+    r = random.Random(4)
+    p = htmlextract.Extraction()
+    rows = []
+    for h in range(5):
+        parts = [f"<div class=k{h}{j}><p>Line {h} {j}</p>" + "{}</div>" for j in range(4)]
+        for k in range(r.choice((1, 2, 5, 9))):
+            some = [x.format(f"<p>{prose(1000 * h + 10 * k + j, 12 if j == 1 else 2)}</p>") for j, x in enumerate(parts) if r.random() < 0.8]
+            inside = f"<article><p>{prose(r.randrange(3), 9)}</p><p>Shared {h}</p></article>" * (r.random() < 0.5)
+            rows.append((h, f"http://h{h}.x/{k}", "<html><body>" + "".join(some) + inside + "</body></html>"))
+    pages = spark.createDataFrame([(f"h{h}", t) for h, _, t in rows], "host string, html string").repartition(3)
+    got = {x.host: (x.slot, set(x.fixed)) for x in htmlextract.templates(pages, p).collect()}
+    for h in range(5):
+        parsed = [htmlextract.parse(t) for i, _, t in rows if i == h]
+        tokens = defaultdict(dict)  # (kind, token) -> place -> occurrences
+        chars, paths = defaultdict(int), {}
+        articles = {}
+        for n, (blocks, counts) in enumerate(parsed):
+            for path, c in counts.items():
+                tokens[1, htmlextract._hash(*path)][n] = c
+                paths[htmlextract._hash(*path)] = path
+            for b in blocks:
+                for k in range(1, len(b.path) + 1):
+                    chars[htmlextract._hash(*b.path[:k])] += len(b.text)
+                if not b.article:
+                    token = htmlextract._hash(*b.path, "", b.text)
+                    tokens[2, token][n] = tokens[2, token].get(n, 0) + 1
+            if any(b.article for b in blocks):
+                articles[tuple(b.text for b in blocks if b.article)] = blocks, counts
+        inner = defaultdict(dict)
+        for n, (blocks, counts) in enumerate(articles.values()):
+            for path, c in counts.items():
+                if htmlextract._article_at(path):
+                    inner[4, htmlextract._hash(*path)][n] = c
+            for b in blocks:
+                if b.article:
+                    token = htmlextract._hash(*b.path, "", b.text)
+                    inner[5, token][n] = inner[5, token].get(n, 0) + 1
+        slots, fixed = [], set()
+        whole = sum(len(b.text) for blocks, _ in parsed for b in blocks)
+        for found, size in ((tokens, len(parsed)), (inner, len(articles))):
+            classes = defaultdict(list)
+            for (kind, token), vector in found.items():
+                if len(vector) >= p.share * size and (kind != 5 or len(vector) >= p.least):
+                    classes[tuple(sorted(vector.items()))].append((kind, token))
+            for vector, members in classes.items():
+                if len(members) >= 2 or size == 1:
+                    once = all(c == 1 for _, c in vector)
+                    slots += [(len(paths[t]), chars[t], t) for kind, t in members if kind == 1 and once and chars[t] >= p.inside * whole]
+                    fixed |= {t for kind, t in members if kind == 5 or (kind == 2 and size >= p.least)}
+        assert got[f"h{h}"] == (max(slots)[2] if slots else None, fixed)
+
+
 def test_html_edge_cases(spark):
     rows = [(1, None, None), (2, "http://a/", ""), (None, "nothing", "<p>x"), (3, "http://a/", "plain & simple"), (3, "http://a/", "plain & simple"), (4, "http://b/", "<" * 2000), (5, "http://b/", "<a href='" * 500), (6, "http://c/", "<article>" + "<div>" * 3000 + "deep")]
     pages = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, fixed string, token int").repartition(2)
