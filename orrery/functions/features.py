@@ -291,3 +291,152 @@ def area_near(points: DataFrame, atoms: DataFrame, r: float = 6.0, per_residue:
         near = near.select("id", "residue_r").distinct().join(whole, "residue_r").withColumnRenamed("_a", "asa_r")
     got = near.groupBy("id").agg(F.sum("asa_r").alias("asa"))
     return points.select("id").join(got, "id", "left").na.fill(0.0)
+
+
+#: The residue columns of the chemical feature, looked up in a property table.
+CHEM_RESIDUE = (
+    "hydrophobic", "hydrophilic", "hydrophatyIndex", "aliphatic", "aromatic", "sulfur", "hydroxyl", "basic", "acidic", "amide", "posCharge", "negCharge",
+    "hBondDonor", "hBondAcceptor", "hBondDonorAcceptor", "polar", "ionizable", "atoms",
+)
+#: Its columns of single atoms.
+CHEM_ATOM = ("atomDensity", "atomC", "atomO", "atomN", "hDonorAtoms", "hAcceptorAtoms")
+#: Side chain atoms that give a hydrogen bond, and those that take one.
+DONORS = {"ARG": "NE NH1 NH2", "ASN": "ND2", "GLN": "NE2", "HIS": "ND1 NE2", "LYS": "NZ", "SER": "OG", "THR": "OG1", "TRP": "NE1", "TYR": "OH"}
+ACCEPTORS = {"ASN": "OD1", "ASP": "OD1 OD2", "GLN": "OE1", "GLU": "OE1 OE2", "HIS": "ND1 NE2", "SER": "OG", "THR": "OG1", "TYR": "OH"}
+#: Columns of the pharmacophore table, and those used of the atom and residue tables.
+VOLSITE = ("vsAromatic", "vsCation", "vsAnion", "vsHydrophobic", "vsAcceptor", "vsDonor")
+ATOM_TABLE = ("apRawValids", "apRawInvalids", "atomicHydrophobicity")
+RESIDUE_TABLE = ("aa5fact1", "aa5fact2", "aa5fact3", "aa5fact4", "aa5fact5")
+#: Structural motifs looked for by default.
+MOTIFS = ("C2H2", "C4", "C3H1", "E1H2", "C2H1", "H3", "D1H2", "C3", "D1H1", "E1H1", "C1H3", "C2", "H2")
+#: Secondary structure types, and the simple type of each.
+SS_TYPES = {"G": "H", "H": "H", "I": "H", "E": "E", "B": "E", "T": "C", "S": "C", "C": "C"}
+SECTION = ("length", "pos", "rel_pos", "abs_side", "rel_side")
+
+
+def chem(atoms: DataFrame, table: DataFrame) -> DataFrame:
+    """Residue constants by three-letter code (table: key and CHEM_RESIDUE), element flags and bonds of the atom."""
+    x = table_values(atoms.select("id", "res_name", "name", "element"), "res_name", table, list(CHEM_RESIDUE))
+    first = F.when(F.col("element").isin("C", "O", "N"), F.col("element")).otherwise(F.substring("name", 1, 1))
+    of = lambda named: F.concat_ws(".", "res_name", "name").isin([f"{r}.{a}" for r, names in named.items() for a in names.split()])
+    flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    return x.select(
+        "id", *CHEM_RESIDUE, F.lit(1.0).alias("atomDensity"), *(flag(first == e).alias(f"atom{e}") for e in "CON"),
+        flag(of(DONORS)).alias("hDonorAtoms"), flag(of(ACCEPTORS)).alias("hAcceptorAtoms"),
+    )
+
+
+def by_atom_name(atoms: DataFrame, table: DataFrame, columns: tuple[str, ...], power: float = 1.0, keep_sign: bool = True) -> DataFrame:
+    """Columns of a table keyed by `RES.ATOM`."""
+    x = atoms.select("id", F.concat_ws(".", "res_name", "name").alias("_key"))
+    return table_values(x, "_key", table, list(columns), power, keep_sign).select("id", *columns)
+
+
+def by_residue(rows: DataFrame, table: DataFrame, columns: tuple[str, ...], power: float = 1.0, keep_sign: bool = True) -> DataFrame:
+    """Columns of a table keyed by the corrected three-letter code."""
+    x = rows.select("id", corrected_code(F.col("res_name")).alias("_key"))
+    return table_values(x, "_key", table, list(columns), power, keep_sign).select("id", *columns)
+
+
+def residue_value(rows: DataFrame, scores: DataFrame, name: str) -> DataFrame:
+    """The score of each row's residue, 0 without one. scores: residue, score."""
+    return rows.select("id", "residue").join(scores.select("residue", F.col("score").alias(name)), "residue", "left").select("id", F.coalesce(name, F.lit(0.0)).alias(name))
+
+
+def pair_histogram(points: DataFrame, atoms: DataFrame, r: float, bins: int = 10, smooth: bool = True) -> DataFrame:
+    """Per point: histogram of the distances, 0 to 2 r, between the atoms within r of it, each pair once."""
+    from orrery.operators.aggregate import fixed_bin, smooth_bins
+
+    near = S.radius_join(points.select("id", *S.XYZ), atoms.select("id", *S.XYZ), r).select("id", F.col("id_r").alias("atom"), *(F.col(f"{c}_r").alias(c) for c in S.XYZ))
+    other = near.select("id", *(F.col(c).alias(f"{c}_r") for c in ("atom", *S.XYZ)))
+    pairs = near.join(other, "id").where("atom < atom_r").select("id", F.sqrt(S.d2()).alias("dist"))
+    if smooth:
+        share = pairs.select("id", F.explode(smooth_bins(F.col("dist"), 0.0, 2 * r, bins)).alias("b")).select("id", "b.bin", "b.share")
+    else:
+        share = pairs.select("id", fixed_bin(F.col("dist"), 0.0, 2 * r, bins).alias("bin"), F.lit(1.0).alias("share"))
+    got = share.groupBy("id").agg(*(F.sum(F.when(F.col("bin") == i, F.col("share")).otherwise(0.0)).alias(f"b{i}") for i in range(bins)))
+    return points.select("id").join(got, "id", "left").na.fill(0.0)
+
+
+def ss_features(residues: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Place in the section of equal secondary structure, and the type as flags. residues: id, ss."""
+    from orrery.operators.windows import islands
+
+    x = section_features(islands(residues, by, order, "ss"))
+    return x.select("id", *(F.col(c).cast("double").alias(c) for c in SECTION), *one_hot(F.col("ss"), list(SS_TYPES), "type_"))
+
+
+def simple_ss(ss: Column) -> Column:
+    """H, E or C of a secondary structure type."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in SS_TYPES.items() for v in kv]), ss), F.lit("C"))
+
+
+def ss_cloud(points: DataFrame, atoms: DataFrame, r: float) -> DataFrame:
+    """Shares of the simple types among the atoms within r. atoms: ss."""
+    near = S.radius_join(points.select("id", *S.XYZ), atoms.select("ss", *S.XYZ), r)
+    got = near.groupBy("id").agg(*(F.avg((simple_ss(F.col("ss_r")) == t).cast("double")).alias(t) for t in "HEC"))
+    return points.select("id").join(got, "id", "left").na.fill(0.0)
+
+
+def pair_propensity(residues: DataFrame, table: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Product of the propensities of a residue's two pairs. table: key, propensity."""
+    from orrery.operators.windows import duplets
+
+    x = table_values(duplets(residues, by, order, "letter").select("id", "duplet"), "duplet", table, ["propensity"])
+    two = x.groupBy("id").agg(F.min("propensity").alias("a"), F.max("propensity").alias("b"))
+    return two.select("id", propensity_product(F.col("a"), F.col("b")).alias("duplets"))
+
+
+def triplet_propensity(residues: DataFrame, table: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The propensity of a residue with both neighbours. table: key, propensity."""
+    from orrery.operators.windows import triplets
+
+    x = triplets(residues, by, order, "letter").select("id", "triplet")
+    return table_values(x, "triplet", table, ["propensity"]).select("id", F.col("propensity").alias("triplets"))
+
+
+def motif_flags(points: DataFrame, residues: DataFrame, n: int = 8, r: float = 4.0, motifs: tuple[str, ...] = MOTIFS) -> DataFrame:
+    """Whether the letters of the residues near a point hold each motif."""
+    x = nearest_letters(points, residues, n, r)
+    return x.select("id", *(has_motif(F.col("letters"), m).cast("double").alias(m) for m in motifs))
+
+
+def nearest_code(points: DataFrame, atoms: DataFrame) -> DataFrame:
+    """The type of the residue nearest to each point, as flags."""
+    near = S.nearest(points, atoms, 6.0).join(atoms.select(F.col("id").alias("id_r"), "res_name"), "id_r")
+    return near.select("id", *one_hot(corrected_code(F.col("res_name")), sorted(AMINO_ACIDS), ""))
+
+
+def index_feature(name: str, columns: tuple[str, ...], kind: str = "atom") -> Feature:
+    """A feature of an amino acid index table with the given columns."""
+    return Feature(name, kind, columns, lambda rows, table, power=1.0, **_: by_residue(rows, table, columns, power))
+
+
+def csv_feature(name: str, kind: str, columns: tuple[str, ...]) -> Feature:
+    """A feature of a file read by ``sources.tables.csv_features``."""
+    from orrery.sources.tables import with_csv_features
+
+    return Feature(name, kind, columns, lambda rows, table, missing=0.0, **_: with_csv_features(rows, kind, table, missing).select("id", *columns))
+
+
+for _f in (
+    Feature("chem", "atom", CHEM_RESIDUE + CHEM_ATOM, lambda atoms, table, **_: chem(atoms, table)),
+    Feature("volsite", "atom", VOLSITE, lambda atoms, table, **_: by_atom_name(atoms, table, VOLSITE)),
+    Feature("atom_table", "atom", ATOM_TABLE, lambda atoms, table, power=1.0, keep_sign=True, **_: by_atom_name(atoms, table, ATOM_TABLE, power, keep_sign)),
+    Feature("residue_table", "residue", RESIDUE_TABLE, lambda residues, table, power=1.0, keep_sign=True, **_: by_residue(residues, table, RESIDUE_TABLE, power, keep_sign)),
+    Feature("conservation", "atom", ("conservation",), lambda atoms, scores, **_: residue_value(atoms, scores, "conservation")),
+    Feature("conserv", "residue", ("conserv",), lambda residues, scores, **_: residue_value(residues, scores, "conserv")),
+    Feature("conservationcloud", "sas", ("mean",), lambda points, atoms, radius=10.0, **_: residue_cloud(points, atoms, radius).select("id", "mean")),
+    Feature("pair_hist", "sas", tuple(f"b{i}" for i in range(10)), lambda points, exposed, radius=6.0, smooth=True, **_: pair_histogram(points, exposed, radius, 10, smooth)),
+    Feature("asa", "sas", ("asa",), lambda points, atoms, radius=6.0, **_: area_near(points, atoms, radius)),
+    Feature("asa2", "sas", ("asa",), lambda points, exposed, radius=6.0, **_: area_near(points, exposed, radius)),
+    Feature("asares", "sas", ("asa",), lambda points, atoms, radius=6.0, **_: area_near(points, atoms, radius, per_residue=True)),
+    Feature("cres1", "sas", tuple(sorted(AMINO_ACIDS)), lambda points, atoms, **_: nearest_code(points, atoms)),
+    Feature("ss", "residue", (*SECTION, *(f"type_{t}" for t in SS_TYPES)), lambda residues, by, order, **_: ss_features(residues, by, order)),
+    Feature("sss", "residue", ("H", "E", "C"), lambda residues, **_: residues.select("id", *one_hot(simple_ss(F.col("ss")), ["H", "E", "C"], ""))),
+    Feature("ss_cloud", "sas", ("H", "E", "C"), lambda points, atoms, radius=10.0, **_: ss_cloud(points, atoms, radius)),
+    Feature("duplets", "residue", ("duplets",), lambda residues, table, by, order, **_: pair_propensity(residues, table, by, order)),
+    Feature("triplets", "residue", ("triplets",), lambda residues, table, by, order, **_: triplet_propensity(residues, table, by, order)),
+    Feature("stmotif", "sas", MOTIFS, lambda points, residues, n=8, radius=4.0, **_: motif_flags(points, residues, n, radius)),
+):
+    register(_f)

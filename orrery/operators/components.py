@@ -1,23 +1,55 @@
 """Connected components of an edge list, for single-linkage clustering.
 
-Labels fall to the least neighbour's label and then jump to their label's label, so
-the number of rounds grows with the logarithm of a component's diameter. Each round is
-a grouped minimum, combined before its shuffle.
+Clusters never leave an item, so the edges of an item meet in one task, which merges them
+there and then. Items with more edges than a task should hold go another way: labels fall
+to the least neighbour's label and then jump to their label's label, so the number of
+rounds grows with the logarithm of a component's diameter, and each round is a grouped
+minimum, combined before its shuffle.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.session import cut
 
+#: Edges of an item that one task merges; 16 bytes each.
+TASK_EDGES = 2_000_000
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node; a component is named by its least node."""
-    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+
+def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of edges and the least node of each one's component."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        before = label.copy()
+        # the least label seen at a root goes to all that point there
+        np.minimum.at(label, before[u], low)
+        np.minimum.at(label, before[v], low)
+        while not np.array_equal(deeper := label[label], label):
+            label = deeper
+        if np.array_equal(label, before):
+            return nodes, nodes[label]
+
+
+def _by_item(edges: DataFrame) -> DataFrame:
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, label = _merged(pdf["u"].to_numpy(), pdf["v"].to_numpy())
+        return pd.DataFrame({"u": u, "label": label})
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.groupBy("item").applyInPandas(merge, f"u {kind}, label {kind}")
+
+
+def _iterated(edges: DataFrame) -> DataFrame:
+    ends = edges.select("u", "v")
     both = cut(ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(nodes.select(F.col(node).alias("u"), F.col(node).alias("label")).distinct())
+    labels = cut(both.select("u").distinct().withColumn("label", F.col("u")))
     while True:
         of_v = labels.select(F.col("u").alias("v"), F.col("label").alias("l_v"))
         least = both.join(of_v, "v").groupBy("u").agg(F.min("l_v").alias("m"))
@@ -25,5 +57,22 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a
         jump = lower.select(F.col("u").alias("label"), F.col("label").alias("deeper"))
         lower = cut(lower.join(jump, "label").select("u", F.least("label", "deeper").alias("label"), "old"))
         if lower.where("label <> old").isEmpty():
-            return lower.select(F.col("u").alias(node), F.col("label").alias("component"))
+            return lower.select("u", "label")
         labels = lower.select("u", "label")
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a", b: str = "b", item: str | None = None, most: int = TASK_EDGES) -> DataFrame:
+    """(node, component) of every node; a component is named by its least node.
+
+    item: column of ``edges`` that no component crosses; without one all edges are one item.
+    Nodes are unique over all items. Items of more than ``most`` edges are merged in rounds.
+    """
+    ends = edges.select((F.col(item) if item else F.lit(0)).alias("item"), F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    ends = cut(ends)
+    large = cut(ends.groupBy("item").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("item"))
+    if large.isEmpty():
+        found = _by_item(ends)
+    else:
+        found = _by_item(ends.join(large, "item", "left_anti")).unionByName(_iterated(ends.join(large, "item", "left_semi")))
+    all_nodes = nodes.select(F.col(node).alias("u")).distinct()
+    return all_nodes.join(found, "u", "left").select(F.col("u").alias(node), F.coalesce("label", "u").alias("component"))

@@ -75,35 +75,59 @@ def class_weights(df: DataFrame, label: str, target: float) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).withColumn("weight", F.when(F.col(label), F.lit(target) / F.col("ratio")).otherwise(1.0)).drop("ratio")
 
 
+def unit(*of: Column | str) -> Column:
+    """A number from 0 to 1 (exclusive) by the MD5 of some values, the same in every engine."""
+    said = F.concat_ws(":", *(c.cast("string") if isinstance(c, Column) else F.col(c).cast("string") for c in of))
+    return F.conv(F.substring(F.md5(said), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
 def random_points(spark, low: tuple[float, float, float], high: tuple[float, float, float], n: int, seed: int = 42) -> DataFrame:
     """n points spread over a box: (id, x, y, z), the same on every run and retry."""
-    unit = lambda k: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), F.lit(1_000_003)) / 1_000_003.0
-    return spark.range(n).select("id", *((F.lit(u) + unit(k) * (v - u)).alias(c) for k, (c, u, v) in enumerate(zip("xyz", low, high, strict=True))))
+    return spark.range(n).select("id", *((F.lit(u) + unit("id", F.lit(seed), F.lit(c)) * (v - u)).alias(c) for c, u, v in zip("xyz", low, high, strict=True)))
+
+
+def _lattice(boxes: DataFrame, by: str, edge: float) -> DataFrame:
+    """Grid points of each box, as by ``spatial.lattice``."""
+    for c in "xyz":
+        width = F.col(f"max_{c}") - F.col(f"min_{c}")
+        start = F.col(f"min_{c}") + (width - edge * F.rint(width / edge))
+        boxes = boxes.withColumn(f"i{c}", F.explode(F.sequence(F.lit(0), F.floor(width / edge).cast("int")))).withColumn(c, start + F.col(f"i{c}") * edge)
+    wide = F.lit(1 << 20).cast("long")
+    return boxes.select(by, ((F.col("ix") * wide + F.col("iy")) * wide + F.col("iz")).alias("id"), "x", "y", "z")
+
+
+def _scattered(boxes: DataFrame, by: str, edge: float, seed: int) -> DataFrame:
+    """Random points of each box, one to each edge**3 of its volume, one at least."""
+    width = {c: F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"}
+    n = F.greatest(F.lit(1), F.floor(width["x"] * width["y"] * width["z"] / F.lit(edge**3)).cast("int"))
+    x = boxes.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
+    return x.select(by, "id", *((F.col(f"min_{c}") + unit(by, "id", F.lit(seed), F.lit(c)) * width[c]).alias(c) for c in "xyz"))
 
 
-def sampled_points(strategy: str, pocket: DataFrame, protein: DataFrame, surface: DataFrame | None = None, most: float = 4.0, least: float = 2.5, edge: float = 2.0) -> DataFrame:
-    """Points to score around a pocket: `surface`, `atoms`, `grid` or `random`.
+def sampled_points(
+    strategy: str, pocket: DataFrame, protein: DataFrame, surface: DataFrame | None = None, most: float = 4.0, least: float = 2.5, edge: float = 2.0, by: str | None = None, seed: int = 42
+) -> DataFrame:
+    """(by,) id, x, y, z of points to score around pockets: `surface`, `atoms`, `grid` or `random`.
 
     Surface points are those within ``most`` of the pocket; grid and random points also
-    keep ``least`` from the protein.
+    keep ``least`` from the protein. by: column that tells pockets, and their proteins and
+    surfaces, apart; each has a box of its own. Ids are unique in a pocket.
     """
     from orrery.operators import spatial as S
 
+    key = by or "_all"
+    named = lambda df: df if by else df.withColumn("_all", F.lit(0))
+    pocket, protein = named(pocket), named(protein)
     if strategy == "atoms":
-        return pocket.select("id", *S.XYZ)
-    if strategy == "surface":
+        out = pocket
+    elif strategy == "surface":
         if surface is None:
             raise ValueError("sampling from the surface needs its points")
-        return S.shell(surface, pocket, most).select("id", *S.XYZ)
-    box = S.bounds(pocket, most).first()
-    low, high = (tuple(float(box[f"{n}_{c}"]) for c in S.XYZ) for n in ("min", "max"))
-    if strategy == "grid":
-        grid = S.lattice(pocket.sparkSession, low, high, edge)
-        wide = 1 << 20
-        grid = grid.select(((F.col("ix") * wide + F.col("iy")) * wide + F.col("iz")).alias("id"), *S.XYZ)
-    elif strategy == "random":
-        volume = (high[0] - low[0]) * (high[1] - low[1]) * (high[2] - low[2])
-        grid = random_points(pocket.sparkSession, low, high, max(1, int(volume / edge**3)))
+        out = S.shell(named(surface), pocket, most, key)
+    elif strategy in ("grid", "random"):
+        boxes = S.bounds(pocket, most, key)
+        points = _lattice(boxes, key, edge) if strategy == "grid" else _scattered(boxes, key, edge, seed)
+        out = S.distant(S.shell(points, pocket, most, key), protein, least, key)
     else:
         raise ValueError(f"unknown strategy: {strategy}")
-    return S.distant(S.shell(grid, pocket, most), protein, least)
+    return out.select(*([by] if by else []), "id", *S.XYZ)

@@ -2,8 +2,9 @@
 
 A plain distance condition would be planned as a nested loop. Points are put into cubes
 with the radius as edge instead, one side is replicated to the 27 cubes around, and an
-equi-join on the cube with a residual distance test gives the exact pairs. Distances
-stay squared.
+equi-join on the cube with a residual distance test gives the exact pairs. Cubes with
+many points are dealt in slices, each of which meets the other side in a task of its own.
+Distances stay squared.
 """
 
 from __future__ import annotations
@@ -28,27 +29,61 @@ def _cells(df: DataFrame, r: float, suffix: str = "") -> DataFrame:
     return df.withColumns({f"_c{c}": F.floor(F.col(c + suffix) / F.lit(float(r))).cast("long") for c in XYZ})
 
 
-def _around(df: DataFrame) -> DataFrame:
-    offsets = F.array(*[F.struct(*(F.lit(v).alias(n) for v, n in zip((i, j, k), XYZ, strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+_CELL = ("_cx", "_cy", "_cz")
+#: Points of a cube that one task compares with the points around.
+CUBE_ROWS = 4096
+
+
+def _around(df: DataFrame, ahead: bool = False) -> DataFrame:
+    """Rows at the 27 cubes around their own, or at their own and the 13 ``ahead`` of it."""
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if not ahead or (i, j, k) >= (0, 0, 0)]
+    offsets = F.array(*[F.struct(*(F.lit(v).alias(n) for v, n in zip(s, XYZ, strict=True)), F.lit(s == (0, 0, 0)).alias("own")) for s in steps])
     df = df.withColumn("_o", F.explode(offsets))
-    return df.withColumns({f"_c{c}": F.col(f"_c{c}") + F.col(f"_o.{c}") for c in XYZ}).drop("_o")
+    return df.withColumns({f"_c{c}": F.col(f"_c{c}") + F.col(f"_o.{c}") for c in XYZ} | {"_own": F.col("_o.own")}).drop("_o")
 
 
-def radius_join(left: DataFrame, right: DataFrame, r: float, item: str | None = None) -> DataFrame:
-    """All pairs with squared distance d2 <= r*r (inclusive). Columns of ``right`` get the suffix _r.
+def _sliced(left: DataFrame, probe: DataFrame, item: str | None, rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with a slice: a cube of many points on the left is dealt in slices, and the
+    right side's points go to each. Without such cubes the joins with their table fall away."""
+    by = [*_CELL, *(["_item"] if item else [])]
+    many = left.groupBy(*by).agg(F.ceil(F.count("*") / rows).cast("int").alias("_slices")).where("_slices > 1")
+    count = F.coalesce("_slices", F.lit(1))
+    place = F.pmod(F.xxhash64(*XYZ, F.monotonically_increasing_id()), count).cast("int")
+    left = left.join(many, by, "left").withColumn("_slice", place).drop("_slices")
+    probe = probe.join(many, by, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), count - 1))).drop("_slices")
+    return left, probe, [*by, "_slice"]
 
-    ``right`` is replicated, so give the smaller side there.
-    """
+
+def _meeting(left: DataFrame, right: DataFrame, r: float, item: str | None, rows: int, ahead: bool) -> DataFrame:
     if r <= 0:
         raise ValueError("the radius must be positive")
     named = right.select(*(F.col(c).alias(f"{c}_r") for c in right.columns))
-    probe = _around(_cells(named, r, "_r"))
-    on = [F.col(f"l.{c}") == F.col(f"p.{c}") for c in ("_cx", "_cy", "_cz")]
+    probe = _around(_cells(named, r, "_r"), ahead)
+    near = _cells(left, r)
     if item:
-        on.append(F.col(f"l.{item}") == F.col(f"p.{item}_r"))
-    pairs = _cells(left, r).alias("l").join(probe.alias("p"), on)
-    keep = [F.col(f"l.{c}") for c in left.columns] + [F.col(f"p.{c}_r") for c in right.columns]
-    return pairs.select(*keep).withColumn("d2", d2()).where(F.col("d2") <= F.lit(float(r) * float(r)))
+        near, probe = near.withColumn("_item", F.col(item)), probe.withColumn("_item", F.col(f"{item}_r"))
+    near, probe, on = _sliced(near, probe, item, rows)
+    pairs = near.join(probe, on).withColumn("d2", d2()).where(F.col("d2") <= F.lit(float(r) * float(r)))
+    return pairs
+
+
+def radius_join(left: DataFrame, right: DataFrame, r: float, item: str | None = None, rows: int = CUBE_ROWS) -> DataFrame:
+    """All pairs with squared distance d2 <= r*r (inclusive). Columns of ``right`` get the suffix _r.
+
+    ``right`` is replicated, so give the smaller side there. rows: points of ``left`` in a
+    cube that meet the other side in one task.
+    """
+    return _meeting(left, right, r, item, rows, False).select(*left.columns, *(f"{c}_r" for c in right.columns), "d2")
+
+
+def close_pairs(points: DataFrame, r: float, item: str | None = None, rows: int = CUBE_ROWS) -> DataFrame:
+    """(item,) id, id_r, d2 of the pairs of points within r of each other, id < id_r, each once.
+
+    A point meets its own cube and half of those around, so no pair is made twice.
+    """
+    own = points.select("id", *XYZ, *([item] if item else []))
+    pairs = _meeting(own, own, r, item, rows, True).where("not _own or id < id_r")
+    return pairs.select(*([item] if item else []), F.least("id", "id_r").alias("id"), F.greatest("id", "id_r").alias("id_r"), "d2").where("id < id_r")
 
 
 def sphere(points: DataFrame, center: tuple[float, float, float], r: float) -> DataFrame:
@@ -60,42 +95,97 @@ def sphere(points: DataFrame, center: tuple[float, float, float], r: float) -> D
 
 
 def shell(points: DataFrame, targets: DataFrame, r: float, item: str | None = None) -> DataFrame:
-    """Points within r of any target, each once; no target, no point."""
-    near = radius_join(points.select("id", *XYZ, *([item] if item else [])), targets.select(*XYZ, *([item] if item else [])), r, item)
-    return points.join(near.select("id").distinct(), "id", "left_semi")
+    """Points within r of any target (of their item), each once; no target, no point."""
+    by = [item] if item else []
+    near = radius_join(points.select("id", *XYZ, *by), targets.select(*XYZ, *by), r, item)
+    return points.join(near.select("id", *by).distinct(), ["id", *by], "left_semi")
 
 
 def distant(points: DataFrame, targets: DataFrame, r: float, item: str | None = None) -> DataFrame:
     """Points at least r away from every target: a point at d2 < r*r is out, one at exactly r stays."""
-    near = radius_join(points.select("id", *XYZ, *([item] if item else [])), targets.select(*XYZ, *([item] if item else [])), r, item)
-    return points.join(near.where(F.col("d2") < float(r) * float(r)).select("id").distinct(), "id", "left_anti")
+    by = [item] if item else []
+    near = radius_join(points.select("id", *XYZ, *by), targets.select(*XYZ, *by), r, item)
+    return points.join(near.where(F.col("d2") < float(r) * float(r)).select("id", *by).distinct(), ["id", *by], "left_anti")
+
+
+#: Steps from a cube to its parent: 4 cubes along each axis.
+_UP = 2
+
+
+def _boxes(targets: DataFrame, edge: float, levels: int) -> DataFrame:
+    """Cubes of each level that hold targets, with their parent, number and box; level 0 has the finest.
+
+    Each level is summed from the one below, so the points are counted once.
+    """
+    box = [f(c).alias(f"{n}_{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
+    at = _cells(targets, edge).groupBy(*_CELL).agg(F.count("*").alias("n"), *box)
+    parts = []
+    for level in range(levels + 1):
+        up = [F.floor(F.col(c) / (1 << _UP)).cast("long").alias(f"p{c}") for c in _CELL]
+        parts.append(at.select(F.lit(level).alias("level"), *_CELL, *up, "n", *(f"{n}_{c}" for c in XYZ for n in ("lo", "hi"))))
+        again = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
+        at = parts[-1].groupBy(*(F.col(f"p{c}").alias(c) for c in _CELL)).agg(F.sum("n").alias("n"), *again)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _descent(q: DataFrame, t: DataFrame, k: int, edge: float, span: float) -> DataFrame:
+    """The cubes that can hold one of the k nearest targets of each query, and the targets in them.
+
+    From the coarsest cubes down, a query keeps those that begin no farther away than the
+    nearest cubes with k targets end, so what it reads depends on k and not on how far
+    away, or how dense, the targets are.
+    """
+    levels = 0
+    while edge * (1 << (_UP * levels)) < span and levels < 24:
+        levels += 1
+    boxes = cut(_boxes(t, edge, levels))
+    gap = lambda c: F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0))
+    far = lambda c: F.greatest(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(c))
+    sq = lambda f: reduce(lambda a, b: a + b, (f(c) * f(c) for c in XYZ))
+    order = Window.partitionBy("id").orderBy("_end", *_CELL)
+    # at the top a handful of cubes holds everything
+    open_ = q.crossJoin(F.broadcast(boxes.where(F.col("level") == levels)))
+    for level in range(levels, -1, -1):
+        if level < levels:
+            below = boxes.where(F.col("level") == level)
+            up = open_.select("id", *XYZ, *(F.col(c).alias(f"p{c}") for c in _CELL))
+            open_ = up.join(below, [f"p{c}" for c in _CELL])
+        open_ = open_.withColumn("_begin", sq(gap)).withColumn("_end", sq(far))
+        held = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        open_ = open_.withColumn("_before", F.coalesce(held, F.lit(0)))
+        # the end of the cube that completes k
+        bound = F.min(F.when(F.col("_before") + F.col("n") >= k, F.col("_end"))).over(Window.partitionBy("id"))
+        open_ = open_.withColumn("_bound", bound).where("_bound is null or _begin <= _bound * (1 + 1e-9) + 1e-12")
+        if level % 4 == 0:
+            open_ = cut(open_.select("id", *XYZ, *_CELL))
+    named = _cells(t, edge).select(*(F.col(c).alias(f"{c}_r") for c in ("id", *XYZ)), *_CELL)
+    return open_.join(named, list(_CELL)).withColumn("d2", d2())
 
 
 def knn(queries: DataFrame, targets: DataFrame, k: int, r: float, different: bool = False) -> DataFrame:
     """The k nearest targets of each query: id, id_r, d2, rank; ties go to the smaller id_r.
 
-    Searches within r first; queries that have fewer than k targets there go on with
-    twice the radius, until all are settled or the radius spans all points. With
-    ``different`` a target with the query's id doesn't count.
+    Searches within r first. Queries with fewer than k targets there, be they far from all
+    targets or the targets few, go down a tree of cubes instead. With ``different`` a target
+    with the query's id doesn't count. A query gets fewer than k rows if there are fewer targets.
     """
     q, t = queries.select("id", *XYZ), targets.select("id", *XYZ)
-    ends = q.union(t).agg(*(F.max(c) - F.min(c) for c in XYZ)).first()
-    span = sum(float(v or 0) ** 2 for v in ends) ** 0.5
     w = Window.partitionBy("id").orderBy("d2", "id_r")
-    parts, radius = [], float(r)
-    while True:
-        near = radius_join(q, t, radius)
-        if different:
-            near = near.where("id <> id_r")
-        top = cut(near.select("id", "id_r", "d2").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-        if radius >= span:
-            return reduce(DataFrame.unionByName, [*parts, top])
-        settled = top.groupBy("id").count().where(F.col("count") >= k).select("id")
-        parts.append(top.join(settled, "id", "left_semi"))
-        q = cut(q.join(settled, "id", "left_anti"))
-        if q.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
-        radius *= 2
+
+    def best(pairs):
+        pairs = pairs.where("id <> id_r") if different else pairs
+        return pairs.select("id", "id_r", "d2").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    near = cut(best(radius_join(q, t, r)))
+    settled = near.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("id")
+    rest = cut(q.join(settled, "id", "left_anti"))
+    if rest.isEmpty():
+        return near
+    # of all points one row comes back
+    ends = rest.union(t).agg(*(f(c) for c in XYZ for f in (F.min, F.max))).first()
+    span = max(max(abs(float(v or 0)) for v in ends), float(r)) * 2
+    found = best(_descent(rest, t, k + different, float(r), span))
+    return near.join(settled, "id", "left_semi").unionByName(found)
 
 
 def nearest(queries: DataFrame, targets: DataFrame, r: float, different: bool = False) -> DataFrame:

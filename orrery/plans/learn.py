@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators.aggregate import auc
 from orrery.operators.sampling import folds
+from orrery.session import cut
 
 
 def values(spec) -> list:
@@ -90,7 +91,7 @@ def cross_validated(df: DataFrame, columns: list[str], label: str, id_col: str,
     """fold, auc and auprc of each of k folds, trained on the others."""
     from functools import reduce
 
-    data = folds(assembled(df, columns, label), id_col, k, seed).persist()
+    data = cut(folds(assembled(df, columns, label), id_col, k, seed))
     out = []
     for n in range(k):
         model = classifier(seed=seed, **kind).fit(data.where(F.col("fold") != n))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.operators.components import components
-from orrery.operators.spatial import XYZ, radius_join
+from orrery.operators.spatial import XYZ, close_pairs, radius_join
 from orrery.params import Params
 
 
@@ -20,8 +20,8 @@ def pocket_members(points: DataFrame, p: Params | None = None) -> DataFrame:
     p = p or Params()
     hot = points.where(F.col("score") >= p.pred_point_threshold)
     near = ["item", "id", *XYZ]
-    edges = radius_join(hot.select(*near), hot.select(*near), p.pred_clustering_dist, "item").where("id < id_r")
-    of = components(hot.select("id"), edges, "id", "id", "id_r")
+    edges = close_pairs(hot, p.pred_clustering_dist, "item")
+    of = components(hot.select("id"), edges, "id", "id", "id_r", item="item")
     big = of.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") >= p.pred_min_cluster_size)
     core = hot.select(*near).join(of.join(big, "component").select("id", "component"), "id")
     around = radius_join(points.select(*near), core.select("item", "component", *XYZ), p.extended_pocket_cutoff, "item")

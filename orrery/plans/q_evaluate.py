@@ -6,18 +6,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.operators import evaluate as E
+from orrery.operators import windows as W
 from orrery.plans.registry import pts, query, r6
 from orrery.session import table
 
 _D2 = "((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 _L = "lig AS (SELECT id, x, y, z FROM pts WHERE lig)"
-_PK = """pk AS (SELECT grp, avg(x) AS x, avg(y) AS y, avg(z) AS z, row_number() OVER (ORDER BY round(sum(score), 6) DESC, grp) AS rank FROM pts WHERE NOT lig GROUP BY grp)"""
+_PK = """pk AS (SELECT grp, avg(x) AS x, avg(y) AS y, avg(z) AS z, row_number() OVER (PARTITION BY grp % 2 ORDER BY round(sum(score), 6) DESC, grp) AS rank FROM pts WHERE NOT lig GROUP BY grp)"""
 
 
 def _sides(spark, d):
     p = pts(spark, d)
     total = p.where("not lig").groupBy("grp").agg(*(F.avg(c).alias(c) for c in "xyz"), F.round(F.sum("score"), 6).alias("total"))
-    pockets = total.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "grp")).cast("long"))
+    # pockets of two structures, ranked in each
+    pockets = W.ranked(total.withColumn("item", F.col("grp") % 2), ["item"], "total", "grp").withColumn("rank", F.col("rank").cast("long"))
     return p, p.where("lig").select("grp", "id", "x", "y", "z"), pockets
 
 
@@ -169,7 +171,7 @@ def y10(spark, d):
     return radius_join(p.where("not lig").select("id", "x", "y", "z"), lig.select("grp", "x", "y", "z"), 4.0).groupBy("id").agg(F.max("grp_r").alias("pocket"))
 
 
-@query("y12_volume_rescore", "SELECT grp, count(*) * 8 AS volume, row_number() OVER (ORDER BY count(*) * 8 DESC, grp) AS rank FROM pts WHERE NOT lig GROUP BY grp", "pts")
+@query("y12_volume_rescore", "SELECT grp, count(*) * 8 AS volume, row_number() OVER (PARTITION BY grp % 3 ORDER BY count(*) * 8 DESC, grp) AS rank FROM pts WHERE NOT lig GROUP BY grp", "pts")
 def y12(spark, d):
     v = pts(spark, d).where("not lig").groupBy("grp").agg((F.count("*") * 8).alias("volume"))
-    return v.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("volume"), "grp")).cast("long"))
+    return W.ranked(v.withColumn("item", F.col("grp") % 3), ["item"], "volume", "grp").select("grp", "volume", F.col("rank").cast("long").alias("rank"))

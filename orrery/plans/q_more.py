@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from orrery.functions import features as X
 from orrery.operators import sampling as M
 from orrery.operators import spatial as S
+from orrery.operators import windows as W
 from orrery.plans.registry import chain, pts, query, r6
 from orrery.session import table
 from orrery.sources import structures
@@ -114,11 +114,8 @@ SELECT event_id, CASE WHEN p <= n THEN p || a || n ELSE n || a || p END AS tripl
     "chain",
 )
 def f29(spark, d):
-    from orrery.operators import windows as W
-
     x = W.triplets(chain(spark, d), ["user_id"], ["ts", "event_id"], "letter").select("event_id", "triplet")
-    letters = [r[0] for r in chain(spark, d).select("letter").distinct().collect()] + ["_"]
-    props = spark.createDataFrame([(a + "p" + b, 0.5) for a in letters for b in letters], "key string, propensity double")
+    props = x.select(F.col("triplet").alias("key")).distinct().where("substr(key, 2, 1) = 'p'").withColumn("propensity", F.lit(0.5))
     return X.table_values(x, "triplet", props, ["propensity"])
 
 
@@ -134,24 +131,52 @@ def k15(spark, d):
     return pts(spark, d).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("w12_sorted_importances", "SELECT grp, round(sum(score), 5) AS importance, row_number() OVER (ORDER BY round(sum(score), 5) DESC, grp) AS place FROM pts GROUP BY grp", "pts")
+@query("w12_sorted_importances", "SELECT id % 3 AS model, grp, round(sum(score), 5) AS importance, row_number() OVER (PARTITION BY id % 3 ORDER BY round(sum(score), 5) DESC, grp) AS place FROM pts GROUP BY id % 3, grp", "pts")
 def w12(spark, d):
-    g = pts(spark, d).groupBy("grp").agg(r6(F.sum("score"), 5).alias("importance"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "grp")).cast("long"))
+    g = pts(spark, d).groupBy((F.col("id") % 3).alias("model"), "grp").agg(r6(F.sum("score"), 5).alias("importance"))
+    return W.ranked(g, ["model"], "importance", "grp", "place").withColumn("place", F.col("place").cast("long"))
 
 
-@query("m6_random_points")
-def m6(spark, d):
+def _box(margin: int) -> str:
+    return "box AS (SELECT grp, " + ", ".join(f"min({c}) - {margin} AS lo_{c}, (max({c}) + {margin}) - (min({c}) - {margin}) AS w_{c}" for c in "xyz") + " FROM pts WHERE lig GROUP BY grp)"
+
+
+_UNIT = "CAST(('0x' || substr(md5(grp || ':' || i || ':42:{0}'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+_RANDOM = f"""SELECT grp, i AS id, {", ".join(f"lo_{c} + ({_UNIT.format(c)}) * w_{c} AS {c}" for c in "xyz")}
+  FROM (SELECT *, unnest(range(greatest(1, CAST(floor(w_x * w_y * w_z / 8.0::DOUBLE) AS BIGINT)))) AS i FROM box)"""
+_STEPS = "SELECT * FROM box"
+for _c in "zyx":
+    _STEPS = f"SELECT *, unnest(range(CAST(floor(w_{_c} / 2) AS BIGINT) + 1)) AS i{_c} FROM ({_STEPS})"
+_GRID = f"""SELECT grp, (ix * 1048576 + iy) * 1048576 + iz AS id, {", ".join(f"lo_{c} + (w_{c} - 2 * round_even(w_{c} / 2, 0)) + i{c} * 2 AS {c}" for c in "xyz")} FROM ({_STEPS})"""
+
+
+def _around(points: str, most: float, least: float) -> str:
+    same = "a.grp = b.grp AND"
+    return f"SELECT grp, id, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM ({points}) a WHERE EXISTS (SELECT 1 FROM pts b WHERE b.lig AND {same} {_D2} <= {most * most}) AND NOT EXISTS (SELECT 1 FROM pts b WHERE NOT b.lig AND {same} {_D2} < {least * least})"
+
+
+def _sampled(spark, d, strategy: str, most: float, least: float):
     p = pts(spark, d)
-    q = M.random_points(spark, (-10.0,) * 3, (10.0,) * 3, 500)
-    return S.distant(S.shell(q, p.where("lig"), 5.0), p.where("not lig"), 1.0)
+    out = M.sampled_points(strategy, p.where("lig"), p.where("not lig"), p.where("not lig"), most, least, by="grp")
+    return out.select("grp", "id", *(r6(c, 5).alias(c) for c in S.XYZ))
 
 
-@query("m8_sampling_strategies")
+@query("m6_random_points", f"WITH {_box(5)} {_around(_RANDOM, 5, 1)}", "pts")
+def m6(spark, d):
+    return _sampled(spark, d, "random", 5.0, 1.0)
+
+
+_ATOMS = "SELECT grp, id, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM pts a WHERE "
+
+
+@query(
+    "m8_sampling_strategies",
+    f"""WITH {_box(4)} SELECT 'surface' AS strategy, * FROM ({_ATOMS} NOT lig AND EXISTS (SELECT 1 FROM pts b WHERE b.lig AND a.grp = b.grp AND {_D2} <= 16))
+UNION ALL SELECT 'atoms', * FROM ({_ATOMS} lig) UNION ALL SELECT 'grid', * FROM ({_around(_GRID, 4, 2.5)}) UNION ALL SELECT 'random', * FROM ({_around(_RANDOM, 4, 2.5)})""",
+    "pts",
+)
 def m8(spark, d):
-    p = pts(spark, d)
-    lig, rest = p.where("lig and grp = 1"), p.where("not lig")
-    parts = [M.sampled_points(s, lig, rest, rest).select(F.lit(s).alias("strategy"), *S.XYZ) for s in ("surface", "atoms", "grid", "random")]
+    parts = [_sampled(spark, d, s, 4.0, 2.5).withColumn("strategy", F.lit(s)) for s in ("surface", "atoms", "grid", "random")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
@@ -163,7 +188,7 @@ def y20(spark, d):
     return c.groupBy("user_id").agg(F.count("*").alias("n_residues")).join(sequences(c, ["user_id"], ["ts", "event_id"], "letter"), "user_id")
 
 
-@query("y21_index_pivot", "SELECT l_returnflag AS key, " + ", ".join(f"round(sum(CASE WHEN l_linenumber = {k} THEN l_quantity ELSE 0 END), 3) AS n{k}" for k in range(1, 5)) + " FROM lineitem GROUP BY 1")
+@query("y21_index_pivot", "SELECT l_returnflag AS key, " + ", ".join(f"round(sum(CASE WHEN l_linenumber = {k} THEN l_quantity ELSE 0 END), 3) AS n{k}" for k in range(1, 8)) + " FROM lineitem GROUP BY 1")
 def y21(spark, d):
-    p = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("key")).pivot("l_linenumber", [1, 2, 3, 4]).agg(F.sum("l_quantity"))
-    return p.select("key", *(r6(F.coalesce(F.col(str(k)), F.lit(0.0)), 3).alias(f"n{k}") for k in range(1, 5)))
+    p = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("key")).pivot("l_linenumber", list(range(1, 8))).agg(F.sum("l_quantity"))
+    return p.select("key", *(r6(F.coalesce(F.col(str(k)), F.lit(0.0)), 3).alias(f"n{k}") for k in range(1, 8)))

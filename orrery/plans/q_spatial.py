@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 
 from orrery.functions.weights import weights
 from orrery.operators import aggregate as A
+from orrery.operators import sampling as M
 from orrery.operators import spatial as S
+from orrery.operators import windows as W
 from orrery.operators.components import components
 from orrery.plans.predict import predict_pockets
 from orrery.plans.registry import pts, query, r6
@@ -18,7 +20,7 @@ _D2 = "((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 @query("j1_radius_join", f"SELECT a.id, b.id AS id_r, round({_D2}, 6) AS d2 FROM pts a JOIN pts b ON a.id < b.id AND {_D2} <= 9", "pts")
 def j1(spark, d):
     p = pts(spark, d)
-    return S.radius_join(p, p, 3.0).where("id < id_r").select("id", "id_r", r6("d2").alias("d2"))
+    return S.close_pairs(p, 3.0).select("id", "id_r", r6("d2").alias("d2"))
 
 
 @query("j1_sphere", "SELECT id, grp FROM pts WHERE x*x + y*y + z*z <= 64", "pts")
@@ -100,34 +102,33 @@ def j14(spark, d):
     return each.withColumn("rank", rank.cast("long")).where("rank <= 3").select("id", "grp", r6("d2").alias("d2"), "rank")
 
 
-_POCKETS = """pockets AS (SELECT grp, avg(x) AS x, avg(y) AS y, avg(z) AS z, row_number() OVER (ORDER BY round(sum(score), 6) DESC, grp) AS rank
+_POCKETS = """pockets AS (SELECT grp % 3 AS item, grp, avg(x) AS x, avg(y) AS y, avg(z) AS z, row_number() OVER (PARTITION BY grp % 3 ORDER BY round(sum(score), 6) DESC, grp) AS rank
   FROM pts WHERE NOT lig GROUP BY grp)"""
 
 
-def _pockets(p):
-    each = p.where("not lig").groupBy("grp").agg(*(F.avg(c).alias(c) for c in S.XYZ), F.sum("score").alias("total"))
-    # one row per pocket of an item; ten here
-    return each.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(r6("total")), "grp")).cast("long"))
+def _items(p):
+    """Three structures; a pocket for each group of points."""
+    p = p.withColumn("item", F.col("grp") % 3)
+    each = p.where("not lig").groupBy("item", "grp").agg(*(F.avg(c).alias(c) for c in S.XYZ), r6(F.sum("score")).alias("score"))
+    return p.where("lig"), W.ranked(each, ["item"], "score", "grp")
 
 
-@query("j15_identification", f"WITH {_POCKETS} SELECT a.id, coalesce(min(b.rank), -1) AS rank FROM pts a LEFT JOIN pockets b ON {_D2} <= 64 WHERE a.lig GROUP BY a.id", "pts")
+@query("j15_identification", f"WITH {_POCKETS} SELECT a.id, coalesce(min(b.rank), -1) AS rank FROM pts a LEFT JOIN pockets b ON a.grp % 3 = b.item AND {_D2} <= 64 WHERE a.lig GROUP BY a.id", "pts")
 def j15(spark, d):
-    p = pts(spark, d)
-    hit = S.radius_join(p.where("lig").select("id", *S.XYZ), _pockets(p).select("rank", *S.XYZ), 8.0).groupBy("id").agg(F.min("rank_r").alias("rank"))
-    return p.where("lig").select("id").join(hit, "id", "left").select("id", F.coalesce("rank", F.lit(-1)).alias("rank"))
+    lig, k = _items(pts(spark, d))
+    hit = S.radius_join(lig.select("item", "id", *S.XYZ), k.select("item", "rank", *S.XYZ), 8.0, "item").groupBy("id").agg(F.min("rank_r").alias("rank"))
+    return lig.select("id").join(hit, "id", "left").select("id", F.coalesce("rank", F.lit(-1)).cast("long").alias("rank"))
 
 
 @query(
     "j16_closest_pocket",
-    f"""WITH {_POCKETS} SELECT id, grp FROM (SELECT a.id, b.grp, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.rank) AS n
+    f"""WITH {_POCKETS} SELECT id, grp FROM (SELECT a.id, b.grp, row_number() OVER (PARTITION BY a.id ORDER BY {_D2}, b.grp) AS n
   FROM pts a CROSS JOIN pockets b WHERE a.lig) WHERE n = 1""",
     "pts",
 )
 def j16(spark, d):
-    p = pts(spark, d)
-    k = _pockets(p)
-    near = S.nearest(p.where("lig"), k.select(F.col("rank").alias("id"), *S.XYZ), 8.0)
-    return near.join(k.select(F.col("rank").alias("id_r"), "grp"), "id_r").select("id", "grp")
+    lig, k = _items(pts(spark, d))
+    return S.nearest(lig, k.select(F.col("grp").alias("id"), *S.XYZ), 8.0).select("id", F.col("id_r").alias("grp"))
 
 
 @query(
@@ -247,8 +248,7 @@ comp AS (SELECT u AS id, min(r) AS component FROM reach GROUP BY u)"""
 @query("c1_single_linkage", _CC + " SELECT id, component FROM comp", "pts")
 def c1(spark, d):
     hot = pts(spark, d).where("score >= 0.35")
-    edges = S.radius_join(hot.select("id", *S.XYZ), hot.select("id", *S.XYZ), 3.0).where("id < id_r")
-    return components(hot, edges, "id", "id", "id_r")
+    return components(hot, S.close_pairs(hot, 3.0), "id", "id", "id_r")
 
 
 @query("c3_min_size", _CC + " SELECT component, count(*) AS n FROM comp GROUP BY component HAVING count(*) >= 3", "pts")
@@ -271,18 +271,18 @@ def c2(spark, d):
 
 @query(
     "y9_predict_pockets",
-    _CC
+    _CC.replace("a.id <> b.id AND", "a.id <> b.id AND a.grp = b.grp AND")
     + f""", big AS (SELECT component FROM comp GROUP BY component HAVING count(*) >= 3),
 core AS (SELECT h.*, c.component FROM hot h JOIN comp c ON c.id = h.id JOIN big USING (component)),
-member AS (SELECT DISTINCT b.component, a.id FROM pts a JOIN core b ON {_D2} <= 12.25),
-scored AS (SELECT m.component, round(sum(pow(greatest(p.score, 0), 2)), 5) AS score, count(*) AS n_points, round(avg(p.x), 5) AS x, round(avg(p.y), 5) AS y, round(avg(p.z), 5) AS z
-  FROM member m JOIN pts p USING (id) GROUP BY m.component)
-SELECT 'pocket' || row_number() OVER (ORDER BY score DESC, component) AS name, row_number() OVER (ORDER BY score DESC, component) AS rank, component, score, n_points, x, y, z FROM scored""",
+member AS (SELECT DISTINCT b.component, a.id FROM pts a JOIN core b ON a.grp = b.grp AND {_D2} <= 12.25),
+scored AS (SELECT p.grp AS item, m.component, round(sum(pow(greatest(p.score, 0), 2)), 5) AS score, count(*) AS n_points, round(avg(p.x), 5) AS x, round(avg(p.y), 5) AS y, round(avg(p.z), 5) AS z
+  FROM member m JOIN pts p USING (id) GROUP BY p.grp, m.component)
+SELECT item, 'pocket' || row_number() OVER w AS name, row_number() OVER w AS rank, component, score, n_points, x, y, z FROM scored WINDOW w AS (PARTITION BY item ORDER BY score DESC, component)""",
     "pts",
 )
 def y9(spark, d):
-    out = predict_pockets(pts(spark, d).withColumn("item", F.lit("all")))
-    return out.select("name", F.col("rank").cast("long").alias("rank"), "component", "score", "n_points", "x", "y", "z")
+    out = predict_pockets(pts(spark, d).withColumn("item", F.col("grp")))
+    return out.select("item", "name", F.col("rank").cast("long").alias("rank"), "component", "score", "n_points", "x", "y", "z")
 
 
 @query("y1_exposed_atoms", f"SELECT a.id FROM pts a WHERE NOT a.lig AND EXISTS (SELECT 1 FROM pts b WHERE b.lig AND {_D2} <= 4.1*4.1)", "pts")
@@ -332,18 +332,29 @@ def u5(spark, d):
     return pts(spark, d).select("grp", "lig").dropDuplicates()
 
 
-@query("u6_consolidate")
+@query(
+    "u6_consolidate",
+    """WITH o AS (SELECT grp, id, x, y, z, row_number() OVER (PARTITION BY grp ORDER BY id) AS n FROM pts),
+s AS (SELECT DISTINCT grp, 0::BIGINT AS n, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[] AS kept FROM pts UNION ALL
+  SELECT s.grp, o.n, CASE WHEN len(list_filter(kept, lambda k: (k.x-o.x)*(k.x-o.x)+(k.y-o.y)*(k.y-o.y)+(k.z-o.z)*(k.z-o.z) <= 16)) = 0
+    THEN list_append(kept, {'id': o.id, 'x': o.x, 'y': o.y, 'z': o.z}) ELSE kept END FROM s JOIN o ON o.grp = s.grp AND o.n = s.n + 1),
+last AS (SELECT grp, max(n) AS n FROM s GROUP BY grp)
+SELECT grp, unnest(list_transform(kept, lambda k: k.id)) AS id FROM s JOIN last USING (grp, n)""",
+    "pts",
+)
 def u6(spark, d):
     return S.thinned(pts(spark, d).select("grp", "id", *S.XYZ), "grp", 4.0).select("grp", "id")
 
 
 @query(
     "m7_grid_around",
-    f"""WITH grid AS (SELECT CAST(i.range * 2 - 10 AS DOUBLE) AS x, CAST(j.range * 2 - 10 AS DOUBLE) AS y, CAST(k.range * 2 - 10 AS DOUBLE) AS z FROM range(11) i, range(11) j, range(11) k)
-SELECT x, y, z FROM grid a WHERE EXISTS (SELECT 1 FROM pts b WHERE b.lig AND {_D2} <= 16) AND NOT EXISTS (SELECT 1 FROM pts b WHERE NOT b.lig AND {_D2} < 2.25)""",
+    f"""WITH box AS (SELECT grp, {", ".join(f"min({c}) - 4 AS lo_{c}, (max({c}) + 4) - (min({c}) - 4) AS w_{c}" for c in "xyz")} FROM pts WHERE lig GROUP BY grp),
+grid AS (SELECT grp, {", ".join(f"lo_{c} + (w_{c} - 2 * round_even(w_{c} / 2, 0)) + i{c} * 2 AS {c}" for c in "xyz")}
+  FROM (SELECT *, unnest(range(CAST(floor(w_z / 2) AS BIGINT) + 1)) AS iz FROM (SELECT *, unnest(range(CAST(floor(w_y / 2) AS BIGINT) + 1)) AS iy FROM (SELECT *, unnest(range(CAST(floor(w_x / 2) AS BIGINT) + 1)) AS ix FROM box))))
+SELECT grp, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM grid a WHERE EXISTS (SELECT 1 FROM pts b WHERE b.lig AND a.grp = b.grp AND {_D2} <= 16) AND NOT EXISTS (SELECT 1 FROM pts b WHERE NOT b.lig AND a.grp = b.grp AND {_D2} < 2.25)""",
     "pts",
 )
 def m7(spark, d):
     p = pts(spark, d)
-    grid = S.lattice(spark, (-10.0,) * 3, (10.0,) * 3, 2.0).withColumn("id", (F.col("ix") * 11 + F.col("iy")) * 11 + F.col("iz")).select("id", *S.XYZ)
-    return S.distant(S.shell(grid, p.where("lig"), 4.0), p.where("not lig"), 1.5).select(*S.XYZ)
+    out = M.sampled_points("grid", p.where("lig"), p.where("not lig"), most=4.0, least=1.5, by="grp")
+    return out.select("grp", *(r6(c, 5).alias(c) for c in S.XYZ))

@@ -29,13 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where none is set."""
+    """The shared folder named in spark.checkpoint.dir. Without one a local session, all of whose
+    tasks see this machine's disk, gets a temporary folder, and a cluster an error."""
     sc = spark.sparkContext
     if (now := sc.getCheckpointDir()) is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not named:
+            import re
             import tempfile
 
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+
             named = tempfile.mkdtemp(prefix="orrery-checkpoint-")
         sc.setCheckpointDir(named)
         now = sc.getCheckpointDir()

@@ -142,7 +142,8 @@ def cube(spark: SparkSession, path: str) -> DataFrame:
     The header's third line has the origin, the next three the size and step per axis;
     fewer values than nx * ny * nz are an error.
     """
-    lines = spark.read.text(path, wholetext=True).first()[0].split("\n")
+    # only the header comes to the driver
+    lines = spark.read.text(path, wholetext=True).select(F.slice(F.split("value", "\n", 8), 1, 7)).first()[0]
     origin = [float(v) for v in lines[2].split()[1:4]]
     size = [int(lines[3 + i].split()[0]) for i in range(3)]
     step = [float(lines[3 + i].split()[1 + i]) for i in range(3)]
