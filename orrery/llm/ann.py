@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
 Centroids are fitted on a bounded sample and balanced: lists far over the mean size take
-over the centroids of the smallest. Every vector goes to its nearest list and, if it
+over the centroids of the smallest. Their number grows with the rows, up to ``max_lists``.
+More than ``top_lists`` are fitted in two levels: the driver divides a small sample into a
+few hundred regions, and tasks divide the sample of each region. Every vector goes to its nearest list and, if it
 lies near a boundary, to further ones whose centroids are hardly farther (up to
 ``copies``). A query reads the lists whose centroid is at most so many times as far as
 the nearest one. Both find centroids by best-first search in a neighbour graph that each
-task holds; it has at most ``max_lists`` nodes, whatever the data. A query that would
+task holds; it has at most ``max_lists`` nodes, so beyond max_lists * list_rows rows it is
+the lists that grow. A query that would
 read every list its search found looks at all centroids, so the search bounds nothing.
 
 How far a query reads is measured on the table at hand: a bounded sample of queries is
@@ -33,8 +36,10 @@ from orrery.llm import textops as T
 
 @dataclass(frozen=True)
 class Ann:
-    """top: neighbours of each query. fit_rows bounds the sample for the centroids (those
-    with the least hash of their id). list_rows: mean size of a list aimed at.
+    """top: neighbours of each query. list_rows: mean size of a list aimed at; max_lists: most
+    lists. fit_rows bounds the sample (the rows with the least hash of their id) for lists
+    up to top_lists or for the regions of more; then a region has another sample of fit_rows
+    rows at most, 16 for each list in the mean.
     probe_ratio: the least ratio of distances within which lists are read; recall: share of
     the true neighbours of probe_queries queries that the ratio in use must reach.
     query_beam: width of a query's search before all centroids are looked at."""
@@ -42,7 +47,8 @@ class Ann:
     top: int = 20
     fit_rows: int = 65_536
     list_rows: int = 256
-    max_lists: int = 4096
+    max_lists: int = 65_536
+    top_lists: int = 4096
     copies: int = 4
     copy_ratio: float = 1.06
     probe_ratio: float = 1.14
@@ -56,34 +62,37 @@ class Ann:
     seed: int = 20408
 
 
-def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows that hold a usable vector, and the vectors as doubles.
 
-    Usable: not null or empty, of the most frequent length, finite, and not all zero.
+    Usable: not null, of ``dims`` numbers, finite, and not all zero.
     """
-    n = np.asarray(column.value_lengths().fill_null(0))
-    if len(n) == 0 or n.max(initial=0) == 0:
-        return np.zeros(0, np.int64), np.zeros((0, 0))
-    dims = int(np.bincount(n[n > 0]).argmax())
-    rows = np.flatnonzero(n == dims)
+    rows = np.flatnonzero(np.asarray(column.value_lengths().fill_null(0)) == dims)
     flat = column.take(pa.array(rows)).flatten()
     x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), dims)
     ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
     return rows[ok], x[ok]
 
 
+def near_centroids(c: np.ndarray, of: np.ndarray, degree: int) -> np.ndarray:
+    """The nearest other centroids of some."""
+    n = min(degree, len(c) - 1)
+    if n < 1:
+        return np.zeros((len(of), 1), np.int64)
+    d = (c**2).sum(axis=1)[None, :] - 2 * c[of] @ c.T
+    d[np.arange(len(of)), of] = np.inf
+    return np.argpartition(d, n - 1, axis=1)[:, :n]
+
+
 class Graph:
-    """Centroids and a navigable graph of their neighbours."""
+    """Centroids and a navigable graph of their neighbours, which may be given."""
 
-    def __init__(self, centroids: np.ndarray, degree: int):
+    def __init__(self, centroids: np.ndarray, degree: int, near: np.ndarray | None = None):
         self.c = centroids
         self.norm = (centroids**2).sum(axis=1)
         k = len(centroids)
-        near = np.empty((k, min(degree, max(k - 1, 1))), np.int64)
-        for i in range(0, k, 256):
-            d = self.norm[None, :] - 2 * centroids[i : i + 256] @ centroids.T
-            d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-            near[i : i + 256] = np.argsort(d, axis=1)[:, : near.shape[1]] if k > 1 else 0
+        if near is None:
+            near = np.concatenate([near_centroids(centroids, np.arange(i, min(i + 256, k)), degree) for i in range(0, k, 256)])
         links = [set(map(int, r)) for r in near]
         for a, r in enumerate(near):
             for b in r:
@@ -163,12 +172,72 @@ def _augmented(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate((x, np.sqrt(np.maximum(top**2 - (x**2).sum(axis=1, keepdims=True), 0))), axis=1)
 
 
-@T.lean
-def _valid(batches):
-    for batch in batches:
-        rows, x = matrix(batch.column(1))
-        ids = batch.column(0).cast(pa.int64()).take(pa.array(rows))
-        yield pa.RecordBatch.from_arrays([ids, T.lists(x.ravel(), np.full(len(rows), x.shape[1]), pa.float64()), pa.array((x**2).sum(axis=1) if len(rows) else np.zeros(0))], ["id", "v", "norm2"])
+def _valid(dims: int):
+    @T.lean
+    def run(batches):
+        for batch in batches:
+            rows, x = matrix(batch.column(1), dims)
+            ids = batch.column(0).cast(pa.int64()).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([ids, T.lists(x.ravel(), np.full(len(rows), dims), pa.float64()), pa.array((x**2).sum(axis=1))], ["id", "v", "norm2"])
+
+    return run
+
+
+def _regional(rows: DataFrame, regions: np.ndarray, k: int, top: float, p: Ann) -> np.ndarray:
+    """About k centroids: the sample of each region is divided in a task of its own."""
+    spark = rows.sparkSession
+    n = rows.count()
+    take = 16 * k
+    shared = spark.sparkContext.broadcast(regions)
+
+    @T.lean
+    def placed(batches):
+        c = shared.value
+        half = 0.5 * (c**2).sum(axis=1)
+        for batch in batches:
+            x = _augmented(batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1), top)
+            own = np.concatenate([(x[i : i + 4096] @ c.T - half).argmax(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), batch.column("id"), batch.column("v")], ["region", "id", "v"])
+
+    def divided(pdf):
+        import pandas as pd
+
+        x = _augmented(np.unique(np.stack(pdf["v"].to_numpy()), axis=0), top)
+        own = max(1, min(p.top_lists, round(len(pdf) / 16), len(x) // 4))
+        c = balanced_centroids(x, own, p.iterations, p.seed)
+        return pd.DataFrame({"c": list(c)})
+
+    some = rows.select("id", "v").where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, take / n)))
+    each = some.mapInArrow(placed, "region long, id long, v array<double>")
+    # what a region has over fit_rows rows is left out of its sample by hash
+    size = each.groupBy("region").agg(F.count("*").alias("n"))
+    each = each.join(F.broadcast(size), "region").where(F.pmod(F.xxhash64("id", F.lit(p.seed + 1)), F.lit(1 << 30)) * F.col("n") < F.lit(p.fit_rows << 30))
+    found = each.groupBy("region").applyInPandas(divided, "c array<double>").toPandas()
+    return np.stack(found["c"].to_numpy())
+
+
+def fitted(rows: DataFrame, n: int, top: float, p: Ann) -> Graph:
+    """The centroids and their graph, for n rows."""
+    spark = rows.sparkSession
+    drawn = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(p.fit_rows).toPandas()
+    sample = _augmented(np.unique(np.stack(drawn["v"].to_numpy()), axis=0), top)
+    k = max(1, min(p.max_lists, n // p.list_rows))
+    if k <= p.top_lists:
+        return Graph(balanced_centroids(sample, max(1, min(k, len(sample) // 16)), p.iterations, p.seed), p.degree)
+    regions = balanced_centroids(sample, max(1, min(int(k**0.5), len(sample) // 16)), p.iterations, p.seed)
+    c = _regional(rows, regions, k, top, p)
+    shared = spark.sparkContext.broadcast(c)
+
+    @T.lean
+    def near(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                of = batch.column(0).to_numpy()[i : i + 256]
+                found = near_centroids(shared.value, of, p.degree)
+                yield pa.RecordBatch.from_arrays([pa.array(of), T.lists(found.ravel(), np.full(len(of), found.shape[1]), pa.int64())], ["id", "near"])
+
+    links = spark.range(0, len(c), 1, T.tasks(spark)).mapInArrow(near, "id long, near array<long>").orderBy("id").toPandas()
+    return Graph(c, p.degree, np.stack(links["near"].to_numpy()))
 
 
 def _scaled(x: np.ndarray, top: float) -> np.ndarray:
@@ -207,8 +276,10 @@ def _to_lists(shared, p: Ann, query: bool):
     def run(batches):
         graph, top, sizes, ratio, least = shared.value
         for whole in batches:
-            for s in range(0, whole.num_rows, 1024):
-                batch = whole.slice(s, 1024)
+            # a search marks the centroids that each of its rows has seen
+            step = max(64, min(1024, (1 << 24) // len(graph.c)))
+            for s in range(0, whole.num_rows, step):
+                batch = whole.slice(s, step)
                 x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
                 if query:
                     r, lists = lists_read(graph, _scaled(x, top), sizes, ratio, least, p)
@@ -275,11 +346,13 @@ def measured_ratio(rows: DataFrame, postings: DataFrame, asked: DataFrame, graph
     if len(sizes) == 1 or len(drawn) == 0:
         return p.probe_ratio, 0.0
     x = np.stack(drawn["v"].to_numpy())
-    ids, d = graph.all(_scaled(x, top))
-    least = 0.25 * float(np.median(d[:, 0]))
-    reach = np.where(_unasked(sizes, ids, p), 1.0, d / np.maximum(np.maximum(d[:, :1], least), 1e-12))
-    by_list = np.empty_like(reach)
-    np.put_along_axis(by_list, ids, reach, axis=1)
+    ahead = [graph.all(_scaled(q[None], top)) for q in x]
+    least = 0.25 * float(np.median([d[0, 0] for _, d in ahead]))
+    by_list = np.empty((len(x), len(sizes)), np.float32)
+    for n, (ids, d) in enumerate(ahead):
+        reach = np.where(_unasked(sizes, ids, p), 1.0, d / np.maximum(np.maximum(d[:, :1], least), 1e-12))
+        # rounded up, so that the ratio reaches what it is measured on
+        by_list[n, ids[0]] = np.nextafter(reach[0].astype(np.float32), np.float32(np.inf))
     shared = rows.sparkSession.sparkContext.broadcast((drawn["id"].to_numpy(), x))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     true = rows.select("id", "v").mapInArrow(_exact(shared, p), "q long, id long, score double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.top).select("q", "id").distinct()
@@ -350,8 +423,10 @@ def nearest(vectors: DataFrame, p: Ann | None = None, every: int = 20, id_col: s
     """query_id, rank, vec_id, score of the nearest rows of each row whose id is divisible by ``every``.
 
     score is the inner product of the original vectors in double precision; ties go to
-    the smaller id. Rows with a null id, and vectors that are null, zero, of another
-    length than most, or hold null or non-finite components take no part. Rows that
+    the smaller id. Rows with a null id, and vectors that are null, zero, or hold null or
+    non-finite components take no part. All vectors of a table have one length, for
+    vectors of different lengths have no inner product: the one that most of its rows
+    have (of equally many the smaller); vectors of another length take no part. Rows that
     share an id count as one row per distinct vector and are never each other's
     neighbours; the least of their vectors is the query. Other columns are ignored; an
     empty table gives an empty result.
@@ -360,15 +435,16 @@ def nearest(vectors: DataFrame, p: Ann | None = None, every: int = 20, id_col: s
     spark = vectors.sparkSession
     out_schema = "query_id long, rank int, vec_id long, score double"
     src = vectors.select(T.column(vectors, id_col, "long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id is not null")
-    rows = T.stored(src.mapInArrow(_valid, "id long, v array<double>, norm2 double"))
+    lengths = src.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).where("dims > 0").orderBy(F.desc("n"), "dims").first()
+    if lengths is None:
+        return spark.createDataFrame([], out_schema)
+    rows = T.stored(src.mapInArrow(_valid(lengths.dims), "id long, v array<double>, norm2 double"))
     n, top2 = rows.agg(F.count("*"), F.max("norm2")).first()
     if not n:
         return spark.createDataFrame([], out_schema)
     top = float(top2) ** 0.5
-    drawn = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(p.fit_rows).toPandas()
-    sample = np.unique(np.stack(drawn["v"].to_numpy()), axis=0)
-    k = max(1, min(p.max_lists, n // p.list_rows, len(sample) // 16))
-    graph = Graph(balanced_centroids(_augmented(sample, top), k, p.iterations, p.seed), p.degree)
+    graph = fitted(rows, n, top, p)
+    k = len(graph.c)
     shared = spark.sparkContext.broadcast((graph, top, None, None, None))
     kind = "list long, id long, v array<double>"
     postings = T.stored(rows.select("id", "v").mapInArrow(_to_lists(shared, p, False), kind))

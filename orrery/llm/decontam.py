@@ -111,9 +111,14 @@ class Items:
         self.gram, self.item = pair[:, 0].copy(), pair[:, 1].astype(np.int64)
         self.keys = np.unique(self.gram)
 
-    def seeds(self, spread: dict[int, int], most: int) -> "Items":
-        """Keep the rare n-grams and the rarer half of each item's."""
-        s = np.array([spread.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
+    def seeds(self, grams_seen: np.ndarray, spread: np.ndarray, most: int) -> "Items":
+        """Keep the rare n-grams and the rarer half of each item's; spread tells in how many
+        surroundings each of ``grams_seen`` stands."""
+        s = np.zeros(len(self.gram), np.int64)
+        if len(grams_seen):
+            order = np.argsort(grams_seen)
+            at = order[np.minimum(np.searchsorted(grams_seen, self.gram.view(np.int64), sorter=order), len(order) - 1)]
+            s = np.where(grams_seen[at] == self.gram.view(np.int64), spread[at], 0)
         order = np.lexsort((self.gram, s, self.item))
         rank = np.empty(len(s), np.int64)
         first = np.searchsorted(self.item[order], np.arange(len(self.ids)))
@@ -239,8 +244,9 @@ def _seeded(texts: DataFrame, benchmark: DataFrame, p: Decontamination, item_col
         items = Items([r[0] for r in rows], [r[1] for r in rows], p.size)
         around = texts.mapInArrow(_surroundings(spark.sparkContext.broadcast(items), p.size), "g long, around long")
         # one row per n-gram of the slice
-        spread = {r[0]: r[1] for r in around.distinct().groupBy("g").count().collect()}
-        yield spark.sparkContext.broadcast(items.seeds(spread, most))
+        with T.small_batches(spark):
+            spread = around.distinct().groupBy("g").agg(F.count("*").alias("n")).toPandas()
+        yield spark.sparkContext.broadcast(items.seeds(spread["g"].to_numpy(np.int64), spread["n"].to_numpy(np.int64), most))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -249,8 +255,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination | Non
 
     Similarity is the alignment score over that of a full copy. Null or empty texts on
     either side match nothing, as do items of fewer words than a seed. Repeated rows are
-    found as often as they occur but reported once per doc_id; a null doc_id is kept. Items with a null item_id count too: each
-    different text of theirs is an item, reported with a null item_id.
+    found as often as they occur but reported once per doc_id; a null doc_id is kept. Items
+    with a null item_id count too: each different text of theirs is an item, reported with
+    a null item_id.
     Other columns are ignored; empty tables give an empty result.
     """
     p = p or Decontamination()

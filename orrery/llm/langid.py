@@ -155,7 +155,8 @@ def fit(docs: DataFrame, p: LangId | None = None, lang_col: str = "lang", text_c
     """
     p = p or LangId()
     src = docs.select(T.column(docs, lang_col, "string").alias("lang"), T.column(docs, text_col, "string").alias("text")).where("lang is not null and text is not null")
-    found = src.mapInArrow(_sums(p), "lang string, dim int, x double").groupBy("lang", "dim").agg(F.sum("x").alias("x")).toPandas()
+    with T.small_batches(docs.sparkSession):
+        found = src.mapInArrow(_sums(p), "lang string, dim int, x double").groupBy("lang", "dim").agg(F.sum("x").alias("x")).toPandas()
     langs = sorted(found["lang"].unique())
     protos = np.zeros((len(langs), p.dims))
     protos[found["lang"].map({x: n for n, x in enumerate(langs)}).to_numpy(np.int64), found["dim"].to_numpy(np.int64)] = found["x"].to_numpy(np.float64)

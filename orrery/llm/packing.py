@@ -1,8 +1,8 @@
 """Sum-of-squares bin packing of tokenised documents into fixed-length sequences.
 
 Documents are tokenised in one scan, which keeps a few numbers per piece. Pieces are
-dealt evenly to groups of bounded size by a hash of their place, so a hot source or a
-crowd of copies spreads like anything else. Each group packs its pieces, longest
+dealt evenly to groups of bounded size by a hash of their place in the scan, and not by
+what they hold, so a hot source or a crowd of equal rows spreads like anything else. Each group packs its pieces, longest
 first: with N(g) open sequences of residual gap g, a piece goes where the sum of
 N(g)**2 becomes smallest, over all gaps it fits and a new sequence. Sequences that a
 group leaves with a gap are opened again and their pieces packed together over all
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,21 +199,23 @@ def _tokenise(p: Packing):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids_of = worker_tokenizer(p.tokenizer, p.cache_words)
         end = np.array([p.end_id], "<u4")
+        # the result is stored at once, so a place stays the same from here on
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, off = T.utf8(batch.column(1))
             docs = batch.column(0).cast(pa.int64()).to_pylist()
             for i, j in T.pieces(off, p.chunk_bytes):
-                out = [[] for _ in range(6)]
+                out = [[] for _ in range(5)]
                 for d, ids in zip(docs[i:j], text_ids(ids_of, data[off[i] : off[j]], off[i : j + 1] - off[i]), strict=True):
                     ids = np.concatenate((ids, end))
                     for k, s in enumerate(range(0, len(ids), p.length)):
                         part = ids[s : s + p.length]
-                        for c, v in zip(out, (d, k, s, len(part), zlib.crc32(part), 0), strict=True):
+                        for c, v in zip(out, (d, k, s, len(part), zlib.crc32(part)), strict=True):
                             c.append(v)
-                crc = np.array(out[4], np.int64)
-                deal = T.i64(T.mix((crc * 1_000_003 + np.array(out[3]) * 31 + np.array([d or 0 for d in out[0]], np.int64) * 8191 + np.array(out[1])).astype(np.uint64)))
+                deal = T.i64(T.mix(np.arange(place, place + len(out[0]), dtype=np.uint64)))
+                place += len(out[0])
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, kinds, strict=False)), pa.array(deal)], ["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, kinds, strict=True)), pa.array(deal)], ["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
 
     return run
 

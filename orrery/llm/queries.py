@@ -1,4 +1,8 @@
-"""The operators applied to the driver's tables, and SQL where it can express them."""
+"""The operators applied to the driver's tables, and SQL where it can express them.
+
+Results whose texts pass through Python are stored here, in Arrow batches of modest size,
+rather than left to the batch size of whoever reads them.
+"""
 
 from __future__ import annotations
 
@@ -45,13 +49,11 @@ def op4_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_prefix_doubling_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    textops.modest_batches(spark)
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), suffixdedup.Repeats(length=400))
 
 
 def op6_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    textops.modest_batches(spark)
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return textops.stored(decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,22 +62,19 @@ def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    textops.modest_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     model = langid.fit(docs.where(~held_out))
     predicted = langid.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return textops.stored(predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
 
 
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    textops.modest_batches(spark)
-    return pii.digest(table(spark, sf_dir, "documents"))
+    return textops.stored(pii.digest(table(spark, sf_dir, "documents")))
 
 
 def op10_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    textops.modest_batches(spark)
-    return htmlextract.extract(table(spark, sf_dir, "pages"))
+    return textops.stored(htmlextract.extract(table(spark, sf_dir, "pages")))
 
 
 QUERIES = {

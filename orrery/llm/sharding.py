@@ -104,6 +104,11 @@ class ShardStore:
         found = [s for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")]
         return [Shard(s.getPath().toString(), s.getLen(), self.tier(s.getLen())) for s in found]
 
+    def _drop(self, shards: list[Shard]) -> None:
+        """Delete shards that no manifest names."""
+        for s in shards:
+            self._fs.delete(self._path(s.path), False)
+
     def _with_packing(self, bytes_per_task: int, run):
         """Run with whole files packed into tasks of the given size."""
         want = {"spark.sql.files.maxPartitionBytes": str(bytes_per_task), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
@@ -150,19 +155,23 @@ class ShardStore:
             old = {s.path for s in merged}
             if len(made) >= len(merged):
                 # the session packs smaller than asked: nothing to gain
+                self._drop(made)
                 return base
             try:
                 self._commit(base, [s for s in now if s.path not in old] + made)
             except CommitConflict:
-                continue
+                self._drop(made)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with the column _shard, the file name of each row's shard."""
+    def read(self, version: int | None = None, shard_col: str = "_shard") -> DataFrame:
+        """The rows of a version, and as ``shard_col`` the file name of each row's shard. A
+        table that has a column of that name is an error."""
         version, shards = self.manifest(version)
         if not shards:
             raise ValueError(f"version {version} has no shards")
         rows = self.spark.read.parquet(*[s.path for s in shards])
-        return rows.withColumn("_shard", F.col("_metadata.file_name"))
+        if shard_col in rows.columns:
+            raise ValueError(f"the table has a column {shard_col}")
+        return rows.select("*", rows.metadataColumn("_metadata")["file_name"].alias(shard_col))
 
     def vacuum(self) -> int:
         """Delete shards that no manifest but the last names, and the older manifests; returns how many shards went."""
@@ -192,5 +201,6 @@ def compacted(df: DataFrame, root: str, p: Sharding | None = None, id_col: str =
     _, shards = store.manifest(version)
     named = [(s.path.rsplit("/", 1)[1], n, s.bytes, s.tier) for n, s in enumerate(shards)]
     listed = df.sparkSession.createDataFrame(named, "_shard string, shard int, shard_bytes long, tier int")
-    rows = store.read(version).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), "_shard")
+    free = "_shard" + "_" * max(map(len, df.columns))
+    rows = store.read(version, free).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(free).alias("_shard"))
     return rows.join(listed, "_shard").select("doc_id", "shard", "shard_bytes", "tier", F.lit(version).alias("version"))

@@ -6,6 +6,8 @@ operator says otherwise.
 
 from __future__ import annotations
 
+import atexit
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -14,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.session import checkpoint_dir as ensure_checkpoint_dir
+
 #: Bytes of text that one vectorised step handles; numpy temporaries are a few dozen times that.
 CHUNK_BYTES = 1 << 20
 
@@ -150,38 +154,18 @@ def column(df: DataFrame, name: str, kind: str) -> F.Column:
     return F.col(f"`{name}`").cast(kind)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one only where none is set."""
-    sc = spark.sparkContext
-    if (now := sc.getCheckpointDir()) is not None:
-        return now
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="orrery-checkpoint-")
-    sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
 #: Rows of an Arrow batch while intermediate results are made. Texts can be long, and a
 #: batch is held twice, by the JVM and by its Python worker.
 BATCH_ROWS = 2000
 
 
-def modest_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS, for results whose texts pass through Python when they are used."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 @contextmanager
 def small_batches(spark: SparkSession):
-    """Smaller Arrow batches for the jobs that run inside; the session's own setting stands again after."""
+    """At most BATCH_ROWS rows in the Arrow batches of the jobs that run inside; the session's own setting stands again after."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    modest_batches(spark)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     try:
         yield
     finally:
@@ -196,9 +180,9 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def trim() -> None:
-    """Give freed memory back: workers live on, and their peaks would add up with the JVM's."""
+    """Give freed memory back: workers live on between tasks, and the memory that the C library
+    keeps for them counts against the executor's limit beside the JVM's."""
     import ctypes
-    import gc
 
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -220,10 +204,27 @@ def lean(run):
     return wrapped
 
 
+#: File system and path of the tables made by ``stored`` that are still there.
+_TABLES: dict[str, tuple] = {}
+
+
+def _at_exit() -> None:
+    for fs, path in _TABLES.values():
+        try:
+            fs.delete(path, True)
+        except Exception:  # noqa: BLE001
+            return  # the session has ended before, and its folder is left to its owner
+
+
+atexit.register(_at_exit)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Written as a Parquet table in the shared checkpoint folder and read again.
 
-    Columnar and compressed, unlike ``saved``, and its size is known to the planner.
+    Columnar and compressed, unlike ``saved``, and its size is known to the planner. Results
+    are read from such tables when they are used, so those that no step has discarded go
+    when the driver ends.
     """
     import uuid
 
@@ -232,19 +233,27 @@ def stored(df: DataFrame) -> DataFrame:
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _TABLES[path] = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
     out._stored_at = path
     return out
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``stored`` has made the table and it is still there."""
+    return getattr(df, "_stored_at", None) in _TABLES
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``stored`` that nothing reads any more, and let Spark drop the
-    shuffle files of finished steps, which it keeps as long as the driver holds their plans."""
-    import gc
+    """Delete tables made by ``stored`` that nothing reads any more.
 
+    Spark also keeps the shuffle files of finished steps, as long as the driver's JVM holds
+    their plans; they are several times the tables, so that garbage is collected here and
+    not when the driver's heap happens to fill.
+    """
     for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _TABLES.pop(df._stored_at)
+        fs.delete(path, True)
     gc.collect()
     tables[0].sparkSession.sparkContext._jvm.System.gc()
 

@@ -90,3 +90,36 @@ def test_recall_of_vectors_spread_evenly(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hit = sum(len(got[q] & {w[0] for w in exact(x.astype(float), np.arange(6000), q, 20)}) for q in got)
     assert len(got) == 300 and hit / (300 * 20) >= 0.97
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_recall_of_lists_fitted_in_two_levels(spark, even):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5000, 16)) if even else rng.normal(size=(30, 16))[rng.integers(0, 30, 5000)] + 0.3 * rng.normal(size=(5000, 16))
+    x[:1700] = np.where(rng.random(1700)[:, None] < 0.5, x[0], x[:1700])
+    x = x.astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist(), 1, "a", 2) for i, v in enumerate(x)], SCHEMA).repartition(4)
+    p = ann.Ann(list_rows=32, top_lists=50, fit_rows=1000)
+    rows = docs.select("vec_id", "embedding").withColumnsRenamed({"vec_id": "id", "embedding": "v"}).selectExpr("id", "cast(v AS array<double>) AS v")
+    assert len(ann.fitted(rows, 5000, float((x.astype(float) ** 2).sum(axis=1).max() ** 0.5), p).c) > 60
+    got = {}
+    for r in ann.nearest(docs, p, every=40).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score))
+    want = {q: [s for _, s in exact(x.astype(float), np.arange(5000), q, 20)] for q in got}
+    hit = sum(s >= want[q][-1] - 1e-12 for q, found in got.items() for _, s in found)
+    assert len(got) == 125 and hit / (125 * 20) >= 0.95
+
+
+def test_one_length_for_the_whole_table(spark):
+    """300 vectors of 8 numbers and 100 of 6, in batches that hold either or both."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8 if i < 300 else 6).tolist()) for i in range(400)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (100, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+            got = ann.nearest(docs, every=20).collect()
+            assert {r.query_id for r in got} == set(range(0, 300, 20)) and all(r.vec_id < 300 for r in got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

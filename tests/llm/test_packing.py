@@ -72,3 +72,12 @@ def test_words_give_the_tokenizer_s_ids(text):
     off = np.array([0, len(text.encode()), len(raw)])
     for _ in range(2):
         assert packing.text_ids(w, raw, off)[0].tolist() == want
+
+
+def test_equal_rows_spread_over_groups(spark):
+    """Rows equal in everything, and rows without an id, are dealt like any others."""
+    docs = spark.createDataFrame([(None, "same few words")] * 400 + [(7, "same few words")] * 400, "doc_id long, text string").repartition(3)
+    got = packing.pack(docs, packing.Packing(FILE, length=1024, group_rows=50)).collect()
+    assert Counter(r.doc_id for r in got) == {None: 400, 7: 400}
+    groups = Counter(r.sequence_id >> 20 for r in packing._round(packing.T.saved(docs.mapInArrow(packing._tokenise(packing.Packing(FILE, length=1024)), packing._PIECES)), packing.Packing(FILE, length=1024, group_rows=50)).selectExpr("grp * 1048576 + bin AS sequence_id").collect())
+    assert len(groups) == 16 and max(groups.values()) < 90

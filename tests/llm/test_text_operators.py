@@ -504,6 +504,22 @@ def test_compacted_rows(odd_docs, odd_rows, no_docs, tmp_path):
     assert sharding.compacted(no_docs, str(tmp_path / "b")).count() == 0
 
 
+def test_clashing_columns_and_lost_files(spark, tmp_path):
+    """A table may have columns of the names that a store uses; merges that gain nothing leave no files."""
+    docs = spark.createDataFrame([(n, f"t{n}", "mine", 7, 8) for n in range(40)], "doc_id long, text string, _shard string, shard int, tier int").repartition(4)
+    got = sharding.compacted(docs, str(tmp_path / "a"), sharding.Sharding(arrival_bytes=1, fan_in=2)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40))
+    store = sharding.ShardStore(spark, str(tmp_path / "b"))
+    store.append(docs)
+    with pytest.raises(ValueError):
+        store.read()
+    assert {r._shard for r in store.read(shard_col="file").collect()} == {"mine"}
+    store._write = lambda df, write=store._write: write(df.repartition(9))
+    version = store.compact()
+    files = {f for f in (tmp_path / "b" / "data").rglob("*.parquet")}
+    assert version == 1 and len(files) == len(store.manifest()[1])
+
+
 # pipeline ----------------------------------------------------------------------------
 
 
@@ -528,6 +544,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert (out.n, out.rows) == (3, 4)
 
 
+def test_one_row_of_a_repeated_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, prose(21, 40)), (1, prose(20, 40)), (1, prose(22, 40)), (2, prose(23, 40)), (3, prose(20, 40)), (None, prose(24, 40)), (None, prose(25, 40))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 4):
+        got = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(parts), "").collect()
+        assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("1", min(t for d, t in rows if d == 1)), ("2", rows[3][1]), ("None", rows[5][1]), ("None", rows[6][1])])
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
