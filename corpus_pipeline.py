@@ -23,35 +23,37 @@ MIN_SCORE = 0.01
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognisable language. Null texts, texts without letters and texts
     like no language go; `lang` keeps its value, or gets the prediction where it is null."""
-    T.modest_batches(spark)
     model = langid.fit(docs)
     found = langid.predict(docs.select(*COLUMNS), model, keep=COLUMNS)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+    known = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return T.stored(known.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8: the
-    least doc_id. Of rows with the same doc_id one stays; rows with a null doc_id stay."""
+    least doc_id. Of rows with the same doc_id the one with the least text (then lang, source,
+    n_chars) stays; rows with a null doc_id stay."""
     found = neardup.near_duplicates(docs, neardup.NearDup(size=5, percent=80))
     kept = T.stored(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")))
     # the ids compress well on disk, so their size there is no bound for a broadcast
     out = docs.select(*COLUMNS).join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if not kept.where("rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    twice = kept.where("rows > 1").select("doc_id").hint("merge")
+    if not twice.isEmpty():
+        one = F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")
+        first = out.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("doc_id", "r.*")
+        out = out.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(first)
     return out.unionByName(docs.select(*COLUMNS).where("doc_id is null")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
-    T.modest_batches(spark)
-    return decontam.without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return T.stored(decontam.without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the text."""
-    T.modest_batches(spark)
     found = pii.detect(docs, masked=True, keep=("lang", "source"))
-    return found.select("doc_id", F.col("masked").alias("text"), "lang", "source", F.length("masked").cast("long").alias("n_chars"))
+    return T.stored(found.select("doc_id", F.col("masked").alias("text"), "lang", "source", F.length("masked").cast("long").alias("n_chars")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +77,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
+        before, docs = docs, stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1 and not T.is_stored(docs):
             docs = T.stored(docs)
+        if T.is_stored(before) and T.is_stored(docs):
+            T.discard(before)
     return docs
