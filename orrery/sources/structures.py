@@ -110,9 +110,14 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
     A file is one item and is parsed in one task. A file that can't be read gives no
     atoms; see ``read_errors``.
     """
+    return parsed(spark.read.format("binaryFile").load(path))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """Atoms of files given as path and content."""
     import pandas as pd
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = files.select("path", "content")
 
     def parse(batches):
         for pdf in batches:
@@ -203,6 +208,11 @@ def surface_points(atoms: DataFrame, probe: float = 1.6, directions: int = 64) -
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
     """(path, error) of the files that can't be read, so one bad item doesn't stop a run."""
+    return errors(spark.read.format("binaryFile").load(path))
+
+
+def errors(files: DataFrame) -> DataFrame:
+    """The same of files given as path and content."""
     import pandas as pd
 
     def test(batches):
@@ -219,4 +229,4 @@ def read_errors(spark: SparkSession, path: str) -> DataFrame:
                     out.append((p, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(test, "path string, error string")
+    return files.select("path", "content").mapInPandas(test, "path string, error string")
