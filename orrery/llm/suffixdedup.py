@@ -44,8 +44,8 @@ class Repeats:
     bloom_bits: size of the filter of candidate texts."""
 
     length: int = 400
-    gram: int = 48
-    reach: int = 144
+    gram: int = 16
+    reach: int = 192
     piece_rows: int = 8192
     bloom_bits: int = 1 << 25
 
@@ -109,13 +109,14 @@ def _anchors(p: Repeats):
         for batch in batches:
             data, off = T.utf8(batch.column(2))
             doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, j in T.pieces(off):
+            # of a size whose arrays stay in the processor's cache
+            for i, j in T.pieces(off, T.CHUNK_BYTES // 4):
                 o = off[i : j + 1] - off[i]
                 spans = Spans(data[off[i] : off[j]])
                 own = owners(spans.all(p.gram), p.reach)
                 if len(own) == 0:
                     continue
-                row = np.searchsorted(o, np.arange(len(own)), "right") - 1
+                row = np.repeat(np.arange(j - i), np.diff(o))[: len(own)]
                 # the text's last anchors have no window of their own, but runs end in them
                 s = np.flatnonzero((np.arange(len(own)) + p.reach + p.gram - 1 <= o[row + 1]) & (o[row + 1] - o[row] >= p.length))
                 if len(s) == 0:
@@ -191,17 +192,22 @@ def _neighbours(by: tuple[str, ...], most: int):
     return run
 
 
-def ranked(x: DataFrame, by: tuple[str, ...], most: int) -> tuple[DataFrame, DataFrame]:
+#: Rows of a partition aimed at when ranks are few.
+_PART_ROWS = 20_000
+
+
+def ranked(x: DataFrame, by: tuple[str, ...], most: int, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows that share their values of ``by`` with another, with the rank r of the values among
     all, and piece and many as told above; and the stored table below.
 
     Rows are sorted over all partitions, equal ones by doc and i besides, so values that a
     third of the rows have spread over partitions. The driver learns the ends of each
-    partition, nothing else.
+    partition, nothing else. rows: their number, if few.
     """
     spark = x.sparkSession
+    n = T.tasks(spark) if rows is None else min(T.tasks(spark), -(-rows // _PART_ROWS))
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in x.schema.fields)
-    ordered = x.repartitionByRange(T.tasks(spark), *by, "doc", "i").sortWithinPartitions(*by)
+    ordered = x.repartitionByRange(n, *by, "doc", "i").sortWithinPartitions(*by)
     placed = T.stored(ordered.mapInArrow(_neighbours(by, most), schema + "part int, place long, piece long, many boolean"))
     value = F.struct(*by)
     ends = placed.groupBy("part").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.max("place").alias("most")).orderBy("part").collect()
@@ -250,9 +256,9 @@ def _ahead(step: int):
     return run
 
 
-def _paired(x: DataFrame, step: int) -> DataFrame:
+def _paired(x: DataFrame, step: int, rows: int) -> DataFrame:
     """Each anchor with its rank and that of the anchor ``step`` ahead, where its run then ends."""
-    rows = x.select("doc", "th", "i", "pos", "end", "s1", "steps", "top", "r").repartition(T.tasks(x.sparkSession), "doc", "th")
+    rows = x.select("doc", "th", "i", "pos", "end", "s1", "steps", "top", "r").repartition(min(T.tasks(x.sparkSession), -(-rows // _PART_ROWS)), "doc", "th")
     return rows.sortWithinPartitions("doc", "th", "i").mapInArrow(_ahead(step), _PAIRS)
 
 
@@ -274,8 +280,8 @@ def doubled(anchors: DataFrame, copies: DataFrame, p: Repeats) -> tuple[DataFram
     # and repeated rows of it are one
     x = x.where("rep is null").unionByName(x.where("rep = doc").dropDuplicates(["doc", "th", "i"])).drop("rep")
     windows, k = _at_level(x, 0), 0
-    while not (longer := x.where(F.col("top") > k)).isEmpty():
-        x, placed = ranked(_paired(longer, 1 << k), ("r_a", "r_b"), p.piece_rows)
+    while rows := (longer := x.where(F.col("top") > k)).count():
+        x, placed = ranked(_paired(longer, 1 << k, rows), ("r_a", "r_b"), p.piece_rows, rows)
         tables.append(placed)
         k += 1
         windows = windows.unionByName(_at_level(x, k))
@@ -343,8 +349,13 @@ def _compared(rows: pa.RecordBatch, p: Repeats):
     part = rows.column("piece").to_numpy()[row].view(np.uint64)
     with np.errstate(over="ignore"):
         local = v + part * np.uint64(0xD1B54A32D192ED03)
-    _, first, inverse, n = np.unique(local, return_index=True, return_inverse=True, return_counts=True)
-    twice = n[inverse] > 1
+    order = np.argsort(local)
+    new = np.ones(len(order), bool)
+    new[1:] = local[order[1:]] != local[order[:-1]]
+    single = np.append(new[1:], True) & new
+    twice = np.ones(len(order), bool)
+    twice[order[single]] = False
+    first = order[new]
     doc, th, s1 = (rows.column(c).to_numpy() for c in ("doc", "th", "a"))
     hit = np.flatnonzero(twice)
     new = np.ones(len(hit), bool)
@@ -452,6 +463,8 @@ def remove_repeats(docs: DataFrame, p: Repeats | None = None, id_col: str = "doc
     late = across.where("kind = 1").join(met, "v").select("doc", "th", "a", "b")
     per_text = runs.where("kind = 0").select("doc", "th", "a", "b").union(late).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     done = candidates.select("doc", "th", "text").dropDuplicates(["doc", "th"]).join(per_text, ["doc", "th"]).mapInArrow(_removed(p, texts), _DONE + ", kept string" * texts)
+    done = T.stored(done)
+    T.discard(lists, candidates, runs)
 
     out = meta.join(copies.select("th", "n_bytes", "sha", "n"), ["th", "n_bytes", "sha"], "left").join(done, ["doc", "th"], "left")
     whole = F.col("n").isNotNull()

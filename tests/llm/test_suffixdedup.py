@@ -55,7 +55,7 @@ def test_doubling_decides(spark, monkeypatch):
     right = {tuple(r) for r in suffixdedup.remove_repeats(docs, p).collect()}
     paired = suffixdedup._paired
     # without the second rank of a pair, the rank of the first half stands for the whole run
-    monkeypatch.setattr(suffixdedup, "_paired", lambda x, step: paired(x, step).withColumn("r_b", F.lit(0).cast("long")))
+    monkeypatch.setattr(suffixdedup, "_paired", lambda x, *a: paired(x, *a).withColumn("r_b", F.lit(0).cast("long")))
     assert {tuple(r) for r in suffixdedup.remove_repeats(docs, p).collect()} != right
 
 
