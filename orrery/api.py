@@ -31,7 +31,11 @@ class Predictor:
 
     def predict(self, points: DataFrame) -> DataFrame:
         """Ranked pockets of each item."""
-        return predict_pockets(self.score(points).select("item", "id", "x", "y", "z", "score"), self.params)
+        return self.pockets(self.score(points).select("item", "id", "x", "y", "z", "score"))
+
+    def pockets(self, scored: DataFrame) -> DataFrame:
+        """Ranked pockets of each item, from points with their scores."""
+        return predict_pockets(scored, self.params)
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)

@@ -4,6 +4,9 @@ A calculator belongs to a kind (atom, residue, sas), names its columns and turns
 into a frame keyed by ``id``. Atom features reach points through the distance-weighted
 aggregation; sas features are computed at the point. New ones are registered the same
 way; a name that is taken is an error.
+
+Frames with a column ``item`` hold several structures, and neighbours are looked for within
+each; ids and residues are unique over all of them.
 """
 
 from __future__ import annotations
@@ -113,7 +116,7 @@ def table_values(atoms: DataFrame, key: str, props: DataFrame, columns: list[str
 
 def neighbour_count(points: DataFrame, atoms: DataFrame, r: float, name: str) -> DataFrame:
     """Atoms within r of each point, 0 included."""
-    n = S.radius_join(points.select("id", *S.XYZ), atoms.select(*S.XYZ), r).groupBy("id").agg(F.count("*").alias(name))
+    n = S.near(points, atoms, [], r).groupBy("id").agg(F.count("*").alias(name))
     return points.select("id").join(n, "id", "left").na.fill(0, [name])
 
 
@@ -124,7 +127,7 @@ def protrusion_histogram(points: DataFrame, atoms: DataFrame, bins: int, r: floa
     """
     step = (r - least) / (bins - 1) if bins > 1 else 0.0
     radii = [r - step * (bins - 1 - i) for i in range(bins)]
-    near = S.radius_join(points.select("id", *S.XYZ), atoms.select(*S.XYZ), r)
+    near = S.near(points, atoms, [], r)
     n = near.groupBy("id").agg(*(F.count_if(F.col("d2") <= q * q).cast("double").alias(f"c{i}") for i, q in enumerate(radii)))
     x = points.select("id").join(n, "id", "left").na.fill(0.0)
     value = [F.col(f"c{i}") if cumulative or i == 0 else F.col(f"c{i}") - F.col(f"c{i - 1}") for i in range(bins)]
@@ -136,7 +139,7 @@ def protrusion_histogram(points: DataFrame, atoms: DataFrame, bins: int, r: floa
 
 def center_distance(points: DataFrame, atoms: DataFrame, r: float) -> DataFrame:
     """Distance of each point to the centroid of the atoms within r (0 without any)."""
-    c = S.radius_join(points.select("id", *S.XYZ), atoms.select(*S.XYZ), r).groupBy("id").agg(*(F.avg(f"{a}_r").alias(f"{a}_r") for a in S.XYZ))
+    c = S.near(points, atoms, [], r).groupBy("id").agg(*(F.avg(f"{a}_r").alias(f"{a}_r") for a in S.XYZ))
     x = points.select("id", *S.XYZ).join(c, "id", "left")
     return x.select("id", F.coalesce(F.sqrt(S.d2()), F.lit(0.0)).alias("pmass"))
 
@@ -150,7 +153,7 @@ def pyramids(points: DataFrame, atoms: DataFrame, r: float) -> DataFrame:
 
     The surface is half of what Heron's formula gives, as the definition has it.
     """
-    near = S.knn(points, atoms, 9, r)
+    near = S.knn(points, atoms, 9, r, item=S.shared_item(points, atoms))
     near = near.join(atoms.select(F.col("id").alias("id_r"), *S.XYZ), "id_r")
     at = near.groupBy("id").agg(*(F.max(F.when(F.col("rank") == k + 1, F.col(c))).alias(f"{c}{k}") for k in range(9) for c in S.XYZ))
     x = points.select("id", *S.XYZ).join(at, "id")
@@ -171,7 +174,7 @@ def pyramids(points: DataFrame, atoms: DataFrame, r: float) -> DataFrame:
 
 def residue_cloud(points: DataFrame, atoms: DataFrame, r: float, score: str = "score", power: float = 1.0) -> DataFrame:
     """Over the distinct residues with an atom within r: mean, sum and sqrt(n) * sum of score ** power; none gives 0."""
-    near = S.radius_join(points.select("id", *S.XYZ), atoms.select("residue", score, *S.XYZ), r)
+    near = S.near(points, atoms, ["residue", score], r)
     one = near.groupBy("id", F.col("residue_r").alias("residue")).agg(F.max(f"{score}_r").alias("s"))
     v = F.pow("s", F.lit(power))
     got = one.groupBy("id").agg(F.avg(v).alias("mean"), F.sum(v).alias("sum"), (F.sqrt(F.count("*").cast("double")) * F.sum(v)).alias("vpa"))
@@ -183,8 +186,9 @@ def contacts(atoms: DataFrame, r: float = 3.3) -> DataFrame:
 
     atoms: id, residue, head (boolean), x, y, z.
     """
-    a = atoms.select("id", "residue", "head", *S.XYZ)
-    near = S.radius_join(a, a, r).where("residue <> residue_r")
+    item = S.shared_item(atoms)
+    a = atoms.select("id", "residue", "head", *S.XYZ, *([item] if item else []))
+    near = S.radius_join(a, a, r, item).where("residue <> residue_r")
     got = near.groupBy("residue").agg(
         F.countDistinct("residue_r").alias("residues"), F.countDistinct("id_r").alias("atoms"), F.countDistinct(F.when(F.col("head"), F.col("residue_r"))).alias("head"),
         F.countDistinct(F.when(~F.col("head"), F.col("residue_r"))).alias("side"),
@@ -215,7 +219,7 @@ def has_motif(letters: Column, motif: str) -> Column:
 
 def nearest_letters(points: DataFrame, residues: DataFrame, n: int, r: float) -> DataFrame:
     """Letters of the n residues nearest to each point (by their nearest atom, within r), in order."""
-    each = S.radius_join(points.select("id", *S.XYZ), residues.select("residue", "letter", *S.XYZ), r).groupBy("id", F.col("residue_r").alias("residue")).agg(F.min("d2").alias("d2"), F.min("letter_r").alias("letter"))
+    each = S.near(points, residues, ["residue", "letter"], r).groupBy("id", F.col("residue_r").alias("residue")).agg(F.min("d2").alias("d2"), F.min("letter_r").alias("letter"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "residue"))
     top = each.withColumn("k", rank).where(F.col("k") <= n)
     got = top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "letter"))), lambda s: s["letter"]).alias("letters"))
@@ -239,7 +243,7 @@ for _f in (
     Feature("rtype", "residue", tuple(sorted(AMINO_ACIDS)), lambda residues, **_: residues.select("id", *one_hot(corrected_code(F.col("res_name")), sorted(AMINO_ACIDS), ""))),
     Feature("ares", "atom", tuple(sorted(AMINO_ACIDS)), lambda atoms, **_: atoms.select("id", *one_hot(corrected_code(F.col("res_name")), sorted(AMINO_ACIDS), ""))),
     Feature("exposed", "atom", ("exposed",), lambda atoms, exposed, **_: atoms.select("id").join(exposed.select("id", F.lit(1.0).alias("exposed")), "id", "left").na.fill(0.0)),
-    Feature("exposed_dist", "sas", ("exposed_dist",), lambda points, exposed, **_: S.nearest(points, exposed, 6.0).select("id", F.sqrt("d2").alias("exposed_dist"))),
+    Feature("exposed_dist", "sas", ("exposed_dist",), lambda points, exposed, **_: S.nearest(points, exposed, 6.0, item=S.shared_item(points, exposed)).select("id", F.sqrt("d2").alias("exposed_dist"))),
     Feature("protrusion", "sas", ("protrusion",), lambda points, atoms, radius=10.0, **_: neighbour_count(points, atoms, radius, "protrusion")),
     Feature("surface_protrusion", "sas", ("surface_protrusion",), lambda points, exposed, radius=10.0, **_: neighbour_count(points, exposed, radius, "surface_protrusion")),
     Feature("protr_hist", "sas", tuple(f"b{i}" for i in range(5)), lambda points, atoms, radius=10.0, **_: protrusion_histogram(points, atoms, 5, radius)),
@@ -255,7 +259,7 @@ for _f in (
 def as_sas(name: str, points: DataFrame, atoms: DataFrame, values: DataFrame, r: float = 6.0) -> DataFrame:
     """An atom feature at points: the values of the nearest atom, as columns `name.column`."""
     f = _REGISTRY[name]
-    near = S.nearest(points, atoms, r).select("id", F.col("id_r"))
+    near = S.nearest(points, atoms, r, item=S.shared_item(points, atoms)).select("id", F.col("id_r"))
     v = values.select(F.col("id").alias("id_r"), *(F.col(c).alias(f"{name}.{c}") for c in f.columns))
     return near.join(v, "id_r").drop("id_r")
 
@@ -285,7 +289,7 @@ def atom_areas(atoms: DataFrame, surface: DataFrame, directions: int = 64, probe
 
 def area_near(points: DataFrame, atoms: DataFrame, r: float = 6.0, per_residue: bool = False) -> DataFrame:
     """Sum of asa over the atoms within r of each point, or over all atoms of the residues that have one there."""
-    near = S.radius_join(points.select("id", *S.XYZ), atoms.select("residue", "asa", *S.XYZ), r)
+    near = S.near(points, atoms, ["residue", "asa"], r)
     if per_residue:
         whole = atoms.groupBy(F.col("residue").alias("residue_r")).agg(F.sum("asa").alias("_a"))
         near = near.select("id", "residue_r").distinct().join(whole, "residue_r").withColumnRenamed("_a", "asa_r")
@@ -347,7 +351,7 @@ def pair_histogram(points: DataFrame, atoms: DataFrame, r: float, bins: int = 10
     """Per point: histogram of the distances, 0 to 2 r, between the atoms within r of it, each pair once."""
     from orrery.operators.aggregate import fixed_bin, smooth_bins
 
-    near = S.radius_join(points.select("id", *S.XYZ), atoms.select("id", *S.XYZ), r).select("id", F.col("id_r").alias("atom"), *(F.col(f"{c}_r").alias(c) for c in S.XYZ))
+    near = S.near(points, atoms, ["id"], r).select("id", F.col("id_r").alias("atom"), *(F.col(f"{c}_r").alias(c) for c in S.XYZ))
     other = near.select("id", *(F.col(c).alias(f"{c}_r") for c in ("atom", *S.XYZ)))
     pairs = near.join(other, "id").where("atom < atom_r").select("id", F.sqrt(S.d2()).alias("dist"))
     if smooth:
@@ -373,7 +377,7 @@ def simple_ss(ss: Column) -> Column:
 
 def ss_cloud(points: DataFrame, atoms: DataFrame, r: float) -> DataFrame:
     """Shares of the simple types among the atoms within r. atoms: ss."""
-    near = S.radius_join(points.select("id", *S.XYZ), atoms.select("ss", *S.XYZ), r)
+    near = S.near(points, atoms, ["ss"], r)
     got = near.groupBy("id").agg(*(F.avg((simple_ss(F.col("ss_r")) == t).cast("double")).alias(t) for t in "HEC"))
     return points.select("id").join(got, "id", "left").na.fill(0.0)
 
@@ -403,7 +407,7 @@ def motif_flags(points: DataFrame, residues: DataFrame, n: int = 8, r: float = 4
 
 def nearest_code(points: DataFrame, atoms: DataFrame) -> DataFrame:
     """The type of the residue nearest to each point, as flags."""
-    near = S.nearest(points, atoms, 6.0).join(atoms.select(F.col("id").alias("id_r"), "res_name"), "id_r")
+    near = S.nearest(points, atoms, 6.0, item=S.shared_item(points, atoms)).join(atoms.select(F.col("id").alias("id_r"), "res_name"), "id_r")
     return near.select("id", *one_hot(corrected_code(F.col("res_name")), sorted(AMINO_ACIDS), ""))
 
 

@@ -100,3 +100,23 @@ def coordinate_text(c: Column) -> Column:
 
 def percent_text(c: Column) -> Column:
     return F.format_string("%.1f %%", c * 100)
+
+
+def list_head(c: Column, n: int) -> Column:
+    """The first n values of a list."""
+    return F.slice(c, 1, n)
+
+
+def list_total(c: Column, factor: float = 1.0) -> Column:
+    """The sum of a list's values, each times a factor, in their order."""
+    return F.aggregate(F.transform(c, lambda v: v.cast("double") * factor), F.lit(0.0), lambda a, b: a + b)
+
+
+def json_value(c: Column, path: str) -> Column:
+    """A value in a JSON text, as text."""
+    return F.get_json_object(c, path)
+
+
+def id_list(ids: Column) -> Column:
+    """An aggregate: the distinct ids of a group in order of their text, separated by spaces."""
+    return F.array_join(F.array_sort(F.collect_set(ids.cast("string"))), " ")

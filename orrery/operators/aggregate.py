@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.operators.spatial import XYZ, radius_join
+from orrery.operators.spatial import near
 
 
 def weighted_features(
@@ -20,7 +20,7 @@ def weighted_features(
     undefined divisor counts as 1, and columns in keep_sum are multiplied back. Points
     without an atom have no row.
     """
-    pairs = radius_join(points.select("id", *XYZ), atoms.select("id", *XYZ, *values), r)
+    pairs = near(points, atoms, ["id", *values], r)
     w = weight(F.sqrt("d2"))
     sums = pairs.withColumn("w", w).groupBy("id").agg(
         *(F.sum(F.col("w") * F.col(f"{v}_r")).alias(v) for v in values), F.sum("w").alias("_w"), F.count("*").alias("n_atoms")
@@ -140,3 +140,63 @@ def sample_stats(value: Column) -> list[Column]:
     """sum, mean, var (n - 1), sd, relative sd in per cent, min and max of a sample."""
     mean, sd = F.avg(value), F.stddev_samp(value)
     return [F.sum(value).alias("sum"), mean.alias("mean"), F.var_samp(value).alias("var"), sd.alias("sd"), (100.0 * F.try_divide(sd, mean)).alias("rel_sd"), F.min(value).alias("min"), F.max(value).alias("max")]
+
+
+def merged(parts: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+    """Partial counts and sums of the same things added up."""
+    return parts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def mean_scores(df: DataFrame, observed: str, score: str) -> DataFrame:
+    """One row: the mean score, and that of the positives."""
+    return df.agg(F.avg(score).alias("mean_score"), F.avg(F.when(F.col(observed), F.col(score))).alias("mean_pos"))
+
+
+def label_stats(df: DataFrame, label: str) -> DataFrame:
+    """One row: all rows, positives, negatives and those without a label."""
+    c = F.col(label)
+    return df.agg(F.count("*").alias("total"), F.count_if(c).alias("pos"), F.count_if(~c).alias("neg"), F.count_if(c.isNull()).alias("unlabelled"))
+
+
+def transformed_score(score: Column, power: float, least: float = 0.0) -> Column:
+    """What a score exceeds ``least`` by, to a power; lower ones count 0."""
+    return F.pow(F.greatest(score - F.lit(float(least)) if least else score, F.lit(0.0)), F.lit(float(power)))
+
+
+def normalised_score(a: Column, b: Column) -> Column:
+    """The share a / (a + b); null for an empty whole, and 0 for a negative share."""
+    share = F.try_divide(a, a + b)
+    return F.when(share.isNotNull(), F.greatest(share, F.lit(0.0)))
+
+
+def pocket_scores(points: DataFrame, by: list[str], score: str = "score", tie: str = "id", power: float = 2.0, limit: int = 0) -> DataFrame:
+    """Per pocket: score, the sum of its points' transformed scores (of the ``limit`` best, if
+    that is set), mean_score and n, over all its points."""
+    x = points.withColumn("_t", transformed_score(F.col(score), power))
+    if limit:
+        best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), tie))
+        x = x.withColumn("_t", F.when(best <= limit, F.col("_t")).otherwise(0.0))
+    return x.groupBy(*by).agg(F.sum("_t").alias("pocket_score"), F.avg(score).alias("mean_score"), F.count("*").alias("n"))
+
+
+def standardised(df: DataFrame, value: str, name: str = "z") -> DataFrame:
+    """Each value less the mean, over the deviation of all; null without spread."""
+    m = df.agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    # one row of two numbers
+    return df.crossJoin(F.broadcast(m)).withColumn(name, F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))).drop("_mean", "_sd")
+
+
+def over_runs(stats: DataFrame, name: str, run: str, value: str, runs: list) -> DataFrame:
+    """Per number: mean, sample deviation (sd), the deviation in per cent of the mean, and the value in each run."""
+    v, sd = F.avg(value), F.stddev_samp(value)
+    return stats.groupBy(name).agg(v.alias("mean"), sd.alias("sd"), F.try_divide(100 * sd, v).alias("rel_sd"), *(F.max(F.when(F.col(run) == r, F.col(value))).alias(f"run_{r}") for r in runs))
+
+
+def parameter_table(results: DataFrame, row: str, column: str, values: list, value: str) -> DataFrame:
+    """The mean of a result for each pair of parameter values, a column for each value of the second."""
+    return results.groupBy(row).pivot(column, values).agg(F.avg(value))
+
+
+def distinct_average(df: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
+    """The mean over the distinct keys of each group; a key has one value."""
+    return df.dropDuplicates([*by, key]).groupBy(*by).agg(F.avg(value).alias("mean"))

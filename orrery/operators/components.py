@@ -76,3 +76,8 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", a: str = "a
         found = _by_item(ends.join(large, "item", "left_anti")).unionByName(_iterated(ends.join(large, "item", "left_semi")))
     all_nodes = nodes.select(F.col(node).alias("u")).distinct()
     return all_nodes.join(found, "u", "left").select(F.col("u").alias(node), F.coalesce("label", "u").alias("component"))
+
+
+def large_enough(clusters: DataFrame, least: int, component: str = "component") -> DataFrame:
+    """(component, n) of the clusters with ``least`` members or more."""
+    return clusters.groupBy(component).agg(F.count("*").alias("n")).where(F.col("n") >= least)

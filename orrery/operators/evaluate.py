@@ -81,3 +81,32 @@ def rescored(ranks: DataFrame) -> DataFrame:
     change = F.col("old_rank") - F.col("rank")
     bar = F.concat(F.expr("repeat('+', cast(greatest(old_rank - rank, 0) AS int))"), F.expr("repeat('-', cast(greatest(rank - old_rank, 0) AS int))"))
     return ranks.withColumn("change", change).withColumn("bar", bar)
+
+
+def overlap_criterion(o: DataFrame, least: float) -> DataFrame:
+    """dso: shared points over those of either set, of rows from ``overlaps``; identified from ``least`` on."""
+    dso = F.col("both") / (F.col("nl") + F.col("np") - F.col("both"))
+    return o.withColumn("dso", dso).withColumn("identified", F.col("dso") >= least)
+
+
+def weighted_overlap_criterion(o: DataFrame, of_ligand: float, of_pocket: float) -> DataFrame:
+    """identified: whether the shared points are enough of the ligand's and enough of the pocket's."""
+    return o.withColumn("identified", (F.col("both") / F.col("nl") >= of_ligand) & (F.col("both") / F.col("np") >= of_pocket))
+
+
+def with_decoys(pockets: DataFrame, by: list[str], true: str, score: str, tie: str, n: int) -> DataFrame:
+    """All true pockets of an item and its n best false ones."""
+    place = F.row_number().over(Window.partitionBy(*by, true).orderBy(F.desc(score), tie))
+    return pockets.withColumn("_n", place).where(F.col(true) | (F.col("_n") <= n)).drop("_n")
+
+
+def volumes(points: DataFrame, by: list[str], cell: int = 8) -> DataFrame:
+    """The volume of each pocket: that of a cell for each of its points."""
+    return points.groupBy(*by).agg((F.count("*") * cell).alias("volume"))
+
+
+def label_agreement(a: DataFrame, b: DataFrame, on: list[str], first: str, second: str) -> DataFrame:
+    """One row: how often two labelings of the same things agree and differ."""
+    j = a.join(b, on)
+    n = lambda u, v: F.count_if((F.col(first) == u) & (F.col(second) == v))
+    return j.agg(n(1, 1).alias("both_pos"), n(1, 0).alias("only_a"), n(0, 1).alias("only_b"), n(0, 0).alias("neither"))

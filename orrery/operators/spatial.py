@@ -59,11 +59,11 @@ def _meeting(left: DataFrame, right: DataFrame, r: float, item: str | None, rows
         raise ValueError("the radius must be positive")
     named = right.select(*(F.col(c).alias(f"{c}_r") for c in right.columns))
     probe = _around(_cells(named, r, "_r"), ahead)
-    near = _cells(left, r)
+    own = _cells(left, r)
     if item:
-        near, probe = near.withColumn("_item", F.col(item)), probe.withColumn("_item", F.col(f"{item}_r"))
-    near, probe, on = _sliced(near, probe, item, rows)
-    pairs = near.join(probe, on).withColumn("d2", d2()).where(F.col("d2") <= F.lit(float(r) * float(r)))
+        own, probe = own.withColumn("_item", F.col(item)), probe.withColumn("_item", F.col(f"{item}_r"))
+    own, probe, on = _sliced(own, probe, item, rows)
+    pairs = own.join(probe, on).withColumn("d2", d2()).where(F.col("d2") <= F.lit(float(r) * float(r)))
     return pairs
 
 
@@ -86,6 +86,18 @@ def close_pairs(points: DataFrame, r: float, item: str | None = None, rows: int
     return pairs.select(*([item] if item else []), F.least("id", "id_r").alias("id"), F.greatest("id", "id_r").alias("id_r"), "d2").where("id < id_r")
 
 
+def shared_item(*frames: DataFrame) -> str | None:
+    """`item` if all frames tell items apart by a column of that name."""
+    return "item" if all("item" in f.columns for f in frames) else None
+
+
+def near(points: DataFrame, atoms: DataFrame, columns: list[str], r: float) -> DataFrame:
+    """``radius_join`` of points and atoms with the given columns of the atoms, within items if both have them."""
+    item = shared_item(points, atoms)
+    by = [item] if item else []
+    return radius_join(points.select("id", *XYZ, *by), atoms.select(*columns, *XYZ, *by), r, item)
+
+
 def sphere(points: DataFrame, center: tuple[float, float, float], r: float) -> DataFrame:
     """Points within r of a fixed center, boundary included. The box goes first, as the scan can skip by it."""
     for c, v in zip(XYZ, center, strict=True):
@@ -97,38 +109,38 @@ def sphere(points: DataFrame, center: tuple[float, float, float], r: float) -> D
 def shell(points: DataFrame, targets: DataFrame, r: float, item: str | None = None) -> DataFrame:
     """Points within r of any target (of their item), each once; no target, no point."""
     by = [item] if item else []
-    near = radius_join(points.select("id", *XYZ, *by), targets.select(*XYZ, *by), r, item)
-    return points.join(near.select("id", *by).distinct(), ["id", *by], "left_semi")
+    found = radius_join(points.select("id", *XYZ, *by), targets.select(*XYZ, *by), r, item)
+    return points.join(found.select("id", *by).distinct(), ["id", *by], "left_semi")
 
 
 def distant(points: DataFrame, targets: DataFrame, r: float, item: str | None = None) -> DataFrame:
     """Points at least r away from every target: a point at d2 < r*r is out, one at exactly r stays."""
     by = [item] if item else []
-    near = radius_join(points.select("id", *XYZ, *by), targets.select(*XYZ, *by), r, item)
-    return points.join(near.where(F.col("d2") < float(r) * float(r)).select("id", *by).distinct(), ["id", *by], "left_anti")
+    found = radius_join(points.select("id", *XYZ, *by), targets.select(*XYZ, *by), r, item)
+    return points.join(found.where(F.col("d2") < float(r) * float(r)).select("id", *by).distinct(), ["id", *by], "left_anti")
 
 
 #: Steps from a cube to its parent: 4 cubes along each axis.
 _UP = 2
 
 
-def _boxes(targets: DataFrame, edge: float, levels: int) -> DataFrame:
+def _boxes(targets: DataFrame, edge: float, levels: int, by: list[str]) -> DataFrame:
     """Cubes of each level that hold targets, with their parent, number and box; level 0 has the finest.
 
     Each level is summed from the one below, so the points are counted once.
     """
     box = [f(c).alias(f"{n}_{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
-    at = _cells(targets, edge).groupBy(*_CELL).agg(F.count("*").alias("n"), *box)
+    at = _cells(targets, edge).groupBy(*by, *_CELL).agg(F.count("*").alias("n"), *box)
     parts = []
     for level in range(levels + 1):
         up = [F.floor(F.col(c) / (1 << _UP)).cast("long").alias(f"p{c}") for c in _CELL]
-        parts.append(at.select(F.lit(level).alias("level"), *_CELL, *up, "n", *(f"{n}_{c}" for c in XYZ for n in ("lo", "hi"))))
+        parts.append(at.select(F.lit(level).alias("level"), *by, *_CELL, *up, "n", *(f"{n}_{c}" for c in XYZ for n in ("lo", "hi"))))
         again = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))]
-        at = parts[-1].groupBy(*(F.col(f"p{c}").alias(c) for c in _CELL)).agg(F.sum("n").alias("n"), *again)
+        at = parts[-1].groupBy(*by, *(F.col(f"p{c}").alias(c) for c in _CELL)).agg(F.sum("n").alias("n"), *again)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _descent(q: DataFrame, t: DataFrame, k: int, edge: float, span: float) -> DataFrame:
+def _descent(q: DataFrame, t: DataFrame, k: int, edge: float, span: float, by: list[str]) -> DataFrame:
     """The cubes that can hold one of the k nearest targets of each query, and the targets in them.
 
     From the coarsest cubes down, a query keeps those that begin no farther away than the
@@ -138,18 +150,19 @@ def _descent(q: DataFrame, t: DataFrame, k: int, edge: float, span: float) -> Da
     levels = 0
     while edge * (1 << (_UP * levels)) < span and levels < 24:
         levels += 1
-    boxes = cut(_boxes(t, edge, levels))
+    boxes = cut(_boxes(t, edge, levels, by))
     gap = lambda c: F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0))
     far = lambda c: F.greatest(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(c))
     sq = lambda f: reduce(lambda a, b: a + b, (f(c) * f(c) for c in XYZ))
     order = Window.partitionBy("id").orderBy("_end", *_CELL)
-    # at the top a handful of cubes holds everything
-    open_ = q.crossJoin(F.broadcast(boxes.where(F.col("level") == levels)))
+    # at the top a handful of cubes holds all targets, or all of an item
+    top = boxes.where(F.col("level") == levels)
+    open_ = q.join(top, by) if by else q.crossJoin(F.broadcast(top))
     for level in range(levels, -1, -1):
         if level < levels:
             below = boxes.where(F.col("level") == level)
-            up = open_.select("id", *XYZ, *(F.col(c).alias(f"p{c}") for c in _CELL))
-            open_ = up.join(below, [f"p{c}" for c in _CELL])
+            up = open_.select("id", *by, *XYZ, *(F.col(c).alias(f"p{c}") for c in _CELL))
+            open_ = up.join(below, [*by, *(f"p{c}" for c in _CELL)])
         open_ = open_.withColumn("_begin", sq(gap)).withColumn("_end", sq(far))
         held = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
         open_ = open_.withColumn("_before", F.coalesce(held, F.lit(0)))
@@ -157,40 +170,42 @@ def _descent(q: DataFrame, t: DataFrame, k: int, edge: float, span: float) -> Da
         bound = F.min(F.when(F.col("_before") + F.col("n") >= k, F.col("_end"))).over(Window.partitionBy("id"))
         open_ = open_.withColumn("_bound", bound).where("_bound is null or _begin <= _bound * (1 + 1e-9) + 1e-12")
         if level % 4 == 0:
-            open_ = cut(open_.select("id", *XYZ, *_CELL))
-    named = _cells(t, edge).select(*(F.col(c).alias(f"{c}_r") for c in ("id", *XYZ)), *_CELL)
-    return open_.join(named, list(_CELL)).withColumn("d2", d2())
+            open_ = cut(open_.select("id", *by, *XYZ, *_CELL))
+    named = _cells(t, edge).select(*(F.col(c).alias(f"{c}_r") for c in ("id", *XYZ)), *by, *_CELL)
+    return open_.join(named, [*by, *_CELL]).withColumn("d2", d2())
 
 
-def knn(queries: DataFrame, targets: DataFrame, k: int, r: float, different: bool = False) -> DataFrame:
+def knn(queries: DataFrame, targets: DataFrame, k: int, r: float, different: bool = False, item: str | None = None) -> DataFrame:
     """The k nearest targets of each query: id, id_r, d2, rank; ties go to the smaller id_r.
 
     Searches within r first. Queries with fewer than k targets there, be they far from all
     targets or the targets few, go down a tree of cubes instead. With ``different`` a target
     with the query's id doesn't count. A query gets fewer than k rows if there are fewer targets.
+    item: column within which targets are looked for; ids are unique over all items.
     """
-    q, t = queries.select("id", *XYZ), targets.select("id", *XYZ)
+    by = [item] if item else []
+    q, t = queries.select("id", *XYZ, *by), targets.select("id", *XYZ, *by)
     w = Window.partitionBy("id").orderBy("d2", "id_r")
 
     def best(pairs):
         pairs = pairs.where("id <> id_r") if different else pairs
         return pairs.select("id", "id_r", "d2").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    near = cut(best(radius_join(q, t, r)))
-    settled = near.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("id")
+    close = cut(best(radius_join(q, t, r, item)))
+    settled = close.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("id")
     rest = cut(q.join(settled, "id", "left_anti"))
     if rest.isEmpty():
-        return near
+        return close
     # of all points one row comes back
-    ends = rest.union(t).agg(*(f(c) for c in XYZ for f in (F.min, F.max))).first()
+    ends = rest.unionByName(t).agg(*(f(c) for c in XYZ for f in (F.min, F.max))).first()
     span = max(max(abs(float(v or 0)) for v in ends), float(r)) * 2
-    found = best(_descent(rest, t, k + different, float(r), span))
-    return near.join(settled, "id", "left_semi").unionByName(found)
+    found = best(_descent(rest, t, k + different, float(r), span, by))
+    return close.join(settled, "id", "left_semi").unionByName(found)
 
 
-def nearest(queries: DataFrame, targets: DataFrame, r: float, different: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, r: float, different: bool = False, item: str | None = None) -> DataFrame:
     """The nearest target of each query."""
-    return knn(queries, targets, 1, r, different).drop("rank")
+    return knn(queries, targets, 1, r, different, item).drop("rank")
 
 
 def min_distance(groups_a: DataFrame, groups_b: DataFrame, r: float) -> DataFrame:

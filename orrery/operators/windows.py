@@ -85,3 +85,8 @@ def propensities(df: DataFrame, key: str, positive: Column) -> DataFrame:
     """Per key: positives, negatives, count and share of positives; rows without a label don't count."""
     df = df.withColumn("_p", positive).where(F.col("_p").isNotNull())
     return df.groupBy(key).agg(F.sum(F.col("_p").cast("long")).alias("pos"), F.sum((~F.col("_p")).cast("long")).alias("neg"), F.count("*").alias("count"), F.avg(F.col("_p").cast("double")).alias("ratio"))
+
+
+def ordered(df: DataFrame, by: list[str], order: list, name: str = "n") -> DataFrame:
+    """The place of each row in its group; the order must tell all rows of a group apart."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.operators.components import components
+from orrery.operators.aggregate import pocket_scores
+from orrery.operators.components import components, large_enough
 from orrery.operators.spatial import XYZ, close_pairs, radius_join
 from orrery.params import Params
 
@@ -22,16 +23,12 @@ def pocket_members(points: DataFrame, p: Params | None = None) -> DataFrame:
     near = ["item", "id", *XYZ]
     edges = close_pairs(hot, p.pred_clustering_dist, "item")
     of = components(hot.select("id"), edges, "id", "id", "id_r", item="item")
-    big = of.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") >= p.pred_min_cluster_size)
+    big = large_enough(of, p.pred_min_cluster_size)
     core = hot.select(*near).join(of.join(big, "component").select("id", "component"), "id")
     around = radius_join(points.select(*near), core.select("item", "component", *XYZ), p.extended_pocket_cutoff, "item")
     return around.select("item", F.col("component_r").alias("component"), "id").distinct()
 
 
-def transformed(score, power: float):
-    return F.pow(F.greatest(score, F.lit(0.0)), F.lit(power))
-
-
 def predict_pockets(points: DataFrame, p: Params | None = None) -> DataFrame:
     """Ranked pockets of each item: name, rank, component (its least core point), score, n_points and centroid.
 
@@ -39,13 +36,10 @@ def predict_pockets(points: DataFrame, p: Params | None = None) -> DataFrame:
     best ones if that is set. Ties go to the smaller component.
     """
     p = p or Params()
-    members = pocket_members(points, p).join(points.select("id", *XYZ, transformed(F.col("score"), p.point_score_pow).alias("s")), "id")
-    if p.score_point_limit:
-        best = F.row_number().over(Window.partitionBy("item", "component").orderBy(F.desc("s"), "id"))
-        counted = F.when(best <= p.score_point_limit, F.col("s")).otherwise(0.0)
-        members = members.withColumn("s", counted)
-    pockets = members.groupBy("item", "component").agg(
-        F.round(F.sum("s"), 5).alias("score"), F.count("*").alias("n_points"), *(F.round(F.avg(c), 5).alias(c) for c in XYZ)
-    )
+    by = ["item", "component"]
+    members = pocket_members(points, p).join(points.select("id", *XYZ, "score"), "id")
+    scores = pocket_scores(members, by, power=p.point_score_pow, limit=p.score_point_limit)
+    centers = members.groupBy(*by).agg(*(F.round(F.avg(c), 5).alias(c) for c in XYZ))
+    pockets = scores.join(centers, by).select(*by, F.round("pocket_score", 5).alias("score"), F.col("n").alias("n_points"), *XYZ)
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "component"))
     return pockets.withColumn("rank", rank).withColumn("name", F.concat(F.lit("pocket"), F.col("rank")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from orrery.operators import aggregate as A
 from orrery.operators import transform as X
@@ -49,7 +48,8 @@ def x9(spark, d):
 
 @query("a8_partial_merge", "SELECT l_returnflag AS f, count(*) AS n, round(sum(l_discount), 4) AS total FROM lineitem GROUP BY 1")
 def a8(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("f")).agg(F.count("*").alias("n"), r6(F.sum("l_discount"), 4).alias("total"))
+    parts = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("f"), "l_suppkey").agg(F.count("*").alias("n"), F.sum("l_discount").alias("total"))
+    return A.merged(parts, ["f"], ["n", "total"]).withColumn("total", r6("total", 4))
 
 
 @query(
@@ -86,7 +86,7 @@ def a13(spark, d):
 
 @query("a14_mean_scores", "SELECT round(avg(s), 6) AS mean_score, round(avg(CASE WHEN obs THEN s END), 6) AS mean_pos FROM pred", "pred")
 def a14(spark, d):
-    return pred(spark, d).agg(r6(F.avg("s")).alias("mean_score"), r6(F.avg(F.when(F.col("obs"), F.col("s")))).alias("mean_pos"))
+    return A.mean_scores(pred(spark, d), "obs", "s").select(*(r6(c).alias(c) for c in ("mean_score", "mean_pos")))
 
 
 @query("a15_roc_curve", f"WITH {_LEVELS} SELECT s, round(tp / sum(pos) OVER (), 6) AS tpr, round(fp / sum(neg) OVER (), 6) AS fpr FROM cum", "pred")
@@ -173,13 +173,12 @@ def a29(spark, d):
 
 @query("a3_pocket_score", "SELECT grp, round(sum(s), 5) AS score FROM (SELECT grp, pow(score, 2) AS s, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id) AS n FROM pts) WHERE n <= 5 GROUP BY grp", "pts")
 def a3(spark, d):
-    n = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "id"))
-    return pts(spark, d).withColumn("n", n).where("n <= 5").groupBy("grp").agg(r6(F.sum(F.pow("score", F.lit(2.0))), 5).alias("score"))
+    return A.pocket_scores(pts(spark, d), ["grp"], limit=5).select("grp", r6("pocket_score", 5).alias("score"))
 
 
 @query("a4_rescoring", "SELECT grp, round(sum(pow(greatest(score, 0), 2)), 5) AS raw_score, round(avg(score), 6) AS mean_score, count(*) AS n FROM pts GROUP BY grp", "pts")
 def a4(spark, d):
-    return pts(spark, d).groupBy("grp").agg(r6(F.sum(F.pow(F.greatest("score", F.lit(0.0)), F.lit(2.0))), 5).alias("raw_score"), r6(F.avg("score")).alias("mean_score"), F.count("*").alias("n"))
+    return A.pocket_scores(pts(spark, d), ["grp"]).select("grp", r6("pocket_score", 5).alias("raw_score"), r6("mean_score").alias("mean_score"), "n")
 
 
 @query(
@@ -196,8 +195,7 @@ def a5(spark, d):
 @query("a6_propensity_zscore", "SELECT grp, round((s - avg(s) OVER ()) / stddev_pop(s) OVER (), 6) AS z FROM (SELECT grp, sum(score) AS s FROM pts GROUP BY grp)", "pts")
 def a6(spark, d):
     g = pts(spark, d).groupBy("grp").agg(F.sum("score").alias("s"))
-    m = g.agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("sd"))
-    return g.crossJoin(F.broadcast(m)).select("grp", r6(F.try_divide(F.col("s") - F.col("mean"), F.col("sd"))).alias("z"))
+    return A.standardised(g, "s").select("grp", r6("z").alias("z"))
 
 
 @query(
@@ -209,9 +207,8 @@ SELECT stat, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd, round(100
 )
 def a25(spark, d):
     runs = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 5).alias("run"), F.col("o_orderstatus").alias("stat")).agg(F.avg("o_totalprice").alias("v"))
-    each = [r6(F.max(F.when(F.col("run") == i, F.col("v"))), 4).alias(f"run_{i}") for i in range(5)]
-    sd = F.stddev_samp("v")
-    return runs.groupBy("stat").agg(r6(F.avg("v"), 4).alias("mean"), r6(sd, 4).alias("sd"), r6(100 * sd / F.avg("v")).alias("rel_sd"), *each)
+    x = A.over_runs(runs, "stat", "run", "v", list(range(5)))
+    return x.select("stat", *(r6(c, 6 if c == "rel_sd" else 4).alias(c) for c in x.columns if c != "stat"))
 
 
 @query(
@@ -219,11 +216,11 @@ def a25(spark, d):
     "SELECT o_orderpriority AS priority, " + ", ".join(f"round(avg(CASE WHEN o_orderstatus = '{s}' THEN o_totalprice END), 4) AS {s.lower()}" for s in "FOP") + " FROM orders GROUP BY 1",
 )
 def k13(spark, d):
-    p = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.avg("o_totalprice"))
+    p = A.parameter_table(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "priority"), "priority", "o_orderstatus", ["F", "O", "P"], "o_totalprice")
     return p.select("priority", *(r6(s, 4).alias(s.lower()) for s in "FOP"))
 
 
 @query("a26_label_stats", "SELECT count(*) AS total, count(*) FILTER (toxic = 1) AS pos, count(*) FILTER (toxic = 0) AS neg, count(*) - count(toxic) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id)")
 def a26(spark, d):
     j = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
-    return j.agg(F.count("*").alias("total"), F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg"), F.count_if(F.col("toxic").isNull()).alias("unlabelled"))
+    return A.label_stats(j.withColumn("label", F.col("toxic") == 1), "label")

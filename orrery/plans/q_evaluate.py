@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.operators import aggregate as A
 from orrery.operators import evaluate as E
 from orrery.operators import windows as W
 from orrery.plans.registry import pts, query, r6
@@ -68,14 +69,12 @@ def _overlap(spark, d):
 
 @query("d5_dso", f"WITH {_SETS} SELECT l, p, round(shared / (nl + np - shared), 6) AS dso, shared / (nl + np - shared) >= 0.1 AS identified FROM ov", "pts")
 def d5(spark, d):
-    o = _overlap(spark, d)
-    dso = F.col("both") / (F.col("nl") + F.col("np") - F.col("both"))
-    return o.select("l", "p", r6(dso).alias("dso"), (dso >= 0.1).alias("identified"))
+    return E.overlap_criterion(_overlap(spark, d), 0.1).select("l", "p", r6("dso").alias("dso"), "identified")
 
 
 @query("d6_dswo", f"WITH {_SETS} SELECT l, p, shared / nl >= 0.1 AND shared / np >= 0.2 AS identified FROM ov", "pts")
 def d6(spark, d):
-    return _overlap(spark, d).select("l", "p", ((F.col("both") / F.col("nl") >= 0.1) & (F.col("both") / F.col("np") >= 0.2)).alias("identified"))
+    return E.weighted_overlap_criterion(_overlap(spark, d), 0.1, 0.2).select("l", "p", "identified")
 
 
 @query(
@@ -145,8 +144,8 @@ def a23(spark, d):
 
 @query("a24_distinct_average", "SELECT l_suppkey, round(avg(q), 6) AS mean FROM (SELECT DISTINCT l_suppkey, l_partkey, l_partkey % 50 AS q FROM lineitem) GROUP BY 1")
 def a24(spark, d):
-    x = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_partkey") % 50).alias("q")).dropDuplicates(["l_suppkey", "l_partkey"])
-    return x.groupBy("l_suppkey").agg(r6(F.avg("q")).alias("mean"))
+    x = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_partkey") % 50).alias("q"))
+    return A.distinct_average(x, ["l_suppkey"], "l_partkey", "q").withColumn("mean", r6("mean"))
 
 
 @query("k3_rescored", "SELECT grp, id, old_rank, rank, old_rank - rank AS change, repeat('+', CAST(greatest(old_rank - rank, 0) AS INT)) || repeat('-', CAST(greatest(rank - old_rank, 0) AS INT)) AS bar FROM (SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY id) AS old_rank, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id) AS rank FROM pts)", "pts")
@@ -159,8 +158,7 @@ def k3(spark, d):
 
 @query("y6_decoy_pockets", "SELECT grp, id, lig FROM (SELECT *, row_number() OVER (PARTITION BY grp, lig ORDER BY score DESC, id) AS n FROM pts) WHERE lig OR n <= 4", "pts")
 def y6(spark, d):
-    n = F.row_number().over(Window.partitionBy("grp", "lig").orderBy(F.desc("score"), "id"))
-    return pts(spark, d).withColumn("n", n).where("lig or n <= 4").select("grp", "id", "lig")
+    return E.with_decoys(pts(spark, d), ["grp"], "lig", "score", "id", 4).select("grp", "id", "lig")
 
 
 @query("y10_last_pocket_wins", f"SELECT a.id, max(b.grp) AS pocket FROM pts a JOIN pts b ON NOT a.lig AND b.lig AND {_D2} <= 16 GROUP BY a.id", "pts")
@@ -173,5 +171,5 @@ def y10(spark, d):
 
 @query("y12_volume_rescore", "SELECT grp, count(*) * 8 AS volume, row_number() OVER (PARTITION BY grp % 3 ORDER BY count(*) * 8 DESC, grp) AS rank FROM pts WHERE NOT lig GROUP BY grp", "pts")
 def y12(spark, d):
-    v = pts(spark, d).where("not lig").groupBy("grp").agg((F.count("*") * 8).alias("volume"))
+    v = E.volumes(pts(spark, d).where("not lig"), ["grp"])
     return W.ranked(v.withColumn("item", F.col("grp") % 3), ["item"], "volume", "grp").select("grp", "volume", F.col("rank").cast("long").alias("rank"))

@@ -10,7 +10,7 @@ from orrery.operators import spatial as S
 from orrery.operators import windows as W
 from orrery.plans.registry import chain, pts, query, r6
 from orrery.session import table
-from orrery.sources import structures
+from orrery.sources import sinks, structures
 
 _D2 = "((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 _NAMES = ("CA", "HA", "N", "1H", "O", "CB", "H")
@@ -119,9 +119,10 @@ def f29(spark, d):
     return X.table_values(x, "triplet", props, ["propensity"])
 
 
-@query("k2_residue_rows", "SELECT id, printf('%.4f', score) AS score_text, CASE WHEN lig THEN grp ELSE 0 END AS pocket FROM pts", "pts")
+@query("k2_residue_rows", "SELECT CAST(id AS VARCHAR) AS residue_label, printf('%.4f', score) AS score, printf('%.4f', score * 2) AS zscore, CASE WHEN lig THEN grp ELSE 0 END AS pocket FROM pts", "pts")
 def k2(spark, d):
-    return pts(spark, d).select("id", F.format_string("%.4f", "score").alias("score_text"), F.when(F.col("lig"), F.col("grp")).otherwise(0).alias("pocket"))
+    p = pts(spark, d).select(F.lit("a").alias("item"), F.lit("A").alias("chain"), F.col("id").cast("string").alias("residue_label"), F.lit("GLY").alias("residue_name"), "score", (F.col("score") * 2).alias("zscore"), F.lit(0.0).alias("probability"), F.when(F.col("lig"), F.col("grp")).alias("pocket"))
+    return sinks.residues(p).select("residue_label", "score", "zscore", "pocket")
 
 
 @query("k15_residue_cases", "SELECT count(*) AS n, CASE WHEN lig AND score >= 0.5 THEN 'TP' WHEN lig THEN 'FN' WHEN score >= 0.5 THEN 'FP' ELSE 'TN' END AS kind FROM pts GROUP BY 2", "pts")

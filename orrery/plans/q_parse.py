@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from orrery.functions import features as X
 from orrery.functions import strings as Z
+from orrery.operators import aggregate as A
+from orrery.operators import evaluate as E
 from orrery.plans import learn
 from orrery.plans.registry import pts, query, r6
 from orrery.session import table
+from orrery.sources import sinks, structures, tables
 
 _URL = "url"
 
@@ -67,12 +70,12 @@ def x5(spark, d):
 @query("x6_lists", "SELECT vec_id, list_slice(embedding, 1, 3)[1] AS first, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 2)), 5) AS total FROM embeddings")
 def x6(spark, d):
     e = F.col("embedding")
-    return table(spark, d, "embeddings").select("vec_id", F.slice(e, 1, 3)[0].alias("first"), r6(F.aggregate(F.transform(e, lambda v: v.cast("double") * 2), F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
+    return table(spark, d, "embeddings").select("vec_id", Z.list_head(e, 3)[0].alias("first"), r6(Z.list_total(e, 2.0), 5).alias("total"))
 
 
 @query("x7_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
 def x7(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return table(spark, d, "events").select("event_id", Z.json_value(F.col("props"), "$.k").alias("k"))
 
 
 @query("p9_ligand_definition", "SELECT p_partkey, split_part(p_brand, '#', 1) AS name, p_size AS atom_id FROM part WHERE p_size > 25")
@@ -84,12 +87,12 @@ def p9(spark, d):
 @query("p10_relevant", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('5-LOW', '4-NOT SPECIFIED')")
 def p10(spark, d):
     ignored = spark.createDataFrame([("5-LOW",), ("4-NOT SPECIFIED",)], "o_orderpriority string")
-    return table(spark, d, "orders").join(F.broadcast(ignored), "o_orderpriority", "left_anti").select("o_orderkey")
+    return structures.not_ignored(table(spark, d, "orders"), ignored, "o_orderpriority").select("o_orderkey")
 
 
 @query("p11_categories", "SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'small' WHEN o_orderkey % 7 > 4 THEN 'distant' WHEN o_custkey % 10 > 5 THEN 'off_center' ELSE 'relevant' END AS category FROM orders")
 def p11(spark, d):
-    c = F.when(F.col("o_totalprice") < 50000, "small").when(F.col("o_orderkey") % 7 > 4, "distant").when(F.col("o_custkey") % 10 > 5, "off_center").otherwise("relevant")
+    c = structures.ligand_category(F.col("o_totalprice") < 50000, F.col("o_orderkey") % 7 > 4, F.col("o_custkey") % 10 > 5)
     return table(spark, d, "orders").select("o_orderkey", c.alias("category"))
 
 
@@ -106,7 +109,7 @@ def p13(spark, d):
 
 @query("p7_normalised_score", "SELECT id, round(greatest(score / nullif(score + 0.3, 0), 0), 6) AS p FROM pts", "pts")
 def p7(spark, d):
-    return pts(spark, d).select("id", r6(F.greatest(F.try_divide(F.col("score"), F.col("score") + 0.3), F.lit(0.0))).alias("p"))
+    return pts(spark, d).select("id", r6(A.normalised_score(F.col("score"), F.lit(0.3))).alias("p"))
 
 
 @query("j10_equi_join", "SELECT o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey = o_custkey")
@@ -128,9 +131,9 @@ def j11(spark, d):
 )
 def j12(spark, d):
     p = table(spark, d, "part")
-    a = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("a"))
-    b = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), (F.col("p_size") + 100).alias("b"))
-    return a.join(b, "k", "full").select("k", F.coalesce("b", "a").alias("v"))
+    a = p.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("v"))
+    b = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("key"), (F.col("p_size") + 100).alias("v"))
+    return tables.merged(a, b).select(F.col("key").alias("k"), F.col("value").alias("v"))
 
 
 @query(
@@ -139,10 +142,7 @@ def j12(spark, d):
 )
 def j17(spark, d):
     n = table(spark, d, "labels")
-    a, b = n.select("doc_id", "quality"), n.select("doc_id", "toxic")
-    j = a.join(b, "doc_id")
-    q = lambda u, v: F.count_if((F.col("quality") == u) & (F.col("toxic") == v))
-    return j.agg(q(1, 1).alias("both_pos"), q(1, 0).alias("only_a"), q(0, 1).alias("only_b"), q(0, 0).alias("neither"))
+    return E.label_agreement(n.select("doc_id", "quality"), n.select("doc_id", "toxic"), ["doc_id"], "quality", "toxic")
 
 
 @query("j19_parameter_grid", "SELECT a.range AS a, b.range * 2 AS b, c.range AS c FROM range(3) a, range(4) b, range(2) c")
@@ -170,23 +170,23 @@ def s23(spark, d):
 
 @query("s26_label_strings", "SELECT grp, CAST(pos AS BIGINT) AS pos, CAST(substr(s, CAST(pos AS INT), 1) AS BIGINT) AS label FROM (SELECT grp, string_agg(CASE WHEN lig THEN '1' ELSE '0' END, '' ORDER BY id) AS s, count(*) AS n FROM pts GROUP BY grp), LATERAL (SELECT unnest(range(1, n + 1)) AS pos)", "pts")
 def s26(spark, d):
-    s = pts(spark, d).groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.when(F.col("lig"), "1").otherwise("0").alias("c")))), lambda x: x["c"]), "").alias("s"))
-    x = s.select("grp", F.posexplode(F.split("s", "")).alias("i", "c")).where("c <> ''")
-    return x.select("grp", (F.col("i") + 1).cast("long").alias("pos"), F.col("c").cast("long").alias("label"))
+    labels = sinks.sequences(pts(spark, d).withColumn("c", F.when(F.col("lig"), "1").otherwise("0")), ["grp"], ["id"], "c")
+    three = F.array(F.concat(F.lit(">"), "grp"), F.repeat(F.lit("G"), F.length("seq")), F.col("seq"))
+    lines = labels.select(F.lit("labels").alias("item"), "grp", F.posexplode(three).alias("k", "value")).withColumn("line_no", F.col("grp") * 3 + F.col("k"))
+    x = tables.sprint_labels(lines)
+    return x.select(F.col("code").cast("long").alias("grp"), F.col("pos").cast("long").alias("pos"), F.col("label").cast("long").alias("label"))
 
 
 @query("k1_residue_lists", "SELECT grp, string_agg(DISTINCT CAST(id AS VARCHAR), ' ' ORDER BY CAST(id AS VARCHAR)) AS residue_ids, count(*) AS n FROM pts WHERE NOT lig GROUP BY grp", "pts")
 def k1(spark, d):
-    ids = F.array_join(F.array_sort(F.collect_set(F.col("id").cast("string"))), " ")
-    return pts(spark, d).where("not lig").groupBy("grp").agg(ids.alias("residue_ids"), F.count("*").alias("n"))
+    return pts(spark, d).where("not lig").groupBy("grp").agg(Z.id_list(F.col("id")).alias("residue_ids"), F.count("*").alias("n"))
 
 
 @query("k7_sequences", "SELECT user_id, string_agg(letter, '' ORDER BY ts, event_id) AS seq FROM chain GROUP BY 1", "chain")
 def k7(spark, d):
     from orrery.plans.registry import chain
-    from orrery.sources.sinks import sequences
 
-    return sequences(chain(spark, d), ["user_id"], ["ts", "event_id"], "letter").select("user_id", "seq")
+    return sinks.sequences(chain(spark, d), ["user_id"], ["ts", "event_id"], "letter").select("user_id", "seq")
 
 
 @query("y13_random_forest")

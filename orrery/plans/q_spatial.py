@@ -10,7 +10,7 @@ from orrery.operators import aggregate as A
 from orrery.operators import sampling as M
 from orrery.operators import spatial as S
 from orrery.operators import windows as W
-from orrery.operators.components import components
+from orrery.operators.components import components, large_enough
 from orrery.plans.predict import predict_pockets
 from orrery.plans.registry import pts, query, r6
 
@@ -166,7 +166,7 @@ def p6(spark, d):
 
 @query("p8_score_transform", "SELECT id, round(pow(greatest(score - 0.2, 0), 2), 6) AS s FROM pts", "pts")
 def p8(spark, d):
-    return pts(spark, d).select("id", r6(F.pow(F.greatest(F.col("score") - 0.2, F.lit(0.0)), F.lit(2.0))).alias("s"))
+    return pts(spark, d).select("id", r6(A.transformed_score(F.col("score"), 2.0, 0.2)).alias("s"))
 
 
 @query(
@@ -253,7 +253,7 @@ def c1(spark, d):
 
 @query("c3_min_size", _CC + " SELECT component, count(*) AS n FROM comp GROUP BY component HAVING count(*) >= 3", "pts")
 def c3(spark, d):
-    return c1(spark, d).groupBy("component").agg(F.count("*").alias("n")).where("n >= 3")
+    return large_enough(c1(spark, d), 3)
 
 
 @query(

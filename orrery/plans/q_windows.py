@@ -102,8 +102,7 @@ for _n, _last, _dir in (("w10_head", False, "ASC"), ("w10_tail_reversed", True,
 
 @query("w11_deterministic_order", "SELECT p_brand, p_name, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_name, p_partkey) AS n FROM part")
 def w11(spark, d):
-    w = Window.partitionBy("p_brand").orderBy("p_size", "p_name", "p_partkey")
-    return table(spark, d, "part").select("p_brand", "p_name", "p_partkey", F.row_number().over(w).cast("long").alias("n"))
+    return W.ordered(table(spark, d, "part"), ["p_brand"], ["p_size", "p_name", "p_partkey"]).select("p_brand", "p_name", "p_partkey", "n")
 
 
 @query("w13_best_so_far", f"SELECT user_id, event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best FROM chain", "chain")

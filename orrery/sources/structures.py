@@ -170,6 +170,16 @@ def ligands(atoms: DataFrame, min_atoms: int = 5) -> DataFrame:
     return g.withColumn("category", F.when(F.col("n_atoms") < min_atoms, "small").otherwise("relevant"))
 
 
+def not_ignored(ligands: DataFrame, ignored: DataFrame, name: str = "res_name") -> DataFrame:
+    """Ligands whose name is not in a list of names to ignore."""
+    return ligands.join(ignored.select(name), name, "left_anti")
+
+
+def ligand_category(small, distant, off_center):
+    """The first that holds of small, distant and off_center, or else relevant."""
+    return F.when(small, "small").when(distant, "distant").when(off_center, "off_center").otherwise("relevant")
+
+
 def residues(atoms: DataFrame) -> DataFrame:
     """(item, chain_id, seq_num, ins_code, res_name, pos_in_chain) of residues in chain order."""
     from pyspark.sql.window import Window

@@ -199,3 +199,53 @@ def test_sampled_points_have_their_own_boxes(spark):
     assert M.sampled_points("grid", p.where("id = 1"), none.withColumn("k", F.lit(1))).count() > 20
     with pytest.raises(ValueError):
         M.sampled_points("surface", p, none)
+
+
+def test_nearest_within_items(spark):
+    rows = [(i, "a" if i % 2 else "b", float(i), 0.0, 0.0) for i in range(20)]
+    p = spark.createDataFrame(rows, "id long, item string, x double, y double, z double")
+    got = {}
+    for r in S.knn(p, p, 3, 1.5, different=True, item="item").collect():
+        got.setdefault(r.id, []).append((r["rank"], r.id_r))
+    for i, item, *_ in rows:
+        want = sorted((abs(i - j), j) for j, other, *_ in rows if other == item and j != i)[:3]
+        assert [x for _, x in sorted(got[i])] == [j for _, j in want]
+
+
+def test_from_files_to_pockets(spark, tmp_path):
+    """Two walls of atoms with a ligand between; a second file without one; a damaged third."""
+    from orrery.plans import run
+    from orrery.params import Params
+    from orrery.sources import sinks
+
+    def lines(item, ligand):
+        at = [(x * 3.0, y * 3.0, z) for x in range(4) for y in range(4) for z in (0.0, 9.0)] + [(x * 3.0 + 40, 0.0, 0.0) for x in range(6)]
+        rows = [(item, n, "CA" if n % 2 else "OD1", None, "ALA" if n % 2 else "ASP", "A", n, None, *p, 1.0, 10.0, "C" if n % 2 else "O", False) for n, p in enumerate(at, 1)]
+        rows += [(item, 100 + n, "C1", None, "LIG", "A", 900, None, 3.0 + n, 4.5, 4.5, 1.0, 10.0, "C", True) for n in range(6)] * ligand
+        return rows
+
+    schema = "item string, serial int, name string, altloc string, res_name string, chain_id string, seq_num int, ins_code string, x double, y double, z double, occupancy double, bfactor double, element string, is_het boolean"
+    for item, ligand in (("one.pdb", True), ("two.pdb", False)):
+        text = [r.value for r in sinks.pdb_lines(spark.createDataFrame(lines(item, ligand), schema)).orderBy("serial").collect()]
+        (tmp_path / item).write_text("\n".join(text) + "\nEND\n")
+    (tmp_path / "bad.pdb.gz").write_bytes(b"nothing")
+    enabled = ["protrusion", "bfactor", "exposed"]
+    p = Params(pred_point_threshold=0.5)
+    model = run.train(spark, str(tmp_path / "one.pdb"), enabled, p, trees=10, depth=4)
+    got = run.predict(spark, str(tmp_path), model, enabled).orderBy("item", "rank").collect()
+    assert {r.item for r in got} == {"one.pdb", "two.pdb"}
+    for item in ("one.pdb", "two.pdb"):
+        first = next(r for r in got if r.item == item and r["rank"] == 1)
+        assert abs(first.x - 4.5) < 4 and abs(first.y - 4.5) < 4 and abs(first.z - 4.5) < 5
+        assert first.sas_points > 3 and first.surf_atom_ids and all(s <= 38 for s in first.surf_atom_ids) and first.residue_ids
+    assert sinks.predictions(run.predict(spark, str(tmp_path / "two.pdb"), model, enabled)).first().name.startswith("pocket")
+
+
+def test_ablation_runs(spark):
+    from orrery.plans import run
+
+    r = random.Random(1)
+    rows = [(n, r.random(), r.random(), n % 2) for n in range(200)]
+    data = spark.createDataFrame([(n, a + y, b, y) for n, a, b, y in rows], "id long, protrusion_protrusion double, bfactor_bfactor double, y int")
+    got = run.ablations(data, ["protrusion", "bfactor"], "each", "y", k=2, trees=5, depth=3).collect()
+    assert [x.features for x in got] == ["protrusion", "bfactor"] and got[0].auprc > got[1].auprc
