@@ -164,9 +164,10 @@ def fit(docs: DataFrame, p: LangId | None = None, lang_col: str = "lang", text_c
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` and lang_pred, score of every row.
+    """The columns ``keep`` and lang_pred, score, letters of every row.
 
-    score is the largest cosine, cut to 0 .. 1; ties go to the first language by name. A
+    score is the largest cosine, cut to 0 .. 1; ties go to the first language by name;
+    letters is how many the text has. A
     text that is null or has no letter, and any text under a model without languages, is
     `und` with score 0. An empty table gives an empty result.
     """
@@ -176,7 +177,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     # languages times dimensions
     shared = docs.sparkSession.sparkContext.broadcast(model.protos / np.where(size > 0, size, 1))
     source = docs.select(*(F.col(f"`{c}`") for c in keep), T.column(docs, text_col, "string").alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + "lang_pred string, score double"
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + "lang_pred string, score double, letters long"
 
     @T.lean
     def run(batches):
@@ -193,6 +194,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                     score[ok] = np.clip(cosine.max(axis=1), 0, 1)
                     for n, best in zip(np.flatnonzero(ok), cosine.argmax(axis=1), strict=True):
                         pred[n] = langs[best]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)), pa.array(pred, pa.string()), pa.array(score), pa.array(letters.astype(np.int64))], [*keep, "lang_pred", "score", "letters"])
 
     return source.mapInArrow(run, schema)

@@ -544,6 +544,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert (out.n, out.rows) == (3, 4)
 
 
+def test_texts_in_an_unknown_script_go(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(n, SPEECH[x] * (1 + n % 3), x) for n, x in enumerate([*SPEECH] * 4)] + [(100, SCRIPTS["zh"] * 3, None), (101, SCRIPTS["ru"], None), (102, "да", None), (103, "12 34", "en"), (104, None, "en"), (105, SPEECH["de"], None)]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert set(got) == {*range(12), 102, 105} and got[105] == "de"
+
+
 def test_one_row_of_a_repeated_id(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(1, prose(21, 40)), (1, prose(20, 40)), (1, prose(22, 40)), (2, prose(23, 40)), (3, prose(20, 40)), (None, prose(24, 40)), (None, prose(25, 40))]
