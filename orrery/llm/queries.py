@@ -57,7 +57,8 @@ def op6_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_size_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{textops.ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    # a store would stay; this one is only shown
+    root = textops.until_exit(spark, f"{textops.ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
     return sharding.compacted(table(spark, sf_dir, "documents"), root)
 
 

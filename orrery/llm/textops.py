@@ -204,7 +204,7 @@ def lean(run):
     return wrapped
 
 
-#: File system and path of the tables made by ``stored`` that are still there.
+#: File system and path of the folders that are still there and go at the end.
 _TABLES: dict[str, tuple] = {}
 
 
@@ -219,7 +219,7 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Written as a Parquet table in the shared checkpoint folder and read again.
 
     Columnar and compressed, unlike ``saved``, and its size is known to the planner. Results
@@ -231,14 +231,20 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    _TABLES[path] = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+    until_exit(spark, path)
     out._stored_at = path
     return out
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """The path of a folder that goes when the driver ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _TABLES[path] = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+    return path
+
+
 def is_stored(df: DataFrame) -> bool:
     """Whether ``stored`` has made the table and it is still there."""
     return getattr(df, "_stored_at", None) in _TABLES

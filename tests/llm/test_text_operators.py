@@ -242,6 +242,47 @@ def test_planted_passages(spark):
     assert decontam.contaminated(docs.where("doc_id < 0"), bench).count() == 0
 
 
+def test_alignments_against_all_pairs(spark):
+    """Documents and items found, and their similarities, are those of aligning every text with every item."""
+    import random
+
+    import numpy as np
+
+    r, p = random.Random(12), decontam.Decontamination()
+    items = [(n, prose(7100 + n, 12 + 6 * n)) for n in range(6)]
+    rows = []
+    for d in range(70):
+        parts = [prose(d, r.randrange(5, 60))]
+        for _ in range(r.randrange(3)):
+            w = r.choice(items)[1].split()
+            a = r.randrange(len(w) // 2) if r.random() < 0.4 else 0
+            w = [x if r.random() > 0.08 else "other" for x in w[a:] if r.random() > 0.06]
+            parts += [" ".join(w), prose(1000 + d, r.randrange(3, 30))]
+        rows.append((d, " ".join(parts)))
+    rows += [(500, rows[3][1]), (501, ""), (502, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontam.contaminated(docs, bench, p).collect()}
+
+    def said(text):
+        return [x for x in re.split(r"[^a-z0-9]+", (text or "").lower()) if x]
+
+    code: dict = {}
+    for d, text in rows:
+        b = np.array([code.setdefault(x, len(code) + 1) for x in said(text)], np.uint64)
+        for i, item in items:
+            a = np.array([code.setdefault(x, len(code) + 1) for x in said(item)], np.uint64)
+            best = decontam.smith_waterman(a, b, p)[0] / (p.match * len(a)) if len(b) else 0.0
+            # an alignment that close to the threshold may rest on fewer seeds than it takes
+            if best >= p.similarity + 0.1:
+                assert abs(got.pop((d, i)) - best) < 1e-9
+            elif best < p.similarity:
+                assert (d, i) not in got
+            else:
+                got.pop((d, i), None)
+    assert not got
+
+
 def test_byte_range_of_a_passage(spark):
     item = prose(1, 20)
     docs = spark.createDataFrame([(1, "É über " + prose(2, 50) + " " + item)], "doc_id long, text string")
