@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from orrery.functions import features as X
+from orrery.operators import aggregate as A
 from orrery.operators import transform as R
-from orrery.plans.registry import pts, query, r6
+from orrery.plans.registry import pred, pts, query, r6
 from orrery.session import checkpoint_dir, table
 from orrery.sources import datasets, pockets, reports, sinks, structures, tables
+from orrery.streaming import folder
 
 _NAMES = ("CA", "N", "O", "CB", "SG", "OD1", "ND2")
 _CODES = ("ALA", "HIS", "ASP", "ATP", "HOH")
@@ -373,9 +375,6 @@ def p14(spark, d):
     return spark.createDataFrame([(c,) for c in kept], "name string")
 
 
-_E = ("e.pdb", "f.pdb")
-
-
 @query(
     "k4_pocket_rows",
     "SELECT 's' || grp AS file, CAST(count(*) FILTER (lig) OVER (PARTITION BY grp) AS VARCHAR) AS ligands, CAST(count(*) FILTER (NOT lig) OVER (PARTITION BY grp) AS VARCHAR) AS pockets, 'p' || id AS pocket, printf('%.4f', score) AS old_score, CAST(id AS VARCHAR) AS rank FROM pts QUALIFY NOT lig",
@@ -427,3 +426,33 @@ _RGB = "printf('%02x', CAST(floor((v - v * 0.6 * greatest(0, least(({0} + h * 6)
 @query("x8_spectrum", f"SELECT '#' || {' || '.join(_RGB.format(n) for n in (5, 3, 1))} AS colour FROM (SELECT (0.6::DOUBLE + 0.6::DOUBLE * range / 6) % 1 AS h, CASE WHEN range % 2 = 0 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS v FROM range(6))")
 def x8(spark, d):
     return spark.createDataFrame([(c,) for c in reports.spectrum(6)], "colour string")
+
+
+@query("k6_histogram_lines", "SELECT r.range / 10.0::DOUBLE AS \"from\", count(s) AS n FROM range(10) r LEFT JOIN pred ON r.range = CASE WHEN s <= 0 THEN 0 WHEN s >= 1 THEN 9 ELSE least(floor(s / 0.1::DOUBLE), 9) END GROUP BY 1", "pred")
+def k6(spark, d):
+    h = A.histogram(pred(spark, d), "s", 0.0, 1.0, 10)
+    return reports.histogram_lines(h, 0.0, 1.0, 10)
+
+
+@query("x10_dates", "SELECT o_orderkey, CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS month, CAST(year(o_orderdate) AS INT) AS y, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS days, CAST(CAST(o_orderdate + INTERVAL 36 HOUR AS DATE) AS VARCHAR) AS later FROM orders")
+def x10(spark, d):
+    o = F.col("o_orderdate")
+    later = F.to_date(o + F.make_interval(hours=F.lit(36)))
+    return table(spark, d, "orders").select("o_orderkey", F.trunc(o, "month").cast("string").alias("month"), F.year(o).alias("y"), F.datediff(o, F.lit("1995-01-01").cast("date")).alias("days"), later.cast("string").alias("later"))
+
+
+@query("y28_event_rates", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def y28(spark, d):
+    x = folder.event_rates(table(spark, d, "events"))
+    return x.select(F.unix_timestamp("window.start").alias("hour"), "event_type", "n", r6("mean").alias("mean"))
+
+
+@query(
+    "y28_sessions",
+    """WITH t AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM t)
+SELECT user_id, epoch_ms(min(ts)) AS begin, epoch_ms(max(ts)) + 1800000 AS "end", count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, k""",
+)
+def y28_sessions(spark, d):
+    x = folder.sessions(table(spark, d, "events"))
+    return x.select("user_id", F.unix_millis("begin").alias("begin"), F.unix_millis("end").alias("end"), "n", r6("total", 4).alias("total"))

@@ -30,3 +30,10 @@ def event_rates(events: DataFrame, window: str = "1 hour", late: str = "10 minut
     """Events and their mean value per type and window of time, with a watermark."""
     ts = F.col("ts").cast("timestamp")
     return events.withColumn("ts", ts).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", user: str = "user_id") -> DataFrame:
+    """Events of each user without a longer gap between them: begin, end (a gap after the last), number and total value."""
+    ts = F.col("ts").cast("timestamp")
+    x = events.withColumn("ts", ts).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), user).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return x.select(user, F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n", "total")
