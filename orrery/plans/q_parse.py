@@ -150,10 +150,10 @@ def j19(spark, d):
     return learn.grid(spark, {"a": [0, 1, 2], "b": "[0:6:2]", "c": [0, 1]})
 
 
-@query("s1_dataset_rows", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(trim(regexp_replace(line, '#.*', '')), '\\s+'), lambda w: w <> '')) AS BIGINT) AS n FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)")
+@query("s1_dataset_rows", "SELECT doc_id, CAST(list_sum(list_transform(string_split(text, chr(10)), lambda line: len(list_filter(regexp_split_to_array(trim(regexp_replace(line, '#.*', '')), '\\s+'), lambda w: w <> '')))) AS BIGINT) AS n FROM documents")
 def s1(spark, d):
-    line = F.split("text", "\n")[0]
-    return table(spark, d, "documents").select("doc_id", F.size(Z.words(F.trim(F.regexp_replace(line, "#.*", "")))).cast("long").alias("n"))
+    each = F.transform(F.split("text", "\n"), lambda line: F.size(Z.words(F.trim(F.regexp_replace(line, "#.*", "")))))
+    return table(spark, d, "documents").select("doc_id", F.aggregate(each, F.lit(0), lambda a, b: a + b).cast("long").alias("n"))
 
 
 @query("s4_joined_datasets", "SELECT c_custkey AS k, c_name AS name, NULL::DOUBLE AS bal FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
