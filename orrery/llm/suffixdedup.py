@@ -281,7 +281,10 @@ def doubled(anchors: DataFrame, copies: DataFrame, p: Repeats) -> tuple[DataFram
     x = x.where("rep is null").unionByName(x.where("rep = doc").dropDuplicates(["doc", "th", "i"])).drop("rep")
     windows, k = _at_level(x, 0), 0
     while rows := (longer := x.where(F.col("top") > k)).count():
-        x, placed = ranked(_paired(longer, 1 << k, rows), ("r_a", "r_b"), p.piece_rows, rows)
+        # stored, as Spark goes over the rows twice to sort them by ranges
+        pairs = T.stored(_paired(longer, 1 << k, rows))
+        x, placed = ranked(pairs, ("r_a", "r_b"), p.piece_rows, rows)
+        T.discard(pairs)
         tables.append(placed)
         k += 1
         windows = windows.unionByName(_at_level(x, k))
@@ -413,12 +416,14 @@ def _removed(p: Repeats, texts: bool):
 
 
 def _bloom(keys: DataFrame, bits: int):
-    """A filter of fixed size over (doc, th): texts without it are surely no candidates."""
+    """A filter of fixed size over (doc, th): texts outside are surely no candidates. With many
+    more candidates than bits it is full, and all texts go on to the join."""
     bit = F.pmod(F.xxhash64("doc", "th"), F.lit(bits))
-    words = keys.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 8).alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 AS int))")).alias("m"))
+    words = keys.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("m"))
+    # bits / 64 rows at most
     found = words.toPandas()
-    table = np.zeros(bits // 8, np.uint8)
-    table[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.uint8)
+    table = np.zeros(bits // 64, np.uint64)
+    table[found["w"].to_numpy(np.int64)] = found["m"].to_numpy(np.int64).view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(table)
 
 
@@ -451,7 +456,7 @@ def remove_repeats(docs: DataFrame, p: Repeats | None = None, id_col: str = "doc
     def maybe(batches):
         for batch in batches:
             b = batch.column("bit").to_numpy()
-            yield batch.filter(pa.array((filter_.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1)).select(["doc", "th", "text"])
+            yield batch.filter(pa.array((filter_.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1)).select(["doc", "th", "text"])
 
     some = src.select("doc", "th", "text", bit).mapInArrow(maybe, "doc long, th long, text string")
     candidates = T.stored(some.join(lists, ["doc", "th"]))
