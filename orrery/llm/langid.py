@@ -26,8 +26,9 @@ from orrery.llm import textops as T
 #: The symbol between words; other symbols are the code points of lower-cased letters.
 GAP = 0
 _BITS = 21
-#: Distinct trigrams whose vectors are held at once, and letters that a worker remembers.
-BLOCK, KNOWN = 2048, 8192
+#: Distinct trigrams whose vectors are held at once, letters that a worker remembers, and
+#: texts whose bundles are made at once: many texts can be a word long.
+BLOCK, KNOWN, TEXTS = 2048, 8192, 512
 
 
 @dataclass(frozen=True)
@@ -128,7 +129,7 @@ def _sums(p: LangId):
         vectors, sums = Vectors(p), {}
         for batch in batches:
             lang = batch.column(0).to_pylist()
-            for i, j in T.pieces(T.utf8(batch.column(1))[1]):
+            for i, j in T.pieces(T.utf8(batch.column(1))[1], rows=TEXTS):
                 found, _ = bundles(batch.column(1).slice(i, j - i).to_pylist(), vectors)
                 names = {x: n for n, x in enumerate(sorted(set(lang[i:j])))}
                 own = np.zeros((len(names), p.dims))
@@ -184,7 +185,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         protos, vectors = shared.value, Vectors(p)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            for i, j in T.pieces(T.utf8(texts)[1]):
+            for i, j in T.pieces(T.utf8(texts)[1], rows=TEXTS):
                 found, letters = bundles(texts.slice(i, j - i).fill_null("").to_pylist(), vectors)
                 pred, score = ["und"] * (j - i), np.zeros(j - i)
                 norm = np.linalg.norm(found, axis=1)
