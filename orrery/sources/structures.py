@@ -1,4 +1,4 @@
-"""Structure files as rows of atoms: fixed-width PDB and mmCIF, plain or compressed.
+"""Structure files as rows of atoms: fixed-width PDB, mmCIF and binary mmCIF, plain or compressed.
 
 Files are read as text lines by Spark where a line is an atom (PDB), and whole where the
 order of columns is declared in the file (mmCIF).
@@ -12,6 +12,8 @@ import lzma
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.sources import bcif
+
 SCHEMA = (
     "item string, model int, serial int, name string, altloc string, res_name string, chain_id string, seq_num int, ins_code string,"
     " x double, y double, z double, occupancy float, bfactor float, element string, is_het boolean"
@@ -60,6 +62,17 @@ def _pdb_rows(text: str, item: str):
             yield item, model, line
 
 
+def _atom(item: str, v: dict) -> tuple:
+    """Values of SCHEMA from the columns of a coordinate table."""
+    get = lambda *keys: next((v[k] for k in keys if v.get(k) not in (None, "", ".", "?")), None)
+    number = lambda x, kind: None if x is None else kind(x)
+    return (
+        item, int(get("pdbx_PDB_model_num") or 1) - 1, number(get("id"), int), get("auth_atom_id", "label_atom_id"), get("label_alt_id"), get("auth_comp_id", "label_comp_id"),
+        get("auth_asym_id", "label_asym_id"), number(get("auth_seq_id", "label_seq_id"), int), get("pdbx_PDB_ins_code"), float(v["Cartn_x"]), float(v["Cartn_y"]), float(v["Cartn_z"]),
+        number(get("occupancy"), float), number(get("B_iso_or_equiv"), float), (get("type_symbol") or "").upper() or None, v.get("group_PDB") == "HETATM",
+    )
+
+
 def _cif_rows(text: str, item: str):
     """Atoms of the _atom_site loop, as values of SCHEMA."""
     lines = iter(text.splitlines())
@@ -71,14 +84,7 @@ def _cif_rows(text: str, item: str):
         elif s.startswith("_atom_site."):
             names.append(s.split(".", 1)[1].split()[0])
         elif names and s and not s.startswith(("#", "_")):
-            v = dict(zip(names, _cif_values(s), strict=False))
-            get = lambda *keys, v=v: next((v[k] for k in keys if v.get(k) not in (None, ".", "?")), None)
-            number = lambda x, kind: None if x is None else kind(x)
-            yield (
-                item, int(get("pdbx_PDB_model_num") or 1) - 1, number(get("id"), int), get("auth_atom_id", "label_atom_id"), get("label_alt_id"), get("auth_comp_id", "label_comp_id"),
-                get("auth_asym_id", "label_asym_id"), number(get("auth_seq_id", "label_seq_id"), int), get("pdbx_PDB_ins_code"), float(v["Cartn_x"]), float(v["Cartn_y"]), float(v["Cartn_z"]),
-                number(get("occupancy"), float), number(get("B_iso_or_equiv"), float), (get("type_symbol") or "").upper() or None, v.get("group_PDB") == "HETATM",
-            )
+            yield _atom(item, dict(zip(names, _cif_values(s), strict=False)))
         elif names and s.startswith("#"):
             return
 
@@ -105,7 +111,7 @@ def _cif_values(line: str) -> list[str]:
 
 
 def read_structures(spark: SparkSession, path: str) -> DataFrame:
-    """Atoms of all structure files at a path or glob; .cif by its declared columns, anything else as PDB.
+    """Atoms of all structure files at a path or glob; .cif by its declared columns, .bcif by its arrays, anything else as PDB.
 
     A file is one item and is parsed in one task. A file that can't be read gives no
     atoms; see ``read_errors``.
@@ -125,7 +131,11 @@ def parsed(files: DataFrame) -> DataFrame:
             for p, raw in zip(pdf["path"], pdf["content"], strict=True):
                 name = p.rsplit("/", 1)[-1]
                 try:
-                    text = decompressed(name, raw).decode("utf-8", "replace")
+                    raw = decompressed(name, raw)
+                    if ".bcif" in name:
+                        cif += [_atom(name, v) for v in bcif.rows(raw)]
+                        continue
+                    text = raw.decode("utf-8", "replace")
                     if ".cif" in name:
                         cif += list(_cif_rows(text, name))
                     else:
@@ -231,8 +241,9 @@ def errors(files: DataFrame) -> DataFrame:
             for p, raw in zip(pdf["path"], pdf["content"], strict=True):
                 name = p.rsplit("/", 1)[-1]
                 try:
-                    text = decompressed(name, raw).decode("utf-8", "replace")
-                    rows = _cif_rows(text, name) if ".cif" in name else _pdb_rows(text, name)
+                    raw = decompressed(name, raw)
+                    text = "" if ".bcif" in name else raw.decode("utf-8", "replace")
+                    rows = bcif.rows(raw) if ".bcif" in name else _cif_rows(text, name) if ".cif" in name else _pdb_rows(text, name)
                     if next(iter(rows), None) is None:
                         out.append((p, "no atoms"))
                 except (ValueError, KeyError, OSError, EOFError) as e:

@@ -249,3 +249,81 @@ def test_ablation_runs(spark):
     data = spark.createDataFrame([(n, a + y, b, y) for n, a, b, y in rows], "id long, protrusion_protrusion double, bfactor_bfactor double, y int")
     got = run.ablations(data, ["protrusion", "bfactor"], "each", "y", k=2, trees=5, depth=3).collect()
     assert [x.features for x in got] == ["protrusion", "bfactor"] and got[0].auprc > got[1].auprc
+
+
+# binary mmCIF ----------------------------------------------------------------------------
+
+
+def packed(v):
+    """A MessagePack document."""
+    import struct
+
+    if v is None or isinstance(v, bool):
+        return {None: b"\xc0", False: b"\xc2", True: b"\xc3"}[v]
+    if isinstance(v, int):
+        return struct.pack("B", v) if 0 <= v < 128 else b"\xd3" + struct.pack(">q", v)
+    if isinstance(v, float):
+        return b"\xcb" + struct.pack(">d", v)
+    if isinstance(v, str):
+        raw = v.encode()
+        return (bytes([0xA0 + len(raw)]) if len(raw) < 32 else b"\xda" + struct.pack(">H", len(raw))) + raw
+    if isinstance(v, bytes):
+        return b"\xc6" + struct.pack(">I", len(v)) + v
+    if isinstance(v, list):
+        return (bytes([0x90 + len(v)]) if len(v) < 16 else b"\xdc" + struct.pack(">H", len(v))) + b"".join(map(packed, v))
+    return b"\xde" + struct.pack(">H", len(v)) + b"".join(packed(k) + packed(x) for k, x in v.items())
+
+
+def integers(values, kind=3):
+    import numpy as np
+
+    from orrery.sources import bcif
+
+    return {"data": np.array(values, bcif.TYPES[kind]).tobytes(), "encoding": [{"kind": "ByteArray", "type": kind}]}
+
+
+def texts(values):
+    words = sorted(set(values))
+    ends = [0]
+    for w in words:
+        ends.append(ends[-1] + len(w))
+    at = integers([words.index(v) for v in values])
+    places = integers(ends)
+    one = {"kind": "StringArray", "dataEncoding": at["encoding"], "stringData": "".join(words), "offsetEncoding": places["encoding"], "offsets": places["data"]}
+    return {"data": at["data"], "encoding": [one]}
+
+
+def test_binary_structures(spark, tmp_path):
+    import gzip
+
+    from orrery.sources import structures
+
+    n = 40
+    x, serial = [1.5 * k - 7.125 for k in range(n)], list(range(100, 100 + n))
+    small = []
+    for v in (round(a * 1000) for a in x):
+        while abs(v) >= 127 and v not in (127, -128):
+            small.append(127 if v > 0 else -128)
+            v -= small[-1]
+        small += [v] if v not in (127, -128) else [v, 0]
+    packing = {"kind": "IntegerPacking", "byteCount": 1, "isUnsigned": False, "srcSize": n}
+    columns = {
+        "id": {"data": integers([100] + [1] * (n - 1))["data"], "encoding": [{"kind": "Delta", "origin": 0, "srcType": 3}, *integers([])["encoding"]]},
+        "Cartn_x": {"data": integers(small, 1)["data"], "encoding": [{"kind": "FixedPoint", "factor": 1000, "srcType": 33}, packing, *integers([], 1)["encoding"]]},
+        "Cartn_y": {"data": integers(range(n), 4)["data"], "encoding": [{"kind": "IntervalQuantization", "min": 0.0, "max": 39.0, "numSteps": 40, "srcType": 33}, *integers([], 4)["encoding"]]},
+        "Cartn_z": integers([2.5] * n, 33), "pdbx_PDB_model_num": {"data": integers([1, n])["data"], "encoding": [{"kind": "RunLength", "srcType": 3, "srcSize": n}, *integers([])["encoding"]]},
+        "auth_atom_id": texts(["CA" if k % 2 else "N" for k in range(n)]), "auth_comp_id": texts(["GLY"] * n), "auth_asym_id": texts(["A"] * n), "auth_seq_id": integers(range(n)),
+        "type_symbol": texts(["C" if k % 2 else "N" for k in range(n)]), "group_PDB": texts(["HETATM" if k > 30 else "ATOM" for k in range(n)]), "label_alt_id": texts(["B"] * n),
+    }
+    masks = {"label_alt_id": integers([0 if k == 5 else 1 for k in range(n)], 4)}
+    table = {"name": "_atom_site", "rowCount": n, "columns": [{"name": k, "data": v, "mask": masks.get(k)} for k, v in columns.items()]}
+    doc = packed({"encoder": "test", "version": "0.3", "dataBlocks": [{"header": "X", "categories": [{"name": "_entry", "rowCount": 0, "columns": []}, table]}]})
+    (tmp_path / "a.bcif").write_bytes(doc)
+    (tmp_path / "b.bcif.gz").write_bytes(gzip.compress(doc))
+    (tmp_path / "c.bcif").write_bytes(doc[:300])
+    got = structures.read_structures(spark, str(tmp_path)).orderBy("item", "serial").collect()
+    assert [r.item for r in got] == ["a.bcif"] * n + ["b.bcif.gz"] * n
+    for k, r in enumerate(got[:n]):
+        assert (r.serial, r.model, r.z, r.res_name, r.seq_num, r.is_het, r.altloc) == (serial[k], 0, 2.5, "GLY", k, k > 30, "B" if k == 5 else None)
+        assert abs(r.x - x[k]) < 1e-9 and abs(r.y - k) < 1e-9 and r.name == ("CA" if k % 2 else "N") and r.element == r.name[0]
+    assert [r.path.rsplit("/", 1)[1] for r in structures.read_errors(spark, str(tmp_path)).collect()] == ["c.bcif"]
