@@ -193,7 +193,7 @@ def _neighbours(by: tuple[str, ...], most: int):
 
 
 #: Rows of a partition aimed at when ranks are few.
-_PART_ROWS = 20_000
+_PART_ROWS = 100_000
 
 
 def ranked(x: DataFrame, by: tuple[str, ...], most: int, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
