@@ -99,6 +99,10 @@ def run_table(stats: DataFrame, runs: list[int]) -> DataFrame:
     return x.select(F.col("name").alias("FEATURE"), _number(F.col("m")).alias("MEAN"), _number(F.col("s")).alias("STDDEV"), _number(relative, 1).alias("REL_STDDEV[%]"), *(_number(F.col(f"run_{r}")).alias(f"run_{r}") for r in runs))
 
 
+#: The numbers of the metrics part of a classifier text, in order.
+_TEXT_METRICS = ("acc", "p", "r", "npv", "spc", "tpx", "auprc", "auc", "f1", "mcc")
+
+
 def classifier_text(name: str, m: dict) -> str:
     """Counts, confusion matrix and metrics of a classifier; m has tp, fp, tn, fn and those of ``classifier_metrics``, auc and auprc."""
     tp, fp, tn, fn = (int(m[k]) for k in ("tp", "fp", "tn", "fn"))
@@ -111,7 +115,7 @@ def classifier_text(name: str, m: dict) -> str:
         "Absolute:", "       , pred[0],  pred[1]", f"obs[0] , {tn},  {fp}, {percent(m['spc'])}", f"obs[1] , {fn},  {tp}, {percent(m['r'])}", f"       , {percent(m['npv'])},  {percent(m['p'])}", "",
         "Relative:", f"       , {share(tn)}, {share(fp)}", f"       , {share(fn)}, {share(tp)}", "", "METRICS", "",
     ]
-    lines += [f"{k.upper()}:, {number(m.get(k))}" for k in ("acc", "p", "r", "npv", "spc", "tpx", "auprc", "auc", "f1", "mcc")]
+    lines += [f"{k.upper()}:, {number(m.get(k))}" for k in _TEXT_METRICS]
     return "\n".join(lines) + "\n"
 
 
