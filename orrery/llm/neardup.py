@@ -226,6 +226,18 @@ def _paired(df: DataFrame, n_pieces: F.Column, by: F.Column) -> DataFrame:
     return df.withColumn("_x", F.explode(pairs)).withColumn("pi", F.col("_x.i")).withColumn("pj", F.col("_x.j")).drop("_n", "_p", "_x")
 
 
+def _blocks(reps: DataFrame, p: NearDup) -> DataFrame:
+    """(rep, block): classes joined by pairs in a bucket whose sketches are near enough."""
+    n = T.tasks(reps.sparkSession)
+    keys = reps.select("rep", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = keys.join(shared, "key").join(reps.select("rep", "sketch"), "rep")
+    buckets = _paired(buckets, F.ceil(F.col("n") / p.bucket_rows), F.col("rep"))
+    dealt = buckets.select("key", "pi", "pj", "rep", "sketch").repartition(n, "key", "pi", "pj").sortWithinPartitions("key", "pi", "pj")
+    gray = dealt.mapInArrow(_gray(p), "a long, b long")
+    return T.saved(components(gray, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("block")))
+
+
 def near_duplicates(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -244,14 +256,9 @@ def near_duplicates(docs: DataFrame, p: NearDup | None = None, id_col: str = "do
     classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = T.saved(some.join(classes, ["d1", "d2"]).where("doc_id = rep").select("rep", "n_shingles", "bands", "sketch"))
 
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = keys.join(shared, "key").join(reps.select("rep", "sketch"), "rep")
-    buckets = _paired(buckets, F.ceil(F.col("n") / p.bucket_rows), F.col("rep"))
-    dealt = buckets.select("key", "pi", "pj", "rep", "sketch").repartition(T.tasks(spark), "key", "pi", "pj").sortWithinPartitions("key", "pi", "pj")
-    gray = dealt.mapInArrow(_gray(p), "a long, b long")
-
-    blocks = T.saved(components(gray, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("block")))
+    blocks = _blocks(reps, p)
+    # the buckets' shuffles are larger than those of the texts to come
+    T.release(spark)
     sized = blocks.join(reps.select("rep", "n_shingles").distinct(), "rep")
     shares = sized.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / p.block_rows), F.ceil(F.sum("n_shingles") / p.block_shingles)).alias("pieces"))
     members = blocks.join(shares, "block")

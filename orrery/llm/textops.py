@@ -250,18 +250,22 @@ def is_stored(df: DataFrame) -> bool:
     return getattr(df, "_stored_at", None) in _TABLES
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by ``stored`` that nothing reads any more.
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps whose frames are gone.
 
-    Spark also keeps the shuffle files of finished steps, as long as the driver's JVM holds
-    their plans; they are several times the tables, so that garbage is collected here and
-    not when the driver's heap happens to fill.
+    It keeps them as long as the driver's JVM holds their plans. They are several times the
+    tables, so that garbage is collected here and not when the driver's heap happens to fill.
     """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing reads any more, and what their steps shuffled."""
     for df in tables:
         fs, path = _TABLES.pop(df._stored_at)
         fs.delete(path, True)
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    release(tables[0].sparkSession)
 
 
 def tasks(spark: SparkSession) -> int:
