@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, decontam, htmlextract, langid, neardup, packing, pii, sharding, suffixdedup, textops, urlfilter
+from orrery.llm import ann, decontam, filteraudit, htmlextract, langid, neardup, packing, pii, sharding, suffixdedup, textops, urlfilter
 from orrery.session import table
 
 
@@ -78,6 +78,13 @@ def op10_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textops.stored(htmlextract.extract(table(spark, sf_dir, "pages")))
 
 
+def op12_filter_inclusion_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters, weights = "ABCDE", {"good": "quality = 1", "toxic": "toxic = 1"}
+    flags = filteraudit.with_labels(filteraudit.text_failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"), weights)
+    found = filteraudit.audit(filteraudit.joint_failures(flags, filters, weights=list(weights)), filters, weights=list(weights))
+    return found.withColumnsRenamed({"lost_good": "good_lost", "lost_toxic": "toxic_lost"})
+
+
 QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_balanced_posting_lists": op2_balanced_posting_lists,
@@ -89,6 +96,7 @@ QUERIES = {
     "op8_hyperdimensional_langid": op8_hyperdimensional_langid,
     "op9_pii_spans": op9_pii_spans,
     "op10_template_deduction": op10_template_deduction,
+    "op12_filter_inclusion_exclusion": op12_filter_inclusion_exclusion,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -166,5 +174,46 @@ kept AS (SELECT rid, sha256(unhex(coalesce(string_agg(hex(array_slice(n.b, a, le
 total AS (SELECT rid, CAST(sum(e - s + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(sha, sha256(b)) AS kept_sha256
 FROM n LEFT JOIN total USING (rid) LEFT JOIN kept USING (rid)
+""",
+    # every order is run filter by filter
+    "op12_filter_inclusion_exclusion": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+first AS (SELECT t, min(doc_id) AS m FROM d GROUP BY t),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END)
+         || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+         || (CASE WHEN d.doc_id > m THEN 'E' ELSE '' END) AS fails
+  FROM d JOIN first USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+o AS (
+  SELECT '' AS filter_order
+  UNION ALL
+  SELECT filter_order || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE strpos(filter_order, x) = 0),
+s AS (SELECT filter_order, CAST(i AS INTEGER) AS step, substr(filter_order, i, 1) AS f, substr(filter_order, 1, i - 1) AS before FROM (SELECT filter_order, unnest(range(1, 6)) AS i FROM o WHERE length(filter_order) = 5)),
+r AS (
+  SELECT part, filter_order, step, f,
+         translate(fails, before, '') = fails AS here,
+         strpos(fails, f) > 0 AS failing, fails = f AS only_this, n, good, toxic
+  FROM g, s),
+a AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (here AND NOT failing), 0) AS kept,
+         coalesce(sum(n) FILTER (here AND failing), 0) AS removed,
+         coalesce(sum(n) FILTER (NOT here AND failing), 0) AS redundant,
+         coalesce(sum(n) FILTER (only_this), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (here AND failing), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (here AND failing), 0) AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM a
 """,
 }
