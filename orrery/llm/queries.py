@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, decontam, filteraudit, htmlextract, langid, neardup, packing, pii, sharding, suffixdedup, textops, urlfilter
+from orrery.llm import ann, decontam, filteraudit, htmlextract, langid, neardup, packing, pii, prefixtrie, sharding, suffixdedup, textops, urlfilter
 from orrery.session import table
 
 
@@ -85,6 +85,10 @@ def op12_filter_inclusion_exclusion(spark: SparkSession, sf_dir: str) -> DataFra
     return found.withColumnsRenamed({"lost_good": "good_lost", "lost_toxic": "toxic_lost"})
 
 
+def op13_prefix_doubling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sum_of_squares_packing": op1_sum_of_squares_packing,
     "op2_balanced_posting_lists": op2_balanced_posting_lists,
@@ -97,6 +101,7 @@ QUERIES = {
     "op9_pii_spans": op9_pii_spans,
     "op10_template_deduction": op10_template_deduction,
     "op12_filter_inclusion_exclusion": op12_filter_inclusion_exclusion,
+    "op13_prefix_doubling_trie": op13_prefix_doubling_trie,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -215,5 +220,41 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
 FROM a
+""",
+    # prefixes by a chained digest, a recursion over the depth
+    "op13_prefix_doubling_trie": r"""
+WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY i) AS tbl FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i))),
+o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, max(i) AS n FROM o GROUP BY c),
+ids AS (
+  SELECT c, c - c % 100 AS b, n,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+             lambda a, x: xor(a >> 8, tbl[(xor(a & 255, x) + 1)])), 4294967295::BIGINT) % 6 AS h
+  FROM own, crc_table),
+k AS (SELECT ids.c, ids.b, ids.h, least(ids.h, coalesce(own.n, 0)) AS taken, ids.n FROM ids LEFT JOIN own ON own.c = ids.b),
+r AS (
+  SELECT k.c, o.i AS p, o.role, o.t FROM k JOIN o ON o.c = k.b WHERE o.i <= k.h
+  UNION ALL
+  SELECT k.c, o.i - k.h + k.taken, o.role, o.t FROM k JOIN o ON o.c = k.c WHERE o.i > k.h),
+len AS (SELECT c, taken + greatest(n - h, 0) AS m FROM k),
+pre AS (
+  SELECT c, 0::BIGINT AS d, '' AS node, 0::BIGINT AS chars, '' AS up FROM k
+  UNION ALL
+  SELECT pre.c, d + 1, md5(node || length(role) || ':' || role || t), length(t), node FROM pre JOIN r ON r.c = pre.c AND r.p = d + 1),
+nodes AS (SELECT d, node, min(up) AS up, min(chars) AS chars, min(pre.c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(pre.c::VARCHAR, ',' ORDER BY pre.c) FILTER (d = m), '')) AS ends_sha256
+          FROM pre JOIN len USING (c) GROUP BY d, node),
+kids AS (SELECT d - 1 AS d, up AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, node)),
+subtree AS (
+  SELECT pre.d, pre.node, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved
+  FROM full_nodes x JOIN pre ON pre.c = x.conv_id AND pre.d <= x.d GROUP BY ALL)
+SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM full_nodes a JOIN subtree s USING (d, node) LEFT JOIN full_nodes p ON p.d = a.d - 1 AND p.node = a.up
 """,
 }

@@ -101,4 +101,4 @@ def test_any_flags(spark):
         ("q", "XY", 1, 1, 0, 0, 0, 0), ("q", "XY", 2, 0, 1, 0, 1, 2), ("q", "YX", 1, 0, 1, 0, 1, 2), ("q", "YX", 2, 0, 0, 0, 0, 0),
     }
     with pytest.raises(ValueError):
-        filteraudit.audit(filteraudit.joint_failures(flags, ["X", "YY"]), ["X", "YY"])
+        filteraudit.audit(filteraudit.joint_failures(flags, "XY"), ["X", "YY"])
