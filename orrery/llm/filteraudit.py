@@ -52,7 +52,8 @@ def text_failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "D": F.col("text").rlike("[#$%&*|]"),
     }
     flags = T.stored(measured.select("doc_id", "part", "digest", *(c.cast("int").alias(k) for k, c in own.items())))
-    first = flags.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # written first: a join of two plain shuffles can have the partition of a text with many copies split
+    first = T.stored(flags.groupBy("digest").agg(F.min("doc_id").alias("first")))
     later = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).cast("int")
     return flags.join(first, "digest").select("doc_id", "part", *own, later.alias("E"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, decontam, filteraudit, htmlextract, langid, neardup, packing, pii, prefixtrie, sharding, suffixdedup, textops, urlfilter
+from orrery.llm import ann, decontam, filteraudit, htmlextract, langid, neardup, packing, phrases, pii, prefixtrie, sharding, suffixdedup, textops, urlfilter
 from orrery.session import table
 
 
@@ -78,6 +78,10 @@ def op10_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return textops.stored(htmlextract.extract(table(spark, sf_dir, "pages")))
 
 
+def op11_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_passages(table(spark, sf_dir, "documents"), phrases.Phrases(words=35)).drop("spans")
+
+
 def op12_filter_inclusion_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters, weights = "ABCDE", {"good": "quality = 1", "toxic": "toxic = 1"}
     flags = filteraudit.with_labels(filteraudit.text_failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"), weights)
@@ -100,6 +104,7 @@ QUERIES = {
     "op8_hyperdimensional_langid": op8_hyperdimensional_langid,
     "op9_pii_spans": op9_pii_spans,
     "op10_template_deduction": op10_template_deduction,
+    "op11_repeated_phrase_automata": op11_repeated_phrase_automata,
     "op12_filter_inclusion_exclusion": op12_filter_inclusion_exclusion,
     "op13_prefix_doubling_trie": op13_prefix_doubling_trie,
 }
@@ -179,6 +184,20 @@ kept AS (SELECT rid, sha256(unhex(coalesce(string_agg(hex(array_slice(n.b, a, le
 total AS (SELECT rid, CAST(sum(e - s + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(sha, sha256(b)) AS kept_sha256
 FROM n LEFT JOIN total USING (rid) LEFT JOIN kept USING (rid)
+""",
+    "op11_repeated_phrase_automata": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT *, len(w) AS n FROM d),
+win AS (SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, n - 33)) AS i FROM n WHERE n >= 35)),
+dup AS (SELECT rid, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+turns AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 35 THEN 0 ELSE 1 END AS new FROM dup),
+grouped AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS g FROM turns),
+spans AS (SELECT rid, min(i) AS s, max(i) + 34 AS e FROM grouped GROUP BY rid, g),
+gaps AS (SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) + 1 AS a, s - 1 AS z FROM spans UNION ALL SELECT rid, max(e) + 1, 9223372036854775807 FROM spans GROUP BY rid),
+kept AS (SELECT rid, sha256(coalesce(string_agg(array_to_string(w[a:least(z, n.n)], ' '), ' ' ORDER BY a) FILTER (a <= least(z, n.n)), '')) AS sha FROM gaps JOIN n USING (rid) GROUP BY rid),
+total AS (SELECT rid, CAST(sum(e - s + 1) AS BIGINT) AS n_removed FROM spans GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(sha, sha256(array_to_string(w, ' '))) AS kept_sha256
+FROM n LEFT JOIN total USING (rid) LEFT JOIN kept USING (rid)
 """,
     # every order is run filter by filter
     "op12_filter_inclusion_exclusion": r"""
