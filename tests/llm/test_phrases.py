@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from orrery.llm import phrases
@@ -69,13 +70,16 @@ def test_shared_passages(spark, p):
     assert found(docs, phrases.Phrases(**{**SMALL, **p})) == brute(rows, 9)
 
 
-def test_automata_decide(spark, monkeypatch):
-    """Without what the automata find, nothing is removed but copies."""
-    rows = shared_rows()
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+def test_automata_decide(monkeypatch):
+    """Without what the automata find, a shard removes nothing."""
+    text = prose(5, 20)
+    raw = [text.encode(), f"before {text}".encode(), prose(6, 20).encode()]
+    cols = [pa.array(x, t) for x, t in (([1, 2, 3], pa.int64()), ([0, 0, 0], pa.int64()), ([7, 7, 8], pa.int64()), ([0, 0, 0], pa.int32()), ([4, 5, 0], pa.int32()), ([12, 13, 12], pa.int32()), (raw, pa.binary()))]
+    rows = pa.RecordBatch.from_arrays(cols, ["doc", "th", "gram", "piece", "s1", "windows", "raw"])
+    some = lambda: [(r["doc"], r["a"], r["b"]) for batch in phrases._located(rows, phrases.Phrases(**SMALL)) for r in batch.to_pylist()]
+    assert some() == [(1, 4, 24), (2, 6, 26)]
     monkeypatch.setattr(phrases, "occurrences", lambda symbols, shard, passages: np.zeros(len(symbols), bool))
-    got = {r.doc_id: r.n_removed for r in phrases.remove_passages(docs, phrases.Phrases(**SMALL)).collect()}
-    assert all(n == 0 for d, n in got.items() if d < 500) and got[700] == 60
+    assert some() == []
 
 
 def test_occurrences():
