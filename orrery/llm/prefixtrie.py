@@ -119,8 +119,8 @@ def trie(ids: DataFrame, rebuilt: DataFrame) -> DataFrame:
         sha = ordered.joined_sha256(ends, ("node", "depth"), "conv_id", "sha").first().sha
         return spark.createDataFrame([(smallest, 0, None, number, 0, 1, 0, sha)], _NODES)
     names, tables = prefix_names(rebuilt, longest)
-    # each turn with its node
-    nodes = names.groupBy("depth", "name").agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs"))
+    # each turn with its node; written first, so that the partition of a node with many conversations can be split
+    nodes = T.stored(names.groupBy("depth", "name").agg(F.min("conv_id").alias("node"), F.count("*").alias("n_convs")))
     paths = T.stored(names.join(nodes, ["depth", "name"]).select("conv_id", F.col("depth").cast("long").alias("depth"), "node", "n_convs"))
     T.discard(*tables)
     chars = rebuilt.select(F.col("conv_id").alias("node"), F.col("place").cast("long").alias("depth"), "chars")
