@@ -347,18 +347,18 @@ def residue_value(rows: DataFrame, scores: DataFrame, name: str) -> DataFrame:
     return rows.select("id", "residue").join(scores.select("residue", F.col("score").alias(name)), "residue", "left").select("id", F.coalesce(name, F.lit(0.0)).alias(name))
 
 
-def pair_histogram(points: DataFrame, atoms: DataFrame, r: float, bins: int = 10, smooth: bool = True) -> DataFrame:
-    """Per point: histogram of the distances, 0 to 2 r, between the atoms within r of it, each pair once."""
-    from orrery.operators.aggregate import fixed_bin, smooth_bins
+def pair_histogram(points: DataFrame, atoms: DataFrame, r: float, bins: int = 5, smooth: bool = False, normalised: bool = False) -> DataFrame:
+    """Per point: histogram of the distances, 0 to 2 r, between the atoms within r of it, each pair once
+    and each atom with itself; normalised: as shares of all pairs."""
+    from orrery.operators.aggregate import shares
 
     near = S.near(points, atoms, ["id"], r).select("id", F.col("id_r").alias("atom"), *(F.col(f"{c}_r").alias(c) for c in S.XYZ))
     other = near.select("id", *(F.col(c).alias(f"{c}_r") for c in ("atom", *S.XYZ)))
-    pairs = near.join(other, "id").where("atom < atom_r").select("id", F.sqrt(S.d2()).alias("dist"))
-    if smooth:
-        share = pairs.select("id", F.explode(smooth_bins(F.col("dist"), 0.0, 2 * r, bins)).alias("b")).select("id", "b.bin", "b.share")
-    else:
-        share = pairs.select("id", fixed_bin(F.col("dist"), 0.0, 2 * r, bins).alias("bin"), F.lit(1.0).alias("share"))
-    got = share.groupBy("id").agg(*(F.sum(F.when(F.col("bin") == i, F.col("share")).otherwise(0.0)).alias(f"b{i}") for i in range(bins)))
+    pairs = near.join(other, "id").where("atom <= atom_r").select("id", F.sqrt(S.d2()).alias("dist"))
+    share = shares(pairs, ["id"], "dist", 0.0, 2 * r, bins, smooth)
+    # the shares of a pair add up to 1
+    whole = F.sum("share") if normalised else F.lit(1.0)
+    got = share.groupBy("id").agg(*((F.sum(F.when(F.col("bin") == i, F.col("share")).otherwise(0.0)) / whole).alias(f"b{i}") for i in range(bins)))
     return points.select("id").join(got, "id", "left").na.fill(0.0)
 
 
@@ -431,7 +431,7 @@ for _f in (
     Feature("conservation", "atom", ("conservation",), lambda atoms, scores, **_: residue_value(atoms, scores, "conservation")),
     Feature("conserv", "residue", ("conserv",), lambda residues, scores, **_: residue_value(residues, scores, "conserv")),
     Feature("conservationcloud", "sas", ("mean",), lambda points, atoms, radius=10.0, **_: residue_cloud(points, atoms, radius).select("id", "mean")),
-    Feature("pair_hist", "sas", tuple(f"b{i}" for i in range(10)), lambda points, exposed, radius=6.0, smooth=True, **_: pair_histogram(points, exposed, radius, 10, smooth)),
+    Feature("pair_hist", "sas", tuple(f"b{i}" for i in range(5)), lambda points, exposed, radius=6.0, smooth=False, normalised=False, **_: pair_histogram(points, exposed, radius, 5, smooth, normalised)),
     Feature("asa", "sas", ("asa",), lambda points, atoms, radius=6.0, **_: area_near(points, atoms, radius)),
     Feature("asa2", "sas", ("asa",), lambda points, exposed, radius=6.0, **_: area_near(points, exposed, radius)),
     Feature("asares", "sas", ("asa",), lambda points, atoms, radius=6.0, **_: area_near(points, atoms, radius, per_residue=True)),

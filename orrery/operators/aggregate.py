@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.operators.spatial import near
+from orrery.operators.spatial import XYZ, close_pairs, near
 
 
 def weighted_features(
@@ -43,13 +43,41 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 
 def smooth_bins(value: Column, low: float, high: float, bins: int) -> Column:
-    """Array of (bin, share): a value counts in the two bins whose centers enclose it, by distance."""
-    width = (high - low) / bins
-    pos = (value - low) / width - 0.5
-    b0 = F.floor(pos).cast("long")
+    """Array of (bin, share): bins stand at equal steps from low to high, both included, and a value
+    counts in the two that enclose it, by distance; one at or beyond an end counts whole there."""
+    if bins < 2:
+        raise ValueError("a smooth histogram has two bins at least")
+    step = (high - low) / (bins - 1)
+    pos = F.least(F.greatest((value - low) / F.lit(step), F.lit(0.0)), F.lit(float(bins - 1)))
+    b0 = F.least(F.floor(pos).cast("long"), F.lit(bins - 2))
     frac = pos - b0
-    at = lambda b: F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1))
-    return F.array(F.struct(at(b0).alias("bin"), (1.0 - frac).alias("share")), F.struct(at(b0 + 1).alias("bin"), frac.alias("share")))
+    return F.array(F.struct(b0.alias("bin"), (1.0 - frac).alias("share")), F.struct((b0 + 1).alias("bin"), frac.alias("share")))
+
+
+def shares(df: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int, smooth: bool) -> DataFrame:
+    """keys, bin and share of each row's value in a histogram, in up to two bins if it is smooth."""
+    if smooth:
+        return df.select(*keys, F.explode(smooth_bins(F.col(value), low, high, bins)).alias("_b")).select(*keys, "_b.bin", "_b.share")
+    return df.select(*keys, fixed_bin(F.col(value), low, high, bins).alias("bin"), F.lit(1.0).alias("share"))
+
+
+def pair_distances(points: DataFrame, by: str, low: float, high: float, bins: int, smooth: bool = False, normalised: bool = False) -> DataFrame:
+    """(by, bin, n): histogram of the distances between the points of each group, every pair once and
+    each point with itself; normalised: as shares of all pairs. Empty bins have no row.
+
+    Only pairs nearer than ``high`` are made, by cubes. All others count whole in the last
+    bin, and their number follows from the size of the group.
+    """
+    near = close_pairs(points.select("id", *XYZ, by), high, by)
+    size = points.groupBy(by).agg(F.count("*").alias("_m"))
+    made = near.groupBy(by).agg(F.count("*").alias("_made"))
+    total = F.col("_m") * (F.col("_m") + 1) / 2
+    own = size.join(made, by, "left").select(by, "_m", total.alias("_all"), (total - F.col("_m") - F.coalesce("_made", F.lit(0))).alias("_far"))
+    rest = own.select(by, F.explode(F.array(F.struct(F.lit(0.0).alias("dist"), F.col("_m").cast("double").alias("w")), F.struct(F.lit(float(high)).alias("dist"), F.col("_far").alias("w")))).alias("_r"))
+    at = lambda df, w: shares(df.withColumn("_w", w), [by, "_w"], "dist", low, high, bins, smooth).select(by, "bin", (F.col("share") * F.col("_w")).alias("n"))
+    parts = at(near.select(by, F.sqrt("d2").alias("dist")), F.lit(1.0)).unionByName(at(rest.select(by, "_r.dist", "_r.w"), F.col("w")))
+    got = parts.groupBy(by, "bin").agg(F.sum("n").alias("n")).where("n > 0")
+    return got.join(own.select(by, "_all"), by).select(by, "bin", (F.col("n") / F.col("_all")).alias("n")) if normalised else got
 
 
 def confusion(df: DataFrame, observed: str, score: str, threshold: float, by: tuple[str, ...] = ()) -> DataFrame:

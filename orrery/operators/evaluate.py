@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from orrery.operators.spatial import XYZ, radius_join
+from orrery.operators.spatial import XYZ, radius_join, shared_item
+
+
+def _close(ligands: DataFrame, points: DataFrame, r: float) -> DataFrame:
+    """Pairs within r, of one item if both frames have items."""
+    item = shared_item(ligands, points)
+    by = [item] if item else []
+    return radius_join(ligands.select("id", *XYZ, *by), points.select(*XYZ, *by), r, item)
 
 
 def within(ligands: DataFrame, points: DataFrame, r: float) -> DataFrame:
-    """(id, identified): whether any point lies within r of the ligand atom."""
-    near = radius_join(ligands.select("id", *XYZ), points.select(*XYZ), r).select("id").distinct().withColumn("identified", F.lit(True))
+    """(id, identified): whether any point of its item lies within r of the ligand atom."""
+    near = _close(ligands, points, r).select("id").distinct().withColumn("identified", F.lit(True))
     return ligands.select("id").join(near, "id", "left").select("id", F.coalesce("identified", F.lit(False)).alias("identified"))
 
 
 def distance_criterion(ligands: DataFrame, pockets: DataFrame, cutoffs: DataFrame, most: float) -> DataFrame:
-    """(cutoff, n_identified): ligands with a pocket center within each cutoff, none above ``most``."""
-    near = radius_join(ligands.select("id", *XYZ), pockets.select(*XYZ), most).groupBy("id").agg(F.min("d2").alias("d2"))
+    """(cutoff, n_identified): ligands with a pocket center of their item within each cutoff, none above ``most``."""
+    near = _close(ligands, pockets, most).groupBy("id").agg(F.min("d2").alias("d2"))
     # one row per ligand and cutoff: the cutoffs are a short list
     hit = near.crossJoin(F.broadcast(cutoffs)).where(F.col("d2") <= F.col("cutoff") * F.col("cutoff")).groupBy("cutoff").agg(F.count("*").alias("n"))
     return cutoffs.join(hit, "cutoff", "left").select("cutoff", F.coalesce("n", F.lit(0)).alias("n_identified"))

@@ -211,9 +211,12 @@ def nearest(queries: DataFrame, targets: DataFrame, r: float, different: bool =
 def min_distance(groups_a: DataFrame, groups_b: DataFrame, r: float) -> DataFrame:
     """Least squared distance between the points of each pair of groups, as far as it is <= r*r.
 
-    Groups are given by a column ``grp``; pairs farther apart than r have no row (infinite).
+    Groups are given by a column ``grp``; pairs farther apart than r have no row (infinite). Groups of
+    different items don't meet.
     """
-    pairs = radius_join(groups_a.select("grp", *XYZ), groups_b.select("grp", *XYZ), r)
+    item = shared_item(groups_a, groups_b)
+    by = [item] if item else []
+    pairs = radius_join(groups_a.select("grp", *XYZ, *by), groups_b.select("grp", *XYZ, *by), r, item)
     return pairs.groupBy(F.col("grp").alias("grp_a"), F.col("grp_r").alias("grp_b")).agg(F.min("d2").alias("min_d2"))
 
 

@@ -31,10 +31,12 @@ def probability_fit(df: DataFrame, observed: str, score: str, low: float, high:
 
 
 def probability(df: DataFrame, score: str, fit: DataFrame, low: float, high: float, bins: int) -> DataFrame:
-    """tp / (tp + fp), both interpolated between bin centers and constant beyond the outer ones."""
+    """tp / (tp + fp), both interpolated from a bin's lower edge to the next one's, and constant from the
+    last bin on; below the first bin its line goes on, and a share below 0 is 0."""
     width = (high - low) / bins
-    pos = F.least(F.greatest((F.col(score) - low) / width - 0.5, F.lit(0.0)), F.lit(float(bins - 1)))
-    at = df.withColumn("_pos", pos).withColumn("bin", F.floor("_pos").cast("long")).withColumn("_w", F.col("_pos") - F.col("bin"))
+    at = df.withColumn("_pos", (F.col(score) - low) / width)
+    # a position is cut towards zero before it is kept within the bins
+    at = at.withColumn("bin", F.least(F.greatest(F.col("_pos").cast("long"), F.lit(0)), F.lit(bins - 1)).cast("long")).withColumn("_w", F.col("_pos") - F.col("bin"))
     nxt = fit.select((F.col("bin") - 1).alias("bin"), F.col("tp").alias("_t1"), F.col("fp").alias("_f1"))
     # one row per bin
     both = F.broadcast(fit.join(nxt, "bin", "left"))

@@ -106,38 +106,32 @@ def a16(spark, d):
     return s.select(r6("sum", 2).alias("sum"), r6("mean", 4).alias("mean"), r6("var", 1).alias("var"), r6("sd", 4).alias("sd"), r6("rel_sd").alias("rel_sd"), "min", "max")
 
 
-_PAIR = """pair AS (SELECT a.grp, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS dist FROM pts a JOIN pts b ON a.grp = b.grp AND a.lig AND b.lig AND a.id <= b.id)"""
-
-
-def _pairs(spark, d):
-    p = pts(spark, d).where("lig").select("grp", "id", "x", "y", "z")
-    other = p.select(*(F.col(c).alias(f"{c}_r") for c in p.columns))
-    both = p.join(other, (F.col("grp") == F.col("grp_r")) & (F.col("id") <= F.col("id_r")))
-    from orrery.operators.spatial import d2
-
-    return both.select("grp", F.sqrt(d2()).alias("dist"))
+_PAIR = """pair AS (SELECT a.grp, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS dist FROM pts a JOIN pts b ON a.grp = b.grp AND a.id <= b.id)"""
+_SMOOTH = """placed AS (SELECT grp, pos, least(CAST(floor(pos) AS BIGINT), 8) AS b FROM (SELECT grp, least(greatest((dist - 1) / (5.0::DOUBLE / 9), 0), 9) AS pos FROM pair)),
+two AS (SELECT grp, b AS bin, 1 - (pos - b) AS share FROM placed UNION ALL SELECT grp, b + 1, pos - b FROM placed)"""
 
 
 @query(
     "a27_pair_histogram_hard",
-    f"WITH {_PAIR} SELECT grp, CAST(CASE WHEN dist <= 0 THEN 0 WHEN dist >= 20 THEN 9 ELSE floor(dist / 2.0) END AS BIGINT) AS bin, count(*) AS n FROM pair GROUP BY 1, 2",
+    f"WITH {_PAIR} SELECT grp, CAST(CASE WHEN dist <= 0 THEN 0 WHEN dist >= 6 THEN 9 ELSE floor(dist / 0.6) END AS BIGINT) AS bin, count(*)::DOUBLE AS n FROM pair GROUP BY 1, 2",
     "pts",
 )
 def a27(spark, d):
-    return _pairs(spark, d).groupBy("grp", A.fixed_bin(F.col("dist"), 0.0, 20.0, 10).alias("bin")).agg(F.count("*").alias("n"))
+    return A.pair_distances(pts(spark, d), "grp", 0.0, 6.0, 10)
+
+
+@query("a27_pair_histogram_smooth", f"WITH {_PAIR}, {_SMOOTH} SELECT grp, bin, round(sum(share), 5) AS n FROM two GROUP BY 1, 2 HAVING sum(share) > 0", "pts")
+def a27s(spark, d):
+    return A.pair_distances(pts(spark, d), "grp", 1.0, 6.0, 10, smooth=True).select("grp", "bin", r6("n", 5).alias("n"))
 
 
 @query(
-    "a27_pair_histogram_smooth",
-    f"""WITH {_PAIR}, places AS (SELECT grp, dist / 2.0 - 0.5 AS pos FROM pair), two AS (
-  SELECT grp, CAST(least(greatest(floor(pos), 0), 9) AS BIGINT) AS bin, 1 - (pos - floor(pos)) AS share FROM places UNION ALL
-  SELECT grp, CAST(least(greatest(floor(pos) + 1, 0), 9) AS BIGINT) AS bin, pos - floor(pos) AS share FROM places)
-SELECT grp, bin, round(sum(share), 5) AS n FROM two GROUP BY 1, 2""",
+    "a27_pair_histogram_normalised",
+    f"WITH {_PAIR}, {_SMOOTH}, c AS (SELECT grp, count(*) AS c FROM pair GROUP BY 1) SELECT grp, bin, round(sum(share) / any_value(c), 7) AS n FROM two JOIN c USING (grp) GROUP BY 1, 2 HAVING sum(share) > 0",
     "pts",
 )
-def a27s(spark, d):
-    x = _pairs(spark, d).select("grp", F.explode(A.smooth_bins(F.col("dist"), 0.0, 20.0, 10)).alias("b"))
-    return x.groupBy("grp", "b.bin").agg(r6(F.sum("b.share"), 5).alias("n"))
+def a27n(spark, d):
+    return A.pair_distances(pts(spark, d), "grp", 1.0, 6.0, 10, smooth=True, normalised=True).select("grp", "bin", r6("n", 7).alias("n"))
 
 
 @query("a28_zscore_training", "SELECT round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS stdev FROM pred WHERE obs", "pred")
@@ -158,16 +152,18 @@ def a28p(spark, d):
 
 @query(
     "a29_probability_transform",
-    f"""WITH {_BINS}, q AS (SELECT id, score, least(greatest(score / 0.1 - 0.5, 0), 9) AS pos FROM pts),
-lo AS (SELECT q.id, q.pos - floor(q.pos) AS w, a.tp AS t0, a.fp AS f0, coalesce(b.tp, a.tp) AS t1, coalesce(b.fp, a.fp) AS f1
-  FROM q JOIN cum a ON a.bin = floor(q.pos) LEFT JOIN cum b ON b.bin = floor(q.pos) + 1)
-SELECT id, round((t0 + w * (t1 - t0)) / ((t0 + w * (t1 - t0)) + (f0 + w * (f1 - f0))), 6) AS probability FROM lo""",
+    f"""WITH {_BINS}, q AS (SELECT id, (score * 2 - 0.25) / 0.1 AS pos FROM pts), i AS (SELECT id, pos, CAST(least(greatest(trunc(pos), 0), 9) AS BIGINT) AS idx FROM q),
+lo AS (SELECT i.id, pos - idx AS w, a.tp AS t0, a.fp AS f0, coalesce(b.tp, a.tp) AS t1, coalesce(b.fp, a.fp) AS f1
+  FROM i JOIN cum a ON a.bin = idx LEFT JOIN cum b ON b.bin = idx + 1)
+SELECT id, round(greatest((t0 + w * (t1 - t0)) / nullif((t0 + w * (t1 - t0)) + (f0 + w * (f1 - f0)), 0), 0), 6) AS probability FROM lo""",
     "pred",
     "pts",
 )
 def a29(spark, d):
     fit = X.probability_fit(pred(spark, d), "obs", "s", 0.0, 1.0, 10)
-    out = X.probability(pts(spark, d).select("id", "score"), "score", fit, 0.0, 1.0, 10)
+    # some scores lie beyond the trained ones
+    scores = pts(spark, d).select("id", (F.col("score") * 2 - 0.25).alias("score"))
+    out = X.probability(scores, "score", fit, 0.0, 1.0, 10)
     return out.select("id", r6("probability").alias("probability"))
 
 

@@ -12,8 +12,8 @@ from orrery.plans.registry import pts, query, r6
 from orrery.session import table
 
 _D2 = "((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
-_L = "lig AS (SELECT id, x, y, z FROM pts WHERE lig)"
-_PK = """pk AS (SELECT grp, avg(x) AS x, avg(y) AS y, avg(z) AS z, row_number() OVER (PARTITION BY grp % 2 ORDER BY round(sum(score), 6) DESC, grp) AS rank FROM pts WHERE NOT lig GROUP BY grp)"""
+_L = "lig AS (SELECT id, grp % 2 AS item, x, y, z FROM pts WHERE lig)"
+_PK = """pk AS (SELECT grp, grp % 2 AS item, avg(x) AS x, avg(y) AS y, avg(z) AS z, row_number() OVER (PARTITION BY grp % 2 ORDER BY round(sum(score), 6) DESC, grp) AS rank FROM pts WHERE NOT lig GROUP BY grp)"""
 
 
 def _sides(spark, d):
@@ -21,37 +21,37 @@ def _sides(spark, d):
     total = p.where("not lig").groupBy("grp").agg(*(F.avg(c).alias(c) for c in "xyz"), F.round(F.sum("score"), 6).alias("total"))
     # pockets of two structures, ranked in each
     pockets = W.ranked(total.withColumn("item", F.col("grp") % 2), ["item"], "total", "grp").withColumn("rank", F.col("rank").cast("long"))
-    return p, p.where("lig").select("grp", "id", "x", "y", "z"), pockets
+    return p.withColumn("item", F.col("grp") % 2), p.where("lig").select("grp", (F.col("grp") % 2).alias("item"), "id", "x", "y", "z"), pockets
 
 
 @query(
     "d1_dca",
-    f"WITH {_L}, {_PK}, c AS (SELECT range + 2 AS cutoff FROM range(11)) SELECT c.cutoff, count(DISTINCT l.id) AS n_identified FROM c LEFT JOIN (SELECT a.id, min({_D2}) AS d2 FROM lig a CROSS JOIN pk b GROUP BY 1) l ON l.d2 <= c.cutoff * c.cutoff GROUP BY 1",
+    f"WITH {_L}, {_PK}, c AS (SELECT range + 2 AS cutoff FROM range(11)) SELECT c.cutoff, count(DISTINCT l.id) AS n_identified FROM c LEFT JOIN (SELECT a.id, min({_D2}) AS d2 FROM lig a JOIN pk b USING (item) GROUP BY 1) l ON l.d2 <= c.cutoff * c.cutoff GROUP BY 1",
     "pts",
 )
 def d1(spark, d):
     p, lig, pk = _sides(spark, d)
-    return E.distance_criterion(lig.select("id", "x", "y", "z"), pk.select("x", "y", "z"), spark.range(2, 13).select(F.col("id").alias("cutoff")), 12.0)
+    return E.distance_criterion(lig, pk, spark.range(2, 13).select(F.col("id").alias("cutoff")), 12.0)
 
 
 @query(
     "d2_dcc",
-    f"""WITH lc AS (SELECT grp AS id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts WHERE lig GROUP BY grp), {_PK}, c AS (SELECT range + 4 AS cutoff FROM range(11))
-SELECT c.cutoff, count(DISTINCT l.id) AS n_identified FROM c LEFT JOIN (SELECT a.id, min({_D2}) AS d2 FROM lc a CROSS JOIN pk b GROUP BY 1) l ON l.d2 <= c.cutoff * c.cutoff GROUP BY 1""",
+    f"""WITH lc AS (SELECT grp AS id, grp % 2 AS item, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts WHERE lig GROUP BY grp), {_PK}, c AS (SELECT range + 4 AS cutoff FROM range(11))
+SELECT c.cutoff, count(DISTINCT l.id) AS n_identified FROM c LEFT JOIN (SELECT a.id, min({_D2}) AS d2 FROM lc a JOIN pk b USING (item) GROUP BY 1) l ON l.d2 <= c.cutoff * c.cutoff GROUP BY 1""",
     "pts",
 )
 def d2_(spark, d):
     p, lig, pk = _sides(spark, d)
-    centers = lig.groupBy(F.col("grp").alias("id")).agg(*(F.avg(c).alias(c) for c in "xyz"))
-    return E.distance_criterion(centers, pk.select("x", "y", "z"), spark.range(4, 15).select(F.col("id").alias("cutoff")), 14.0)
+    centers = lig.groupBy("item", F.col("grp").alias("id")).agg(*(F.avg(c).alias(c) for c in "xyz"))
+    return E.distance_criterion(centers, pk, spark.range(4, 15).select(F.col("id").alias("cutoff")), 14.0)
 
 
 for _n, _side, _cond in (("d3_dpa", "b.score >= 0.5", "score >= 0.5"), ("d4_dsa", "b.score < 0.5", "score < 0.5")):
 
-    @query(_n, f"SELECT a.id, min({_D2}) <= 6.25 AS identified FROM pts a JOIN pts b ON a.lig AND NOT b.lig AND {_side} GROUP BY a.id", "pts")
+    @query(_n, f"SELECT a.id, min({_D2}) <= 6.25 AS identified FROM pts a JOIN pts b ON a.lig AND NOT b.lig AND a.grp % 2 = b.grp % 2 AND {_side} GROUP BY a.id", "pts")
     def d34(spark, d, cond=_cond):
         p, lig, pk = _sides(spark, d)
-        return E.within(lig.select("id", "x", "y", "z"), p.where("not lig").where(cond).select("x", "y", "z"), 2.5)
+        return E.within(lig, p.where("not lig").where(cond), 2.5)
 
 
 _SETS = f"""ls AS (SELECT DISTINCT a.grp AS l, b.id FROM pts a JOIN pts b ON a.lig AND NOT b.lig AND {_D2} <= 16), ps AS (SELECT grp AS p, id FROM pts WHERE NOT lig),

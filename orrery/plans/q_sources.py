@@ -206,14 +206,14 @@ def s17(spark, d):
 
 @query(
     "s18_puresnet",
-    """SELECT 'prediction' AS item, 'pocket' || row_number() OVER (ORDER BY grp) AS name, row_number() OVER (ORDER BY grp) AS rank, round(avg(round(x, 3)), 4) AS x, round(avg(round(y, 3)), 4) AS y, round(avg(round(z, 3)), 4) AS z, CAST(count(*) AS DOUBLE) AS score
+    """SELECT 's' || grp % 2 AS item, 'pocket' || row_number() OVER (PARTITION BY grp % 2 ORDER BY grp) AS name, row_number() OVER (PARTITION BY grp % 2 ORDER BY grp) AS rank, round(avg(round(x, 3)), 4) AS x, round(avg(round(y, 3)), 4) AS y, round(avg(round(z, 3)), 4) AS z, CAST(count(*) AS DOUBLE) AS score
 FROM pts GROUP BY grp""",
     "pts",
 )
 def s18(spark, d):
     value = F.format_string("ATOM  %5d  CA  PKT A%4d    %8.3f%8.3f%8.3f  1.00  0.00           C", F.col("id"), F.col("id") % 1000, "x", "y", "z")
-    rows = pts(spark, d).select(F.format_string("%02d_pkt.pdb", "grp").alias("item"), value.alias("value"))
-    return _placed(pockets.loader("puresnet")(rows.unionByName(rows.limit(5).withColumn("item", F.lit("without_clus_pkt.pdb")))), "score")
+    rows = pts(spark, d).select(F.format_string("out/s%d/%02d_pkt.pdb", F.col("grp") % 2, "grp").alias("item"), value.alias("value"))
+    return _placed(pockets.loader("puresnet")(rows.unionByName(rows.limit(5).withColumn("item", F.lit("out/s0/without_clus_pkt.pdb")))), "score")
 
 
 @query("s20_conservation", "SELECT 's' || grp AS item, CAST(id AS INT) AS pos, greatest(round(score - 0.5, 2), 0) AS score, chr(CAST(65 + id % 20 AS INT)) AS letter FROM pts WHERE id % 13 <> 0", "pts")
@@ -358,9 +358,9 @@ _PD = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 @query(
     "f13_pair_histogram",
     f"""WITH q AS (SELECT * FROM pts WHERE lig), near AS (SELECT q.id, a.id AS atom, a.x, a.y, a.z FROM q JOIN pts a ON (a.x-q.x)*(a.x-q.x)+(a.y-q.y)*(a.y-q.y)+(a.z-q.z)*(a.z-q.z) <= 25),
-pair AS (SELECT a.id, {_PD} AS dist FROM near a JOIN near b ON a.id = b.id AND a.atom < b.atom),
-bin AS (SELECT id, CASE WHEN dist <= 0 THEN 0 WHEN dist >= 10 THEN 9 ELSE floor(dist) END AS b FROM pair)
-SELECT q.id, {", ".join(f"count(*) FILTER (b = {i})::DOUBLE AS b{i}" for i in range(10))} FROM q LEFT JOIN bin USING (id) GROUP BY q.id""",
+pair AS (SELECT a.id, {_PD} AS dist FROM near a JOIN near b ON a.id = b.id AND a.atom <= b.atom),
+bin AS (SELECT id, CASE WHEN dist <= 0 THEN 0 WHEN dist >= 10 THEN 4 ELSE floor(dist / 2) END AS b FROM pair)
+SELECT q.id, {", ".join(f"count(*) FILTER (b = {i})::DOUBLE AS b{i}" for i in range(5))} FROM q LEFT JOIN bin USING (id) GROUP BY q.id""",
     "pts",
 )
 def f13(spark, d):
@@ -449,10 +449,10 @@ def y28(spark, d):
 
 @query(
     "y28_sessions",
-    """WITH t AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    """WITH t AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM t)
-SELECT user_id, epoch_ms(min(ts)) AS begin, epoch_ms(max(ts)) + 1800000 AS "end", count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, k""",
+SELECT user_id, epoch_us(min(ts)) AS begin, epoch_us(max(ts)) + 1800000000 AS "end", count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, k""",
 )
 def y28_sessions(spark, d):
     x = folder.sessions(table(spark, d, "events"))
-    return x.select("user_id", F.unix_millis("begin").alias("begin"), F.unix_millis("end").alias("end"), "n", r6("total", 4).alias("total"))
+    return x.select("user_id", F.unix_micros("begin").alias("begin"), F.unix_micros("end").alias("end"), "n", r6("total", 4).alias("total"))

@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.functions.strings import words
+from orrery.operators.spatial import radius_join
 from orrery.sources.structures import pdb_atoms
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(item, line_no, value) of text files; the item is the file's name."""
-    return spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1).alias("item"), F.monotonically_increasing_id().alias("line_no"), "value")
+def read_lines(spark: SparkSession, path: str, parts: int = 1) -> DataFrame:
+    """(item, line_no, value) of text files; the item is the file's name, or the last ``parts`` of its path."""
+    item = F.substring_index(F.col("_metadata.file_path"), "/", -parts)
+    return spark.read.text(path).select(item.alias("item"), F.monotonically_increasing_id().alias("line_no"), "value")
 
 
 def _numbered(df: DataFrame, order: list) -> DataFrame:
@@ -68,25 +70,70 @@ def concavity(lines: DataFrame) -> DataFrame:
     return _numbered(g, [F.desc("score"), "chain_id", "seq_num"]).select(*_OUT, "volume")
 
 
-def fpocket(lines: DataFrame) -> DataFrame:
-    """Vertices of pockets (`STP` hetero atoms, the residue number is the pocket): one row per pocket.
+def fpocket_vertices(atoms: DataFrame) -> DataFrame:
+    """(item, rank, x, y, z): the vertices of pockets among the atoms of a result file, PDB or mmCIF; the
+    residue number of an `STP` hetero atom is its pocket's."""
+    return atoms.where(F.col("is_het") & (F.col("res_name") == "STP")).select("item", F.col("seq_num").alias("rank"), "x", "y", "z")
 
-    Numbers must run from 1 without gaps within an item.
-    """
-    a = pdb_atoms(lines.where(F.col("value").startswith("HETATM") & (F.substring("value", 18, 3) == "STP")).withColumn("model", F.lit(0)).select("item", "model", "value"))
-    g = a.groupBy("item", F.col("seq_num").alias("rank")).agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").alias("vertices"))
+
+def fpocket_pockets(vertices: DataFrame) -> DataFrame:
+    """One row per pocket, at the mean of its vertices. Numbers must run from 1 without gaps within an item."""
+    g = vertices.groupBy("item", "rank").agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").alias("vertices"))
     n = F.count("*").over(Window.partitionBy("item"))
     top = F.max("rank").over(Window.partitionBy("item"))
     ok = F.assert_true(n == top, F.lit("pocket numbers have gaps"))
     return g.withColumn("_n", ok.isNull()).where("_n").select("item", F.concat(F.lit("pocket"), F.col("rank")).alias("name"), "rank", F.lit(None).cast("double").alias("score"), "x", "y", "z", "vertices")
 
 
-def fpocket_atoms(lines: DataFrame, pocket_lines: DataFrame) -> DataFrame:
-    """(item, rank, serial): protein atoms of the pocket files (their item ends in `pocket<rank>_atm.*`), by serial; unknown serials are skipped."""
-    rank = F.regexp_extract("item", r"pocket(\d+)_", 1).try_cast("int")
-    mine = pocket_lines.where(F.col("value").startswith("ATOM")).select(rank.alias("rank"), F.substring("value", 7, 5).try_cast("int").alias("serial"))
-    have = lines.where(F.col("value").startswith("ATOM")).select("item", F.substring("value", 7, 5).try_cast("int").alias("serial"))
-    return have.join(mine, "serial").select("item", "rank", "serial").distinct()
+def fpocket(lines: DataFrame) -> DataFrame:
+    """The pockets of result files given as lines. Letters among their serial numbers do no harm."""
+    stp = lines.where(F.col("value").startswith("HETATM") & (F.substring("value", 18, 3) == "STP"))
+    return fpocket_pockets(fpocket_vertices(pdb_atoms(stp.withColumn("model", F.lit(0)).select("item", "model", "value"))))
+
+
+#: A pocket's file below the folder of its structure.
+_POCKET_FILE = r"([^/]*)_out/pockets/pocket(\d+)_atm\.(?:pdb|cif)(?:\.gz)?$"
+
+
+def _stem(item: Column) -> Column:
+    """The structure's name of a path to it or to its result."""
+    return F.regexp_extract(item, r"([^/]*?)(?:_out)?(?:\.(?:pdb|ent|cif|bcif)(?:\.(?:gz|zst|zstd|lzma|xz))?)?$", 1)
+
+
+def fpocket_atoms(atoms: DataFrame, pocket_atoms: DataFrame) -> DataFrame:
+    """(item, rank, serial): the structure's own atoms that the files of its pockets name, by serial.
+
+    Both have item, serial and is_het, as the structure readers give them. Items of pocket_atoms are paths
+    `<structure>_out/pockets/pocket<number>_atm.<pdb or cif>`. Numbers begin at 1, or in older
+    results at 0; unknown serials are skipped.
+    """
+    number = F.regexp_extract("item", _POCKET_FILE, 2).try_cast("int")
+    mine = pocket_atoms.where(~F.col("is_het")).select(F.regexp_extract("item", _POCKET_FILE, 1).alias("_of"), number.alias("_n"), "serial").where("_n is not null")
+    first = mine.groupBy("_of").agg(F.min("_n").alias("_first"))
+    ranked = mine.join(first, "_of").select("_of", F.when(F.col("_first") == 0, F.col("_n") + 1).otherwise(F.col("_n")).alias("rank"), "serial")
+    have = atoms.where(~F.col("is_het")).select("item", _stem(F.col("item")).alias("_of"), "serial")
+    return have.join(ranked, ["_of", "serial"]).select("item", "rank", "serial").distinct()
+
+
+def fpocket_points(surface: DataFrame, atoms: DataFrame, vertices: DataFrame, of_atoms: float, of_vertices: float) -> DataFrame:
+    """(item, rank, id): a pocket's surface points: those near one of its atoms, and those near a vertex.
+
+    surface: item, id, x, y, z. atoms and vertices: item, rank, x, y, z. of_atoms, of_vertices: how near.
+    """
+    near = lambda to, r: radius_join(surface.select("item", "id", "x", "y", "z"), to.select("item", "rank", "x", "y", "z"), r, "item").select("item", F.col("rank_r").alias("rank"), "id")
+    return near(atoms, of_atoms).unionByName(near(vertices, of_vertices)).distinct()
+
+
+def growing_surface(grid: DataFrame, exposed: DataFrame, first: int = 4, last: int = 9) -> DataFrame:
+    """(item, rank, id): the exposed atoms around a pocket's grid points, within the least whole radius
+    from ``first`` to ``last`` that reaches any.
+
+    One join at the largest radius: the nearest atom's distance tells the radius.
+    """
+    near = radius_join(exposed.select("item", "id", "x", "y", "z"), grid.select("item", "rank", "x", "y", "z"), last, "item")
+    best = near.groupBy("item", F.col("rank_r").alias("rank"), "id").agg(F.min("d2").alias("d2"))
+    radius = best.groupBy("item", "rank").agg(F.greatest(F.ceil(F.sqrt(F.min("d2"))), F.lit(first)).alias("_r"))
+    return best.join(radius, ["item", "rank"]).where(F.col("d2") <= F.col("_r") * F.col("_r")).select("item", "rank", "id")
 
 
 def header_stats(lines: DataFrame) -> DataFrame:
@@ -96,10 +143,13 @@ def header_stats(lines: DataFrame) -> DataFrame:
 
 
 def puresnet(lines: DataFrame) -> DataFrame:
-    """A pocket per `*pkt.pdb` file but `without_clus_pkt.pdb`, in order of the file name."""
-    mine = lines.where(F.col("item").endswith("pkt.pdb") & (F.col("item") != "without_clus_pkt.pdb"))
+    """A pocket per `*pkt.pdb` file but `without_clus_pkt.pdb`, in order of the file name. Items are paths;
+    files of one folder are the prediction named by that folder (without one: `prediction`)."""
+    file, folder = F.regexp_extract("item", "([^/]*)$", 1), F.regexp_extract("item", "([^/]+)/[^/]*$", 1)
+    mine = lines.where(F.col("item").endswith("pkt.pdb") & (file != "without_clus_pkt.pdb"))
     a = pdb_atoms(mine.withColumn("model", F.lit(0)).select("item", "model", "value"))
-    g = a.groupBy(F.col("item").alias("file")).agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").cast("double").alias("score")).withColumn("item", F.lit("prediction"))
+    at = F.when(folder == "", "prediction").otherwise(folder).alias("of")
+    g = a.groupBy(at, file.alias("file")).agg(*(F.avg(c).alias(c) for c in "xyz"), F.count("*").cast("double").alias("score")).withColumnRenamed("of", "item")
     return _numbered(g, ["file"]).select(*_OUT, "file")
 
 

@@ -110,16 +110,16 @@ def _cif_values(line: str) -> list[str]:
     return out
 
 
-def read_structures(spark: SparkSession, path: str) -> DataFrame:
+def read_structures(spark: SparkSession, path: str, parts: int = 1) -> DataFrame:
     """Atoms of all structure files at a path or glob; .cif by its declared columns, .bcif by its arrays, anything else as PDB.
 
-    A file is one item and is parsed in one task. A file that can't be read gives no
-    atoms; see ``read_errors``.
+    A file is one item, named by the last ``parts`` of its path, and is parsed in one task. A file
+    that can't be read gives no atoms; see ``read_errors``.
     """
-    return parsed(spark.read.format("binaryFile").load(path))
+    return parsed(spark.read.format("binaryFile").load(path), parts)
 
 
-def parsed(files: DataFrame) -> DataFrame:
+def parsed(files: DataFrame, parts: int = 1) -> DataFrame:
     """Atoms of files given as path and content."""
     import pandas as pd
 
@@ -129,7 +129,7 @@ def parsed(files: DataFrame) -> DataFrame:
         for pdf in batches:
             cif, pdb = [], []
             for p, raw in zip(pdf["path"], pdf["content"], strict=True):
-                name = p.rsplit("/", 1)[-1]
+                name = "/".join(p.split("/")[-parts:])
                 try:
                     raw = decompressed(name, raw)
                     if ".bcif" in name:

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import features as X
+from orrery.operators import aggregate as A
 from orrery.operators import spatial as S
+from orrery.operators import transform as X2
 from orrery.operators.components import components
 from orrery.sources import reports as R
 
@@ -56,10 +58,61 @@ def test_csv_feature(spark):
 def test_pair_histogram(spark, atoms):
     point = spark.createDataFrame([(100, 0.0, 0.0, 0.0), (101, 50.0, 0.0, 0.0)], "id long, x double, y double, z double")
     got = {r.id: list(r[1:]) for r in X.feature("pair_hist").compute(points=point, exposed=atoms, radius=2.5, smooth=False).collect()}
-    # distances among atoms 1, 2, 3, 5: 1, 1, 2, 1.41, 2.24, 1
-    assert got[100] == [0.0, 0.0, 4.0, 0.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0] and sum(got[101]) == 0.0
-    smooth = {r.id: list(r[1:]) for r in X.feature("pair_hist").compute(points=point, exposed=atoms, radius=2.5).collect()}
-    assert abs(sum(smooth[100]) - 6) < 1e-9
+    # distances among atoms 1, 2, 3, 5: four times 0, and 1, 1, 2, 1.41, 2.24, 1
+    assert got[100] == [4.0, 4.0, 2.0, 0.0, 0.0] and sum(got[101]) == 0.0
+    smooth = {r.id: list(r[1:]) for r in X.feature("pair_hist").compute(points=point, exposed=atoms, radius=2.5, smooth=True).collect()}
+    assert abs(sum(smooth[100]) - 10) < 1e-9
+    shares = {r.id: list(r[1:]) for r in X.feature("pair_hist").compute(points=point, exposed=atoms, radius=2.5, normalised=True).collect()}
+    assert shares[100] == [0.4, 0.4, 0.2, 0.0, 0.0] and sum(shares[101]) == 0.0
+
+
+@pytest.mark.parametrize("bins, smooth, values", [
+    (2, False, {-1: [1, 0], 0: [1, 0], 1: [0, 1], 2: [0, 1], 0.5: [0, 1], 0.25: [1, 0], 0.75: [0, 1]}),
+    (3, False, {-1: [1, 0, 0], 0: [1, 0, 0], 1: [0, 0, 1], 2: [0, 0, 1], 0.5: [0, 1, 0], 0.25: [1, 0, 0], 0.75: [0, 0, 1]}),
+    (2, True, {-1: [1, 0], 0: [1, 0], 1: [0, 1], 2: [0, 1], 0.5: [0.5, 0.5], 0.25: [0.75, 0.25], 0.75: [0.25, 0.75]}),
+    (3, True, {-1: [1, 0, 0], 0: [1, 0, 0], 1: [0, 0, 1], 2: [0, 0, 1], 0.5: [0, 1, 0], 0.25: [0.5, 0.5, 0], 0.75: [0, 0.5, 0.5]}),
+])
+def test_histogram_shares(spark, bins, smooth, values):
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = {v: [0.0] * bins for v in values}
+    for r in A.shares(df, ["v"], "v", 0.0, 1.0, bins, smooth).collect():
+        got[r.v][r.bin] += r.share
+    assert got == values
+
+
+def test_pairs_beyond_the_range_are_counted(spark):
+    rows = [(n, "ab"[n % 2], float(n * n), 0.0, 0.0) for n in range(12)]
+    points = spark.createDataFrame(rows, "id long, g string, x double, y double, z double")
+    for smooth in (False, True):
+        got = {(r.g, r.bin): r.n for r in A.pair_distances(points, "g", 0.0, 9.0, 4, smooth=smooth).collect()}
+        want = {}
+        for g in "ab":
+            xs = [x for _, h, x, _, _ in rows if h == g]
+            for i, a in enumerate(xs):
+                for b in xs[i:]:
+                    dist = min(abs(a - b), 9.0)
+                    pos = dist / 3 if smooth else min(dist / 2.25, 3)
+                    lo = min(int(pos), 2 if smooth else 3)
+                    for k, w in ((lo, 1 - (pos - lo)), (lo + 1, pos - lo)) if smooth else ((lo, 1.0),):
+                        if w:
+                            want[g, k] = want.get((g, k), 0) + w
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {r.g: r.s for r in A.pair_distances(points, "g", 0.0, 9.0, 4, normalised=True).groupBy("g").agg(F.round(F.sum("n"), 9).alias("s")).collect()} == {"a": 1.0, "b": 1.0}
+
+
+def test_probability_between_the_edges_of_bins(spark):
+    fit = spark.createDataFrame([(0, 2, 6), (1, 4, 4), (2, 8, 0)], "bin long, tp long, fp long")
+    scores = [-3.0, -0.5, 0.0, 0.5, 1.0, 1.25, 2.0, 2.9, 3.0, 50.0]
+    df = spark.createDataFrame([(s,) for s in scores], "s double")
+    got = {r.s: r.probability for r in X2.probability(df, "s", fit, 0.0, 3.0, 3).collect()}
+
+    def value(h, x):
+        k = min(max(int(x), 0), 2)
+        return h[k] if k == 2 else h[k] + (h[k + 1] - h[k]) * (x - k)
+
+    for s in scores:
+        t, f = value([2, 4, 8], s), value([6, 4, 0], s)
+        assert abs(got[s] - max(t / (t + f), 0.0)) < 1e-12, s
 
 
 def test_chain_features(spark):

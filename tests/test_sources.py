@@ -125,6 +125,52 @@ def test_pocket_readers(spark):
         pockets.loader("nothing")
 
 
+def _atom_line(kind, serial, name, res, seq, x):
+    return f"{kind:<6}{serial:5d} {name:<4} {res:>3} C{seq:4d}    {x:8.3f}{0:8.3f}{0:8.3f}  0.00  0.00          C"
+
+
+def _cif(rows):
+    head = "data_x\nloop_\n" + "".join(f"_atom_site.{c}\n" for c in ("group_PDB", "id", "type_symbol", "auth_atom_id", "auth_comp_id", "auth_asym_id", "auth_seq_id", "Cartn_x", "Cartn_y", "Cartn_z"))
+    return head + "".join(f"{k} {s} C {n} {r} C {q} {x} 0 0\n" for k, s, n, r, q, x in rows) + "#\n"
+
+
+def test_fpocket_folders(spark, tmp_path):
+    """Two results, one of an old version in PDB and one in mmCIF, with the same serial numbers."""
+    a, b = tmp_path / "a_out", tmp_path / "b_out"
+    for f in (a, b):
+        (f / "pockets").mkdir(parents=True)
+    own = [("ATOM", n, "CA", "ALA", n, float(10 * n)) for n in range(1, 6)]
+    stp = lambda *at: [("HETATM", 90 + k, "APOL", "STP", p, x) for k, (p, x) in enumerate(at)]
+    pdb = lambda rows: "\n".join(_atom_line(*r) for r in rows)
+    (a / "a_out.pdb").write_text(pdb(own + stp((1, 1.0), (1, 3.0), (2, 9.0))).replace("HETATM   91", "HETATM1975f"))
+    (a / "pockets/pocket0_atm.pdb").write_text(pdb(own[:2]))
+    (a / "pockets/pocket1_atm.pdb").write_text(pdb([own[2], ("ATOM", 77, "CB", "ALA", 9, 0.0)]))
+    (b / "b_out.cif").write_text(_cif(own + stp((1, 20.0))))
+    (b / "pockets/pocket1_atm.cif").write_text(_cif(own[3:]))
+    atoms = structures.read_structures(spark, str(tmp_path / "*_out/*_out.*"))
+    found = {(r.item, r.rank, r.x, r.vertices) for r in pockets.fpocket_pockets(pockets.fpocket_vertices(atoms)).collect()}
+    assert found == {("a_out.pdb", 1, 2.0, 2), ("a_out.pdb", 2, 9.0, 1), ("b_out.cif", 1, 20.0, 1)}
+    of = pockets.fpocket_atoms(atoms, structures.read_structures(spark, str(tmp_path / "*_out/pockets/*"), parts=3))
+    assert {tuple(r) for r in of.collect()} == {("a_out.pdb", 1, 1), ("a_out.pdb", 1, 2), ("a_out.pdb", 2, 3), ("b_out.cif", 1, 4), ("b_out.cif", 1, 5)}
+    surface = spark.createDataFrame([("a_out.pdb", n, float(x), 0.0, 0.0) for n, x in enumerate((1.5, 12.0, 31.0, 60.0))] + [("b_out.cif", 9, 12.0, 0.0, 0.0)], "item string, id long, x double, y double, z double")
+    points = pockets.fpocket_points(surface, of.join(atoms, ["item", "serial"]), pockets.fpocket_vertices(atoms), 2.5, 1.0)
+    assert {tuple(r) for r in points.collect()} == {("a_out.pdb", 1, 0), ("a_out.pdb", 1, 1), ("a_out.pdb", 2, 2)}
+
+
+def test_surface_grows_until_it_is_met(spark):
+    kind = "item string, rank int, x double, y double, z double"
+    grid = spark.createDataFrame([("i", 1, 0.0, 0.0, 0.0), ("i", 2, 100.0, 0.0, 0.0), ("i", 3, 300.0, 0.0, 0.0), ("j", 1, 0.0, 0.0, 0.0)], kind)
+    exposed = spark.createDataFrame([("i", 1, 4.0, 0.0, 0.0), ("i", 2, 4.5, 0.0, 0.0), ("i", 3, 106.3, 0.0, 0.0), ("i", 4, 107.0, 0.0, 0.0), ("i", 5, 107.1, 0.0, 0.0), ("i", 6, 309.5, 0.0, 0.0)], "item string, id long, x double, y double, z double")
+    assert {tuple(r) for r in pockets.growing_surface(grid, exposed).collect()} == {("i", 1, 1), ("i", 2, 3), ("i", 2, 4)}
+
+
+def test_puresnet_keeps_proteins_apart(spark):
+    line = _atom_line("ATOM", 1, "CA", "ALA", 1, 5.0)
+    rows = [("out/p/00_pkt.pdb", line), ("out/p/01_pkt.pdb", line), ("out/q/00_pkt.pdb", line), ("out/q/without_clus_pkt.pdb", line), ("02_pkt.pdb", line)]
+    got = pockets.puresnet(spark.createDataFrame(rows, "item string, value string")).collect()
+    assert {(r.item, r.rank, r.file) for r in got} == {("p", 1, "00_pkt.pdb"), ("p", 2, "01_pkt.pdb"), ("q", 1, "00_pkt.pdb"), ("prediction", 1, "02_pkt.pdb")}
+
+
 def test_tables(spark, tmp_path):
     c = tables.conservation(lines(spark, "i", "# h\n0\t0.5\tA\n1\t-1000\tC\n2\t0.1\t-"))
     assert [(r.pos, r.score, r.letter) for r in c.orderBy("pos").collect()] == [(0, 0.5, "A"), (1, 0.0, "C")]
