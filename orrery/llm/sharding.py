@@ -1,10 +1,11 @@
 """Size-tiered compaction of immutable shards under a versioned manifest.
 
 A store is a folder of Parquet shards and numbered manifests. Arrivals are appended as
-small shards. Compaction takes shards of a similar size (a tier spans a factor of
+small shards, one version each. Compaction takes shards of a similar size (a tier spans a factor of
 ``fan_in``), bundles whole shards up to the target size and writes each bundle as one
 shard, without a shuffle: Spark's own file packing assigns the shards to tasks. Higher
-tiers follow until no tier has ``fan_in`` shards. A version becomes visible by renaming
+tiers follow until no tier has ``fan_in`` shards. A shard of more than twice the target, such as
+one of a single large row group, is divided. A version becomes visible by renaming
 its manifest into place, which fails if another writer has taken the number; shards of
 older versions stay until ``vacuum``, so readers and failed jobs see no half-written
 state.
@@ -15,7 +16,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +24,24 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Sharding:
-    """target_bytes: size aimed at. fan_in: shards of a tier that are merged at once at least."""
+    """target_bytes: size aimed at. fan_in: shards of a tier that are merged at once at least.
+    least_bytes: size of the lowest tier's shards. arrival_bytes: what a task scans of an appended table."""
 
     target_bytes: int = 128 << 20
     fan_in: int = 4
+    least_bytes: int = 64 << 10
     arrival_bytes: int = 4 << 20
     compression: str = "zstd"
 
 
 @dataclass(frozen=True)
 class Shard:
+    """whole: it has been divided as far as its rows allow."""
+
     path: str
     bytes: int
     tier: int
+    whole: bool = False
 
 
 class CommitConflict(RuntimeError):
@@ -54,8 +60,8 @@ class ShardStore:
         self._fs.mkdirs(self._path(f"{self.root}/manifests"))
 
     def tier(self, size: int) -> int:
-        """Tiers count up from the arrivals' size by factors of fan_in."""
-        return max(0, int(math.log(max(size, 1) / self.p.arrival_bytes, self.p.fan_in) + 0.5)) if size > self.p.arrival_bytes else 0
+        """Tiers count up from least_bytes by factors of fan_in, each to the nearest one."""
+        return max(0, round(math.log(max(size, 1) / self.p.least_bytes, self.p.fan_in)))
 
     def versions(self) -> list[int]:
         found = self._fs.listStatus(self._path(f"{self.root}/manifests"))
@@ -101,6 +107,9 @@ class ShardStore:
     def _write(self, df: DataFrame) -> list[Shard]:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("compression", self.p.compression).parquet(folder)
+        return self._shards(folder)
+
+    def _shards(self, folder: str) -> list[Shard]:
         found = [s for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().endswith(".parquet")]
         return [Shard(s.getPath().toString(), s.getLen(), self.tier(s.getLen())) for s in found]
 
@@ -127,7 +136,10 @@ class ShardStore:
         Scanned files arrive in pieces of about arrival_bytes. An empty table adds no
         rows; columns may hold nulls and any values, and repeated rows are kept.
         """
-        shards = self._with_packing(self.p.arrival_bytes, lambda: self._write(df))
+        return self.add(self._with_packing(self.p.arrival_bytes, lambda: self._write(df)))
+
+    def add(self, shards: list[Shard]) -> int:
+        """Commit a version with these shards besides the last one's."""
         while True:
             base, now = self.manifest()
             try:
@@ -135,10 +147,27 @@ class ShardStore:
             except CommitConflict:
                 continue
 
+    def dealt(self, df: DataFrame, arrivals: int) -> list[list[Shard]]:
+        """The rows written as the shards of so many arrivals, which are not committed yet.
+
+        One scan without a shuffle: each task deals its rows in turn, whatever they hold, and
+        writes a shard for each arrival. Of an empty table the first arrival has a shard without rows.
+        """
+        free = "_arrival" + "_" * max(map(len, df.columns))
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        rows = df.withColumn(free, F.monotonically_increasing_id() % arrivals)
+        self._with_packing(self.p.arrival_bytes * arrivals, lambda: rows.write.option("compression", self.p.compression).partitionBy(free).parquet(folder))
+        kept = [f"{folder}/{free}={n}" for n in range(arrivals)]
+        found = [self._shards(k) for k in kept if self._fs.exists(self._path(k))]
+        return found or [self._write(df)]
+
     def compact(self) -> int:
         """Merge tiers from the smallest up until none has fan_in shards below the target; commit each merge."""
         while True:
             base, now = self.manifest()
+            if large := [s for s in now if s.bytes > 2 * self.p.target_bytes and not s.whole]:
+                self._divide(base, now, large)
+                continue
             tiers: dict[int, list[Shard]] = {}
             for s in now:
                 if s.bytes < self.p.target_bytes // 2:
@@ -162,6 +191,18 @@ class ShardStore:
             except CommitConflict:
                 self._drop(made)
 
+    def _divide(self, base: int, now: list[Shard], large: list[Shard]) -> None:
+        """Write shards that are too large as several of about the target size, dealing their rows out."""
+        pieces = sum(-(-s.bytes // self.p.target_bytes) for s in large)
+        made = self._write(self.spark.read.parquet(*[s.path for s in large]).repartition(pieces))
+        # what is too large still has rows that are
+        made = [replace(s, whole=s.bytes > 2 * self.p.target_bytes) for s in made]
+        old = {s.path for s in large}
+        try:
+            self._commit(base, [s for s in now if s.path not in old] + made)
+        except CommitConflict:
+            self._drop(made)
+
     def read(self, version: int | None = None, shard_col: str = "_shard") -> DataFrame:
         """The rows of a version, and as ``shard_col`` the file name of each row's shard. A
         table that has a column of that name is an error."""
@@ -178,26 +219,29 @@ class ShardStore:
         version, now = self.manifest()
         live = {s.path for s in now}
         gone = 0
-        for folder in self._fs.listStatus(self._path(f"{self.root}/data")):
-            for s in self._fs.listStatus(folder.getPath()):
-                if s.getPath().getName().endswith(".parquet") and s.getPath().toString() not in live:
-                    self._fs.delete(s.getPath(), False)
-                    gone += 1
+        files = self._fs.listFiles(self._path(f"{self.root}/data"), True)
+        while files.hasNext():
+            path = files.next().getPath()
+            if path.getName().endswith(".parquet") and path.toString() not in live:
+                self._fs.delete(path, False)
+                gone += 1
         for v in self.versions():
             if v != version:
                 self._fs.delete(self._path(f"{self.root}/manifests/v{v:08d}.json"), False)
         return gone
 
 
-def compacted(df: DataFrame, root: str, p: Sharding | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Append a table to a new store, compact it, and tell where each row is.
+def compacted(df: DataFrame, root: str, p: Sharding | None = None, id_col: str = "doc_id", arrivals: int = 22) -> DataFrame:
+    """Let a table arrive at a new store in parts, compacting it after each, and tell where each row is.
 
     One row per input row, read back from the last version: doc_id, shard (its number in
     the manifest), shard_bytes, tier, version. Null ids and repeated rows are kept.
     """
     store = ShardStore(df.sparkSession, root, p)
-    store.append(df)
-    version = store.compact()
+    version = 0
+    for shards in store.dealt(df, arrivals):
+        store.add(shards)
+        version = store.compact()
     _, shards = store.manifest(version)
     named = [(s.path.rsplit("/", 1)[1], n, s.bytes, s.tier) for n, s in enumerate(shards)]
     listed = df.sparkSession.createDataFrame(named, "_shard string, shard int, shard_bytes long, tier int")

@@ -545,6 +545,45 @@ def test_compacted_rows(odd_docs, odd_rows, no_docs, tmp_path):
     assert sharding.compacted(no_docs, str(tmp_path / "b")).count() == 0
 
 
+def test_arrivals_climb_the_tiers(spark, tmp_path):
+    """Each arrival is a version of its own; runs of similar sizes merge, and those merge again."""
+    docs = spark.createDataFrame([(n, prose(n, 40), n % 3) for n in range(800)] + [(5, None, None)] * 30, "doc_id long, text string, _arrival int").repartition(2)
+    p = sharding.Sharding(target_bytes=1 << 20, least_bytes=4 << 10)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), p)
+    arrivals = store.dealt(docs, 22)
+    assert len(arrivals) == 22 and all(len(a) == 2 for a in arrivals) and store.versions() == []
+    seen = set()
+    for shards in arrivals:
+        store.add(shards)
+        store.compact()
+        seen.update(s.tier for s in store.manifest()[1])
+    version, shards = store.manifest()
+    assert version > 22 + 4 and len(seen) >= 3 and len({s.tier for s in shards}) > 1 and len(shards) < 11
+    rows = lambda df: sorted(map(repr, df.select("doc_id", "text", "_arrival").collect()))
+    assert rows(store.read()) == rows(docs)
+    # an older version holds what had arrived by then
+    assert 0 < store.read(1).count() < docs.count() and len(store.versions()) == version
+    store.vacuum()
+    assert rows(store.read()) == rows(docs) and store.versions() == [version]
+
+
+def test_large_row_groups_are_divided(spark, tmp_path):
+    """A table of one file with one row group, and a single row that is larger than a shard may be."""
+    import random
+
+    r = random.Random(1)
+    noise = lambda n: "".join(chr(r.randrange(33, 1000)) for _ in range(n))
+    rows = [(n, noise(2000)) for n in range(200)] + [(1000, noise(150_000))]
+    path = str(tmp_path / "one")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    p = sharding.Sharding(target_bytes=64 << 10)
+    got = sharding.compacted(spark.read.parquet(path), str(tmp_path / "s"), p, arrivals=1).collect()
+    assert sorted(x.doc_id for x in got) == sorted(d for d, _ in rows)
+    sizes = {x.shard: x.shard_bytes for x in got}
+    alone = next(x.shard for x in got if x.doc_id == 1000)
+    assert len(sizes) > 5 and all(b <= 2 * p.target_bytes for s, b in sizes.items() if s != alone)
+
+
 def test_clashing_columns_and_lost_files(spark, tmp_path):
     """A table may have columns of the names that a store uses; merges that gain nothing leave no files."""
     docs = spark.createDataFrame([(n, f"t{n}", "mine", 7, 8) for n in range(40)], "doc_id long, text string, _shard string, shard int, tier int").repartition(4)
