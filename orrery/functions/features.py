@@ -276,15 +276,13 @@ def is_amino_acid(residues: DataFrame, by: list[str], order: list[str], name: st
     return residues.withColumn("amino_acid", F.coalesce(known(F.col(name)) | F.col(name).startswith("UNK") | by_place, F.lit(False)))
 
 
-def atom_areas(atoms: DataFrame, surface: DataFrame, directions: int = 64, probe: float = 1.6) -> DataFrame:
-    """Solvent accessible area per atom (item, serial, asa): the share of its sphere's points that lie open."""
+def atom_areas(atoms: DataFrame, probe: float = 1.6, level: int = 3) -> DataFrame:
+    """Solvent accessible area per heavy atom (item, serial, asa): that of its sphere's open points."""
+    from orrery.operators import surface
     from orrery.sources.structures import heavy
 
-    radii = F.create_map(*(F.lit(v) for kv in {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "P": 1.8}.items() for v in kv))
-    r = F.coalesce(F.element_at(radii, F.col("element")), F.lit(1.8)) + probe
-    open_ = surface.groupBy("item", "serial").agg(F.count("*").alias("_n"))
-    x = heavy(atoms).select("item", "serial", r.alias("_r")).join(open_, ["item", "serial"], "left")
-    return x.select("item", "serial", (F.coalesce("_n", F.lit(0)) / F.lit(float(directions)) * 4 * 3.141592653589793 * F.col("_r") * F.col("_r")).alias("asa"))
+    own = heavy(atoms)
+    return surface.areas(own, surface.exposed_points(own, probe, level))
 
 
 def area_near(points: DataFrame, atoms: DataFrame, r: float = 6.0, per_residue: bool = False) -> DataFrame:

@@ -257,24 +257,35 @@ def rotated(points: DataFrame, rotations: DataFrame) -> DataFrame:
     return both.select(*(c for c in points.columns if c not in XYZ), "rot", *(e.alias(c) for c, e in turned.items()))
 
 
-def thinned(points: DataFrame, item: str, distance: float = 0.05) -> DataFrame:
+def thinned(points: DataFrame, item: str, distance: float = 0.05, local_edges: int = 200_000) -> DataFrame:
     """Greedy thinning in id order: a point stays if no kept point of its item is within ``distance``.
 
-    The outcome depends on the order, so an item's points are seen together; kept points
-    are found through a hash grid.
+    That is the lexicographically first independent set of the graph of close pairs. Each
+    round keeps the points that wait for no smaller one and drops those beside them, all over
+    the table at once. Long chains would take many rounds, so that once ``local_edges`` pairs or fewer are left,
+    these are gone through in order, item by item.
     """
-
-    def thin(pdf):
-        grid: dict = {}
-        keep = []
-        pdf = pdf.sort_values("id")
-        for x, y, z in zip(pdf["x"], pdf["y"], pdf["z"], strict=True):
-            cell = (int(x // distance), int(y // distance), int(z // distance))
-            near = (q for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) for q in grid.get((cell[0] + i, cell[1] + j, cell[2] + k), ()))
-            ok = all((x - a) ** 2 + (y - b) ** 2 + (z - c) ** 2 > distance**2 for a, b, c in near)
-            keep.append(ok)
-            if ok:
-                grid.setdefault(cell, []).append((x, y, z))
-        return pdf[keep]
-
-    return points.groupBy(item).applyInPandas(thin, points.schema)
+    edges = cut(close_pairs(points.select("id", *XYZ, item), distance, item).select(item, "id", "id_r"))
+    dropped = None
+    while (left := edges.count()) > local_edges:
+        waiting = edges.select(item, F.col("id_r").alias("id")).distinct()
+        first = edges.select(item, "id").distinct().join(waiting, [item, "id"], "left_anti")
+        out = cut(edges.join(first, [item, "id"], "left_semi").select(item, F.col("id_r").alias("id")).distinct())
+        # neither the kept ones nor the dropped ones are waited for any more
+        both = first.unionByName(out)
+        ends = both.withColumnRenamed("id", "id_r")
+        edges = cut(edges.join(both, [item, "id"], "left_anti").join(ends, [item, "id_r"], "left_anti"))
+        dropped = out if dropped is None else dropped.unionByName(out)
+    if left:
+
+        def rest(pdf):
+            out: set = set()
+            for u, v in pdf[["id", "id_r"]].sort_values(["id", "id_r"]).itertuples(index=False):
+                if u not in out:
+                    out.add(v)
+            pdf = pdf[pdf["id_r"].isin(out)]
+            return pdf[[item, "id_r"]].drop_duplicates().rename(columns={"id_r": "id"})
+
+        last = edges.groupBy(item).applyInPandas(rest, points.select(item, "id").schema)
+        dropped = last if dropped is None else dropped.unionByName(last)
+    return points if dropped is None else points.join(dropped, [item, "id"], "left_anti").select(*points.columns)

@@ -346,6 +346,41 @@ def u6(spark, d):
     return S.thinned(pts(spark, d).select("grp", "id", *S.XYZ), "grp", 4.0).select("grp", "id")
 
 
+# an icosahedron, and its triangles cut into four level by level
+_SPHERES = """c AS (SELECT (1 + sqrt(5)) / 2 AS g), ab AS (SELECT a, b FROM c, (VALUES (-1.0::DOUBLE), (1.0::DOUBLE)) p(a), (SELECT unnest([-g, g]) AS b FROM c)),
+v AS (SELECT row_number() OVER () AS i, x, y, z FROM (SELECT 0::DOUBLE AS x, a AS y, b AS z FROM ab UNION ALL SELECT a, b, 0 FROM ab UNION ALL SELECT b, 0, a FROM ab)),
+e AS (SELECT a.i, b.i AS j FROM v a JOIN v b ON a.i < b.i AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 4.41),
+u AS (SELECT i, [x / n, y / n, z / n] AS p FROM (SELECT *, sqrt(x*x + y*y + z*z) AS n FROM v)),
+tri AS (
+  SELECT 1 AS level, a.p AS a, b.p AS b, c.p AS c FROM e e1 JOIN e e2 ON e2.i = e1.j JOIN e e3 ON e3.i = e1.i AND e3.j = e2.j JOIN u a ON a.i = e1.i JOIN u b ON b.i = e1.j JOIN u c ON c.i = e2.j
+  UNION ALL
+  SELECT level + 1, t[1], t[2], t[3] FROM (
+    SELECT level, unnest([[a, ab, ac], [b, ab, bc], [c, bc, ac], [ab, bc, ac]]) AS t FROM (
+      SELECT level, a, b, c, list_transform(sab, lambda q: q / sqrt(list_dot_product(sab, sab))) AS ab, list_transform(sbc, lambda q: q / sqrt(list_dot_product(sbc, sbc))) AS bc, list_transform(sac, lambda q: q / sqrt(list_dot_product(sac, sac))) AS ac FROM (
+        SELECT level, a, b, c, [a[1] + b[1], a[2] + b[2], a[3] + b[3]] AS sab, [b[1] + c[1], b[2] + c[2], b[3] + c[3]] AS sbc, [a[1] + c[1], a[2] + c[2], a[3] + c[3]] AS sac FROM tri WHERE level < 3)))),
+sph AS (SELECT level, any_value(p) AS p, count(*) AS w, sum(count(*)) OVER (PARTITION BY level) AS total FROM (SELECT level, unnest([a, b, c]) AS p FROM tri) GROUP BY level, round(p[1], 9) + 0.0, round(p[2], 9) + 0.0, round(p[3], 9) + 0.0)"""
+
+
+@query(
+    "y2_tessellated_surface",
+    f"""WITH {_SPHERES},
+atm AS (SELECT grp AS item, id AS serial, x * 4 AS x, y * 4 AS y, z * 4 AS z, CASE id % 3 WHEN 0 THEN 1.7 WHEN 1 THEN 1.55 ELSE 1.52 END + 1.6 AS r FROM pts),
+pt AS (SELECT level, item, serial, x + r * p[1] AS x, y + r * p[2] AS y, z + r * p[3] AS z, w * 4 * pi() * r * r / total AS area FROM atm, sph),
+op AS (SELECT * FROM pt a WHERE NOT EXISTS (SELECT 1 FROM atm b WHERE b.item = a.item AND b.serial <> a.serial AND {_D2} < b.r * b.r - 1e-9))
+SELECT CAST(level AS BIGINT) AS level, item, serial, count(*) AS n, round(sum(area), 5) AS asa FROM op GROUP BY level, item, serial""",
+    "pts",
+)
+def y2(spark, d):
+    from functools import reduce
+
+    from orrery.operators import surface
+
+    element = F.element_at(F.array(*map(F.lit, "CNO")), (F.col("id") % 3 + 1).cast("int"))
+    atoms = pts(spark, d).select(F.col("grp").alias("item"), F.col("id").alias("serial"), element.alias("element"), *((F.col(c) * 4).alias(c) for c in S.XYZ))
+    levels = (surface.exposed_points(atoms, 1.6, n).withColumn("level", F.lit(n).cast("long")) for n in (1, 2, 3))
+    return reduce(lambda a, b: a.unionByName(b), levels).groupBy("level", "item", "serial").agg(F.count("*").alias("n"), r6(F.sum("area"), 5).alias("asa"))
+
+
 @query(
     "m7_grid_around",
     f"""WITH box AS (SELECT grp, {", ".join(f"min({c}) - 4 AS lo_{c}, (max({c}) + 4) - (min({c}) - 4) AS w_{c}" for c in "xyz")} FROM pts WHERE lig GROUP BY grp),

@@ -198,32 +198,15 @@ def residues(atoms: DataFrame) -> DataFrame:
     return one.withColumn("pos_in_chain", F.row_number().over(Window.partitionBy("item", "chain_id").orderBy("_s"))).drop("_s")
 
 
-def surface_points(atoms: DataFrame, probe: float = 1.6, directions: int = 64) -> DataFrame:
-    """Solvent accessible points: (item, id, serial, x, y, z), evenly spread over each atom's expanded sphere
-    and not inside another one.
-
-    The sphere's directions follow a spiral; radii are by element. An atom only meets its
-    own neighbourhood, so the test is a radius join within the item.
-    """
-    import math
-
-    from orrery.operators.spatial import XYZ, radius_join
-
-    #: Van der Waals radii.
-    radii = {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8, "P": 1.8}
-    table = F.create_map(*(F.lit(v) for kv in radii.items() for v in kv))
-    a = heavy(atoms).select("item", "serial", *XYZ, (F.coalesce(F.element_at(table, F.col("element")), F.lit(1.8)) + probe).alias("radius"))
-    golden = math.pi * (3 - math.sqrt(5))
-    spiral = []
-    for n in range(directions):
-        h = 1 - 2 * (n + 0.5) / directions
-        w = math.sqrt(1 - h * h)
-        spiral.append(F.struct(F.lit(n).alias("n"), F.lit(w * math.cos(golden * n)).alias("x"), F.lit(w * math.sin(golden * n)).alias("y"), F.lit(h).alias("z")))
-    p = a.withColumn("d", F.explode(F.array(*spiral)))
-    p = p.select("item", "serial", (F.col("serial").cast("long") * directions + F.col("d.n")).alias("id"), *((F.col(c) + F.col("radius") * F.col(f"d.{c}")).alias(c) for c in XYZ))
-    most = 1.8 + probe
-    inside = radius_join(p, a, most, "item").where((F.col("serial") != F.col("serial_r")) & (F.col("d2") < F.col("radius_r") * F.col("radius_r") - 1e-9))
-    return p.join(inside.select("item", "id").distinct(), ["item", "id"], "left_anti")
+def surface_points(atoms: DataFrame, probe: float = 1.6, level: int = 2, apart: float = 0.05) -> DataFrame:
+    """Solvent accessible points: (item, id, serial, x, y, z, area) of the heavy atoms' tessellated spheres;
+    of points closer than ``apart`` the first stays."""
+    from orrery.operators import surface
+    from orrery.operators.spatial import thinned
+
+    p = surface.exposed_points(heavy(atoms), probe, level)
+    ids = F.col("serial").cast("long") * len(surface.sphere(level)) + F.col("n")
+    return thinned(p.select("item", ids.alias("id"), "serial", "x", "y", "z", "area"), "item", apart)
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:

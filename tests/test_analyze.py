@@ -35,8 +35,8 @@ def test_reports(atoms):
 def test_area_of_a_single_atom(spark):
     one = spark.createDataFrame([("i", 0, 1, "C", None, "ALA", "A", 1, None, 0.0, 0.0, 0.0, 1.0, 1.0, "C", False)], structures.SCHEMA)
     s = structures.surface_points(one)
-    assert s.count() == 64
-    assert math.isclose(X.atom_areas(one, s).first().asa, 4 * math.pi * 3.3**2, rel_tol=1e-9)
+    assert s.count() == 42
+    assert math.isclose(X.atom_areas(one).first().asa, 4 * math.pi * 3.3**2, rel_tol=1e-9)
 
 
 def test_sampling_strategies(spark):

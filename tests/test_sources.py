@@ -84,7 +84,7 @@ def test_atom_filters(spark, files):
 
 def test_surface_points(spark, files):
     atoms = structures.read_structures(spark, str(files / "a.pdb")).where("not is_het")
-    p = structures.surface_points(atoms, directions=32).collect()
+    p = structures.surface_points(atoms).collect()
     a = [(r.serial, r.x, r.y, r.z, {"C": 1.7, "N": 1.55}[r.element] + 1.6) for r in structures.heavy(atoms).collect()]
     assert p
     for q in p:
