@@ -9,7 +9,7 @@ from orrery.functions import strings as Z
 from orrery.operators import aggregate as A
 from orrery.operators import evaluate as E
 from orrery.plans import learn
-from orrery.plans.registry import pts, query, r6
+from orrery.plans.registry import CHAIN_ORDER, chain, pts, query, r6
 from orrery.session import table
 from orrery.sources import sinks, structures, tables
 
@@ -150,6 +150,38 @@ def j19(spark, d):
     return learn.grid(spark, {"a": [0, 1, 2], "b": "[0:6:2]", "c": [0, 1]})
 
 
+_ROWS = """s AS (
+  SELECT user_id, list(letter ORDER BY ts, event_id) FILTER (event_id % 7 <> 0) AS a, list(CASE WHEN event_id % 11 = 0 THEN 'x' ELSE letter END ORDER BY ts, event_id) FILTER (event_id % 5 <> 0) AS b,
+    list(value ORDER BY ts, event_id) FILTER (event_id % 5 <> 0) AS v FROM chain GROUP BY user_id),
+r AS (
+  SELECT user_id, 0::BIGINT AS i, list_transform(range(len(b) + 1), lambda x: 0::BIGINT) AS t FROM s
+  UNION ALL
+  SELECT r.user_id, i + 1, list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len(b) + 1), lambda x: [x])),
+    lambda acc, x: list_append(acc, CASE WHEN a[i + 1] = b[x[1]] THEN t[x[1]] + 1 ELSE greatest(t[x[1] + 1], acc[len(acc)]) END)) FROM r JOIN s USING (user_id) WHERE i < len(a)),
+back AS (
+  SELECT user_id, len(a)::BIGINT AS i, len(b)::BIGINT AS j, a, b FROM s
+  UNION ALL
+  SELECT k.user_id, CASE WHEN k.a[k.i] = k.b[k.j] OR h.t[k.j] <= u.t[k.j + 1] THEN k.i - 1 ELSE k.i END, CASE WHEN k.a[k.i] = k.b[k.j] OR h.t[k.j] > u.t[k.j + 1] THEN k.j - 1 ELSE k.j END, k.a, k.b
+  FROM back k JOIN r h ON h.user_id = k.user_id AND h.i = k.i JOIN r u ON u.user_id = k.user_id AND u.i = k.i - 1 WHERE k.i > 0 AND k.j > 0)"""
+
+
+@query(
+    "j18_alignment",
+    f"""WITH {_ROWS}, m AS (SELECT user_id, i, j FROM back WHERE i > 0 AND j > 0 AND a[i] = b[j]), p AS (SELECT user_id, v, unnest(range(1, len(a) + 1)) AS pos FROM s)
+SELECT p.user_id, pos, coalesce(v[j], 0) AS score FROM p LEFT JOIN m ON m.user_id = p.user_id AND m.i = pos""",
+    "chain",
+)
+def j18(spark, d):
+    c = chain(spark, d)
+    ordered = lambda where, value: F.transform(F.array_sort(F.collect_list(F.when(where, F.struct(*CHAIN_ORDER, value.alias("_v"))))), lambda x: x["_v"])
+    ours, theirs = F.col("event_id") % 7 != 0, F.col("event_id") % 5 != 0
+    letter = F.when(F.col("event_id") % 11 == 0, "x").otherwise(F.col("letter"))
+    both = c.groupBy("user_id").agg(ordered(ours, F.col("letter")).alias("a"), ordered(theirs, letter).alias("b"), ordered(theirs, F.col("value")).alias("values"))
+    named = both.select(F.col("user_id").cast("string").alias("item"), F.lit("A").alias("chain_id"), "a", "b", "values")
+    found = tables.aligned_scores(named.select("item", "chain_id", F.array_join("a", "").alias("seq")), named.select("item", "chain_id", F.array_join("b", "").alias("seq"), "values"))
+    return found.select(F.col("item").cast("long").alias("user_id"), F.col("pos").cast("long").alias("pos"), "score")
+
+
 @query("s1_dataset_rows", "SELECT doc_id, CAST(list_sum(list_transform(string_split(text, chr(10)), lambda line: len(list_filter(regexp_split_to_array(trim(regexp_replace(line, '#.*', '')), '\\s+'), lambda w: w <> '')))) AS BIGINT) AS n FROM documents")
 def s1(spark, d):
     each = F.transform(F.split("text", "\n"), lambda line: F.size(Z.words(F.trim(F.regexp_replace(line, "#.*", "")))))

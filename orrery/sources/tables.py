@@ -36,36 +36,18 @@ def conservation_files(chains: DataFrame, files: DataFrame, extension: str = ".h
 def aligned_scores(chains: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores for chain positions by longest common subsequence: (item, chain_id, pos, score).
 
-    chains: item, chain_id, seq; scores: item, chain_id, seq, values (one per letter).
-    Equal sequences are paired as they are. In the table a tie goes up, and left only if
-    that is strictly longer; positions without a partner have score 0.
+    chains: item, chain_id, seq; scores: item, chain_id, seq, values (one per letter). How
+    ties are broken is told by ``alignment.pairs``; positions without a partner have score 0.
     """
     import pandas as pd
 
-    def align(a: str, b: str) -> list[int]:
-        if a == b:
-            return list(range(len(a)))
-        n, m = len(a), len(b)
-        t = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                t[i][j] = t[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(t[i - 1][j], t[i][j - 1])
-        to, i, j = [-1] * n, n, m
-        while i and j:
-            if a[i - 1] == b[j - 1]:
-                to[i - 1] = j - 1
-                i, j = i - 1, j - 1
-            elif t[i][j - 1] > t[i - 1][j]:
-                j -= 1
-            else:
-                i -= 1
-        return to
+    from orrery.functions.alignment import pairs
 
     def run(batches):
         for pdf in batches:
             rows = []
             for item, chain, a, b, v in zip(pdf["item"], pdf["chain_id"], pdf["seq"], pdf["other"], pdf["values"], strict=True):
-                rows += [(item, chain, k + 1, float(v[t]) if t >= 0 else 0.0) for k, t in enumerate(align(a, b))]
+                rows += [(item, chain, k + 1, float(v[t]) if t >= 0 else 0.0) for k, t in enumerate(pairs(a, b))]
             yield pd.DataFrame(rows, columns=["item", "chain_id", "pos", "score"])
 
     both = chains.join(scores.select("item", "chain_id", F.col("seq").alias("other"), "values"), ["item", "chain_id"])

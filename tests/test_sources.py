@@ -196,6 +196,37 @@ def test_alignment(spark):
     assert got == {("A", 1): 1.0, ("A", 2): 0.0, ("A", 3): 2.0, ("A", 4): 3.0, ("B", 1): 5.0, ("B", 2): 6.0}
 
 
+def test_alignment_against_the_whole_table():
+    import random
+
+    from orrery.functions.alignment import pairs
+
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                t[i][j] = t[i - 1][j - 1] + 1 if x == y else max(t[i - 1][j], t[i][j - 1])
+        to, i, j = [-1] * len(a), len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                to[i] = j
+            elif t[i][j - 1] > t[i - 1][j]:
+                j -= 1
+            else:
+                i -= 1
+        return to
+
+    r = random.Random(4)
+    for _ in range(400):
+        a, b = ("".join(r.choice("ACDE") for _ in range(r.randrange(30))) for _ in "ab")
+        assert pairs(a, b) == (list(range(len(a))) if a == b else plain(a, b))
+    long = "".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(20_000))
+    other = "".join(c for c in long if r.random() < 0.9)
+    found = [(i, j) for i, j in enumerate(pairs(long, other)) if j >= 0]
+    assert len(found) == len(other) and all(long[i] == other[j] for i, j in found)
+
+
 def test_csv_features(spark, tmp_path):
     (tmp_path / "r.csv").write_text('"chain","ins. code","seq. code","#note","v"\n"A","","1","x","0.5"\n')
     kind, t = tables.csv_features(spark, str(tmp_path / "r.csv"))
