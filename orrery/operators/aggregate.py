@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.operators.spatial import XYZ, close_pairs, near
+from orrery.operators.windows import prefix_sums
 
 
 def weighted_features(
@@ -125,17 +126,10 @@ def score_levels(df: DataFrame, observed: str, score: str) -> DataFrame:
     """Positives and negatives per distinct score, and those at or above it.
 
     Ranking metrics only need these: one row per distinct score, not per prediction.
-    Running sums are taken in two steps, within ranges of scores and over the ranges, so
-    no task sees all levels.
+    Running sums go by ranges of the scores there are, so that no task sees all levels.
     """
     levels = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(observed).cast("long")).alias("pos"), F.sum((~F.col(observed)).cast("long")).alias("neg"))
-    levels = levels.withColumn("_range", F.floor(F.col("s") * 64))
-    totals = levels.groupBy("_range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    over = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_range", F.coalesce(F.sum("p").over(over), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("n0"))
-    w = Window.partitionBy("_range").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    out = levels.join(before, "_range")
-    return out.select("s", "pos", "neg", (F.col("p0") + F.sum("pos").over(w)).alias("tp"), (F.col("n0") + F.sum("neg").over(w)).alias("fp"))
+    return prefix_sums(levels, [F.desc("s")], {"pos": "tp", "neg": "fp"})
 
 
 def auc(df: DataFrame, observed: str, score: str) -> DataFrame:

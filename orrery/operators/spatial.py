@@ -9,6 +9,7 @@ Distances stay squared.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -241,8 +242,6 @@ def centroid(points: DataFrame, by: str, mass: str | None = None) -> DataFrame:
 
 def lattice(spark, low: tuple[float, float, float], high: tuple[float, float, float], edge: float) -> DataFrame:
     """Grid points of a box: per axis floor(width / edge) + 1 steps from the lower face plus the IEEE remainder of the width."""
-    import math
-
     axes = []
     for c, u, v in zip(XYZ, low, high, strict=True):
         n, start = int((v - u) / edge), u + math.remainder(v - u, edge)
@@ -257,6 +256,32 @@ def rotated(points: DataFrame, rotations: DataFrame) -> DataFrame:
     return both.select(*(c for c in points.columns if c not in XYZ), "rot", *(e.alias(c) for c, e in turned.items()))
 
 
+def random_turns(item: Column, rot: Column, seed: int) -> dict[str, Column]:
+    """m11 .. m33: the matrix of a rotation drawn evenly over all, from a hash of seed, item and number.
+
+    Three even numbers give a unit quaternion (two points on circles, weighted by the square
+    roots of a number and its rest), and that the matrix. Nothing is drawn when a task runs, so a task that is run
+    again turns alike.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), item.cast("string"), rot.cast("string")).cast("binary"))
+    u = [F.conv(F.substring(digest, 1 + 10 * n, 10), 16, 10).cast("double") / float(1 << 40) for n in range(3)]
+    turn = [2 * math.pi * v for v in u[1:]]
+    x, y, z, w = (F.sqrt(r) * f(t) for r, f, t in ((1 - u[0], F.sin, turn[0]), (1 - u[0], F.cos, turn[0]), (u[0], F.sin, turn[1]), (u[0], F.cos, turn[1])))
+    return {
+        "m11": 1 - 2 * (y * y + z * z), "m12": 2 * (x * y - z * w), "m13": 2 * (x * z + y * w),
+        "m21": 2 * (x * y + z * w), "m22": 1 - 2 * (x * x + z * z), "m23": 2 * (y * z - x * w),
+        "m31": 2 * (x * z - y * w), "m32": 2 * (y * z + x * w), "m33": 1 - 2 * (x * x + y * y),
+    }
+
+
+def randomly_rotated(points: DataFrame, item: str, copies: int, seed: int = 42) -> DataFrame:
+    """The points as they are (rot 0) and turned about the origin ``copies`` times; points of an item turn together."""
+    both = points.withColumn("rot", F.explode(F.sequence(F.lit(0), F.lit(copies))))
+    m = both.withColumns(random_turns(F.col(item), F.col("rot"), seed))
+    turned = {c: reduce(lambda s, t: s + t, (F.col(f"m{i}{j}") * F.col(p) for j, p in enumerate(XYZ, 1))) for i, c in enumerate(XYZ, 1)}
+    return m.select(*(c for c in points.columns if c not in XYZ), "rot", *(F.when(F.col("rot") == 0, F.col(c)).otherwise(v).alias(c) for c, v in turned.items()))
+
+
 def thinned(points: DataFrame, item: str, distance: float = 0.05, local_edges: int = 200_000) -> DataFrame:
     """Greedy thinning in id order: a point stays if no kept point of its item is within ``distance``.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from orrery.session import cut
+
 
 def ranked(df: DataFrame, by: list[str], score: str, tie: str, name: str = "rank") -> DataFrame:
     """Rank 1..n by descending score; ties go to the smaller ``tie``."""
@@ -64,6 +66,24 @@ def triplets(df: DataFrame, by: list[str], order: list, letter: str) -> DataFram
     return x.withColumn("triplet", F.when(prev <= nxt, F.concat(prev, me, nxt)).otherwise(F.concat(nxt, me, prev))).drop("prev", "next")
 
 
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """For each name the running sum of a column over the whole table in an order that tells rows apart.
+
+    Rows are dealt to ranges of the order, sampled from the data, and summed within each; what comes
+    before a range is the sum of the ranges ahead of it, of which there is one row each. Whatever
+    the values are, no task sees all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written down, so that a row's range stays what it is
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(*(F.sum(c).alias(f"_t{n}") for n, c in enumerate(sums)))
+    before = totals.select("_part", *(F.coalesce(F.sum(f"_t{n}").over(upto), F.lit(0)).alias(f"_b{n}") for n in range(len(sums))))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(before), "_part")
+    return out.select(*df.columns, *((F.col(f"_b{n}") + F.sum(c).over(within)).alias(name) for n, (c, name) in enumerate(sums.items())))
+
+
 def running_max(df: DataFrame, by: list[str], order: list, value: str) -> DataFrame:
     return df.withColumn("best", F.max(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 

@@ -56,7 +56,8 @@ def assembled(df: DataFrame, columns: Iterable[str], label: str) -> DataFrame:
 
 
 def classifier(name: str = "RandomForest", trees: int = 100, depth: int = 0, seed: int = 42, weight: str | None = None):
-    """A classifier by name: RandomForest (and its fast variants), Bagging, GBT, LogisticRegression, CostSensitive (needs a weight)."""
+    """A classifier by name: RandomForest (and its fast variants), Bagging, GBT, LogisticRegression, CostSensitive (needs a weight).
+    Boosted and stacked ones are made by ``ensembles``."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 
     extra = {"weightCol": weight} if weight else {}
@@ -66,7 +67,7 @@ def classifier(name: str = "RandomForest", trees: int = 100, depth: int = 0, see
         return RandomForestClassifier(numTrees=trees, maxDepth=depth or 10, seed=seed, **extra)
     if name == "Bagging":
         return RandomForestClassifier(numTrees=trees, maxDepth=depth or 10, featureSubsetStrategy="all", seed=seed, **extra)
-    if name in ("AdaBoost", "GBT"):
+    if name == "GBT":
         return GBTClassifier(maxIter=min(trees, 50), maxDepth=depth or 5, seed=seed, **extra)
     if name in ("Logistic", "SimpleLogistic", "LogisticRegression"):
         return LogisticRegression(**extra)
@@ -100,6 +101,42 @@ def cross_validated(df: DataFrame, columns: list[str], label: str, id_col: str,
     return reduce(DataFrame.unionByName, out)
 
 
+def seed_loop(df: DataFrame, columns: list[str], label: str, id_col: str, seeds: Iterable[int], k: int = 5, parallel: int = 4, **kind) -> DataFrame:
+    """(seed, fold, auc, auprc): a model for each seed and each of k folds, trained on the other folds.
+
+    The folds are dealt once and shared by all seeds. ``parallel`` fits run side by side, each in a
+    scheduler pool of its own, so that small stages don't wait for each other.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    spark, seeds = df.sparkSession, list(seeds)
+    data = cut(folds(assembled(df, columns, label), id_col, k, seeds[0]))
+
+    def one(task: tuple[int, int, int]):
+        n, seed, fold = task
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{n % parallel}")
+        model = classifier(seed=seed, **kind).fit(data.where(F.col("fold") != fold))
+        test = scored(model, data.where(F.col("fold") == fold)).select((F.col("label") == 1).alias("obs"), "score")
+        r = auc(test, "obs", "score").first()
+        return seed, fold, r.auc, r.auprc
+
+    tasks = [(n, *x) for n, x in enumerate(itertools.product(seeds, range(k)))]
+    with ThreadPoolExecutor(parallel) as pool:
+        rows = list(pool.map(inheritable_thread_target(one), tasks))
+    return spark.createDataFrame(rows, "seed int, fold int, auc double, auprc double")
+
+
+def over_seeds(runs: DataFrame) -> DataFrame:
+    """Per figure of a seed loop: mean, sd and rel_sd over all seeds and folds, and the value of each run."""
+    from orrery.operators.aggregate import over_runs
+
+    long = runs.select(F.concat_ws("_", "seed", "fold").alias("run"), F.expr("stack(2, 'auc', auc, 'auprc', auprc) AS (name, value)"))
+    names = sorted(r.run for r in long.select("run").distinct().collect())
+    return over_runs(long, "name", "run", "value", names)
+
+
 _COLS = ["x", "y", "z", "score"]
 
 
@@ -121,3 +158,24 @@ def demo_importances(points: DataFrame) -> DataFrame:
 
 def demo_cross_validation(points: DataFrame) -> DataFrame:
     return cross_validated(_labelled(points), _COLS, "near", "id", k=3, trees=5, depth=3)
+
+
+def demo_seed_loop(points: DataFrame) -> DataFrame:
+    return over_seeds(seed_loop(_labelled(points), _COLS, "near", "id", (1, 2), k=2, trees=4, depth=3))
+
+
+def demo_boosted(points: DataFrame) -> DataFrame:
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from orrery.plans.ensembles import boosted
+
+    data = assembled(_labelled(points), _COLS, "near")
+    return boosted(data, lambda w: DecisionTreeClassifier(maxDepth=1, weightCol=w), rounds=4).scored(data).select("id", "score")
+
+
+def demo_stacked(points: DataFrame) -> DataFrame:
+    from orrery.plans.ensembles import default_stack, stacked
+
+    data = assembled(_labelled(points), _COLS, "near")
+    bases, meta = default_stack(len(_COLS), trees=4, depth=3)
+    return stacked(data, bases, meta, "id", k=2).scored(data).select("id", "score")

@@ -236,6 +236,21 @@ def y16(spark, d):
     return learn.demo_cross_validation(pts(spark, d))
 
 
+@query("y16_seed_loop")
+def y16_seeds(spark, d):
+    return learn.demo_seed_loop(pts(spark, d))
+
+
+@query("y13_boosted")
+def y13_boosted(spark, d):
+    return learn.demo_boosted(pts(spark, d))
+
+
+@query("y13_stacked")
+def y13_stacked(spark, d):
+    return learn.demo_stacked(pts(spark, d))
+
+
 @query("y17_value_ranges", "SELECT CAST(range * 2 AS DOUBLE) AS v FROM range(6)")
 def y17(spark, d):
     return spark.createDataFrame([(float(v),) for v in learn.values("[0:10:2]")], "v double")

@@ -183,6 +183,23 @@ def p17(spark, d):
     return out.select("id", "rot", *(r6(c).alias(c) for c in S.XYZ))
 
 
+_U = ", ".join(f"('0x' || substr(h, {1 + 10 * n}, 10))::BIGINT / 1099511627776 AS u{n}" for n in range(3))
+
+
+@query(
+    "p17_random_rotations",
+    f"""WITH k AS (SELECT *, md5('7:' || grp || ':' || rot) AS h FROM pts, (SELECT unnest(range(4)) AS rot)), u AS (SELECT *, {_U} FROM k),
+q AS (SELECT id, rot, x AS px, y AS py, z AS pz, sqrt(1 - u0) * sin(2 * pi() * u1) AS x, sqrt(1 - u0) * cos(2 * pi() * u1) AS y, sqrt(u0) * sin(2 * pi() * u2) AS z, sqrt(u0) * cos(2 * pi() * u2) AS w FROM u)
+SELECT id, rot, round(CASE WHEN rot = 0 THEN px ELSE (1 - 2 * (y*y + z*z)) * px + 2 * (x*y - z*w) * py + 2 * (x*z + y*w) * pz END, 6) AS x,
+  round(CASE WHEN rot = 0 THEN py ELSE 2 * (x*y + z*w) * px + (1 - 2 * (x*x + z*z)) * py + 2 * (y*z - x*w) * pz END, 6) AS y,
+  round(CASE WHEN rot = 0 THEN pz ELSE 2 * (x*z - y*w) * px + 2 * (y*z + x*w) * py + (1 - 2 * (x*x + y*y)) * pz END, 6) AS z FROM q""",
+    "pts",
+)
+def p17_random(spark, d):
+    out = S.randomly_rotated(pts(spark, d).select("id", "grp", *S.XYZ), "grp", 3, seed=7)
+    return out.select("id", F.col("rot").cast("long").alias("rot"), *(r6(c).alias(c) for c in S.XYZ))
+
+
 @query(
     "p18_lattice",
     """SELECT i.range AS ix, j.range AS iy, k.range AS iz, CAST(-1.0 + i.range * 1.5 AS DOUBLE) AS x, CAST(0.0 + j.range * 1.5 AS DOUBLE) AS y, CAST(0.5 + k.range * 1.5 AS DOUBLE) AS z
