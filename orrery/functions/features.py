@@ -25,16 +25,27 @@ AMINO_ACIDS = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLU": "E", "GLN": "Q", "GLY": "G", "HIS": "H", "ILE": "I",
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
 }
+#: The atoms of the backbone.
+BACKBONE = ("N", "CA", "C", "O")
 #: Modified residues read as standard ones.
 CORRECTED = {"MSE": "MET", "MEN": "ASN"}
 
 
 @dataclass(frozen=True)
 class Feature:
+    """needs: what the frames it is given must hold besides: `asa` and `score` (of the residue) on atoms,
+    `head` (whether an atom is of the backbone), `ss` on atoms and residues, `letters` (atoms with their residue's letter in place of residues)."""
+
     name: str
     kind: str
     columns: tuple[str, ...]
     compute: Callable[..., DataFrame]
+    needs: tuple[str, ...] = ()
+
+
+#: What a feature of one kind is turned into by a suffix to its name: residue and atom features at points by
+#: the nearest residue or atom, residue and point features at atoms by the owning residue and the atom's own place.
+ADAPTERS = {("residue", "_sas"): "sas", ("atom", "_sas"): "sas", ("residue", "_atomic"): "atom", ("sas", "_atomic"): "atom"}
 
 
 _REGISTRY: dict[str, Feature] = {}
@@ -57,12 +68,25 @@ def names() -> list[str]:
     return sorted(_REGISTRY)
 
 
+def resolved(name: str) -> tuple[Feature, str]:
+    """The feature of a name and the kind in which it is asked for, its own or that of the name's suffix."""
+    if name in _REGISTRY:
+        return _REGISTRY[name], _REGISTRY[name].kind
+    for suffix in ("_sas", "_atomic"):
+        f = _REGISTRY.get(name.removesuffix(suffix))
+        if name.endswith(suffix) and f is not None:
+            if (f.kind, suffix) not in ADAPTERS:
+                raise ValueError(f"{f.name} is no feature that {suffix} turns into another")
+            return f, ADAPTERS[f.kind, suffix]
+    raise ValueError(f"unknown feature: {name}")
+
+
 def header(enabled: list[str]) -> list[str]:
     """Columns `feature.sub` of the enabled features in order; residue features can't be enabled directly."""
     out = []
     for n in enabled:
-        f = _REGISTRY[n]
-        if f.kind == "residue":
+        f, kind = resolved(n)
+        if kind == "residue":
             raise ValueError(f"residue feature {n} needs a wrapper")
         out += [f"{n}.{c}" for c in f.columns]
     return out
@@ -249,9 +273,9 @@ for _f in (
     Feature("protr_hist", "sas", tuple(f"b{i}" for i in range(5)), lambda points, atoms, radius=10.0, **_: protrusion_histogram(points, atoms, 5, radius)),
     Feature("pmass", "sas", ("pmass",), lambda points, atoms, radius=11.0, **_: center_distance(points, atoms, radius)),
     Feature("pyramid", "sas", tuple(f"p{n}_{k}" for n in range(1, 5) for k in ("dist", "surface")), lambda points, exposed, **_: pyramids(points, exposed, 6.0)),
-    Feature("conserv_cloud", "sas", ("mean",), lambda points, exposed, radius=10.0, **_: residue_cloud(points, exposed, radius).select("id", "mean")),
-    Feature("conserv_cloud2", "sas", ("mean", "sum", "vpa"), lambda points, exposed, radius=10.0, power=1.0, **_: residue_cloud(points, exposed, radius, power=power)),
-    Feature("contactres", "residue", ("residues", "atoms", "head", "side"), lambda atoms, **_: contacts(atoms).withColumnRenamed("residue", "id")),
+    Feature("conserv_cloud", "sas", ("mean",), lambda points, exposed, radius=10.0, **_: residue_cloud(points, exposed, radius).select("id", "mean"), ("score",)),
+    Feature("conserv_cloud2", "sas", ("mean", "sum", "vpa"), lambda points, exposed, radius=10.0, power=1.0, **_: residue_cloud(points, exposed, radius, power=power), ("score",)),
+    Feature("contactres", "residue", ("residues", "atoms", "head", "side"), lambda atoms, **_: contacts(atoms).withColumnRenamed("residue", "id"), ("head",)),
 ):
     register(_f)
 
@@ -428,17 +452,17 @@ for _f in (
     Feature("residue_table", "residue", RESIDUE_TABLE, lambda residues, table, power=1.0, keep_sign=True, **_: by_residue(residues, table, RESIDUE_TABLE, power, keep_sign)),
     Feature("conservation", "atom", ("conservation",), lambda atoms, scores, **_: residue_value(atoms, scores, "conservation")),
     Feature("conserv", "residue", ("conserv",), lambda residues, scores, **_: residue_value(residues, scores, "conserv")),
-    Feature("conservationcloud", "sas", ("mean",), lambda points, atoms, radius=10.0, **_: residue_cloud(points, atoms, radius).select("id", "mean")),
+    Feature("conservationcloud", "sas", ("mean",), lambda points, atoms, radius=10.0, **_: residue_cloud(points, atoms, radius).select("id", "mean"), ("score",)),
     Feature("pair_hist", "sas", tuple(f"b{i}" for i in range(5)), lambda points, exposed, radius=6.0, smooth=False, normalised=False, **_: pair_histogram(points, exposed, radius, 5, smooth, normalised)),
-    Feature("asa", "sas", ("asa",), lambda points, atoms, radius=6.0, **_: area_near(points, atoms, radius)),
-    Feature("asa2", "sas", ("asa",), lambda points, exposed, radius=6.0, **_: area_near(points, exposed, radius)),
-    Feature("asares", "sas", ("asa",), lambda points, atoms, radius=6.0, **_: area_near(points, atoms, radius, per_residue=True)),
+    Feature("asa", "sas", ("asa",), lambda points, atoms, radius=6.0, **_: area_near(points, atoms, radius), ("asa",)),
+    Feature("asa2", "sas", ("asa",), lambda points, exposed, radius=6.0, **_: area_near(points, exposed, radius), ("asa",)),
+    Feature("asares", "sas", ("asa",), lambda points, atoms, radius=6.0, **_: area_near(points, atoms, radius, per_residue=True), ("asa",)),
     Feature("cres1", "sas", tuple(sorted(AMINO_ACIDS)), lambda points, atoms, **_: nearest_code(points, atoms)),
-    Feature("ss", "residue", (*SECTION, *(f"type_{t}" for t in SS_TYPES)), lambda residues, by, order, **_: ss_features(residues, by, order)),
-    Feature("sss", "residue", ("H", "E", "C"), lambda residues, **_: residues.select("id", *one_hot(simple_ss(F.col("ss")), ["H", "E", "C"], ""))),
-    Feature("ss_cloud", "sas", ("H", "E", "C"), lambda points, atoms, radius=10.0, **_: ss_cloud(points, atoms, radius)),
+    Feature("ss", "residue", (*SECTION, *(f"type_{t}" for t in SS_TYPES)), lambda residues, by, order, **_: ss_features(residues, by, order), ("ss",)),
+    Feature("sss", "residue", ("H", "E", "C"), lambda residues, **_: residues.select("id", *one_hot(simple_ss(F.col("ss")), ["H", "E", "C"], "")), ("ss",)),
+    Feature("ss_cloud", "sas", ("H", "E", "C"), lambda points, atoms, radius=10.0, **_: ss_cloud(points, atoms, radius), ("ss",)),
     Feature("duplets", "residue", ("duplets",), lambda residues, table, by, order, **_: pair_propensity(residues, table, by, order)),
     Feature("triplets", "residue", ("triplets",), lambda residues, table, by, order, **_: triplet_propensity(residues, table, by, order)),
-    Feature("stmotif", "sas", MOTIFS, lambda points, residues, n=8, radius=4.0, **_: motif_flags(points, residues, n, radius)),
+    Feature("stmotif", "sas", MOTIFS, lambda points, residues, n=8, radius=4.0, **_: motif_flags(points, residues, n, radius), ("letters",)),
 ):
     register(_f)

@@ -205,6 +205,29 @@ def f31(spark, d):
     return x.select("id", X.has_motif(F.col("letters"), "CH").alias("ch"), X.has_motif(F.col("letters"), "C2").alias("cc"))
 
 
+@query(
+    "f32_feature_plan",
+    f"""WITH ex AS (SELECT DISTINCT b.* FROM {_A} b JOIN {_P} a ON a.grp % 2 = b.grp % 2 AND {_D2} <= 16.81),
+agg AS (SELECT a.id, sum((1 - sqrt({_D2}) / 6) * b.score * 10) AS bfactor, sum((1 - sqrt({_D2}) / 6) * (b.id % 5 = 0)::INT) AS his FROM {_P} a JOIN ex b ON a.grp % 2 = b.grp % 2 AND {_D2} <= 36 GROUP BY a.id),
+one AS (SELECT id, arg_min(atom, dist) AS atom FROM (SELECT a.id, b.id AS atom, [{_D2}, b.id] AS dist FROM {_P} a JOIN {_A} b ON a.grp % 2 = b.grp % 2) GROUP BY id)
+SELECT a.id, round(coalesce(bfactor, 0), 5) AS bfactor, round(coalesce(his, 0), 5) AS his, (atom % 5 = 1)::DOUBLE AS near_asp, (SELECT count(*) FROM {_A} b WHERE a.grp % 2 = b.grp % 2 AND {_D2} <= 100)::DOUBLE AS protrusion
+FROM {_P} a LEFT JOIN agg USING (id) LEFT JOIN one USING (id)""",
+    "pts",
+)
+def f32_plan(spark, d):
+    from orrery.params import Params
+    from orrery.plans import run
+
+    p = pts(spark, d).withColumn("item", (F.col("grp") % 2).cast("string"))
+    code = F.element_at(F.array(*map(F.lit, ("HIS", "ASP", "GLY", "LYS", "MET"))), (F.col("id") % 5 + 1).cast("int"))
+    atoms = p.where("not lig").select(
+        "item", "id", F.col("id").cast("int").alias("serial"), F.lit("CA").alias("name"), code.alias("res_name"), F.lit("A").alias("chain_id"), F.col("id").cast("int").alias("seq_num"), F.lit(None).cast("string").alias("ins_code"),
+        *S.XYZ, (F.col("score") * 10).alias("bfactor"), F.lit("C").alias("element"), F.lit(False).alias("is_het"),
+    )
+    out = run.vectors(run.protein(atoms), p.where("lig").select("item", "id", *S.XYZ), ["bfactor", "rtype_atomic", "rtype_sas", "protrusion"], Params())
+    return out.select("id", r6("bfactor_bfactor", 5).alias("bfactor"), r6("rtype_atomic_HIS", 5).alias("his"), F.col("rtype_sas_ASP").alias("near_asp"), F.col("protrusion_protrusion").alias("protrusion"))
+
+
 @query("f32_nearest_atom_wrapper", f"SELECT id, s AS v FROM (SELECT a.id, arg_min(b.score, {_D2}) AS s FROM {_P} a CROSS JOIN {_A} b GROUP BY a.id)", "pts")
 def f32(spark, d):
     p, a = _sides(spark, d)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from orrery.api import Predictor
 from orrery.functions import features as X
 from orrery.functions.weights import weights
 from orrery.operators import spatial as S
 from orrery.operators.aggregate import weighted_features
+from orrery.operators.transform import probability
 from orrery.params import Params
 from orrery.plans import learn
 from orrery.plans.predict import pocket_members
@@ -50,28 +53,125 @@ def surface(atoms: DataFrame, p: Params) -> DataFrame:
     return numbered(structures.surface_points(atoms, p.solvent_radius).select("item", *S.XYZ))
 
 
+def residues_of(atoms: DataFrame) -> DataFrame:
+    """(id, residue, item, chain_id, seq_num, ins_code, res_name, letter, place) of the residues of protein
+    atoms; id is the residue key, place that in the chain."""
+    one = atoms.groupBy("residue").agg(*(F.min(c).alias(c) for c in ("item", "chain_id", "seq_num", "ins_code", "res_name")), F.min("serial").alias("_s"))
+    place = F.row_number().over(Window.partitionBy("item", "chain_id").orderBy("_s", "residue"))
+    return one.select(F.col("residue").alias("id"), "residue", "item", "chain_id", "seq_num", "ins_code", "res_name", X.one_letter(F.col("res_name")).alias("letter"), place.alias("place"))
+
+
+class FeaturePlan:
+    """The frames that the enabled features are computed on, each made once and only if one of them needs it.
+
+    Features of atoms, adapted ones included, become columns of one frame of exposed atoms and reach the
+    points by one weighted join. Features at the nearest residue or atom share one search.
+    """
+
+    def __init__(self, atoms: DataFrame, points: DataFrame, enabled: list[str], p: Params, tables: dict[str, DataFrame] | None = None):
+        self.atoms, self.points, self.p, self.tables = atoms, points.select("item", "id", *S.XYZ), p, tables or {}
+        self.asked = [(n, *X.resolved(n)) for n in enabled]
+        X.header(enabled)
+        self.exposed = cut(S.shell(atoms, points, p.sas_cutoff, "item"))
+
+    def _needs(self, what: str) -> bool:
+        return any(what in f.needs for _, f, _ in self.asked)
+
+    @cached_property
+    def residues(self) -> DataFrame:
+        rows = residues_of(self.atoms)
+        return cut(self._with_ss(rows) if self._needs("ss") else rows)
+
+    @cached_property
+    def areas(self) -> DataFrame:
+        return cut(X.atom_areas(self.atoms, self.p.solvent_radius))
+
+    def _with_ss(self, rows: DataFrame) -> DataFrame:
+        if "ss" not in self.tables:
+            raise ValueError("a feature needs the table ss: residue, ss")
+        return rows.join(self.tables["ss"].select("residue", "ss"), "residue", "left").withColumn("ss", F.coalesce("ss", F.lit("C")))
+
+    def _on_atoms(self, f: X.Feature, rows: DataFrame) -> DataFrame:
+        if "asa" in f.needs:
+            rows = rows.join(self.areas, ["item", "serial"])
+        if "ss" in f.needs:
+            rows = self._with_ss(rows)
+        if "head" in f.needs:
+            rows = rows.withColumn("head", F.col("name").isin(*X.BACKBONE))
+        if "score" in f.needs:
+            known = self.tables[f.name].select("residue", "score")
+            rows = rows.join(known, "residue", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        return rows
+
+    def values(self, f: X.Feature, points: DataFrame) -> DataFrame:
+        """A feature's own values: (id, its columns), of points, exposed atoms or residues."""
+        atoms, exposed = (self._on_atoms(f, a) for a in (self.atoms, self.exposed))
+        given = {"points": points, "atoms": exposed if f.kind == "atom" else atoms, "exposed": exposed, "by": ["item", "chain_id"], "order": ["place"]}
+        if "letters" in f.needs:
+            given["residues"] = atoms.select("item", "residue", X.one_letter(F.col("res_name")).alias("letter"), *S.XYZ)
+        elif f.kind == "residue":
+            given["residues"] = self.residues
+        given["rows"] = given["residues"] if f.kind == "residue" else given["atoms"]
+        if f.name in self.tables:
+            given |= {"table": self.tables[f.name], "scores": self.tables[f.name]}
+        return f.compute(**given)
+
+    def _named(self, name: str, f: X.Feature, values: DataFrame, key: str = "id") -> DataFrame:
+        return values.select(F.col("id").alias(key), *(F.col(c).cast("double").alias(column_name(name, c)) for c in f.columns))
+
+    def atom_columns(self) -> DataFrame | None:
+        """The exposed atoms with the columns of all features asked for at atoms."""
+        wide, any_ = self.exposed.select("item", "id", "residue", *S.XYZ), False
+        for name, f, kind in self.asked:
+            if kind == "atom":
+                at = self.values(f, self.exposed.select("item", "id", *S.XYZ))
+                wide = wide.join(self._named(name, f, at, "residue" if f.kind == "residue" else "id"), "residue" if f.kind == "residue" else "id", "left")
+                any_ = True
+        return wide.drop("residue").na.fill(0.0) if any_ else None
+
+    def nearest_columns(self) -> DataFrame | None:
+        """The points with the columns of all features asked for at their nearest residue or exposed atom."""
+        wide = None
+        for base, targets, key in (("residue", self.atoms, "residue"), ("atom", self.exposed, "id")):
+            asked = [(n, f) for n, f, kind in self.asked if kind == "sas" and f.kind == base]
+            if not asked:
+                continue
+            near = S.nearest(self.points, targets.select("item", "id", *S.XYZ), self.p.neighbourhood_radius, item="item")
+            near = near.select("id", F.col("id_r").alias("_near"))
+            if key == "residue":
+                near = near.join(targets.select(F.col("id").alias("_near"), "residue"), "_near").select("id", F.col("residue").alias("_near"))
+            near = cut(near)
+            for name, f in asked:
+                near = near.join(self._named(name, f, self.values(f, self.points), "_near"), "_near", "left")
+            wide = near.drop("_near") if wide is None else wide.join(near.drop("_near"), "id")
+        return wide
+
+    def vectors(self) -> DataFrame:
+        parts = []
+        if (wide := self.atom_columns()) is not None:
+            cols = [c for c in wide.columns if c not in ("item", "id", *S.XYZ)]
+            around = weighted_features(self.points, wide, cols, self.p.neighbourhood_radius, weights()[self.p.weight_function])
+            if "chem" in (n for n, _, _ in self.asked):
+                # not a property of an atom, but how many there are
+                around = around.withColumn(column_name("chem", "atoms"), F.col("n_atoms").cast("double"))
+            parts.append(around.drop("n_atoms"))
+        if (near := self.nearest_columns()) is not None:
+            parts.append(near)
+        parts += [self._named(n, f, self.values(f, self.points)) for n, f, kind in self.asked if kind == f.kind == "sas"]
+        joined = reduce(lambda a, b: a.join(b, "id", "left"), parts, self.points)
+        names = columns([n for n, _, _ in self.asked])
+        return joined.select("item", "id", *S.XYZ, *names).na.fill(0.0, names)
+
+
 def vectors(atoms: DataFrame, points: DataFrame, enabled: list[str], p: Params, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """(item, id, x, y, z) of points with the columns of the enabled features; what a feature
     has no value for is 0.
 
-    Features of atoms reach a point as their weighted sum over the exposed atoms around it.
-    tables: a frame for each feature that looks its values up.
+    Features of atoms reach a point as their weighted sum over the exposed atoms around it; `<name>_sas` is the
+    value of the nearest residue or atom, `<name>_atomic` a feature of residues or points at the atoms.
+    tables: a frame for each feature that looks its values up, and `ss` (residue, ss) where one needs it.
     """
-    exposed = cut(S.shell(atoms, points, p.sas_cutoff, "item"))
-    weight = weights()[p.weight_function]
-    parts = []
-    for name in enabled:
-        f = X.feature(name)
-        given = {"points": points, "atoms": exposed if f.kind == "atom" else atoms, "exposed": exposed}
-        if tables and name in tables:
-            given |= {"table": tables[name], "scores": tables[name]}
-        v = f.compute(**given)
-        if f.kind == "atom":
-            around = exposed.select("item", "id", *S.XYZ).join(v, "id")
-            v = weighted_features(points, around, list(f.columns), p.neighbourhood_radius, weight)
-        parts.append(v.select("id", *(F.col(c).cast("double").alias(column_name(name, c)) for c in f.columns)))
-    joined = reduce(lambda a, b: a.join(b, "id", "left"), parts, points.select("item", "id", *S.XYZ))
-    return joined.na.fill(0.0, columns(enabled))
+    return FeaturePlan(atoms, points, enabled, p, tables).vectors()
 
 
 def labelled(points: DataFrame, ligand_atoms: DataFrame, p: Params) -> DataFrame:
@@ -83,37 +183,103 @@ def labelled(points: DataFrame, ligand_atoms: DataFrame, p: Params) -> DataFrame
     return points.join(d, "id", "left").withColumn("near", near).where("near is not null").drop("_d2")
 
 
-def train(spark: SparkSession, path: str, enabled: list[str], p: Params | None = None, tables: dict[str, DataFrame] | None = None, **kind) -> Predictor:
-    """A model of the structures at a path, whose ligands tell which points are positive."""
+def paired(atoms: DataFrame, ligand_atoms: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The atoms without structures that have a pair (item, apo), and the ligand atoms in the apo structures'
+    place: these are looked at without their ligands, and labelled by those of the structure they belong to."""
+    at = pairs.select("item", F.col("apo").alias("_apo"))
+    moved = ligand_atoms.join(at, "item", "left").withColumn("item", F.coalesce("_apo", "item")).drop("_apo")
+    return atoms.join(pairs.select("item"), "item", "left_anti"), moved
+
+
+def train(spark: SparkSession, path: str, enabled: list[str], p: Params | None = None, tables: dict[str, DataFrame] | None = None, pairs: DataFrame | None = None, **kind) -> Predictor:
+    """A model of the structures at a path, whose ligands tell which points are positive. pairs: see ``paired``."""
     p = p or Params()
     atoms = atoms_of(spark, path)
     own = protein(atoms)
     ligands = structures.hetero(atoms).join(structures.ligands(atoms, p.min_ligand_atoms).where("category = 'relevant'").select("item", "chain_id", "seq_num", "res_name"), ["item", "chain_id", "seq_num", "res_name"], "left_semi")
+    if pairs is not None:
+        own, ligands = paired(own, ligands, pairs)
     points = surface(own, p)
     data = labelled(vectors(own, points, enabled, p, tables), ligands, p)
     return Predictor.train(cut(data), columns(enabled), "near", p, **kind)
 
 
-def predict(spark: SparkSession, path: str, model: Predictor, enabled: list[str], tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Rows for ``sinks.predictions``: the ranked pockets of all structures at a path, with
-    their points, the atoms of the surface near them and the residues of these.
+@dataclass(frozen=True)
+class Transforms:
+    """Frames of one fit each: pockets (probability_fit's bins with the range of scores they span), and the same and
+    mean and deviation of the scores of binding residues."""
+
+    pockets: tuple[DataFrame, float, float, int] | None = None
+    residues: tuple[DataFrame, float, float, int] | None = None
+    residue_z: tuple[float, float] | None = None
+
+
+@dataclass(frozen=True)
+class Run:
+    """What a prediction leaves: pockets, rows for ``sinks.predictions``; residues, rows for ``sinks.residues``;
+    points with their score and that after pockets were scored."""
+
+    pockets: DataFrame
+    residues: DataFrame
+    points: DataFrame
+
+
+def _label(chain_first: bool = False):
+    number = F.concat(F.col("seq_num").cast("string"), F.coalesce("ins_code", F.lit("")))
+    return F.concat("chain_id", F.lit("_"), number) if chain_first else number
+
 
-    A file that can't be read has no row; ``structures.read_errors`` names it.
+def residue_scores(own: DataFrame, points: DataFrame, p: Params) -> DataFrame:
+    """(residue, score): over the points within reach of any of the residue's atoms, the sum of their
+    transformed scores, of the best score_point_limit if that is set; without points 0."""
+    near = S.radius_join(own.select("item", "residue", *S.XYZ), points.select("item", "id", *S.XYZ, "score"), p.sas_cutoff + p.residue_score_extra_dist, "item")
+    one = near.groupBy("residue", "id_r").agg(F.max("score_r").alias("s"))
+    if p.score_point_limit:
+        best = F.row_number().over(Window.partitionBy("residue").orderBy(F.desc("s"), "id_r"))
+        one = one.withColumn("_n", best).where(F.col("_n") <= p.score_point_limit)
+    got = one.groupBy("residue").agg(F.sum(F.pow(F.greatest("s", F.lit(0.0)), F.lit(p.point_score_pow))).alias("score"))
+    return own.select("residue").distinct().join(got, "residue", "left").select("residue", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _with_probability(df: DataFrame, fit: tuple[DataFrame, float, float, int] | None) -> DataFrame:
+    return df.withColumn("probability", F.lit(None).cast("double")) if fit is None else probability(df, "score", *fit)
+
+
+def predict_all(spark: SparkSession, path: str, model: Predictor, enabled: list[str], tables: dict[str, DataFrame] | None = None, fits: Transforms | None = None) -> Run:
+    """Pockets, residues and points of all structures at a path.
+
+    A file that can't be read has no row; ``structures.read_errors`` names it. The score of points in pockets is
+    transformed when pockets are scored, and residues add up transforms of what the points have then.
     """
-    p = model.params
-    own = protein(atoms_of(spark, path))
+    p, fits = model.params, fits or Transforms()
+    own = cut(protein(atoms_of(spark, path)))
     scored = cut(model.score(vectors(own, surface(own, p), enabled, p, tables)).select("item", "id", *S.XYZ, "score"))
-    pockets = model.pockets(scored)
-    members = pocket_members(scored, p).join(scored.select("id", *S.XYZ), "id")
-    close = S.radius_join(own.select("item", "serial", "chain_id", "seq_num", *S.XYZ), members.select("item", "component", *S.XYZ), p.pred_protein_surface_cutoff, "item")
-    residue = F.concat("chain_id", F.lit("_"), F.col("seq_num").cast("string"))
-    of = close.groupBy("item", F.col("component_r").alias("component")).agg(F.collect_set("serial").alias("surf_atom_ids"), F.collect_set(residue).alias("residue_ids"))
-    out = pockets.join(of, ["item", "component"], "left")
+    pockets = cut(model.pockets(scored))
+    members = cut(pocket_members(scored, p).join(scored.select("id", *S.XYZ), "id"))
+    close = S.radius_join(own.select("item", "serial", "residue", "chain_id", "seq_num", "ins_code", *S.XYZ), members.select("item", "component", *S.XYZ), p.pred_protein_surface_cutoff, "item")
+    close = cut(close.select("item", F.col("component_r").alias("component"), "serial", "residue", _label(True).alias("label")).distinct())
+    of = close.groupBy("item", "component").agg(F.collect_set("serial").alias("surf_atom_ids"), F.collect_set("label").alias("residue_ids"))
     none = F.array()
-    return out.select(
-        "item", "name", "rank", "score", F.lit(None).cast("double").alias("probability"), F.col("n_points").alias("sas_points"), *S.XYZ,
+    out = _with_probability(pockets, fits.pockets).join(of, ["item", "component"], "left").select(
+        "item", "name", "rank", "score", "probability", F.col("n_points").alias("sas_points"), *S.XYZ,
         F.coalesce("surf_atom_ids", none.cast("array<int>")).alias("surf_atom_ids"), F.coalesce("residue_ids", none.cast("array<string>")).alias("residue_ids"),
     )
+    inside = members.select("id").distinct().withColumn("_in", F.lit(True))
+    after = scored.join(inside, "id", "left").withColumn("score_after_pockets", F.when(F.col("_in"), F.pow(F.greatest("score", F.lit(0.0)), F.lit(p.point_score_pow))).otherwise(F.col("score"))).drop("_in")
+    scores = residue_scores(own, after.select("item", "id", *S.XYZ, F.col("score_after_pockets").alias("score")), p)
+    best = close.join(pockets.select("item", "component", "rank"), ["item", "component"]).groupBy("residue").agg(F.min("rank").alias("pocket"))
+    rows = residues_of(own).join(scores, "residue").join(best, "residue", "left")
+    mean, sd = fits.residue_z or (None, None)
+    z = F.lit(None).cast("double") if mean is None else (F.col("score") - mean) / sd
+    rows = _with_probability(rows.withColumn("zscore", z), fits.residues)
+    residues = rows.select("item", F.col("chain_id").alias("chain"), _label().alias("residue_label"), F.col("res_name").alias("residue_name"), "score", "zscore", "probability", F.coalesce("pocket", F.lit(0)).alias("pocket"), "place")
+    return Run(out, residues, after)
+
+
+def predict(spark: SparkSession, path: str, model: Predictor, enabled: list[str], tables: dict[str, DataFrame] | None = None, fits: Transforms | None = None) -> DataFrame:
+    """Rows for ``sinks.predictions``: the ranked pockets of all structures at a path, with
+    their points, the atoms of the surface near them and the residues of these."""
+    return predict_all(spark, path, model, enabled, tables, fits).pockets
 
 
 def ablations(data: DataFrame, enabled: list[str], mode: str, label: str, id_col: str = "id", k: int = 5, seed: int = 42, **kind) -> DataFrame:

@@ -293,6 +293,85 @@ def test_from_files_to_pockets(spark, tmp_path):
         assert first.sas_points > 3 and first.surf_atom_ids and all(s <= 38 for s in first.surf_atom_ids) and first.residue_ids
     assert sinks.predictions(run.predict(spark, str(tmp_path / "two.pdb"), model, enabled)).first().name.startswith("pocket")
 
+    # residues and probabilities
+    from orrery.operators.transform import probability_fit
+
+    bins = probability_fit(spark.createDataFrame([(True, 9.0), (False, 1.0), (True, 5.0), (False, 3.0)], "obs boolean, s double"), "obs", "s", 0.0, 10.0, 5)
+    whole = run.predict_all(spark, str(tmp_path / "two.pdb"), model, enabled, fits=run.Transforms(pockets=(bins, 0.0, 10.0, 5), residues=(bins, 0.0, 10.0, 5), residue_z=(1.0, 2.0)))
+    residues = {r.residue_label: r for r in whole.residues.collect()}
+    assert set(residues) == {str(n) for n in range(1, 39)} and all(r.zscore == (r.score - 1) / 2 and 0 <= r.probability <= 1 for r in residues.values())
+    pockets = whole.pockets.collect()
+    named = {r[2:]: min(k["rank"] for k in pockets if r in k.residue_ids) for k in pockets for r in k.residue_ids}
+    assert {n: r.pocket for n, r in residues.items()} == {n: named.get(n, 0) for n in residues}
+    points = whole.points.collect()
+    inside = [q for q in points if q.score_after_pockets != q.score]
+    assert inside and all(abs(q.score_after_pockets - q.score**2) < 1e-12 for q in inside)
+    atoms = {a.seq_num: (a.x, a.y, a.z) for a in run.atoms_of(spark, str(tmp_path / "two.pdb")).collect()}
+    reach = p.sas_cutoff + p.residue_score_extra_dist
+    for n in (1, 17, 38):
+        want = sum(q.score_after_pockets**2 for q in points if sum((a - b) ** 2 for a, b in zip(atoms[n], (q.x, q.y, q.z), strict=True)) <= reach * reach)
+        assert abs(residues[str(n)].score - want) < 1e-9
+    assert sinks.residues(whole.residues).count() == 38
+
+
+def test_features_at_points_and_atoms(spark):
+    """Every adapter against a loop over all atoms."""
+    from orrery.params import Params
+    from orrery.plans import run
+
+    r = random.Random(12)
+    codes = ["HIS", "ASP", "GLY", "MSE", "LYS"]
+    rows = []
+    for item in ("a", "b"):
+        for n in range(40):
+            rows.append((item, n + 1, "CA" if n % 2 else "ND1", codes[n // 4 % 5], "A", n // 4, None, *(round(r.uniform(0, 14), 2) for _ in "xyz"), float(n % 7), "N" if n % 2 == 0 else "C", False))
+    kind = "item string, serial int, name string, res_name string, chain_id string, seq_num int, ins_code string, x double, y double, z double, bfactor double, element string, is_het boolean"
+    atoms = run.protein(run.numbered(spark.createDataFrame(rows, kind).repartition(4)))
+    pts = run.numbered(spark.createDataFrame([(i, *(r.uniform(0, 14) for _ in "xyz")) for i in "ab" for _ in range(12)], "item string, x double, y double, z double"))
+    p = Params()
+    table = spark.createDataFrame([(c, *[float(k)] * 18) for k, c in enumerate(codes, 1)], "key string, " + ", ".join(f"{c} double" for c in X.CHEM_RESIDUE))
+    ss = spark.createDataFrame([(x.residue, "HEG"[x.seq_num % 3]) for x in atoms.select("residue", "seq_num").distinct().collect()], "residue string, ss string")
+    scores = spark.createDataFrame([(x.residue, x.seq_num / 8) for x in atoms.select("residue", "seq_num").distinct().collect()], "residue string, score double")
+    enabled = ["protrusion", "protrusion_atomic", "bfactor", "bfactor_sas", "rtype_sas", "rtype_atomic", "chem", "sss_sas", "conserv_atomic", "ss_cloud", "asa", "stmotif", "contactres_sas"]
+    out = run.vectors(atoms, pts, enabled, p, {"chem": table, "ss": ss, "conserv": scores})
+    assert out.columns[5:] == run.columns(enabled)
+    got = {x.id: x for x in out.collect()}
+    at = [x for x in atoms.collect()]
+    dist = lambda u, v: ((u.x - v.x) ** 2 + (u.y - v.y) ** 2 + (u.z - v.z) ** 2) ** 0.5
+    points = pts.collect()
+    assert len(got) == len(points)
+    exposed = [a for a in at if any(q.item == a.item and dist(a, q) <= p.sas_cutoff for q in points)]
+    code = lambda a: {"MSE": "MET"}.get(a.res_name, a.res_name)
+    w = run.weights()[p.weight_function]
+    value = {round(d, 9): v for d, v in ((x.d, x.w) for x in spark.createDataFrame([(round(dist(q, a), 9),) for q in points for a in exposed if a.item == q.item], "d double").distinct().withColumn("w", w(F.col("d"))).collect())}
+    for q in points:
+        mine = got[q.id]
+        near = [a for a in exposed if a.item == q.item and dist(a, q) <= p.neighbourhood_radius]
+        total = lambda f: sum(value[round(dist(q, a), 9)] * f(a) for a in near)  # noqa: B023, E731
+        assert mine.bfactor_bfactor == pytest.approx(total(lambda a: a.bfactor)) and mine.rtype_atomic_HIS == pytest.approx(total(lambda a: code(a) == "HIS"))
+        assert mine.conserv_atomic_conserv == pytest.approx(total(lambda a: a.seq_num / 8))
+        assert mine.protrusion_atomic_protrusion == pytest.approx(total(lambda a: sum(b.item == a.item and dist(a, b) <= 10 for b in at)))
+        assert mine.protrusion_protrusion == sum(a.item == q.item and dist(a, q) <= 10 for a in at)
+        assert mine.chem_atoms == len(near) and mine.chem_polar == pytest.approx(total(lambda a: codes.index(a.res_name) + 1))
+        one = min((a for a in at if a.item == q.item), key=lambda a: (dist(a, q), a.id))
+        assert mine[f"rtype_sas_{code(one)}"] == 1.0 and mine.sss_sas_H == float("HEG"[one.seq_num % 3] in "HG")
+        if exposed and any(a.item == q.item for a in exposed):
+            assert mine.bfactor_sas_bfactor == min((a for a in exposed if a.item == q.item), key=lambda a: (dist(a, q), a.id)).bfactor
+    for bad in ("rtype", "xyz_sas", "bfactor_atomic", "nothing", "nothing_sas"):
+        with pytest.raises(ValueError):
+            run.vectors(atoms, pts, [bad], p)
+    with pytest.raises(ValueError):
+        run.vectors(atoms, pts, ["ss_cloud"], p)
+
+
+def test_structures_looked_at_without_their_ligands(spark):
+    from orrery.plans import run
+
+    atoms = spark.createDataFrame([("h", 1), ("x", 2), ("p", 3)], "item string, id long")
+    ligands = spark.createDataFrame([("h", 7), ("x", 8)], "item string, serial int")
+    own, moved = run.paired(atoms, ligands, spark.createDataFrame([("h", "p")], "item string, apo string"))
+    assert {r.item for r in own.collect()} == {"x", "p"} and {(r.item, r.serial) for r in moved.collect()} == {("p", 7), ("x", 8)}
+
 
 def test_ablation_runs(spark):
     from orrery.plans import run
