@@ -108,6 +108,15 @@ def filtered(columns: list[str], filters: list[str]) -> list[str]:
     return [c for c in columns if on[c]]
 
 
+def is_filtered(name: Column, filters: list[str]) -> Column:
+    """Whether a column of names is chosen, as ``filtered`` tells."""
+    on = F.lit(not filters or filters[0].startswith("-"))
+    for f in filters:
+        enable, f = not f.startswith("-"), f.removeprefix("-")
+        on = F.when(name.startswith(f[:-1]) if f.endswith("*") else name == f, F.lit(enable)).otherwise(on)
+    return on
+
+
 def corrected_code(code: Column) -> Column:
     pairs = [F.lit(v) for kv in CORRECTED.items() for v in kv]
     return F.coalesce(F.element_at(F.create_map(*pairs), code), code)

@@ -6,7 +6,7 @@ import itertools
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators.aggregate import auc
@@ -28,6 +28,14 @@ def values(spec) -> list:
     return [spec]
 
 
+def range_values(spec: Column) -> Column:
+    """The values of a column of `[min:max:step]`, ends included, as an array; anything else gives null."""
+    pattern = r"^\s*\[([^:\]]+):([^:\]]+):([^:\]]+)\]\s*$"
+    low, high, step = (F.regexp_extract(spec, pattern, k).try_cast("double") for k in (1, 2, 3))
+    n = F.floor((high - low) / step + 1e-9).cast("int")
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda k: low + k * step)).when(n < 0, F.array().cast("array<double>"))
+
+
 def grid(spark: SparkSession, params: dict) -> DataFrame:
     """Cross product of parameter values, the first parameter outermost."""
     rows = list(itertools.product(*(values(v) for v in params.values())))

@@ -145,9 +145,11 @@ def j17(spark, d):
     return E.label_agreement(n.select("doc_id", "quality"), n.select("doc_id", "toxic"), ["doc_id"], "quality", "toxic")
 
 
-@query("j19_parameter_grid", "SELECT a.range AS a, b.range * 2 AS b, c.range AS c FROM range(3) a, range(4) b, range(2) c")
+@query("j19_parameter_grid", "SELECT DISTINCT a.l_returnflag AS a, b.range * 2 AS b, c.o_orderpriority AS c FROM (SELECT DISTINCT l_returnflag FROM lineitem) a, range(4) b, (SELECT DISTINCT o_orderpriority FROM orders) c")
 def j19(spark, d):
-    return learn.grid(spark, {"a": [0, 1, 2], "b": "[0:6:2]", "c": [0, 1]})
+    # a handful of values each
+    of = lambda t, c: sorted(r[0] for r in table(spark, d, t).select(c).distinct().collect())
+    return learn.grid(spark, {"a": of("lineitem", "l_returnflag"), "b": "[0:6:2]", "c": of("orders", "o_orderpriority")})
 
 
 _ROWS = """s AS (
@@ -204,7 +206,7 @@ def s23(spark, d):
 def s26(spark, d):
     labels = sinks.sequences(pts(spark, d).withColumn("c", F.when(F.col("lig"), "1").otherwise("0")), ["grp"], ["id"], "c")
     three = F.array(F.concat(F.lit(">"), "grp"), F.repeat(F.lit("G"), F.length("seq")), F.col("seq"))
-    lines = labels.select(F.lit("labels").alias("item"), "grp", F.posexplode(three).alias("k", "value")).withColumn("line_no", F.col("grp") * 3 + F.col("k"))
+    lines = labels.select(F.concat(F.lit("labels"), "grp").alias("item"), "grp", F.posexplode(three).alias("k", "value")).withColumn("line_no", F.col("grp") * 3 + F.col("k"))
     x = tables.sprint_labels(lines)
     return x.select(F.col("code").cast("long").alias("grp"), F.col("pos").cast("long").alias("pos"), F.col("label").cast("long").alias("label"))
 
@@ -251,6 +253,8 @@ def y13_stacked(spark, d):
     return learn.demo_stacked(pts(spark, d))
 
 
-@query("y17_value_ranges", "SELECT CAST(range * 2 AS DOUBLE) AS v FROM range(6)")
+@query("y17_value_ranges", "SELECT s_suppkey, 0.5 * (s_suppkey % 3) + v * 0.25 AS v FROM (SELECT s_suppkey, unnest(range(s_suppkey % 13 * 4 - s_suppkey % 3 * 2 + 1)) AS v FROM supplier WHERE s_suppkey % 13 * 4 >= s_suppkey % 3 * 2)")
 def y17(spark, d):
-    return spark.createDataFrame([(float(v),) for v in learn.values("[0:10:2]")], "v double")
+    k = F.col("s_suppkey")
+    spec = F.format_string("[%.1f:%d:0.25]", 0.5 * (k % 3), k % 13)
+    return table(spark, d, "supplier").select("s_suppkey", F.explode(learn.range_values(spec)).alias("v"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from orrery.functions import features as X
 from orrery.operators import aggregate as A
 from orrery.operators import transform as R
+from orrery.operators import windows as W
 from orrery.plans.registry import pred, pts, query, r6
 from orrery.session import checkpoint_dir, table
 from orrery.sources import datasets, pockets, reports, sinks, structures, tables
@@ -65,9 +66,9 @@ def s1_read(spark, d):
     return got.items.select("protein", "item", F.array_join("chains", "|").alias("chains"), F.lit(got.params["METHOD"]).alias("method"))
 
 
-@query("s3_single_file", "SELECT 'a/b/1abc.pdb.gz' AS protein, '1abc.pdb.gz' AS item")
+@query("s3_single_file", "SELECT url AS protein, regexp_extract(url, '([^/]*)$', 1) AS item FROM pages")
 def s3(spark, d):
-    return datasets.single(spark, "a/b/1abc.pdb.gz").items.select("protein", "item")
+    return datasets.of_paths(table(spark, d, "pages").select(F.col("url").alias("protein"))).select("protein", "item")
 
 
 @query("s4_read_joined", "SELECT replace(c_name, '#', '-') AS item, NULL::VARCHAR AS chain FROM customer UNION ALL SELECT replace(s_name, '#', '-'), 'C' FROM supplier")
@@ -266,15 +267,22 @@ def s24(spark, d):
     return tables.aa_index(spark, _file(spark, s.select(text.alias("value")), lineSep="\n//\n")).select("id", "description", "letter", "value")
 
 
-@query("s25_cube", "SELECT i.range AS ix, j.range AS iy, k.range AS iz, 1.5 + i.range * 0.5 AS x, -2.0 + j.range * 0.5 AS y, 0.0 + k.range * 0.5 AS z, (i.range * 30 + j.range * 6 + k.range) / 8.0 AS value FROM range(4) i, range(5) j, range(6) k")
+@query(
+    "s25_cube",
+    """WITH n AS (SELECT count(*) // 20 AS nz FROM pts), v AS (SELECT row_number() OVER (ORDER BY id) - 1 AS p, round(score, 2) AS value FROM pts)
+SELECT p // (5 * nz) AS ix, p // nz % 5 AS iy, p % nz AS iz, 1.5 + p // (5 * nz) * 0.5 AS x, -2.0 + p // nz % 5 * 0.5 AS y, p % nz * 0.5 AS z, value FROM v, n WHERE p < 20 * nz""",
+    "pts",
+)
 def s25(spark, d):
-    head = ["title", "comment", "0 1.5 -2.0 0.0", "4 0.5 0 0", "5 0 0.5 0", "6 0 0 0.5", "0"]
-    values = [f"{n / 8.0}" for n in range(120)]
-    body = [" ".join(values[n : n + 6]) for n in range(0, 120, 6)]
-    path = _file(spark, spark.createDataFrame([("\n".join([*head, *body]),)], "value string"))
+    # the points' scores as a grid of four by five by as many as there are
+    p = pts(spark, d)
+    nz = p.count() // 20
+    head = ["title", "comment", "0 1.5 -2.0 0.0", "4 0.5 0 0", "5 0 0.5 0", f"{nz} 0 0 0.5", "0"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "score"))), lambda s: F.format_string("%.2f", s["score"])), " ")
+    path = _file(spark, p.agg(F.concat(F.lit("\n".join(head) + "\n"), text).alias("value")))
     # the folder's one text file
     x = tables.cube(spark, path)
-    return x.select(*(F.col(f"i{c}").cast("long").alias(f"i{c}") for c in "xyz"), *"xyz", F.col("value").cast("double").alias("value"))
+    return x.select(*(F.col(f"i{c}").cast("long").alias(f"i{c}") for c in "xyz"), *"xyz", r6(F.col("value").cast("double"), 2).alias("value"))
 
 
 @query("s27_residue_scores", "SELECT 's' || grp AS item, 'A' AS chain_id, CAST(id AS INT) AS seq_num, CASE WHEN id % 5 = 0 THEN 0.0 ELSE round(score, 2) END AS score, id % 5 <> 0 AND round(score, 2) >= 0.5 AS label FROM pts", "pts")
@@ -368,11 +376,10 @@ def f13(spark, d):
     return X.feature("pair_hist").compute(points=p.where("lig"), exposed=p, radius=5.0, smooth=False)
 
 
-@query("p14_feature_filter", "SELECT unnest(['chem.atomC', 'bfactor.bfactor', 'xyz.y']) AS name")
+@query("p14_feature_filter", "SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' OR (p_brand LIKE 'Brand#2%' AND p_brand <> 'Brand#21') OR (p_brand LIKE 'Brand#5%' AND p_brand NOT IN ('Brand#51', 'Brand#53'))")
 def p14(spark, d):
-    header = X.header(["chem", "bfactor", "xyz"])
-    kept = X.filtered(header, ["chem.*", "-chem.*", "chem.atomC", "bfactor*", "xyz.*", "-xyz.x", "-xyz.z"])
-    return spark.createDataFrame([(c,) for c in kept], "name string")
+    kept = X.is_filtered(F.col("p_brand"), ["Brand#1*", "-Brand#1*", "Brand#13", "Brand#2*", "-Brand#21", "Brand#5*", "-Brand#51", "-Brand#53"])
+    return table(spark, d, "part").where(kept).select("p_partkey")
 
 
 @query(
@@ -423,9 +430,15 @@ def k14(spark, d):
 _RGB = "printf('%02x', CAST(floor((v - v * 0.6 * greatest(0, least(({0} + h * 6) % 6, 4 - ({0} + h * 6) % 6, 1))) * 255 + 0.5) AS INT))"
 
 
-@query("x8_spectrum", f"SELECT '#' || {' || '.join(_RGB.format(n) for n in (5, 3, 1))} AS colour FROM (SELECT (0.6::DOUBLE + 0.6::DOUBLE * range / 6) % 1 AS h, CASE WHEN range % 2 = 0 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS v FROM range(6))")
+@query(
+    "x8_spectrum",
+    f"SELECT id, '#' || {' || '.join(_RGB.format(n) for n in (5, 3, 1))} AS colour FROM (SELECT id, (0.6::DOUBLE + 0.6::DOUBLE * i / n) % 1 AS h, CASE WHEN i % 2 = 0 THEN 0.9::DOUBLE ELSE 0.7::DOUBLE END AS v FROM (SELECT id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM pts WINDOW w AS (PARTITION BY grp ORDER BY id)))",
+    "pts",
+)
 def x8(spark, d):
-    return spark.createDataFrame([(c,) for c in reports.spectrum(6)], "colour string")
+    ranked = W.ordered(pts(spark, d), ["grp"], ["id"])
+    size = ranked.groupBy("grp").agg(F.count("*").alias("size"))
+    return ranked.join(size, "grp").select("id", reports.spectrum_colour(F.col("n") - 1, F.col("size")).alias("colour"))
 
 
 @query("k6_histogram_lines", "SELECT r.range / 10.0::DOUBLE AS \"from\", count(s) AS n FROM range(10) r LEFT JOIN pred ON r.range = CASE WHEN s <= 0 THEN 0 WHEN s >= 1 THEN 9 ELSE least(floor(s / 0.1::DOUBLE), 9) END GROUP BY 1", "pred")

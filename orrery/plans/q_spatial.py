@@ -202,12 +202,14 @@ def p17_random(spark, d):
 
 @query(
     "p18_lattice",
-    """SELECT i.range AS ix, j.range AS iy, k.range AS iz, CAST(-1.0 + i.range * 1.5 AS DOUBLE) AS x, CAST(0.0 + j.range * 1.5 AS DOUBLE) AS y, CAST(0.5 + k.range * 1.5 AS DOUBLE) AS z
-FROM range(7) i, range(5) j, range(3) k""",
+    f"""WITH box AS (SELECT {", ".join(f"min({c}) AS lo_{c}, max({c}) - min({c}) AS w_{c}" for c in "xyz")} FROM pts),
+i AS (SELECT *, unnest(range(CAST(floor(w_x / 1.5) AS BIGINT) + 1)) AS ix FROM box), j AS (SELECT *, unnest(range(CAST(floor(w_y / 1.5) AS BIGINT) + 1)) AS iy FROM i), k AS (SELECT *, unnest(range(CAST(floor(w_z / 1.5) AS BIGINT) + 1)) AS iz FROM j)
+SELECT ix, iy, iz, {", ".join(f"round(lo_{c} + (w_{c} - 1.5 * round_even(w_{c} / 1.5, 0)) + i{c} * 1.5, 6) AS {c}" for c in "xyz")} FROM k""",
+    "pts",
 )
 def p18(spark, d):
-    # widths 10, 6 and 4: remainders -0.5 (from -0.5), 0 and -0.5 (from 1)
-    out = S.lattice(spark, (-0.5, 0.0, 1.0), (9.5, 6.0, 5.0), 1.5)
+    box = S.bounds(pts(spark, d)).first()
+    out = S.lattice(spark, tuple(box[f"min_{c}"] for c in S.XYZ), tuple(box[f"max_{c}"] for c in S.XYZ), 1.5)
     return out.select("ix", "iy", "iz", *(r6(c).alias(c) for c in S.XYZ))
 
 

@@ -61,8 +61,12 @@ def read_dataset(spark: SparkSession, path: str) -> Dataset:
 
 def single(spark: SparkSession, path: str) -> Dataset:
     """A dataset of one structure file."""
-    items = spark.createDataFrame([(0, path, posixpath.basename(path))], "line_no long, protein string, item string")
-    return Dataset(posixpath.basename(path), items, ["protein"])
+    return Dataset(posixpath.basename(path), of_paths(spark.createDataFrame([(0, path)], "line_no long, protein string")), ["protein"])
+
+
+def of_paths(paths: DataFrame) -> DataFrame:
+    """Items of structure files by their paths (protein): an item is named by the last part of its path."""
+    return paths.withColumn("item", F.substring_index("protein", "/", -1))
 
 
 def joined(spark: SparkSession, paths: str) -> Dataset:

@@ -185,6 +185,18 @@ def write_structures(atoms: DataFrame, path: str, form: str = "pdb", compressed:
     whole.write.mode("overwrite").partitionBy("item").option("compression", "gzip" if compressed else "none").text(path)
 
 
+def spectrum_colour(i: Column, n: Column, saturation: float = 0.6, low: float = 0.6, high: float = 1.2) -> Column:
+    """The colour number i of n, as ``spectrum`` has them."""
+    h, v = (F.lit(low) + F.lit(high - low) * i / n) % 1.0, F.when(i % 2 == 0, 0.9).otherwise(0.7)
+
+    def part(k: int) -> Column:
+        at = (F.lit(float(k)) + h * 6) % 6
+        x = v - v * saturation * F.greatest(F.lit(0.0), F.least(at, 4 - at, F.lit(1.0)))
+        return F.lower(F.lpad(F.hex(F.floor(x * 255 + 0.5).cast("long")), 2, "0"))
+
+    return F.concat(F.lit("#"), *map(part, (5, 3, 1)))
+
+
 def spectrum(n: int, saturation: float = 0.6, low: float = 0.6, high: float = 1.2) -> list[str]:
     """n colours as `#rrggbb`: hues evenly from low to high, light and dark in turn."""
     out = []
