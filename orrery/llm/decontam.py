@@ -5,7 +5,7 @@
    whole corpus. Copies of a passage share their surroundings, so being copied does not
    make an n-gram common.
 2. An item's seeds are its n-grams of small spread, and in any case the rarer half of
-   them. A second scan joins texts to items by seeds; where two or more seeds of an item
+   them. An item of fewer words than an n-gram is one seed with all its words, if that is rare. A second scan joins texts to items by seeds; where two or more seeds of an item
    lie close together, the item is aligned with that part of the text, word by word.
    Passages are never shuffled: both scans hold the item side, which is read in slices
    of a fixed size, however large the benchmark is.
@@ -106,14 +106,22 @@ class Items:
         row = np.concatenate([r for _, r in parts]) if parts else np.zeros(0, np.int64)
         cut = np.searchsorted(row, np.arange(len(ids) + 1))
         self.words = [h[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        g, at = grams(h, row, size)
-        pair = np.unique(np.stack([g, row[at].astype(np.uint64)], axis=1), axis=0) if len(g) else np.zeros((0, 2), np.uint64)
+        number = np.diff(cut)
+        #: The sizes of seeds: items with fewer words have one of their own.
+        self.sizes = sorted({min(int(n), size) for n in number if n})
+        self.short = number < size
+        pairs = [np.zeros((0, 2), np.uint64)]
+        for s in self.sizes:
+            g, at = grams(h, row, s)
+            mine = (number[row[at]] == s) | (s == size)
+            pairs.append(np.stack([g[mine], row[at[mine]].astype(np.uint64)], axis=1))
+        pair = np.unique(np.concatenate(pairs), axis=0)
         self.gram, self.item = pair[:, 0].copy(), pair[:, 1].astype(np.int64)
         self.keys = np.unique(self.gram)
 
     def seeds(self, grams_seen: np.ndarray, spread: np.ndarray, most: int) -> "Items":
-        """Keep the rare n-grams and the rarer half of each item's; spread tells in how many
-        surroundings each of ``grams_seen`` stands."""
+        """Keep the rare n-grams and the rarer half of each item's, but for items that are one n-gram; spread
+        tells in how many surroundings each of ``grams_seen`` stands."""
         s = np.zeros(len(self.gram), np.int64)
         if len(grams_seen):
             order = np.argsort(grams_seen)
@@ -124,19 +132,19 @@ class Items:
         first = np.searchsorted(self.item[order], np.arange(len(self.ids)))
         rank[order] = np.arange(len(s)) - first[self.item[order]]
         number = np.bincount(self.item, minlength=len(self.ids))
-        keep = (s <= most) | (2 * rank < number[self.item])
+        keep = (s <= most) | ((2 * rank < number[self.item]) & ~self.short[self.item])
         self.gram, self.item = self.gram[keep], self.item[keep]
         self.keys = np.unique(self.gram)
         return self
 
 
-def _surroundings(items, size: int):
+def _surroundings(items):
     @T.lean
     def run(batches):
         keys = items.value.keys
         for batch in batches:
             found = [np.zeros((0, 2), np.uint64)]
-            for _, _, h, row, _, _ in tokens(batch.column(0)):
+            for _, _, h, row, _, _, size in ((*x, s) for x in tokens(batch.column(0)) for s in items.value.sizes):
                 g, at = grams(h, row, size)
                 if len(g) == 0 or len(keys) == 0:
                     continue
@@ -172,7 +180,8 @@ class Aligner:
         it, p, gram, item, number = self.it, self.p, self.gram, self.item, self.number
         base = T.utf8(column)[1]
         for i, _, h, row, start, end in tokens(column):
-            g, at = grams(h, row, p.size)
+            parts = [grams(h, row, s) for s in it.sizes]
+            g, at = (np.concatenate([x[n] for x in parts]) if parts else np.zeros(0, np.uint64) for n in (0, 1))
             if len(g) == 0 or len(gram) == 0:
                 continue
             lo, hi = np.searchsorted(gram, g, "left"), np.searchsorted(gram, g, "right")
@@ -242,7 +251,7 @@ def _seeded(texts: DataFrame, benchmark: DataFrame, p: Decontamination, item_col
     for n in range(slices):
         rows = side.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == n).orderBy("item_id", "text").collect()
         items = Items([r[0] for r in rows], [r[1] for r in rows], p.size)
-        around = texts.mapInArrow(_surroundings(spark.sparkContext.broadcast(items), p.size), "g long, around long")
+        around = texts.mapInArrow(_surroundings(spark.sparkContext.broadcast(items)), "g long, around long")
         # one row per n-gram of the slice
         with T.small_batches(spark):
             spread = around.distinct().groupBy("g").agg(F.count("*").alias("n")).toPandas()
@@ -254,7 +263,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: Decontamination | Non
     of the best alignment, its byte range in the text, the item's words and seeds found.
 
     Similarity is the alignment score over that of a full copy. Null or empty texts on
-    either side match nothing, as do items of fewer words than a seed. Repeated rows are
+    either side match nothing. Items of fewer words than a seed are found where all their words
+    stand, unless these are as common in the corpus as no seed may be. Repeated rows are
     found as often as they occur but reported once per doc_id; a null doc_id is kept. Items
     with a null item_id count too: each different text of theirs is an item, reported with
     a null item_id.

@@ -214,13 +214,19 @@ def _article_at(path: tuple[str, ...]) -> int:
     return next((k for k, label in enumerate(path, 1) if _ARTICLE.match(label)), 0)
 
 
+def _by_bytes(batch: pa.RecordBatch, html: int):
+    """The rows of a batch as tuples, of which no more are held at once than their pages' bytes allow."""
+    for i, j in T.pieces(T.utf8(batch.column(html))[1]):
+        yield from zip(*(c.to_pylist() for c in batch.slice(i, j - i).columns), strict=True)
+
+
 @T.lean
 def _tokens(batches):
     """Per host, token and article: pages, occurrences, vector hash and characters inside, combined within a batch."""
     for batch in batches:
         rows: dict[tuple[str, int, int, int], list[int]] = {}
         known: dict[tuple[str, ...], int] = {}
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for host, page in _by_bytes(batch, 1):
             blocks, paths = parse(page or "")
             mark = _hash(page or "")
             inside, everything = Counter(), Counter()
@@ -323,8 +329,11 @@ def extract(pages: DataFrame, p: Extraction | None = None, id_col: str = "page_i
         for batch in batches:
             if len(seen) > 100_000:
                 seen.clear()
-            given = (batch.column(c).to_pylist() for c in ("html", "slot", "fixed", "trusted"))
-            texts = [main_text(h or "", s, frozenset(x or ()), seen, t is not False) for h, s, x, t in zip(*given, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            off = T.utf8(batch.column("html"))[1]
+            for i, j in T.pieces(off):
+                part = batch.slice(i, j - i)
+                given = (part.column(c).to_pylist() for c in ("html", "slot", "fixed", "trusted"))
+                texts = [main_text(h or "", s, frozenset(x or ()), seen, t is not False) for h, s, x, t in zip(*given, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return src.join(known, "host", "left").select("page_id", "url", "html", "slot", "fixed", "trusted").mapInArrow(run, "page_id long, url string, text string, n_chars long")

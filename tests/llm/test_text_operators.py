@@ -301,6 +301,25 @@ def test_items_without_an_id(spark):
     assert [r.doc_id for r in decontam.without_contaminated(docs, bench).collect()] == [3]
 
 
+def test_items_of_few_words(spark):
+    """An item shorter than a seed is found where all of it stands, unless it is as common as no seed may be."""
+    rows = [(d, prose(d, 60)) for d in range(40)]
+    rows += [(100, prose(200, 30) + " Xylograph, quokka! " + prose(201, 20)), (101, "quokka xylograph"), (102, prose(202, 9) + " zymurgy"), (103, "xylograph alone"), (104, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, "xylograph quokka"), (2, "zymurgy"), (3, "the"), (4, "river"), (5, "!!"), (6, prose(300, 20))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.item_words) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(100, 1): (1.0, 2), (102, 2): (1.0, 1)}
+    assert {r.doc_id for r in decontam.without_contaminated(docs, bench).collect()} == {d for d, _ in rows} - {100, 102}
+
+
+def test_passage_at_the_end_of_a_very_long_text(spark):
+    item = prose(400, 25)
+    rows = [(1, prose(401, 150_000) + " " + item), (2, prose(402, 150_000)), (3, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    r = decontam.contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.similarity) for x in r] == [(1, 1.0)] and r[0].doc_start > 1_000_000
+
+
 # URL filter --------------------------------------------------------------------------
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"))
@@ -512,6 +531,15 @@ def test_html_edge_cases(spark):
     assert htmlextract.extract(pages.where("page_id < 0")).count() == 0
 
 
+def test_very_long_pages(spark):
+    """Many pages of a million characters in one batch, and one whose article is that long."""
+    filler = "<script>" + "x = 1;" * 170_000 + "</script>"
+    rows = [(n, "http://long/", f"<html><body><nav>menu</nav>{filler}<article><p>text {n}</p></article></body></html>") for n in range(12)]
+    rows.append((99, "http://long/", "<article><p>" + prose(1, 150_000) + "</p></article>"))
+    got = {r.page_id: (r.text, r.n_chars) for r in htmlextract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got == {n: (f"text {n}", len(f"text {n}")) for n in range(12)} | {99: (prose(1, 150_000), len(prose(1, 150_000)))}
+
+
 # sharding ----------------------------------------------------------------------------
 
 
