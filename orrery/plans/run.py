@@ -13,12 +13,15 @@ from orrery.api import Predictor
 from orrery.functions import features as X
 from orrery.functions.weights import weights
 from orrery.operators import spatial as S
-from orrery.operators.aggregate import weighted_features
+from orrery.operators.aggregate import pocket_scores, weighted_features
+from orrery.operators.evaluate import rescored
 from orrery.operators.transform import probability
+from orrery.operators.windows import ranked
 from orrery.params import Params
 from orrery.plans import learn
 from orrery.plans.predict import pocket_members
 from orrery.session import cut
+from orrery.sources import pockets as pocket_files
 from orrery.sources import structures
 
 
@@ -282,6 +285,43 @@ def predict(spark: SparkSession, path: str, model: Predictor, enabled: list[str]
     return predict_all(spark, path, model, enabled, tables, fits).pockets
 
 
+def rescored_pockets(scored: DataFrame, members: DataFrame, pockets: DataFrame, p: Params) -> DataFrame:
+    """Pockets with a new score, the sum of their points' transformed scores, and in its order: item, name, score,
+    raw_score (mean of the points' scores), sas_points, old_rank, rank, change and bar. Without points the score is 0.
+
+    scored: item, id, score. members: item, rank, id. pockets: item, name, rank.
+    """
+    on = ["item", "rank"]
+    sums = pocket_scores(members.join(scored.select("item", "id", "score"), ["item", "id"]), on, power=p.point_score_pow)
+    new = pockets.select("item", "name", "rank").join(sums, on, "left").select("item", "name", F.col("rank").alias("old_rank"), F.coalesce("pocket_score", F.lit(0.0)).alias("score"), F.col("mean_score").alias("raw_score"), F.coalesce("n", F.lit(0)).alias("sas_points"))
+    return rescored(ranked(new, ["item"], "score", "old_rank"))
+
+
+def rescore(spark: SparkSession, path: str, model: Predictor, enabled: list[str], pockets: DataFrame, pocket_atoms: DataFrame, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The pockets that another method has found in the structures at a path, in the order of a model.
+
+    pockets: item, name, rank. pocket_atoms: item, rank, serial, the atoms that line a pocket. Its points are those of the
+    surface within reach of these; only points of some pocket are looked at.
+    """
+    p = model.params
+    own = cut(protein(atoms_of(spark, path)))
+    points = surface(own, p)
+    lining = pocket_atoms.join(own.select("item", "serial", *S.XYZ), ["item", "serial"])
+    near = S.radius_join(points.select("item", "id", *S.XYZ), lining.select("item", "rank", *S.XYZ), p.sas_cutoff, "item")
+    members = cut(near.select("item", F.col("rank_r").alias("rank"), "id").distinct())
+    used = cut(points.join(members.select("id").distinct(), "id", "left_semi"))
+    return rescored_pockets(model.score(vectors(own, used, enabled, p, tables)), members, pockets, p)
+
+
+def rescore_fpocket(spark: SparkSession, path: str, results: str, model: Predictor, enabled: list[str], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``rescore`` of results in folders `<structure>_out` below ``results``."""
+    atoms = atoms_of(spark, path)
+    vertices = pocket_files.fpocket_vertices(structures.read_structures(spark, f"{results}/*_out/*_out.*"))
+    found = pocket_files.with_structure(pocket_files.fpocket_pockets(vertices), atoms)
+    lining = pocket_files.fpocket_atoms(atoms, structures.read_structures(spark, f"{results}/*_out/pockets/*", parts=3))
+    return rescore(spark, path, model, enabled, found, lining, tables)
+
+
 def ablations(data: DataFrame, enabled: list[str], mode: str, label: str, id_col: str = "id", k: int = 5, seed: int = 42, **kind) -> DataFrame:
     """features, auc and auprc (means over k folds) of each set of features by ``learn.feature_subsets``, best first.
 

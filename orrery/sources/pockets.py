@@ -115,6 +115,12 @@ def fpocket_atoms(atoms: DataFrame, pocket_atoms: DataFrame) -> DataFrame:
     return have.join(ranked, ["_of", "serial"]).select("item", "rank", "serial").distinct()
 
 
+def with_structure(pockets: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Pockets whose item is a result file, with the item of the structure that the result is of."""
+    of = atoms.select(F.col("item").alias("_item")).distinct().withColumn("_of", _stem(F.col("_item")))
+    return pockets.withColumn("_of", _stem(F.col("item"))).join(of, "_of").withColumn("item", F.col("_item")).drop("_of", "_item")
+
+
 def fpocket_points(surface: DataFrame, atoms: DataFrame, vertices: DataFrame, of_atoms: float, of_vertices: float) -> DataFrame:
     """(item, rank, id): a pocket's surface points: those near one of its atoms, and those near a vertex.
 

@@ -314,6 +314,39 @@ def test_from_files_to_pockets(spark, tmp_path):
     assert sinks.residues(whole.residues).count() == 38
 
 
+def test_rescoring_another_methods_pockets(spark, tmp_path):
+    """Results that put a pocket far from the site first; the model turns them round."""
+    from orrery.params import Params
+    from orrery.plans import run
+    from orrery.sources import sinks
+
+    kind = "item string, serial int, name string, altloc string, res_name string, chain_id string, seq_num int, ins_code string, x double, y double, z double, occupancy double, bfactor double, element string, is_het boolean"
+    at = [(x * 3.0, y * 3.0, z) for x in range(4) for y in range(4) for z in (0.0, 9.0)] + [(x * 3.0 + 40, 0.0, 0.0) for x in range(6)]
+    atom = lambda n, p, het=False: ("i", n, "C1" if het else "CA", None, "LIG" if het else "ALA", "A", 900 if het else n, None, *p, 1.0, 10.0, "C", het)
+    rows = [atom(n, p) for n, p in enumerate(at, 1)]
+
+    def write(path, rows):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("\n".join(r.value for r in sinks.pdb_lines(spark.createDataFrame(rows, kind)).orderBy("serial").collect()))
+
+    write(tmp_path / "in/one.pdb", rows + [atom(100 + n, (3.0 + n, 4.5, 4.5), True) for n in range(6)])
+    write(tmp_path / "in/two.pdb", rows)
+    for item in ("one", "two"):
+        out = tmp_path / f"found/{item}_out"
+        stp = lambda n, rank, x, y: f"HETATM{n:5d} APOL STP C{rank:4d}    {x:8.3f}{y:8.3f}{4.5:8.3f}  0.00  0.00          Ve"
+        write(out / "pockets/pocket1_atm.pdb", rows[33:37])
+        write(out / "pockets/pocket2_atm.pdb", [rows[n] for n in (10, 11, 12, 13, 18, 19, 20, 21)])
+        (out / f"{item}_out.pdb").write_text("\n".join([stp(1, 1, 45.0, 3.0), stp(2, 2, 4.0, 4.0), stp(3, 2, 5.0, 5.0)]))
+    enabled = ["protrusion", "bfactor"]
+    model = run.train(spark, str(tmp_path / "in/one.pdb"), enabled, Params().rescoring(), trees=10, depth=4)
+    got = {(r.item, r.name): r for r in run.rescore_fpocket(spark, str(tmp_path / "in"), str(tmp_path / "found"), model, enabled).collect()}
+    assert got.keys() == {(f"{i}.pdb", f"pocket{n}") for i in ("one", "two") for n in (1, 2)}
+    for item in ("one.pdb", "two.pdb"):
+        far, site = got[item, "pocket1"], got[item, "pocket2"]
+        assert (far.old_rank, far["rank"], far.change, far.bar) == (1, 2, -1, "-") and (site.old_rank, site["rank"], site.change, site.bar) == (2, 1, 1, "+")
+        assert site.score > far.score and 0 <= far.raw_score < site.raw_score <= 1 and site.sas_points > 3
+
+
 def test_features_at_points_and_atoms(spark):
     """Every adapter against a loop over all atoms."""
     from orrery.params import Params
