@@ -64,7 +64,8 @@ def predictions(spark: SparkSession, d: str) -> V.Predictions:
 def j15_all(spark, d) -> DataFrame:
     p, criteria = predictions(spark, d), V.default_criteria()
     ranks = V.identification_ranks(p, criteria, V.pair_facts(p, criteria, V.covered_points(p)))
-    return ranks.select("item", "ligand", F.posexplode("ranks").alias("criterion", "rank"))
+    long = ranks.select("item", "ligand", F.posexplode("ranks").alias("criterion", "rank"))
+    return long.select("item", "ligand", *(F.col(c).cast("long").alias(c) for c in ("criterion", "rank")))
 
 
 def _share(a: str, b: str) -> tuple[str, str]:

@@ -253,7 +253,7 @@ def y13_stacked(spark, d):
     return learn.demo_stacked(pts(spark, d))
 
 
-@query("y17_value_ranges", "SELECT s_suppkey, 0.5 * (s_suppkey % 3) + v * 0.25 AS v FROM (SELECT s_suppkey, unnest(range(s_suppkey % 13 * 4 - s_suppkey % 3 * 2 + 1)) AS v FROM supplier WHERE s_suppkey % 13 * 4 >= s_suppkey % 3 * 2)")
+@query("y17_value_ranges", "SELECT s_suppkey, 0.5::DOUBLE * (s_suppkey % 3) + v * 0.25::DOUBLE AS v FROM (SELECT s_suppkey, unnest(range(s_suppkey % 13 * 4 - s_suppkey % 3 * 2 + 1)) AS v FROM supplier WHERE s_suppkey % 13 * 4 >= s_suppkey % 3 * 2)")
 def y17(spark, d):
     k = F.col("s_suppkey")
     spec = F.format_string("[%.1f:%d:0.25]", 0.5 * (k % 3), k % 13)

@@ -270,7 +270,7 @@ def s24(spark, d):
 @query(
     "s25_cube",
     """WITH n AS (SELECT count(*) // 20 AS nz FROM pts), v AS (SELECT row_number() OVER (ORDER BY id) - 1 AS p, round(score, 2) AS value FROM pts)
-SELECT p // (5 * nz) AS ix, p // nz % 5 AS iy, p % nz AS iz, 1.5 + p // (5 * nz) * 0.5 AS x, -2.0 + p // nz % 5 * 0.5 AS y, p % nz * 0.5 AS z, value FROM v, n WHERE p < 20 * nz""",
+SELECT p // (5 * nz) AS ix, p // nz % 5 AS iy, p % nz AS iz, 1.5::DOUBLE + p // (5 * nz) * 0.5::DOUBLE AS x, -2.0::DOUBLE + p // nz % 5 * 0.5::DOUBLE AS y, p % nz * 0.5::DOUBLE AS z, value FROM v, n WHERE p < 20 * nz""",
     "pts",
 )
 def s25(spark, d):

@@ -324,6 +324,29 @@ def y4(spark, d):
     return out.select("id", F.when(F.col("d2") <= inner * inner, 1).when(F.col("d2").isNull() | (F.col("d2") > outer * outer), 0).alias("label")).where("label is not null")
 
 
+@query(
+    "y4_pocket_mode",
+    f"""WITH i AS (SELECT *, grp % 2 AS item FROM pts), mem AS (SELECT item, grp AS pocket, id, x, y, z FROM i WHERE NOT lig AND score >= 0.25),
+pk AS (SELECT grp % 2 AS item, grp AS pocket, row_number() OVER (PARTITION BY grp % 2 ORDER BY round(sum(score), 6) DESC, grp) AS rank, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts WHERE NOT lig GROUP BY grp),
+tr AS (SELECT a.item, a.pocket, a.rank, min({_D2}) <= 0.64 AS is_true FROM pk a JOIN i b ON b.lig AND a.item = b.item GROUP BY ALL),
+us AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item, is_true ORDER BY rank) AS n FROM tr) WHERE is_true OR n <= 2),
+d AS (SELECT a.id, min({_D2}) AS d2 FROM i a JOIN i b ON b.lig AND NOT a.lig AND a.item = b.item GROUP BY a.id)
+SELECT pocket, id, CASE WHEN d2 <= 1 THEN 1 ELSE 0 END AS near FROM mem JOIN us USING (item, pocket) JOIN d USING (id) WHERE d2 <= 1 OR (NOT is_true AND d2 > 6.25)""",
+    "pts",
+)
+def y4_pockets(spark, d):
+    from orrery.operators.windows import ranked
+    from orrery.params import Params
+    from orrery.plans import run
+
+    p = pts(spark, d).withColumn("item", F.col("grp") % 2)
+    points = p.where("not lig")
+    found = points.groupBy("item", F.col("grp").alias("pocket")).agg(F.round(F.sum("score"), 6).alias("total"), *(F.avg(c).alias(c) for c in S.XYZ))
+    members = points.where("score >= 0.25").select("item", F.col("grp").alias("pocket"), "id")
+    kind = Params(positive_point_ligand_distance=1.0, neutral_points_margin=1.5, train_pockets=2)
+    return run.pocket_labelled(points.select("item", "id", *S.XYZ), members, ranked(found, ["item"], "total", "pocket"), p.where("lig"), kind, cutoff=0.8).select("pocket", "id", "near")
+
+
 @query("y7_residue_label_by_ligand", f"SELECT DISTINCT a.grp, true AS binding FROM pts a JOIN pts b ON NOT a.lig AND b.lig AND {_D2} <= 1", "pts")
 def y7(spark, d):
     p = pts(spark, d)

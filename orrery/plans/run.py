@@ -14,7 +14,7 @@ from orrery.functions import features as X
 from orrery.functions.weights import weights
 from orrery.operators import spatial as S
 from orrery.operators.aggregate import pocket_scores, weighted_features
-from orrery.operators.evaluate import rescored
+from orrery.operators.evaluate import rescored, with_decoys
 from orrery.operators.transform import probability
 from orrery.operators.windows import ranked
 from orrery.params import Params
@@ -186,6 +186,26 @@ def labelled(points: DataFrame, ligand_atoms: DataFrame, p: Params) -> DataFrame
     return points.join(d, "id", "left").withColumn("near", near).where("near is not null").drop("_d2")
 
 
+def pocket_labelled(points: DataFrame, members: DataFrame, pockets: DataFrame, ligand_atoms: DataFrame, p: Params, cutoff: float = 4.0) -> DataFrame:
+    """Points of pockets that another method has found, with near: 1 or 0, for training on the method's decoys.
+
+    A pocket is true if an atom of a ligand lies within ``cutoff`` of its center; all true ones and the first
+    train_pockets false ones (0: all) are used. Positive are points up to the distance of positives; negative
+    those beyond the neutral margin, but only of false pockets. A point counts once for each pocket it is of.
+
+    points: item, id, x, y, z and more. members: item, pocket, id. pockets: item, pocket, rank, x, y, z.
+    """
+    atoms = ligand_atoms.select("item", *S.XYZ)
+    true = S.radius_join(pockets.select("item", "pocket", *S.XYZ), atoms, cutoff, "item").select("item", "pocket").distinct().withColumn("_true", F.lit(True))
+    known = pockets.select("item", "pocket", "rank").join(true, ["item", "pocket"], "left").withColumn("_true", F.coalesce("_true", F.lit(False)))
+    used = with_decoys(known.withColumn("_s", -F.col("rank")), ["item"], "_true", "_s", "pocket", p.train_pockets) if p.train_pockets else known
+    outer = p.positive_point_ligand_distance + p.neutral_points_margin
+    d = S.radius_join(points.select("item", "id", *S.XYZ), atoms, outer, "item").groupBy("item", "id").agg(F.min("d2").alias("_d2"))
+    rows = members.join(used.select("item", "pocket", "_true"), ["item", "pocket"]).join(points, ["item", "id"]).join(d, ["item", "id"], "left")
+    near = F.when(F.col("_d2") <= p.positive_point_ligand_distance**2, 1).when(~F.col("_true") & F.col("_d2").isNull(), 0)
+    return rows.withColumn("near", near).where("near is not null").drop("_d2", "_true")
+
+
 def paired(atoms: DataFrame, ligand_atoms: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The atoms without structures that have a pair (item, apo), and the ligand atoms in the apo structures'
     place: these are looked at without their ligands, and labelled by those of the structure they belong to."""

@@ -397,6 +397,21 @@ def test_features_at_points_and_atoms(spark):
         run.vectors(atoms, pts, ["ss_cloud"], p)
 
 
+def test_points_of_decoys(spark):
+    """True pockets give positives only; of the false ones the first give negatives, and positives too."""
+    from orrery.params import Params
+    from orrery.plans import run
+
+    p = Params(positive_point_ligand_distance=2.0, neutral_points_margin=3.0, train_pockets=1)
+    xyz = "x double, y double, z double"
+    points = spark.createDataFrame([("i", n, float(n), 0.0, 0.0) for n in range(12)] + [("j", 50, 0.0, 0.0, 0.0)], f"item string, id long, {xyz}")
+    pockets = spark.createDataFrame([("i", 1, 1, 9.0, 0.0, 0.0), ("i", 2, 2, 1.0, 0.0, 0.0), ("i", 3, 3, 11.0, 0.0, 0.0), ("j", 4, 1, 0.0, 0.0, 0.0)], f"item string, pocket long, rank int, {xyz}")
+    members = spark.createDataFrame([("i", 1, n) for n in (1, 7, 8, 9)] + [("i", 2, n) for n in (0, 1, 2, 3, 8)] + [("i", 3, 11), ("j", 4, 50)], "item string, pocket long, id long")
+    ligand = spark.createDataFrame([("i", 0.0, 0.0, 0.0)], f"item string, {xyz}")
+    got = {(r.pocket, r.id, r.near) for r in run.pocket_labelled(points, members, pockets, ligand, p).collect()}
+    assert got == {(1, 1, 1), (1, 7, 0), (1, 8, 0), (1, 9, 0), (2, 0, 1), (2, 1, 1), (2, 2, 1), (4, 50, 0)}
+
+
 def test_structures_looked_at_without_their_ligands(spark):
     from orrery.plans import run
 
