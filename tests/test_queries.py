@@ -1,4 +1,4 @@
-"""Every registered query against its SQL twin on the smallest tables."""
+"""Every registered query against its SQL twin on the tables that results are compared on."""
 
 import math
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from orrery.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
