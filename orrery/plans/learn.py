@@ -132,7 +132,7 @@ def seed_loop(df: DataFrame, columns: list[str], label: str, id_col: str, seeds:
 
     tasks = [(n, *x) for n, x in enumerate(itertools.product(seeds, range(k)))]
     with ThreadPoolExecutor(parallel) as pool:
-        rows = list(pool.map(inheritable_thread_target(one), tasks))
+        rows = list(pool.map(inheritable_thread_target(spark)(one), tasks))
     return spark.createDataFrame(rows, "seed int, fold int, auc double, auprc double")
 
 
