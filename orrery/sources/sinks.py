@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.sources.structures import serial_field
+
 
 def sequences(df: DataFrame, by: list[str], order: list[str], letter: str) -> DataFrame:
     """One string of letters per chain, in order."""
@@ -46,7 +48,7 @@ def pdb_lines(atoms: DataFrame) -> DataFrame:
     record = F.when(F.col("is_het"), "HETATM").otherwise("ATOM")
     name = F.when(F.length("name") < 4, F.concat(F.lit(" "), F.rpad("name", 3, " "))).otherwise(F.col("name"))
     line = F.format_string(
-        "%-6s%5d %4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", record, "serial", name, F.coalesce("altloc", F.lit(" ")), "res_name", "chain_id", "seq_num",
+        "%-6s%5s %4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", record, serial_field(F.col("serial")), name, F.coalesce("altloc", F.lit(" ")), "res_name", "chain_id", "seq_num",
         F.coalesce("ins_code", F.lit(" ")), "x", "y", "z", F.col("occupancy").cast("double"), F.col("bfactor").cast("double"), F.coalesce("element", F.lit(" ")),
     )
     return atoms.select("item", "serial", line.alias("value"))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import gzip
 import lzma
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.sources import bcif
@@ -28,6 +29,52 @@ PDB_FIELDS = {
 _KINDS = {"serial": "int", "seq_num": "int", "x": "double", "y": "double", "z": "double", "occupancy": "float", "bfactor": "float"}
 
 
+#: Hybrid-36: serial numbers from 100,000 on have a first letter, upper and then lower case, and digits to base 36.
+_FIRST, _UPPER = 10 * 36**4, 26 * 36**4
+
+
+def serial_field(serial: Column) -> Column:
+    """A serial number as the five columns of its field hold it: decimal up to 99,999, then hybrid-36."""
+    high = serial.cast("long") - 100_000
+    upper = F.conv((high + _FIRST).cast("string"), 10, 36)
+    lower = F.lower(F.conv((high - _UPPER + _FIRST).cast("string"), 10, 36))
+    return F.when(high < 0, F.lpad(serial.cast("string"), 5, " ")).when(high < _UPPER, upper).otherwise(lower)
+
+
+def serial_number(field: Column) -> Column:
+    """The number in a serial field; null if there is none."""
+    text = F.trim(field)
+    base36 = F.conv(text, 36, 10).cast("long") - _FIRST + 100_000
+    upper, lower = text.rlike("^[A-Z][0-9A-Z]{4}$"), text.rlike("^[a-z][0-9a-z]{4}$")
+    return F.when(upper, base36).when(lower, base36 + _UPPER).otherwise(text.try_cast("long")).try_cast("int")
+
+
+def aligned(line: Column) -> Column:
+    """The line with its columns in place. Writers that print a serial number of more than five digits push
+    what follows to the right: column 12 is blank in a sound line."""
+    digits = F.regexp_extract(line, "^(?:ATOM  |HETATM)([0-9]{6,9})(?![0-9])", 1)
+    return F.when(digits == "", line).otherwise(F.concat(F.substring(line, 1, 6), serial_field(digits.try_cast("long")), F.substr(line, F.length(digits) + 7)))
+
+
+def aligned_line(line: str) -> str:
+    """``aligned`` of one line."""
+    m = re.match(r"(ATOM  |HETATM)([0-9]{6,9})(?![0-9])", line)
+    if m is None:
+        return line
+    if (n := int(m[2]) - 100_000) < 0:
+        return m[1] + f"{int(m[2]):5d}" + line[m.end() :]
+    n, digits = (n, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") if n < _UPPER else (n - _UPPER, "0123456789abcdefghijklmnopqrstuvwxyz")
+    n += _FIRST
+    return m[1] + "".join(digits[n // 36**k % 36] for k in (4, 3, 2, 1, 0)) + line[m.end() :]
+
+
+def serial_of(text: str) -> int:
+    """``serial_number`` of one field."""
+    if re.fullmatch("[A-Z][0-9A-Z]{4}|[a-z][0-9a-z]{4}", text):
+        return int(text, 36) - _FIRST + 100_000 + (_UPPER if text[0].islower() else 0)
+    return int(text)
+
+
 def decompressed(name: str, raw: bytes) -> bytes:
     """By suffix: gz, zst, zstd, lzma or xz; others as they are."""
     if name.endswith(".gz"):
@@ -43,11 +90,12 @@ def decompressed(name: str, raw: bytes) -> bytes:
 
 def pdb_atoms(lines: DataFrame) -> DataFrame:
     """Atoms of fixed-width lines (item, model, value); all eight columns of a coordinate count."""
-    lines = lines.where(F.substring("value", 1, 6).isin("ATOM  ", "HETATM"))
+    lines = lines.where(F.substring("value", 1, 6).isin("ATOM  ", "HETATM")).withColumn("value", aligned(F.col("value")))
     cols = []
     for n, (start, width) in PDB_FIELDS.items():
         text = F.trim(F.substring("value", start, width))
-        cols.append((text.try_cast(_KINDS[n]) if n in _KINDS else F.when(text != "", text)).alias(n))
+        field = serial_number(text) if n == "serial" else text.try_cast(_KINDS[n]) if n in _KINDS else F.when(text != "", text)
+        cols.append(field.alias(n))
     out = lines.select("item", "model", *cols, (F.substring("value", 1, 6) == "HETATM").alias("is_het"))
     # old files leave the element out: it is the first letter of the name then
     return out.withColumn("element", F.upper(F.coalesce("element", F.regexp_extract("name", "([A-Za-z])", 1))))
@@ -59,7 +107,7 @@ def _pdb_rows(text: str, item: str):
         if line.startswith("MODEL"):
             model = int(line[10:14].strip() or 1) - 1
         elif line.startswith(("ATOM  ", "HETATM")):
-            yield item, model, line
+            yield item, model, aligned_line(line)
 
 
 def _atom(item: str, v: dict) -> tuple:
