@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from orrery.functions.strings import words
 from orrery.operators.spatial import radius_join
-from orrery.sources.structures import pdb_atoms
+from orrery.sources.structures import aligned, pdb_atoms
 
 
 def read_lines(spark: SparkSession, path: str, parts: int = 1) -> DataFrame:
@@ -42,14 +42,15 @@ def sitehound(lines: DataFrame, limit: int = 0) -> DataFrame:
 
 def lise(lines: DataFrame) -> DataFrame:
     """HETATM lines whose last word is the score."""
-    a = pdb_atoms(lines.where(F.col("value").startswith("HETATM")).withColumn("model", F.lit(0)).select("item", "model", "value"))
-    score = lines.where(F.col("value").startswith("HETATM")).select("item", "line_no", F.substring("value", 7, 5).try_cast("int").alias("serial"), F.element_at(words(F.col("value")), -1).try_cast("double").alias("score"))
-    return _numbered(a.join(score, ["item", "serial"]), ["line_no"]).select(*_OUT)
+    v = aligned(F.col("value"))
+    num = lambda s, n: F.trim(F.substring(v, s, n)).try_cast("double")
+    rows = lines.where(F.col("value").startswith("HETATM")).select("item", "line_no", F.element_at(words(F.col("value")), -1).try_cast("double").alias("score"), num(31, 8).alias("x"), num(39, 8).alias("y"), num(47, 8).alias("z"))
+    return _numbered(rows, ["line_no"]).select(*_OUT)
 
 
 def deepsite(lines: DataFrame) -> DataFrame:
     """Lines with `HOH X` and `XXX`: centers with the score as occupancy, ranked in file order, returned by score."""
-    v = F.col("value")
+    v = aligned(F.col("value"))
     num = lambda s, n: F.trim(F.substring(v, s, n)).try_cast("double")
     rows = lines.where(v.contains("HOH X") & v.contains("XXX")).select("item", "line_no", num(55, 6).alias("score"), num(31, 8).alias("x"), num(39, 8).alias("y"), num(47, 8).alias("z"))
     return _numbered(rows, ["line_no"]).select(*_OUT).orderBy("item", F.desc("score"), "rank")
@@ -57,7 +58,7 @@ def deepsite(lines: DataFrame) -> DataFrame:
 
 def metapocket(lines: DataFrame) -> DataFrame:
     """Lines with `MPT`: centers with the score as occupancy."""
-    v = F.col("value")
+    v = aligned(F.col("value"))
     num = lambda s, n: F.trim(F.substring(v, s, n)).try_cast("double")
     rows = lines.where(v.contains("MPT")).select("item", "line_no", num(55, 6).alias("score"), num(31, 8).alias("x"), num(39, 8).alias("y"), num(47, 8).alias("z"))
     return _numbered(rows, ["line_no"]).select(*_OUT)
@@ -87,7 +88,7 @@ def fpocket_pockets(vertices: DataFrame) -> DataFrame:
 
 def fpocket(lines: DataFrame) -> DataFrame:
     """The pockets of result files given as lines. Letters among their serial numbers do no harm."""
-    stp = lines.where(F.col("value").startswith("HETATM") & (F.substring("value", 18, 3) == "STP"))
+    stp = lines.withColumn("value", aligned(F.col("value"))).where(F.col("value").startswith("HETATM") & (F.substring("value", 18, 3) == "STP"))
     return fpocket_pockets(fpocket_vertices(pdb_atoms(stp.withColumn("model", F.lit(0)).select("item", "model", "value"))))
 
 
