@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.functions.strings import words
+from orrery.sources.structures import aligned, serial_number
 
 #: The order of amino acids in an index record.
 INDEX_ORDER = "ARNDCQEGHILKMFPSTWYV"
@@ -163,7 +164,7 @@ def ter_groups(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("item").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     ter = F.col("value").startswith("TER").cast("int")
     x = lines.withColumn("ligand", F.coalesce(F.sum(ter).over(w), F.lit(0)))
-    return x.where(F.col("value").startswith("HETATM")).select("item", "ligand", F.substring("value", 7, 5).try_cast("int").alias("serial"))
+    return x.where(F.col("value").startswith("HETATM")).select("item", "ligand", serial_number(F.substring(aligned(F.col("value")), 7, 5)).alias("serial"))
 
 
 def positive_residues(rows: DataFrame, keys: DataFrame) -> DataFrame:
