@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from orrery.operators.aggregate import pocket_scores
-from orrery.operators.components import components, large_enough
-from orrery.operators.spatial import XYZ, close_pairs, radius_join
+from orrery.operators.components import close_components, large_enough
+from orrery.operators.spatial import XYZ, radius_join
 from orrery.params import Params
 
 
@@ -21,8 +21,7 @@ def pocket_members(points: DataFrame, p: Params | None = None) -> DataFrame:
     p = p or Params()
     hot = points.where(F.col("score") >= p.pred_point_threshold)
     near = ["item", "id", *XYZ]
-    edges = close_pairs(hot, p.pred_clustering_dist, "item")
-    of = components(hot.select("id"), edges, "id", "id", "id_r", item="item")
+    of = close_components(hot, p.pred_clustering_dist, "item")
     big = large_enough(of, p.pred_min_cluster_size)
     core = hot.select(*near).join(of.join(big, "component").select("id", "component"), "id")
     around = radius_join(points.select(*near), core.select("item", "component", *XYZ), p.extended_pocket_cutoff, "item")

@@ -10,7 +10,7 @@ from orrery.operators import aggregate as A
 from orrery.operators import sampling as M
 from orrery.operators import spatial as S
 from orrery.operators import windows as W
-from orrery.operators.components import components, large_enough
+from orrery.operators.components import close_components, components, large_enough
 from orrery.plans.predict import predict_pockets
 from orrery.plans.registry import pts, query, r6
 
@@ -267,7 +267,7 @@ comp AS (SELECT u AS id, min(r) AS component FROM reach GROUP BY u)"""
 @query("c1_single_linkage", _CC + " SELECT id, component FROM comp", "pts")
 def c1(spark, d):
     hot = pts(spark, d).where("score >= 0.35")
-    return components(hot, S.close_pairs(hot, 3.0), "id", "id", "id_r")
+    return close_components(hot, 3.0)
 
 
 @query("c3_min_size", _CC + " SELECT component, count(*) AS n FROM comp GROUP BY component HAVING count(*) >= 3", "pts")

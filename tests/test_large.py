@@ -1,8 +1,12 @@
 """What only larger tables show: long serial numbers, crowds, dense clusters."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.operators import spatial as S
+from orrery.operators.components import close_components, components
 from orrery.sources import datasource, pockets, sinks, structures, tables
 
 SERIALS = [1, 99_999, 100_000, 123_456, 43_770_015, 43_770_016, 87_440_031]
@@ -44,3 +48,19 @@ def test_lines_pushed_by_a_long_serial_number(spark, serial):
 def test_scores_of_lines_that_share_a_serial_number(spark):
     lines = spark.createDataFrame([("a", n, f"HETATM    1  H   GRD A   3    {n:8.3f}{0.0:8.3f}{0.0:8.3f}  1.00  0.00    0.{n}5") for n in (1, 2)], "item string, line_no long, value string")
     assert sorted((r.rank, r.score, r.x) for r in pockets.lise(lines).collect()) == [(1, 0.15, 1.0), (2, 0.25, 2.0)]
+
+
+@pytest.mark.parametrize("most", [0, 50, 4_000_000])
+def test_close_components_equal_those_of_all_pairs(spark, most):
+    rnd = random.Random(5)
+    # a crowd, copies, loose points, two walls just apart and two just touching, and points exactly r apart
+    rows = [(rnd.gauss(0, 0.5), rnd.gauss(0, 0.5), rnd.gauss(0, 0.5)) for _ in range(80)] + [(40.0, 40.0, 40.0)] * 10
+    rows += [(rnd.uniform(-9, 9), rnd.uniform(-9, 9), rnd.uniform(-9, 9)) for _ in range(120)]
+    rows += [(x, 100 + i * 0.2, 0.0) for i in range(10) for x in (0.0, 1.001, 50.0, 50.999)] + [(-3.0 + n, -50.0, 7.0) for n in range(5)]
+    ids = list(range(len(rows)))
+    rnd.shuffle(ids)
+    p = spark.createDataFrame([(n % 2, i, *map(float, x)) for n, (i, x) in enumerate(zip(ids, rows, strict=True))], "g int, id long, x double, y double, z double")
+    for item in (None, "g"):
+        want = components(p, S.close_pairs(p, 1.0, item), "id", "id", "id_r", item=item)
+        got = close_components(p, 1.0, item, most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
