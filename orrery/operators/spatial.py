@@ -176,6 +176,58 @@ def _descent(q: DataFrame, t: DataFrame, k: int, edge: float, span: float, by: l
     return open_.join(named, [*by, *_CELL]).withColumn("d2", d2())
 
 
+#: Pairs that a search may make for each query and wanted target.
+SEARCH_PAIRS = 32
+
+
+def _first_radius(q: DataFrame, t: DataFrame, k: int, r: float, by: list[str]) -> float:
+    """r, halved until the points of the same cubes are few for each query; a hint only."""
+    n = q.count()
+    for _ in range(30):
+        side = lambda df, name: _cells(df, r).groupBy(*by, *_CELL).agg(F.count("*").cast("double").alias(name))
+        # a ball holds some four cubes
+        made = side(q, "_q").join(side(t, "_t"), [*by, *_CELL]).agg(F.sum(4 * F.col("_q") * F.col("_t"))).first()[0] or 0.0
+        if made <= float(SEARCH_PAIRS) * k * n:
+            break
+        r /= 2
+    return r
+
+
+def nearest_within(queries: DataFrame, targets: DataFrame, k: int, r: float, key: str = "id", more: tuple[str, ...] = (), different: bool = False, item: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """The k nearest keys within r of each query: id, {key}_r, more_r, d2, rank, ties to the smaller key; then the
+    queries with fewer, the targets that count, and the first radius.
+
+    A key is as near as its nearest target. The search begins within a radius that finds a query
+    few targets, and only those not settled go on to twice the radius, up to r, so crowds are
+    never joined within the whole of r. Of targets at the same place those of the k smallest keys count.
+    """
+    by = [item] if item else []
+    q = queries.select("id", *XYZ, *by)
+    t = targets.groupBy(key, *XYZ, *by).agg(*(F.min(c).alias(c) for c in more)) if key != "id" else targets.select("id", *XYZ, *by)
+    same = Window.partitionBy(*XYZ, *by).orderBy(key)
+    t = cut(t.withColumn("_k", F.row_number().over(same)).where(F.col("_k") <= k + different).drop("_k"))
+    w = Window.partitionBy("id").orderBy("d2", f"{key}_r")
+
+    def best(pairs):
+        pairs = pairs.where("id <> id_r") if different else pairs
+        if key != "id":
+            pairs = pairs.groupBy("id", f"{key}_r").agg(F.min("d2").alias("d2"), *(F.min(f"{c}_r").alias(f"{c}_r") for c in more))
+        return pairs.select("id", f"{key}_r", *(f"{c}_r" for c in more), "d2").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    rest, found = q, None
+    first = reach = _first_radius(q, t, k, float(r), by)
+    while True:
+        close = cut(best(radius_join(rest, t, reach, item)))
+        settled = close.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("id")
+        rest = cut(rest.join(settled, "id", "left_anti"))
+        last = reach >= r or rest.isEmpty()
+        got = close if last else close.join(settled, "id", "left_semi")
+        found = got if found is None else found.unionByName(got)
+        if last:
+            return found, rest, t, first
+        reach = min(reach * 2, float(r))
+
+
 def knn(queries: DataFrame, targets: DataFrame, k: int, r: float, different: bool = False, item: str | None = None) -> DataFrame:
     """The k nearest targets of each query: id, id_r, d2, rank; ties go to the smaller id_r.
 
@@ -185,23 +237,17 @@ def knn(queries: DataFrame, targets: DataFrame, k: int, r: float, different: boo
     item: column within which targets are looked for; ids are unique over all items.
     """
     by = [item] if item else []
-    q, t = queries.select("id", *XYZ, *by), targets.select("id", *XYZ, *by)
-    w = Window.partitionBy("id").orderBy("d2", "id_r")
-
-    def best(pairs):
-        pairs = pairs.where("id <> id_r") if different else pairs
-        return pairs.select("id", "id_r", "d2").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    close = cut(best(radius_join(q, t, r, item)))
-    settled = close.groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("id")
-    rest = cut(q.join(settled, "id", "left_anti"))
+    close, rest, t, edge = nearest_within(queries, targets, k, r, different=different, item=item)
     if rest.isEmpty():
         return close
     # of all points one row comes back
     ends = rest.unionByName(t).agg(*(f(c) for c in XYZ for f in (F.min, F.max))).first()
     span = max(max(abs(float(v or 0)) for v in ends), float(r)) * 2
-    found = best(_descent(rest, t, k + different, float(r), span, by))
-    return close.join(settled, "id", "left_semi").unionByName(found)
+    pairs = _descent(rest, t, k + different, edge, span, by)
+    pairs = pairs.where("id <> id_r") if different else pairs
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "id_r"))
+    found = pairs.select("id", "id_r", "d2").withColumn("rank", rank).where(F.col("rank") <= k)
+    return close.join(rest.select("id"), "id", "left_anti").unionByName(found)
 
 
 def nearest(queries: DataFrame, targets: DataFrame, r: float, different: bool = False, item: str | None = None) -> DataFrame:

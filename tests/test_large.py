@@ -1,10 +1,12 @@
 """What only larger tables show: long serial numbers, crowds, dense clusters."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.functions import features as X
 from orrery.operators import spatial as S
 from orrery.operators.components import close_components, components
 from orrery.sources import datasource, pockets, sinks, structures, tables
@@ -64,3 +66,48 @@ def test_close_components_equal_those_of_all_pairs(spark, most):
         want = components(p, S.close_pairs(p, 1.0, item), "id", "id", "id_r", item=item)
         got = close_components(p, 1.0, item, most)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _brute(queries, targets, k, key=lambda t: t[0], r=math.inf, different=False):
+    out = set()
+    for i, *a in queries:
+        near = {}
+        for t in targets:
+            x, y, z = (u - v for u, v in zip(a, t[1:4], strict=True))
+            d = x * x + y * y + z * z
+            if d <= r * r and not (different and t[0] == i):
+                near[key(t)] = min(d, near.get(key(t), math.inf))
+        out |= {(i, n, d, rank) for rank, (d, n) in enumerate(sorted((d, n) for n, d in near.items())[:k], 1)}
+    return out
+
+
+def _crowds():
+    rnd = random.Random(8)
+    at = [(rnd.gauss(0, 0.01), rnd.gauss(0, 0.01), rnd.gauss(0, 0.01)) for _ in range(150)] + [(2.0, 2.0, 2.0)] * 60
+    at += [(rnd.uniform(-9, 9), rnd.uniform(-9, 9), rnd.uniform(-9, 9)) for _ in range(90)] + [(500.0, 0.0, 0.0), (501.0, 0.0, 0.0), (-300.0, 4.0, 0.0)]
+    return [(i, *x) for i, x in enumerate(at)]
+
+
+@pytest.mark.parametrize("different", [False, True])
+def test_nearest_in_crowds_and_copies(spark, monkeypatch, different):
+    rows = _crowds()
+    monkeypatch.setattr(S, "SEARCH_PAIRS", 2)
+    asked = []
+    join = S.radius_join
+    monkeypatch.setattr(S, "radius_join", lambda a, b, r, *more: asked.append(r) or join(a, b, r, *more))
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    t = p if different else p.where("id % 3 = 0")
+    got = {(r.id, r.id_r, r.d2, r["rank"]) for r in S.knn(p, t, 4, 8.0, different).collect()}
+    assert got == _brute(rows, [x for x in rows if different or x[0] % 3 == 0], 4, different=different)
+    # crowds are not joined within the whole radius first
+    assert asked[0] < 1 and asked == sorted(asked)
+
+
+def test_nearest_letters_in_crowds(spark, monkeypatch):
+    monkeypatch.setattr(S, "SEARCH_PAIRS", 2)
+    rows = _crowds()
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    res = p.select((F.col("id") % 40).alias("residue"), F.char(65 + F.col("id") % 20).alias("letter"), "x", "y", "z")
+    got = {r.id: r.letters for r in X.nearest_letters(p, res, 4, 3.0).collect()}
+    want = _brute(rows, rows, 4, key=lambda t: t[0] % 40, r=3.0)
+    assert got == {i: [chr(65 + n % 20) for _, n in sorted((rank, n) for j, n, _, rank in want if j == i)] for i, *_ in rows}
