@@ -252,9 +252,7 @@ def has_motif(letters: Column, motif: str) -> Column:
 
 def nearest_letters(points: DataFrame, residues: DataFrame, n: int, r: float) -> DataFrame:
     """Letters of the n residues nearest to each point (by their nearest atom, within r), in order."""
-    each = S.near(points, residues, ["residue", "letter"], r).groupBy("id", F.col("residue_r").alias("residue")).agg(F.min("d2").alias("d2"), F.min("letter_r").alias("letter"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "residue"))
-    top = each.withColumn("k", rank).where(F.col("k") <= n)
+    top = S.nearest_within(points, residues, n, r, "residue", ("letter",), item=S.shared_item(points, residues))[0].select("id", F.col("rank").alias("k"), F.col("letter_r").alias("letter"))
     got = top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "letter"))), lambda s: s["letter"]).alias("letters"))
     return points.select("id").join(got, "id", "left").withColumn("letters", F.coalesce("letters", F.array().cast("array<string>")))
 
