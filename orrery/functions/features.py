@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -376,18 +377,28 @@ def residue_value(rows: DataFrame, scores: DataFrame, name: str) -> DataFrame:
     return rows.select("id", "residue").join(scores.select("residue", F.col("score").alias(name)), "residue", "left").select("id", F.coalesce(name, F.lit(0.0)).alias(name))
 
 
+#: Points whose surroundings one task goes through.
+PAIR_POINTS = 32
+
+
 def pair_histogram(points: DataFrame, atoms: DataFrame, r: float, bins: int = 5, smooth: bool = False, normalised: bool = False) -> DataFrame:
     """Per point: histogram of the distances, 0 to 2 r, between the atoms within r of it, each pair once
     and each atom with itself; normalised: as shares of all pairs."""
-    from orrery.operators.aggregate import shares
-
-    near = S.near(points, atoms, ["id"], r).select("id", F.col("id_r").alias("atom"), *(F.col(f"{c}_r").alias(c) for c in S.XYZ))
-    other = near.select("id", *(F.col(c).alias(f"{c}_r") for c in ("atom", *S.XYZ)))
-    pairs = near.join(other, "id").where("atom <= atom_r").select("id", F.sqrt(S.d2()).alias("dist"))
-    share = shares(pairs, ["id"], "dist", 0.0, 2 * r, bins, smooth)
-    # the shares of a pair add up to 1
-    whole = F.sum("share") if normalised else F.lit(1.0)
-    got = share.groupBy("id").agg(*((F.sum(F.when(F.col("bin") == i, F.col("share")).otherwise(0.0)) / whole).alias(f"b{i}") for i in range(bins)))
+    from orrery.functions.pairs import histogram_near
+
+    item = S.shared_item(points, atoms)
+    by = [item] if item else []
+    own, probe, on = S.neighbourhoods(points.select("id", *S.XYZ, *by), atoms.select(*S.XYZ, *by), r, item, PAIR_POINTS)
+    own, probe = (df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in on))) for df in (own, probe))
+    kind = points.schema["id"].dataType.simpleString()
+
+    def counted(mine, around):
+        return histogram_near(mine, around, float(r), bins, smooth, normalised)
+
+    # few bytes are much work here, so tasks are not merged by size
+    tasks = 16 * points.sparkSession.sparkContext.defaultParallelism
+    own, probe = own.select(*on, "id", *S.XYZ).repartition(tasks, *on), probe.select(*on, *(f"{c}_r" for c in S.XYZ)).repartition(tasks, *on)
+    got = own.groupBy(*on).cogroup(probe.groupBy(*on)).applyInPandas(counted, f"id {kind}, " + ", ".join(f"b{i} double" for i in range(bins)))
     return points.select("id").join(got, "id", "left").na.fill(0.0)
 
 

@@ -55,7 +55,9 @@ def _sliced(left: DataFrame, probe: DataFrame, item: str | None, rows: int) -> t
     return left, probe, [*by, "_slice"]
 
 
-def _meeting(left: DataFrame, right: DataFrame, r: float, item: str | None, rows: int, ahead: bool) -> DataFrame:
+def neighbourhoods(left: DataFrame, right: DataFrame, r: float, item: str | None = None, rows: int = CUBE_ROWS, ahead: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides and the columns by which they meet: a point of ``left`` is in one place, and so is every point of
+    ``right`` within r of it. Columns of ``right`` get the suffix _r. rows: points of ``left`` in one place."""
     if r <= 0:
         raise ValueError("the radius must be positive")
     named = right.select(*(F.col(c).alias(f"{c}_r") for c in right.columns))
@@ -63,9 +65,12 @@ def _meeting(left: DataFrame, right: DataFrame, r: float, item: str | None, rows
     own = _cells(left, r)
     if item:
         own, probe = own.withColumn("_item", F.col(item)), probe.withColumn("_item", F.col(f"{item}_r"))
-    own, probe, on = _sliced(own, probe, item, rows)
-    pairs = own.join(probe, on).withColumn("d2", d2()).where(F.col("d2") <= F.lit(float(r) * float(r)))
-    return pairs
+    return _sliced(own, probe, item, rows)
+
+
+def _meeting(left: DataFrame, right: DataFrame, r: float, item: str | None, rows: int, ahead: bool) -> DataFrame:
+    own, probe, on = neighbourhoods(left, right, r, item, rows, ahead)
+    return own.join(probe, on).withColumn("d2", d2()).where(F.col("d2") <= F.lit(float(r) * float(r)))
 
 
 def radius_join(left: DataFrame, right: DataFrame, r: float, item: str | None = None, rows: int = CUBE_ROWS) -> DataFrame:

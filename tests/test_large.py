@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +112,26 @@ def test_nearest_letters_in_crowds(spark, monkeypatch):
     got = {r.id: r.letters for r in X.nearest_letters(p, res, 4, 3.0).collect()}
     want = _brute(rows, rows, 4, key=lambda t: t[0] % 40, r=3.0)
     assert got == {i: [chr(65 + n % 20) for _, n in sorted((rank, n) for j, n, _, rank in want if j == i)] for i, *_ in rows}
+
+
+@pytest.mark.parametrize("smooth", [False, True])
+def test_pair_histogram_of_tiles_equals_pairs(spark, smooth):
+    rnd = np.random.default_rng(4)
+    # atoms on a grid are at the limits of bins exactly, and some are copies
+    at = np.concatenate((rnd.normal(0, 2.5, (900, 3)), rnd.integers(-4, 5, (300, 3)).astype(float), np.zeros((40, 3)), [[300.0, 0.0, 0.0]]))
+    p = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)], "id long, x double, y double, z double")
+    asked = p.where("id % 60 = 0 or id in (1239, 1240)")
+    got = {r.id: list(r)[1:] for r in X.pair_histogram(asked, p, 5.0, smooth=smooth).collect()}
+    assert len(got) == asked.count()
+    for i, bins in got.items():
+        d = at[i] - at
+        mine = at[d[:, 0] ** 2 + d[:, 1] ** 2 + d[:, 2] ** 2 <= 25]
+        u, v = np.triu_indices(len(mine))
+        d = mine[u] - mine[v]
+        d = np.sqrt(d[:, 0] ** 2 + d[:, 1] ** 2 + d[:, 2] ** 2)
+        if smooth:
+            pos = np.minimum(d / 2.5, 4)
+            want = [np.maximum(1 - np.abs(pos - b), 0).sum() for b in range(5)]
+        else:
+            want = np.bincount(np.minimum(np.floor(d / 2), 4).astype(int), minlength=5)
+        assert np.allclose(bins, want, rtol=1e-9 if smooth else 0, atol=1e-6 if smooth else 0)
